@@ -129,7 +129,7 @@ class Encoder(dict):
             yield b"".join(map(self.__getitem__, part))
 
 
-OUT = "id long, ids binary, n_tokens long, ids_sha256 string, decoded binary, decoded_sha256 string"
+OUT = "id string, ids binary, n_tokens long, ids_sha256 string, decoded binary, decoded_sha256 string"
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
@@ -163,9 +163,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
                         whole.append(decoded)
                 rows.append((key, b"".join(parts), n, told.hexdigest(), b"".join(whole), back.hexdigest()))
             out = pd.DataFrame(rows, columns=[x.split()[0] for x in OUT.split(", ")])
-            out["id"] = out["id"].astype("Int64")
             out["ids"] = [np.frombuffer(x, "<u4").astype(np.int64) for x in out["ids"]]
             yield out
 
-    told = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInPandas(run, OUT.replace("ids binary", "ids array<long>"))
-    return told.select(F.col("id").alias(id_col), "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if keep else []))
+    told = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInPandas(run, OUT.replace("ids binary", "ids array<long>"))
+    return told.select(F.col("id").cast("long").alias(id_col), "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if keep else []))
