@@ -11,14 +11,13 @@ import base64
 import gzip
 import hashlib
 import io
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import durable, shared_dir
+from ledgerloom.llm.common import durable, stored
 
 #: Captures per archive file, which bounds what a reading task holds.
 CAPTURES_PER_ARCHIVE = 2_000
@@ -58,7 +57,7 @@ def write_archives(
     Null payloads are empty. A page's id and url stand in its metadata record; line ends
     in urls become spaces.
     """
-    spark, nul = pages.sparkSession, F.lit("")
+    nul = F.lit("")
     rows = pages.select(
         F.monotonically_increasing_id().alias("nonce"), F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col).cast("string"), nul).alias("payload")
     )
@@ -68,14 +67,13 @@ def write_archives(
     firsts = lean.groupBy("sha256").agg(F.count("*").alias("n"), F.min("own").alias("first")).where("n > 1").drop("n")
     again = lean.join(firsts, "sha256").where("own.nonce <> first.nonce").select(F.col("own.nonce").alias("nonce"), F.col("first.nonce").alias("first_nonce"), F.col("first.url").alias("first_url"))
     # a table of known size: small ones are broadcast by Spark's own threshold, others joined by sorting
-    side = f"{shared_dir(spark).rstrip('/')}/revisits-{uuid.uuid4().hex}"
-    again.write.parquet(side)
-    rows = rows.join(spark.read.parquet(side), "nonce", "left").withColumns({"date": F.lit(date), "uri": F.regexp_replace("url", r"[\r\n]", " ")})
+    rows = rows.join(stored(again), "nonce", "left").withColumns({"date": F.lit(date), "uri": F.regexp_replace("url", r"[\r\n]", " ")})
+    rows = rows.withColumn("sha1", base32_of_sha1(F.sha1(F.col("payload").cast("binary"))))
     own, revisits = _urn("response"), F.col("first_nonce").isNotNull()
     first = F.struct(F.col("first_nonce").alias("nonce"), F.col("first_url").alias("url"))
     refers = F.md5(F.concat_ws("|", F.lit("response"), first["nonce"], F.col("sha256"), first["url"]))
     refers = F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(refers, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
-    digest = F.concat(F.lit("\r\nWARC-Payload-Digest: sha1:"), base32_of_sha1(F.sha1(F.col("payload").cast("binary"))))
+    digest = F.concat(F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("sha1"))
     concurrent = F.concat(F.lit("\r\nWARC-Concurrent-To: "), own)
     line = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("payload").cast("string"), F.lit("\r\n\r\n"))
     profile = F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), refers)
@@ -165,7 +163,7 @@ def assemble(records: DataFrame) -> DataFrame:
 def captures_of(pages: DataFrame, path: str, **columns) -> DataFrame:
     """pages written as archives under path, read back and assembled: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     write_archives(pages, path, **columns)
-    found = assemble(read_archives(pages.sparkSession, path, keep_payload=False).drop("payload"))
+    found = assemble(stored(read_archives(pages.sparkSession, path, keep_payload=False).drop("payload")))
     page = F.get_json_object(F.get("metadata", F.lit(0))["fields"], "$.page_id").cast("long")
     flat = durable(found.select("capture_id", page.alias("page_id"), F.col("response.type").alias("record_type"), F.col("response.payload_bytes").alias("payload_bytes"), F.coalesce("response.computed_digest", "response.payload_digest").alias("payload_digest"), "refers_to"))
     cited = flat.where("refers_to IS NOT NULL").select("capture_id", "refers_to").join(
