@@ -1,2 +1,10 @@
-QUERIES = {}
-ORACLES = {}
+"""All queries of the library by name, with the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from ledgerloom.plans import board, changes, corpus, graphs, pricing, relational, streams
+from ledgerloom.plans.base import ORACLES, QUERIES
+
+MODULES = (relational, pricing, corpus, changes, board, graphs, streams)
+
+__all__ = ["MODULES", "ORACLES", "QUERIES"]
