@@ -1 +1,177 @@
-"""Plans."""
+"""Scans, logs and revisions over events, orders and lines."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ledgerloom.operators import diff, match, state
+from ledgerloom.plans.base import query, table
+
+#: The first half of the month is what is known, the second is the scan; a user is what is observed.
+KNOWN_SQL = """known AS (SELECT user_id, min(event_type) AS kind, max(CAST(floor(value) AS BIGINT)) AS top, max(CAST(floor(value) AS BIGINT)) // 50 AS fp, min(event_type) <> 'error' AND user_id % 5 <> 0 AS present FROM events WHERE ts < TIMESTAMP '2024-01-16' AND user_id % 3 <> 0 GROUP BY 1)"""
+SCAN_SQL = """scan AS (SELECT user_id, min(event_type) AS kind, max(CAST(floor(value) AS BIGINT)) AS top, max(CAST(floor(value) AS BIGINT)) // 50 AS fp FROM events WHERE ts >= TIMESTAMP '2024-01-16' AND user_id % 7 <> 1 GROUP BY 1)"""
+
+
+def halves(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    events = table(spark, sf, "events").withColumn("whole", F.floor("value"))
+
+    def view(rows: DataFrame) -> DataFrame:
+        out = rows.groupBy("user_id").agg(F.min("event_type").alias("kind"), F.max("whole").alias("top"))
+        return out.withColumn("fp", F.floor(F.col("top") / 50)).withColumn("present", (F.col("kind") != "error") & (F.col("user_id") % 5 != 0))
+
+    return view(events.where("ts < '2024-01-16' AND user_id % 3 <> 0")), view(events.where("ts >= '2024-01-16' AND user_id % 7 <> 1"))
+
+
+@query(f"WITH {KNOWN_SQL}, {SCAN_SQL} SELECT s.user_id, CASE WHEN k.user_id IS NULL THEN 'NEW' WHEN k.fp = s.fp THEN 'UNCHANGED' ELSE 'UPDATED' END AS state FROM scan s LEFT JOIN known k USING (user_id)")
+def scan_batch_classify(spark: SparkSession, sf: str) -> DataFrame:
+    known, scan = halves(spark, sf)
+    return diff.classify_scan(known, scan, "user_id", "fp")
+
+
+@query(f"""WITH {KNOWN_SQL}, {SCAN_SQL}, b AS (SELECT s.*, k.user_id AS kid, k.kind AS kkind, k.top AS ktop FROM scan s LEFT JOIN known k USING (user_id))
+SELECT user_id, 'NEW' AS event, NULL AS field, NULL AS before, NULL AS after FROM b WHERE kid IS NULL
+UNION ALL SELECT user_id, 'CHANGED', 'kind', kkind, kind FROM b WHERE kid IS NOT NULL AND kkind <> kind UNION ALL SELECT user_id, 'CHANGED', 'top', CAST(ktop AS VARCHAR), CAST(top AS VARCHAR) FROM b WHERE kid IS NOT NULL AND ktop <> top""")
+def scan_change_events(spark: SparkSession, sf: str) -> DataFrame:
+    known, scan = halves(spark, sf)
+    return diff.change_events(known, scan, "user_id", ["kind", "top"])
+
+
+@query(f"""WITH {KNOWN_SQL}, {SCAN_SQL} SELECT user_id, 'NO_LONGER_OBSERVED' AS event FROM known k WHERE present AND NOT EXISTS (SELECT 1 FROM scan s WHERE s.user_id = k.user_id)
+UNION ALL SELECT user_id, 'REAPPEARED' FROM scan s WHERE EXISTS (SELECT 1 FROM known k WHERE k.user_id = s.user_id AND NOT present)""")
+def scan_absence(spark: SparkSession, sf: str) -> DataFrame:
+    known, scan = halves(spark, sf)
+    return diff.absence(known, scan, "user_id", "present", complete=True)
+
+
+@query(f"WITH {KNOWN_SQL}, {SCAN_SQL} SELECT k.kind, count(*) AS known, count(s.user_id) AS observed, round(count(s.user_id) / count(*), 4) AS share FROM known k LEFT JOIN scan s USING (user_id) GROUP BY 1")
+def scan_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    known, scan = halves(spark, sf)
+    return diff.coverage(known, scan, "user_id", "kind")
+
+
+@query("""WITH f AS (SELECT l_orderkey, arg_min(l_partkey, l_linenumber * 1000000 + l_partkey) AS part, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT f.l_orderkey, part AS l_partkey, n - 1 AS repeats, CAST(sum(CASE WHEN l.l_partkey <> f.part THEN 1 ELSE 0 END) AS BIGINT) AS conflicts FROM f JOIN lineitem l USING (l_orderkey) GROUP BY 1, 2, 3""")
+def scan_first_wins(spark: SparkSession, sf: str) -> DataFrame:
+    """The first row of each key in a scan; repeats and conflicting repeats are counted."""
+    return diff.first_wins(table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey").select("l_orderkey", "l_partkey", "repeats", "conflicts")
+
+
+@query("""SELECT user_id, CASE WHEN sum(CASE WHEN event_type = 'error' AND value > 95 THEN 1 ELSE 0 END) = 0 AND bool_or(event_type = 'purchase') THEN 'SUCCESS' WHEN count(*) > 0 THEN 'PARTIAL' ELSE 'FAILED' END AS status FROM events GROUP BY 1""")
+def scan_status(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "events").select("user_id", F.expr("CASE WHEN event_type = 'error' AND value > 95 THEN 1 ELSE 0 END").alias("issue"), F.expr("event_type = 'purchase'").alias("last"), F.lit(1).alias("one"))
+    return diff.scan_status(rows, "user_id", "issue", "last", "one")
+
+
+@query("""WITH f AS (SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY 1, 2) SELECT e.event_id, CASE WHEN e.event_id = f.first THEN 'ACCEPTED' WHEN floor(e.value / 25) = floor(o.value / 25) THEN 'REPLAYED' ELSE 'CONFLICT' END AS outcome
+FROM events e JOIN f USING (user_id, event_type) JOIN events o ON o.event_id = f.first""")
+def request_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """A request id runs once; the same payload is a replay, another a conflict."""
+    rows = table(spark, sf, "events").select("event_id", F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("request"), F.floor(F.col("value") / 25).alias("payload"))
+    return diff.request_outcomes(rows, "request", "payload", "event_id").select("event_id", "outcome")
+
+
+@query("""SELECT user_id, max_by(event_type, (ts, event_id)) AS state, max(ts)::VARCHAR AS at, count(*) AS decisions FROM events GROUP BY 1""")
+def decision_latest(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "events")
+    latest = state.latest_per_key(rows, ["user_id"], F.desc("ts"), F.desc("event_id")).select("user_id", F.col("event_type").alias("state"), F.col("ts").cast("string").alias("at"))
+    return latest.join(rows.groupBy("user_id").agg(F.count("*").alias("decisions")), "user_id")
+
+
+#: Which states may follow which.
+ALLOWED = {"signup": ["view", "click"], "view": ["signup", "click", "purchase"], "click": ["view", "purchase", "error"], "error": ["view", "click"], "purchase": []}
+ALLOWED_SQL = " OR ".join(f"(before = '{a}' AND event_type IN ({', '.join(repr(x) for x in b)}))" for a, b in ALLOWED.items() if b)
+
+
+@query(f"""WITH w AS (SELECT *, coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id), 'signup') AS before FROM events) SELECT event_id, before, event_type, {ALLOWED_SQL} AS allowed FROM w""")
+def decision_state_fold(spark: SparkSession, sf: str) -> DataFrame:
+    found = diff.transitions(table(spark, sf, "events"), "user_id", ["ts", "event_id"], "event_type", ALLOWED, "signup")
+    return found.select("event_id", "before", "event_type", "allowed")
+
+
+@query("""WITH s AS (SELECT c_custkey AS k, md5(c_mktsegment) AS fp, c_acctbal AS bal FROM customer WHERE c_custkey % 4 <> 0), b AS (SELECT c_custkey AS k, md5(CASE WHEN c_custkey % 6 = 0 THEN 'X' ELSE c_mktsegment END) AS fp, c_acctbal + 1 AS bal FROM customer WHERE c_custkey % 3 = 0)
+SELECT coalesce(b.k, s.k) AS k, CASE WHEN b.k IS NULL THEN s.bal ELSE b.bal END AS bal, coalesce(b.fp, s.fp) AS fp, CASE WHEN s.k IS NOT NULL AND b.k IS NOT NULL AND s.fp <> b.fp THEN s.fp END AS previous_fingerprint,
+CAST(CASE WHEN s.k IS NOT NULL AND b.k IS NOT NULL AND s.fp <> b.fp THEN 2 ELSE 1 END AS BIGINT) AS revision, CASE WHEN s.k IS NULL THEN 'INSERTED' WHEN b.k IS NULL THEN 'KEPT' WHEN s.fp <> b.fp THEN 'UPDATED' ELSE 'UNCHANGED' END AS outcome FROM s FULL JOIN b ON s.k = b.k""")
+def upsert_with_revisions(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "customer")
+    old = rows.where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("k"), F.md5(F.col("c_mktsegment").cast("binary")).alias("fp"), F.col("c_acctbal").alias("bal"), F.lit(None).cast("string").alias("previous_fingerprint"), F.lit(1).alias("revision"))
+    segment = F.when(F.col("c_custkey") % 6 == 0, "X").otherwise(F.col("c_mktsegment"))
+    new = rows.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"), F.md5(segment.cast("binary")).alias("fp"), (F.col("c_acctbal") + 1).alias("bal"))
+    return state.upsert(old, new, ["k"], "fp", ["bal"])
+
+
+@query("SELECT DISTINCT user_id * 10 + length(event_type) AS event_key FROM events WHERE ts >= TIMESTAMP '2024-01-20' EXCEPT SELECT user_id * 10 + length(event_type) FROM events WHERE ts < TIMESTAMP '2024-01-05'")
+def append_missing(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "events").withColumn("event_key", (F.col("user_id") * 10 + F.length("event_type")).cast("long"))
+    return state.append_missing(rows.where("ts < '2024-01-05'").select("event_key"), rows.where("ts >= '2024-01-20'").select("event_key"), "event_key")
+
+
+@query("""WITH cur AS (SELECT o_custkey AS k, count(*) AS rev FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01' GROUP BY 1), c AS (SELECT o_orderkey AS command_id, o_custkey AS k, CAST(o_orderkey % 15 AS BIGINT) AS expected FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01'),
+j AS (SELECT c.*, cur.rev, coalesce(max(CASE WHEN expected = rev THEN 1 ELSE 0 END) OVER (PARTITION BY c.k ORDER BY command_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM c LEFT JOIN cur ON cur.k = c.k)
+SELECT command_id, CASE WHEN rev IS NULL THEN 'MISSING' WHEN expected <> rev THEN 'STALE' WHEN earlier = 1 THEN 'SKIPPED' ELSE 'APPLIED' END AS outcome FROM j""")
+def conditional_append(spark: SparkSession, sf: str) -> DataFrame:
+    """Commands that expect a revision: applied, stale, skipped after another, or without a row."""
+    rows = table(spark, sf, "orders")
+    current = rows.where("o_orderdate < '1997-01-01'").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("rev"))
+    commands = rows.where("o_orderdate >= '1997-01-01'").select(F.col("o_orderkey").alias("command_id"), F.col("o_custkey").alias("k"), (F.col("o_orderkey") % 15).alias("expected"))
+    return state.conditional_outcomes(current, commands, ["k"], "rev", "expected").select("command_id", "outcome")
+
+
+@query("""WITH e AS (SELECT p_partkey AS k, p_size AS m, CASE WHEN p_partkey % 10 = 0 THEN 'note' END AS h FROM part WHERE p_partkey % 3 <> 0), d AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 4 = 0 THEN p_size + 1 ELSE p_size END AS m FROM part WHERE p_partkey % 5 <> 0)
+SELECT coalesce(d.k, e.k) AS k, CASE WHEN d.k IS NULL THEN e.m ELSE d.m END AS m, e.h, CASE WHEN e.k IS NULL THEN 'INSERT' WHEN d.k IS NULL AND e.h IS NOT NULL THEN 'DEACTIVATE' WHEN d.k IS NULL THEN 'DELETE' WHEN e.m <> d.m THEN 'UPDATE' ELSE 'KEEP' END AS action FROM e FULL JOIN d ON e.k = d.k""")
+def reconcile_actions(spark: SparkSession, sf: str) -> DataFrame:
+    part = table(spark, sf, "part")
+    old = part.where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("m"), F.when(F.col("p_partkey") % 10 == 0, "note").alias("h"))
+    new = part.where("p_partkey % 5 <> 0").select(F.col("p_partkey").alias("k"), F.when(F.col("p_partkey") % 4 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")).alias("m"))
+    return state.reconcile(old, new, ["k"], ["m"], ["h"])
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') UNION ALL SELECT o_orderkey, 0, 0 FROM orders WHERE o_orderstatus = 'P'""")
+def replace_by_artifact(spark: SparkSession, sf: str) -> DataFrame:
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    batch = table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(0).alias("l_linenumber"), F.lit(0).cast("long").alias("l_partkey"))
+    return state.replace_by_artifact(lines, batch, ["l_orderkey"])
+
+
+@query("""WITH b AS (SELECT p_partkey AS k, p_size AS v FROM part WHERE p_partkey % 11 <> 0), n AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 3 = 0 THEN p_size + 1 ELSE p_size END AS v FROM part WHERE p_partkey % 11 <> 0), i AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN p_size + 2 ELSE p_size END AS v FROM part WHERE p_partkey % 13 <> 0)
+SELECT coalesce(b.k, i.k) AS k, CASE WHEN i.k IS NULL THEN 'MISSING_FROM_IMPORT' WHEN b.k IS NULL THEN 'NEW' WHEN i.v = n.v THEN 'UNCHANGED' WHEN i.v = b.v THEN 'LIVE_CHANGED' WHEN b.v = n.v THEN 'CHANGED' ELSE 'CONFLICT' END AS state FROM b JOIN n ON n.k = b.k FULL JOIN i ON i.k = b.k""")
+def import_three_way(spark: SparkSession, sf: str) -> DataFrame:
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("v"))
+    base = part.where("k % 11 <> 0")
+    live = base.withColumn("v", F.when(F.col("k") % 3 == 0, F.col("v") + 1).otherwise(F.col("v")))
+    sheet = part.where("k % 13 <> 0").withColumn("v", F.when(F.col("k") % 2 == 0, F.col("v") + 2).otherwise(F.col("v")))
+    return match.three_way(base, live, sheet, "k", "v")
+
+
+@query("""WITH v AS (SELECT o_custkey, o_orderkey, row_number() OVER w AS n, lag(o_orderkey) OVER w AS p FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) SELECT o_orderkey FROM v WHERE n > 1 AND o_orderkey % 50 = 0 OR n = 1 AND o_orderkey % 20 = 0""")
+def validation_revision_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows whose named predecessor isn't the one before, after some names were spoilt."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    log = table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("n"), F.lag("o_orderkey").over(w).alias("p"))
+    spoilt = F.when((F.col("n") > 1) & (F.col("o_orderkey") % 50 == 0), None).when((F.col("n") == 1) & (F.col("o_orderkey") % 20 == 0), F.lit(-1)).otherwise(F.col("p"))
+    return diff.chain_breaks(log.withColumn("p", spoilt), "o_custkey", "n", "p", "o_orderkey").select("o_orderkey")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 101 = 0 THEN 'DELETED' ELSE 'CHANGED' END AS breach FROM events WHERE event_id % 101 = 0 OR event_id % 97 = 0")
+def validation_immutable_log(spark: SparkSession, sf: str) -> DataFrame:
+    old = table(spark, sf, "events").select("event_id", F.md5(F.concat_ws("|", "event_type", "props").cast("binary")).alias("d"))
+    new = old.where("event_id % 101 <> 0").withColumn("d", F.when(F.col("event_id") % 97 == 0, F.reverse("d")).otherwise(F.col("d")))
+    return diff.rewritten(old, new, "event_id", "d")
+
+
+@query("""WITH a AS (SELECT l_orderkey, list(l_linenumber ORDER BY l_linenumber, l_partkey) AS l FROM lineitem GROUP BY 1), u AS (SELECT l_orderkey, unnest(l) AS e, generate_subscripts(l, 1) AS o FROM a) SELECT l_orderkey, CAST(e AS BIGINT) AS element, row_number() OVER (PARTITION BY l_orderkey ORDER BY o) - 1 AS place FROM u WHERE e % 2 = 1""")
+def json_ordinality_match(spark: SparkSession, sf: str) -> DataFrame:
+    """Elements of a JSON array in their order, filtered and numbered anew."""
+    arrays = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_linenumber"])).alias("json"))
+    flat = arrays.select("l_orderkey", F.posexplode(F.from_json("json", "array<bigint>")).alias("o", "element")).where("element % 2 = 1")
+    return flat.select("l_orderkey", "element", (F.row_number().over(Window.partitionBy("l_orderkey").orderBy("o")) - 1).cast("long").alias("place"))
+
+
+@query("""WITH m AS (SELECT p_partkey AS k, p_size AS s FROM part WHERE p_partkey % 9 <> 0), f AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 8 = 0 THEN p_size + 1 ELSE p_size END AS s FROM part WHERE p_partkey % 7 <> 0)
+SELECT 'p/' || coalesce(m.k, f.k) AS path, CASE WHEN f.k IS NULL THEN 'MISSING' WHEN m.k IS NULL THEN 'UNREFERENCED' WHEN m.s <> f.s THEN 'SIZE' WHEN m.k % 5 = 0 THEN 'HASH' END AS finding FROM m FULL JOIN f ON m.k = f.k WHERE f.k IS NULL OR m.k IS NULL OR m.s <> f.s OR m.k % 5 = 0""")
+def storage_reconciliation(spark: SparkSession, sf: str) -> DataFrame:
+    part = table(spark, sf, "part")
+    path = F.concat(F.lit("p/"), F.col("p_partkey").cast("string")).alias("path")
+    manifest = part.where("p_partkey % 9 <> 0").select(path, F.col("p_size").alias("size"), F.when(F.col("p_partkey") % 5 == 0, "x").otherwise("y").alias("sha"))
+    files = part.where("p_partkey % 7 <> 0").select(path, F.when(F.col("p_partkey") % 8 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")).alias("size"), F.lit("y").alias("sha"))
+    return diff.manifest_differences(manifest, files)
