@@ -1 +1,83 @@
-"""Plans."""
+"""Supersession, precedence and inheritance over edges derived from documents, parts and events."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ledgerloom.operators import graph
+from ledgerloom.plans.base import query, table
+
+
+@query("""WITH RECURSIVE n AS (SELECT doc_id AS node, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS next FROM documents), l AS (SELECT * FROM n WHERE next IS NOT NULL AND node % 4 <> 0),
+w AS (SELECT node, next AS pos, 1 AS depth FROM l UNION ALL SELECT w.node, l.next, depth + 1 FROM w JOIN l ON l.node = w.pos) SELECT node, max_by(pos, depth) AS "end", CAST(max(depth) AS BIGINT) AS depth FROM w GROUP BY 1""")
+def supersession_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """The ultimate replacement of documents that the next of their source supersedes."""
+    w = Window.partitionBy("source").orderBy("doc_id")
+    links = table(spark, sf, "documents").select(F.col("doc_id").alias("node"), F.lead("doc_id").over(w).alias("next")).where("next IS NOT NULL AND node % 4 <> 0")
+    return graph.chain_ends(links)
+
+
+@query("""WITH RECURSIVE l AS (SELECT p_partkey AS node, p_partkey // 10 * 10 + (3 * (p_partkey % 10) + 1) % 10 AS next FROM part WHERE p_partkey % 20 <> 7), w AS (SELECT node, next AS pos, 1 AS depth FROM l UNION ALL SELECT w.node, l.next, depth + 1 FROM w JOIN l ON l.node = w.pos WHERE depth < 40)
+SELECT node, CASE WHEN max(depth) < 40 THEN 'ENDS' ELSE 'CYCLE' END AS outcome FROM w GROUP BY 1""")
+def supersession_cycles(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_partkey")
+    links = table(spark, sf, "part").where("p_partkey % 20 <> 7").select(k.alias("node"), (F.floor(k / 10) * 10 + (k % 10 * 3 + 1) % 10).alias("next"))
+    return graph.chain_ends(links).select("node", F.when(F.col("end").isNull(), "CYCLE").otherwise("ENDS").alias("outcome"))
+
+
+EDGES_SQL = """e AS (SELECT DISTINCT l_orderkey % 400 AS actor, l_partkey % 300 AS target, CASE WHEN l_linenumber % 4 = 0 THEN 'REVOKES' ELSE 'SUPERSEDES' END AS kind, l_quantity > 49 AS review FROM lineitem WHERE l_orderkey % 97 = 0),
+d AS (SELECT p_partkey AS document FROM part WHERE p_partkey <= 390)"""
+
+
+def effect_edges(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, sf, "lineitem").where("l_orderkey % 97 = 0")
+    edges = rows.select((F.col("l_orderkey") % 400).alias("actor"), (F.col("l_partkey") % 300).alias("target"), F.when(F.col("l_linenumber") % 4 == 0, "REVOKES").otherwise("SUPERSEDES").alias("kind"), (F.col("l_quantity") > 49).alias("review"))
+    return edges, table(spark, sf, "part").where("p_partkey <= 390").select(F.col("p_partkey").alias("document"))
+
+
+STATUS_SQL = f"""{EDGES_SQL}, t AS (SELECT target, bool_or(actor = target OR review OR actor NOT IN (SELECT document FROM d)) AS blocked, count(DISTINCT CASE WHEN kind = 'SUPERSEDES' THEN actor END) AS s, max(CASE WHEN kind = 'SUPERSEDES' THEN actor END) AS sup, bool_or(kind = 'REVOKES') AS revoked FROM e GROUP BY 1),
+st AS (SELECT document, sup, CASE WHEN blocked OR s > 1 OR (revoked AND s = 1) THEN 'REVIEW_REQUIRED' WHEN revoked THEN 'REVOKED' WHEN s = 1 THEN 'SUPERSEDED' ELSE 'EFFECTIVE' END AS status FROM d LEFT JOIN t ON t.target = d.document)"""
+
+
+@query(f"WITH {STATUS_SQL} SELECT document, status, CASE WHEN status = 'SUPERSEDED' THEN sup END AS replacement FROM st")
+def effect_resolution(spark: SparkSession, sf: str) -> DataFrame:
+    edges, documents = effect_edges(spark, sf)
+    return graph.effects(edges, documents)
+
+
+@query(f"""WITH RECURSIVE {EDGES_SQL}, f(node) AS (SELECT target FROM e WHERE review UNION SELECT e.target FROM f JOIN e ON e.actor = f.node) SELECT node FROM f""")
+def review_propagation(spark: SparkSession, sf: str) -> DataFrame:
+    """Targets under review, and all that these act on in turn."""
+    edges, _ = effect_edges(spark, sf)
+    return graph.spread(edges.where("review").select(F.col("target").alias("node")), edges.select(F.col("actor").alias("src"), F.col("target").alias("dst")).distinct())
+
+
+@query(f"""WITH {STATUS_SQL}, c AS (SELECT p_partkey AS id, p_partkey % 420 AS document, CASE WHEN p_size > 40 THEN 'SUPERSEDED' WHEN p_size > 35 THEN 'UNRESOLVED_SOURCE' ELSE 'EFFECTIVE' END AS own FROM part)
+SELECT id, CASE WHEN status = 'REVIEW_REQUIRED' THEN status WHEN own = 'UNRESOLVED_SOURCE' THEN own WHEN status IS NULL AND own = 'EFFECTIVE' THEN 'UNRESOLVED_SOURCE' WHEN status = 'REVOKED' AND own = 'SUPERSEDED' THEN 'REVIEW_REQUIRED' WHEN status IN ('SUPERSEDED', 'REVOKED') AND own = 'EFFECTIVE' THEN status ELSE own END AS effective FROM c LEFT JOIN st USING (document)""")
+def parent_child_status(spark: SparkSession, sf: str) -> DataFrame:
+    edges, documents = effect_edges(spark, sf)
+    status = F.when(F.col("p_size") > 40, "SUPERSEDED").when(F.col("p_size") > 35, "UNRESOLVED_SOURCE").otherwise("EFFECTIVE")
+    children = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 420).alias("document"), status.alias("status"))
+    return graph.inherit(children, graph.effects(edges, documents), "document").select("id", "effective")
+
+
+@query("""WITH c AS (SELECT user_id, event_id, CASE WHEN event_id % 50 = 0 THEN NULL ELSE strftime(ts, '%Y-%m-%d') END AS day, CASE WHEN event_id % 7 = 0 THEN NULL ELSE strftime(ts, '%H:%M') END AS t, event_type FROM events WHERE event_id % 9 = 0),
+x AS (SELECT *, count(*) OVER w AS n, count(day) OVER w AS dated, max(day) OVER w AS last FROM c WINDOW w AS (PARTITION BY user_id)), y AS (SELECT *, count(*) OVER v AS same, count(t) OVER v AS timed, max(t) OVER v AS top FROM x WHERE n = 1 OR last IS NULL OR day = last WINDOW v AS (PARTITION BY user_id)),
+z AS (SELECT user_id, max(n) AS n, max(dated) AS dated, max(same) AS same, max(timed) AS timed, sum(CASE WHEN t = top THEN 1 ELSE 0 END) AS ties, max_by(event_type, coalesce(t, '')) AS value FROM y GROUP BY 1), q AS (SELECT *, n = 1 OR (dated = n AND (same = 1 OR (timed = same AND ties = 1))) AS fine FROM z)
+SELECT user_id, CASE WHEN fine THEN 'DETERMINED' ELSE 'AMBIGUOUS_PRECEDENCE' END AS status, CASE WHEN fine THEN value END AS value FROM q""")
+def temporal_precedence(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "events").where("event_id % 9 = 0").select(
+        "user_id", F.when(F.col("event_id") % 50 != 0, F.date_format("ts", "yyyy-MM-dd")).alias("day"), F.when(F.col("event_id") % 7 != 0, F.date_format("ts", "HH:mm")).alias("t"), "event_type"
+    )
+    return graph.precedence(rows, "user_id", "day", "t", "event_type")
+
+
+@query("""SELECT l_suppkey, l_partkey % 50 AS part_group, count(*) AS support, count(DISTINCT l_orderkey) AS orders, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS human, CASE WHEN bool_and(l_returnflag = 'R') THEN 'HUMAN' WHEN bool_or(l_returnflag = 'R') THEN 'BOTH' ELSE 'AUTO' END AS origin FROM lineitem GROUP BY 1, 2""")
+def relationship_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """How often and by whom each relationship is supported."""
+    human = F.col("l_returnflag") == "R"
+    return table(spark, sf, "lineitem").groupBy("l_suppkey", (F.col("l_partkey") % 50).alias("part_group")).agg(
+        F.count("*").alias("support"), F.count_distinct("l_orderkey").alias("orders"), F.sum(human.cast("long")).alias("human"),
+        F.when(F.bool_and(human), "HUMAN").when(F.bool_or(human), "BOTH").otherwise("AUTO").alias("origin"),
+    )

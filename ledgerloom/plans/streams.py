@@ -1 +1,23 @@
-"""Plans."""
+"""Streams over the events, run to their present end."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerloom.plans.base import query
+from ledgerloom.streaming import scans
+
+
+def events(spark: SparkSession, sf: str) -> DataFrame:
+    return scans.stream_of(spark, sf, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, max(event_id) AS last_id FROM events GROUP BY 1, 2")
+def stream_window_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return scans.latest_batch(scans.run_to_end(scans.window_counts(events(spark, sf), "ts", "event_type", "1 day", "2 hours"), "complete"))
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_first_seen(spark: SparkSession, sf: str) -> DataFrame:
+    return scans.run_to_end(scans.first_seen(events(spark, sf), ["user_id", "event_type"], "ts", "60 days")).select("user_id", "event_type")
