@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import bpe, curves, langid, mixing, nndescent, simhash, substring, trie_counts, urlgraph, warc
-from ledgerloom.llm.common import shared_dir, table
+from ledgerloom.llm.common import WORD, shared_dir, table
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,4 +75,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_simhash": op10_simhash,
 }
-ORACLES: dict[str, str] = {}
+
+
+def url_filter_sql(rules: tuple[urlgraph.Rule, ...] = urlgraph.RULES, rounds: int = 8, damping: float = 0.85, threshold: float = 1.0) -> str:
+    """op6 in SQL, its rounds unrolled."""
+    ranked = sorted(rules, key=lambda r: (-len(r[1] + r[2]), -len(r[1]), r[1] + r[2], r[0]))
+    fit = [f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')" for _, h, p in ranked]
+    which = " ".join(f"WHEN {f} THEN {k}" for k, f in enumerate(fit))
+    names = " ".join(f"WHEN {k} THEN '{h}{p}'" for k, (_, h, p) in enumerate(ranked))
+    verdicts = " ".join(f"WHEN {k} THEN '{v}'" for k, (v, _, _) in enumerate(ranked))
+    low = lambda x: f"translate({x}, '{urlgraph.UPPER}', '{urlgraph.LOWER}')"
+    href = urlgraph.HREF.replace("'", "''")
+    steps = "".join(
+        f""",
+r{k + 1} AS MATERIALIZED (SELECT kind, node, sum(part) AS score FROM (SELECT e.kind, e.dst AS node, r.score * e.weight * {damping} AS part FROM r{k} r JOIN e ON e.kind = r.kind AND e.src = r.node
+ UNION ALL SELECT kind, node, score * (1 - {damping}) FROM r0) GROUP BY 1, 2)"""
+        for k in range(rounds)
+    )
+    return f"""WITH u AS (SELECT page_id, html, {low("coalesce(regexp_extract(url, '(?s)^(.*?)://([^/?#]*)', 2), '')")} AS host, coalesce(regexp_extract(url, '(?s)^(.*?)://[^/?#]*([^?#]*)', 2), '') AS path FROM pages),
+p AS MATERIALIZED (SELECT *, CASE {which} END AS fit FROM u), j AS (SELECT page_id, host, path, html, CASE fit {names} END AS rule, CASE fit {verdicts} END AS ruled FROM p),
+hosts AS (SELECT DISTINCT host FROM j WHERE host <> ''),
+l AS (SELECT host AS src, {low("unnest(regexp_extract_all(html, '" + href + "', 1))")} AS dst FROM j WHERE host <> ''),
+n AS (SELECT src, dst, count(*) AS n FROM (SELECT src, dst FROM l WHERE dst <> '' AND dst <> src UNION ALL SELECT h.host, a.host FROM hosts h JOIN hosts a ON a.host = regexp_replace(h.host, '^[^.]*\\.', '') AND a.host <> h.host) GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT 'allow' AS kind, src, dst, n / sum(n) OVER (PARTITION BY src) AS weight FROM n UNION ALL SELECT 'block', dst, src, n / sum(n) OVER (PARTITION BY dst) FROM n),
+r0 AS MATERIALIZED (SELECT ruled AS kind, host AS node, count(*) / sum(count(*)) OVER (PARTITION BY ruled) AS score FROM j WHERE ruled IS NOT NULL AND host <> '' GROUP BY 1, 2){steps},
+t AS (SELECT node, coalesce(sum(CASE WHEN kind = 'block' THEN score END), 0) - coalesce(sum(CASE WHEN kind = 'allow' THEN score END), 0) AS gap FROM r{rounds} GROUP BY 1)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN coalesce(gap, 0) * (SELECT count(*) FROM hosts) > {threshold} THEN 'block' ELSE 'allow' END) AS verdict FROM j LEFT JOIN t ON t.node = j.host"""
+
+
+SOURCE_MIX_SQL = f"""WITH s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size FROM documents),
+c AS (SELECT *, CASE WHEN size < 32 THEN size ELSE length(bin(size)) * 32 + (size >> (length(bin(size)) - 5)) END AS class, CAST('0x' || left(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 13) AS BIGINT) AS tie FROM s),
+k AS (SELECT *, tie % CAST(ceil(count(*) OVER (PARTITION BY source, class) / {mixing.BLOCK_ROWS}) AS BIGINT) AS block FROM c),
+p AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM s GROUP BY source),
+w AS (SELECT *, CASE (place - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight, source_size * 2.0::DOUBLE AS cap FROM p),
+f AS (SELECT *, sum(cap) OVER v AS caps, sum(weight) OVER v AS weights, sum(source_size) OVER () * 1.5::DOUBLE AS budget, sum(weight) OVER () AS all_weights FROM w WINDOW v AS (ORDER BY cap / weight, place)),
+g AS (SELECT *, caps + cap / weight * (all_weights - weights) <= budget AS is_full FROM f),
+h AS (SELECT *, budget - sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER () AS rest, sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER () AS open FROM g),
+t AS (SELECT source, source_size, CASE WHEN is_full THEN cap ELSE least(cap, rest * weight / open) END AS target, CAST('0x' || left(md5('0|' || coalesce(source, '')), 13) AS BIGINT) / pow(2.0, 52) AS shift FROM h),
+r AS (SELECT k.*, t.source_size, t.target, t.shift, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate, row_number() OVER (PARTITION BY k.source ORDER BY class, block, size, tie, doc_id) AS place FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source),
+x AS (SELECT *, CAST(least(floor(place * rate + shift) - floor((place - 1) * rate + shift), 2) AS BIGINT) AS copies FROM r)
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies, source FROM x"""
+
+ORACLES: dict[str, str] = {"op6_url_filter": url_filter_sql(), "op7_source_mix": SOURCE_MIX_SQL}

@@ -239,3 +239,19 @@ def test_token_counts_match_plain_dynamic_programming(spark, sf):
         assert (r.n_pretokens, r.n_distinct) == (len(words), len(set(words)))
         assert r.n_tokens == sum(plain("▁" + w) for w in words)
     assert trie_counts.count_tokens(docs.where("false"), path).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op6_url_filter", "op7_source_mix"])
+def test_queries_match_their_sql(spark, sf, name):
+    import duckdb
+
+    from ledgerloom.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    got = queries.QUERIES[name](spark, sf)
+    want = con.execute(queries.ORACLES[name])
+    names = [d[0] for d in want.description]
+    plain = lambda rows: sorted(tuple(f"{v:.9g}" if isinstance(v, float) else str(v) for v in r) for r in rows)
+    assert plain(got.select(*names).collect()) == plain(want.fetchall())
