@@ -129,11 +129,11 @@ class Encoder(dict):
             yield b"".join(map(self.__getitem__, part))
 
 
-OUT = "id string, ids binary, n_tokens long, ids_sha256 string, decoded binary, decoded_sha256 string"
+OUT = "id string, ids array<int>, n_tokens long, ids_sha256 string, decoded binary, decoded_sha256 string"
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
-    """One row per input row: id, n_tokens, ids_sha256, decoded_sha256 and, if keep, `ids` (array<long>) and `decoded` (binary).
+def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """One row per input row: id, n_tokens, ids_sha256, decoded_sha256 and what `keep` names: `ids` (array<int>), `decoded` (binary).
 
     vocabulary: a file of base64 tokens and ranks that the driver reads. Each match of
     `pattern` is encoded separately, in whole texts, without special tokens; null and
@@ -149,8 +149,9 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ranks, tokens = known.value
         encoder = Encoder(ranks, pattern)
+        names = [x.split()[0] for x in OUT.split(", ")]
         for pdf in batches:
-            rows = []
+            rows, held = [], 0
             for key, text in zip(pdf["id"], pdf["text"], strict=True):
                 n, told, back, parts, whole = 0, hashlib.sha256(), hashlib.sha256(), [], []
                 for ids in encoder.encode(text.decode(errors="replace")) if text is not None else ():
@@ -158,13 +159,16 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
                     told.update(ids)
                     decoded = b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
                     back.update(decoded)
-                    if keep:
+                    if "ids" in keep:
                         parts.append(ids)
+                    if "decoded" in keep:
                         whole.append(decoded)
-                rows.append((key, b"".join(parts), n, told.hexdigest(), b"".join(whole), back.hexdigest()))
-            out = pd.DataFrame(rows, columns=[x.split()[0] for x in OUT.split(", ")])
-            out["ids"] = [np.frombuffer(x, "<u4").astype(np.int64) for x in out["ids"]]
-            yield out
-
-    told = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInPandas(run, OUT.replace("ids binary", "ids array<long>"))
-    return told.select(F.col("id").cast("long").alias(id_col), "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if keep else []))
+                rows.append((key, np.frombuffer(b"".join(parts), "<i4"), n, told.hexdigest(), b"".join(whole), back.hexdigest()))
+                held += n if keep else 0
+                if held > AT_ONCE * 16:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=names)
+
+    told = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInPandas(run, OUT)
+    return told.select(F.col("id").cast("long").alias(id_col), "n_tokens", "ids_sha256", "decoded_sha256", *keep)
