@@ -78,12 +78,26 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
-def merge_ids(piece: bytes, ranks: PerfectHash) -> list[int]:
+class Looked(dict):
+    """Byte string -> its rank or None, out of the perfect hash; frequent parts of pre-tokens are remembered."""
+
+    def __init__(self, ranks: PerfectHash):
+        super().__init__()
+        self.ranks = ranks
+
+    def __missing__(self, piece: bytes) -> int | None:
+        rank = self.ranks.get(piece)
+        if len(self) < REMEMBERED:
+            self[piece] = rank
+        return rank
+
+
+def merge_ids(piece: bytes, ranks: Looked) -> list[int]:
     """Ids of a pre-token that is no token: always merge the adjacent pair of the lowest rank, the leftmost of equals."""
-    n = len(piece)
+    n, rank_of = len(piece), ranks.__getitem__
     after, before, stop = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
     alive = bytearray(b"\1" * n)
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank_of(piece[i : i + 2])) is not None]
     heapify(heap)
     while heap:
         _, i, end = heappop(heap)
@@ -93,12 +107,12 @@ def merge_ids(piece: bytes, ranks: PerfectHash) -> list[int]:
         alive[j], stop[i], after[i] = 0, end, after[j]
         if after[i] < n:
             before[after[i]] = i
-            if (r := ranks.get(piece[i : stop[after[i]]])) is not None:
+            if (r := rank_of(piece[i : stop[after[i]]])) is not None:
                 heappush(heap, (r, i, stop[after[i]]))
         h = before[i]
-        if h >= 0 and (r := ranks.get(piece[h:end])) is not None:
+        if h >= 0 and (r := rank_of(piece[h:end])) is not None:
             heappush(heap, (r, h, end))
-    ids = [ranks.get(piece[i : stop[i]]) for i in range(n) if alive[i]]
+    ids = [rank_of(piece[i : stop[i]]) for i in range(n) if alive[i]]
     if None in ids:
         raise ValueError("the vocabulary lacks single bytes")
     return ids
@@ -109,12 +123,12 @@ class Encoder(dict):
 
     def __init__(self, ranks: PerfectHash, pattern: str):
         super().__init__()
-        self.ranks, self.pattern = ranks, regex.compile(pattern)
+        self.ranks, self.looked, self.pattern = ranks, Looked(ranks), regex.compile(pattern)
 
     def __missing__(self, token: str) -> bytes:
         piece = token.encode()
         rank = self.ranks.get(piece)
-        ids = np.array([rank] if rank is not None else merge_ids(piece, self.ranks), dtype="<u4").tobytes()
+        ids = np.array([rank] if rank is not None else merge_ids(piece, self.looked), dtype="<u4").tobytes()
         if len(self) < REMEMBERED:
             self[token] = ids
         return ids
