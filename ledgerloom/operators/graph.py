@@ -6,7 +6,7 @@ so a chain of a million documents takes twenty joins, whatever the number of cha
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.durable import durable
@@ -71,8 +71,8 @@ def precedence(changes: DataFrame, key: str, day: str, time: str, value: str) ->
     One change: DETERMINED. Several: undated ones, two of the last day without times
     for all, or a tie of the last time leave it AMBIGUOUS.
     """
-    w = Window.partitionBy(key)
-    rows = changes.withColumn("__n", F.count("*").over(w)).withColumn("__dated", F.count(day).over(w)).withColumn("__last", F.max(day).over(w))
+    sums = changes.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__n"), F.count(day).alias("__dated"), F.max(day).alias("__last"))
+    rows = changes.join(sums, F.col(key) == F.col("__key")).drop("__key")
     last = rows.where((F.col("__n") == 1) | F.col("__last").isNull() | (F.col(day) == F.col("__last")))
     told = last.groupBy(key).agg(
         F.max("__n").alias("n"), F.max("__dated").alias("dated"), F.count("*").alias("same_day"), F.count(time).alias("timed"),
