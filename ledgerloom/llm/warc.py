@@ -39,12 +39,12 @@ def _urn(kind: str) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
 
-def _record(kind: str, own: Column, fields: list[Column], mime: str, block: Column) -> Column:
-    """A record without its last newline, which the text writer adds."""
+def _record(kind: str, own: Column, fields: list[Column], mime: str, *block: Column) -> Column:
+    """A record, its block in parts, without its last newline, which the text writer adds."""
     head = [F.lit(f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: "), own, F.lit("\r\nWARC-Date: "), F.col("date")]
     uri = F.coalesce(F.concat(F.lit("\r\nWARC-Target-URI: "), F.col("uri")), F.lit(""))
-    length = F.concat(F.lit(f"\r\nContent-Type: {mime}\r\nContent-Length: "), F.octet_length(block).cast("string"))
-    return F.concat(*head, uri, *fields, length, F.lit("\r\n\r\n"), block, F.lit("\r\n\r"))
+    size = sum((F.octet_length(part) for part in block[1:]), F.octet_length(block[0])).cast("string")
+    return F.concat(*head, uri, *fields, F.lit(f"\r\nContent-Type: {mime}\r\nContent-Length: "), size, F.lit("\r\n\r\n"), *block, F.lit("\r\n\r"))
 
 
 def write_archives(
@@ -80,7 +80,7 @@ def write_archives(
     get = F.concat(F.lit("GET "), F.coalesce("uri", nul), F.lit(" HTTP/1.1\r\n\r\n"))
     about = F.concat(F.coalesce(F.concat(F.lit("page_id: "), F.col("page_id").cast("string"), F.lit("\r\n")), nul), F.lit("via: table\r\n"))
     http = "application/http; msgtype="
-    main = F.when(revisits, _record("revisit", own, [digest, profile], http + "response", line)).otherwise(_record("response", own, [digest], http + "response", F.concat(line, F.col("payload"))))
+    main = F.when(revisits, _record("revisit", own, [digest, profile], http + "response", line)).otherwise(_record("response", own, [digest], http + "response", line, F.col("payload")))
     three = F.array(_record("request", _urn("request"), [concurrent], http + "request", get), main, _record("metadata", _urn("metadata"), [concurrent], "application/warc-fields", about))
     out = rows.select(F.explode(three).alias("value")).write.option("lineSep", "\n").option("compression", "gzip")
     out.option("maxRecordsPerFile", 3 * CAPTURES_PER_ARCHIVE).text(path)
