@@ -82,7 +82,7 @@ def write_archives(
     http = "application/http; msgtype="
     main = F.when(revisits, _record("revisit", own, [digest, profile], http + "response", line)).otherwise(_record("response", own, [digest], http + "response", line, F.col("payload")))
     three = F.array(_record("request", _urn("request"), [concurrent], http + "request", get), main, _record("metadata", _urn("metadata"), [concurrent], "application/warc-fields", about))
-    out = rows.select(F.explode(three).alias("value")).write.option("lineSep", "\n").option("compression", "gzip")
+    out = rows.select(F.explode(three).alias("value")).write.option("lineSep", "\n").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
     out.option("maxRecordsPerFile", 3 * CAPTURES_PER_ARCHIVE).text(path)
 
 
