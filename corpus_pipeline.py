@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import bpe, langid, mixing, simhash, substring
 from ledgerloom.llm.common import shared_dir
 
-#: Predictions below this score are rejected as of no certain language.
-LEAST_SCORE = 0.5
+#: Predictions below this score, little above chance among a few languages, are rejected as of no certain language.
+LEAST_SCORE = 0.3
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
