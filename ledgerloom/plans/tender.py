@@ -36,6 +36,38 @@ def requirement_families(spark: SparkSession, sf: str) -> DataFrame:
     return sentences(spark, sf).select("p_partkey", T.requirement_family(F.col("x")).alias("family"))
 
 
+TAILED_SQL = f"{TEXT_SQL}, u AS (SELECT p_partkey, x || CASE WHEN p_partkey % 5 = 0 THEN ' de 10 dias a 15 dias habiles;' ELSE '' END || CASE WHEN p_partkey % 3 = 0 THEN ' a las ' || CAST(p_partkey % 30 AS VARCHAR) || ':' || CAST(p_partkey % 70 AS VARCHAR) || ' horas' ELSE '' END AS x FROM t)"
+
+
+def tailed(spark: SparkSession, sf: str) -> DataFrame:
+    """The sentences, some with a term that changes, some with a time."""
+    k = F.col("p_partkey")
+    term = F.when(k % 5 == 0, " de 10 dias a 15 dias habiles;").otherwise("")
+    time = F.when(k % 3 == 0, F.concat(F.lit(" a las "), (k % 30).cast("string"), F.lit(":"), (k % 70).cast("string"), F.lit(" horas"))).otherwise("")
+    return sentences(spark, sf).select("p_partkey", F.concat("x", term, time).alias("x"))
+
+
+@query(f"WITH {TAILED_SQL} SELECT p_partkey, lpad(nullif(regexp_extract(x, '{T.CLOCK}', 1), ''), 2, '0') || ':' || regexp_extract(x, '{T.CLOCK}', 2) || ':00' AS clock FROM u")
+def clock_times(spark: SparkSession, sf: str) -> DataFrame:
+    return tailed(spark, sf).select("p_partkey", T.clock(F.col("x")).alias("clock"))
+
+
+def stated(pattern: str, k: int) -> str:
+    return f"nullif(trim(regexp_extract(x, '{pattern}', {k}), '.,;: '), '')"
+
+
+@query(
+    f"WITH {TAILED_SQL}, c AS (SELECT *, " + cases(T.CHANGE_WORDING, "'UNKNOWN'") + f" AS change, regexp_matches(x, '{T.SAID_SAYS}') AS said, "
+    f"{stated(T.FROM_TO, 1)} IS NOT NULL AND {stated(T.FROM_TO, 2)} IS NOT NULL AND change IN ('MODIFIES', 'REPLACES', 'CORRECTS') AS ranged FROM u) SELECT p_partkey, change, "
+    f"CASE WHEN said THEN {stated(T.SAID_SAYS, 1)} WHEN ranged THEN {stated(T.FROM_TO, 1)} END AS before, "
+    f"CASE WHEN said THEN {stated(T.SAID_SAYS, 2)} WHEN ranged THEN {stated(T.FROM_TO, 2)} WHEN change IN ('MODIFIES', 'REPLACES', 'ADDS', 'CORRECTS') THEN {stated(T.NEW_ONLY, 1)} END AS after FROM c"
+)
+def wording_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Old and new wording that sentences state."""
+    found = tailed(spark, sf).withColumn("change", T.change_type(F.col("x")))
+    return found.select("p_partkey", "change", T.wording(F.col("x"), F.col("change")).alias("w")).select("p_partkey", "change", "w.*")
+
+
 @query(f"WITH {TEXT_SQL}, e AS (" + " UNION ALL ".join(f"SELECT p_partkey, '{c}' AS event FROM t WHERE regexp_matches(x, '{p}')" for c, p in T.EVENT_PHRASES) + ") SELECT * FROM e")
 def event_mentions(spark: SparkSession, sf: str) -> DataFrame:
     return sentences(spark, sf).select("p_partkey", F.explode(T.events(F.col("x"))).alias("event"))
