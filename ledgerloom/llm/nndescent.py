@@ -8,12 +8,14 @@ double precision.
 
 Lists only have to connect what belongs together: within each component the links of
 every vector are then counted exactly, block by block, so a dense group neither caps
-nor emits its pairs. An audit compares a bounded sample of vectors with all others and
-has the search repeated with longer lists while it misses links.
+nor emits its pairs. An audit compares a bounded sample of vectors with all others,
+each vector counting once whatever its links, and has the search repeated with longer
+lists while it misses links; what three searches miss, a pass over all pairs of blocks finds.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +28,9 @@ from ledgerloom.llm.vectors import matrix, unit, usable
 
 #: Room for what rounding to bytes does to a cosine.
 MARGIN = 0.03
-#: Vectors that the audit compares with all others, at most in expectation, and rows a block of a component.
-AUDITED, BLOCK = 128, 512
+#: Vectors of components of each size class that the audit compares with all others, in expectation (of those without links
+#: found, four times as many); rows a block of a component; rows a block of the pass over all pairs; rows that need no more tables.
+AUDITED, BLOCK, WHOLE, FEW = 256, 512, 4096, 8192
 PAIR = "a long, b long, sim float"
 
 
@@ -45,15 +48,15 @@ def _pairs(a: np.ndarray, b: np.ndarray, sim: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"a": np.concatenate((a, b)), "b": np.concatenate((b, a)), "sim": np.concatenate((sim, sim)).astype(np.float32)})
 
 
-def first_graph(nodes: DataFrame, least: float, tables: int, reach: int, seed: int) -> DataFrame:
-    """Pairs of nodes near each other in one of `tables` orders by 62-bit signature: each node's best in reach, and all links."""
+def first_graph(nodes: DataFrame, least: float, tables: int, further: int, reach: int, seed: int) -> DataFrame:
+    """Pairs of nodes near each other in one of `tables` orders by 62-bit signature: each node's best in reach, and all links; of `further` orders links alone."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if pdf.empty:
                 continue
             x = _floats(pdf["small"])
-            for t in range(tables):
+            for t in range(tables + further):
                 planes = np.random.default_rng(seed + t).normal(size=(x.shape[1], 62)).astype(np.float32)
                 bits = (x @ planes > 0).astype(np.int64)
                 yield pd.DataFrame({"t": t, "sig": bits @ (1 << np.arange(61, -1, -1, dtype=np.int64)), "node": pdf["node"], "small": pdf["small"]})
@@ -63,12 +66,12 @@ def first_graph(nodes: DataFrame, least: float, tables: int, reach: int, seed: i
         for pdf in batches:
             pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
             held = pdf.tail(reach)
-            x, node = _floats(pdf["small"]), pdf["node"].to_numpy()
+            x, node, t = _floats(pdf["small"]), pdf["node"].to_numpy(), pdf["t"].to_numpy()
             sims = np.full((len(x), reach), -1, dtype=np.float32)
             for d in range(1, min(reach, len(x) - 1) + 1):
                 sims[:-d, d - 1] = (x[:-d] * x[d:]).sum(1)
             best = -np.partition(-sims, min(1, reach - 1), axis=1)[:, min(1, reach - 1)]
-            i, d = np.nonzero((sims >= np.minimum(best, least)[:, None]) & (sims > -1))
+            i, d = np.nonzero((sims >= np.where(t < tables, np.minimum(best, least), least)[:, None]) & (sims > -1))
             j = i + d + 1
             yield _pairs(node[i], node[j], sims[i, d])
 
@@ -175,10 +178,23 @@ def links_within(grouped: DataFrame, threshold: float, code: str) -> DataFrame:
     return dealt.groupBy("component", "low", "high").applyInPandas(meet, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def audit(nodes: DataFrame, found: DataFrame, threshold: float, code: str, seed: int, n: int) -> float:
-    """Links found / links there are, of a sample of at most AUDITED nodes, in expectation, against all; 1 if there are none."""
+def audit(nodes: DataFrame, labels: DataFrame, found: DataFrame, threshold: float, code: str, seed: int) -> float:
+    """Mean share of a vector's links that was found, over vectors that have links; 1 if none has.
+
+    Estimated from samples of vectors without links found, of small components and of
+    components above BLOCK, each compared with all vectors. Large components are told
+    apart from the rest, and the smaller of the two means is returned, so that a hot
+    group doesn't hide what is lost elsewhere.
+    """
+    sizes = labels.groupBy("component").agg(F.count("*").alias("size"))
+    kind = F.when(F.col("size").isNull(), 0).when(F.col("size") <= BLOCK, 1).otherwise(2)
+    kinds = nodes.select("node", "vec").join(labels, "node", "left").join(sizes, "component", "left").select("node", "vec", kind.alias("kind"))
+    there_are = {r.kind: r["count"] for r in kinds.groupBy("kind").count().collect()}
+    share = F.lit(0.0)
+    for k, count in there_are.items():
+        share = F.when(F.col("kind") == k, (4 if k == 0 else 1) * AUDITED / count).otherwise(share)
     place = F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    sample = nodes.where(place < AUDITED / max(n, 1)).select("node", "vec").toPandas()
+    sample = kinds.where(place < share).toPandas()
     if sample.empty:
         return 1.0
     asked, ids = unit(matrix(sample["vec"], code)), sample["node"].to_numpy()
@@ -186,14 +202,57 @@ def audit(nodes: DataFrame, found: DataFrame, threshold: float, code: str, seed:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(len(ids), dtype=np.int64)
         for pdf in batches:
-            if len(pdf):
-                hit = (unit(matrix(pdf["vec"], code)) @ asked.T >= threshold) & (pdf["node"].to_numpy()[:, None] != ids[None, :])
-                total += pdf["n"].to_numpy() @ hit
+            for at in range(0, len(pdf), 2048):
+                some = pdf.iloc[at : at + 2048]
+                hit = (unit(matrix(some["vec"], code)) @ asked.T >= threshold) & (some["node"].to_numpy()[:, None] != ids[None, :])
+                total += some["n"].to_numpy() @ hit
         yield pd.DataFrame({"node": ids, "there": total})
 
     there = nodes.select("node", "n", "vec").mapInPandas(count, "node long, there long").groupBy("node").agg(F.sum("there").alias("there"))
-    row = there.join(found, "node", "left").agg(F.sum(F.least(F.coalesce("links", F.lit(0)), "there")).alias("f"), F.sum("there").alias("t")).first()
-    return row.f / row.t if row.t else 1.0
+    told = there.join(found, "node", "left").select("node", "there", F.coalesce("links", F.lit(0)).alias("links")).toPandas().merge(sample[["node", "kind"]], on="node")
+    told["weight"] = told["kind"].map(there_are) / told.groupby("kind")["node"].transform("size")
+    told = told[told["there"] > 0]
+    told["right"] = np.minimum(told["links"] / told["there"], 1.0) * told["weight"]
+    parts = (told[told["kind"] < 2], told[told["kind"] == 2])
+    return min((float(p["right"].sum() / p["weight"].sum()) for p in parts if len(p)), default=1.0)
+
+
+def missed_between(nodes: DataFrame, labels: DataFrame, n: int, threshold: float, code: str) -> DataFrame:
+    """(src, dst): pairs of components, named by their smallest node, that a link joins; from comparing all nodes, block by block.
+
+    Every two blocks of about WHOLE nodes meet in a task of their own, which emits a
+    pair of components once. Work grows with the square of the nodes.
+    """
+    blocks = math.ceil(n / WHOLE)
+    own = nodes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "vec")
+    cut = own.withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.lit(blocks)).cast("int"))
+    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "component", "vec")
+
+    def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        low, high = key
+        x, component = unit(matrix(pdf["vec"], code)), pdf["component"].to_numpy()
+        mine = (pdf["block"] == low).to_numpy()
+        a, b = np.flatnonzero(mine), np.flatnonzero(mine if low == high else ~mine)
+        out = [pd.DataFrame({"src": component[:0], "dst": component[:0]})]
+        for at in range(0, len(a), BLOCK):
+            some = a[at : at + BLOCK]
+            sims = x[some] @ x[b].T
+            other = component[some][:, None] != component[b][None, :]
+            hit = (sims >= threshold) & other
+            for i, j in np.argwhere((np.abs(sims - threshold) < 1e-12) & other):
+                hit[i, j] = (x[some[i]] * x[b[j]]).sum() >= threshold
+            i, j = np.nonzero(hit)
+            src, dst = component[some[i]], component[b[j]]
+            out.append(pd.DataFrame({"src": np.minimum(src, dst), "dst": np.maximum(src, dst)}).drop_duplicates())
+        return pd.concat(out).drop_duplicates()
+
+    return dealt.groupBy("low", "high").applyInPandas(meet, "src long, dst long").distinct()
+
+
+def star(labels: DataFrame) -> DataFrame:
+    """Edges (src, dst) that connect what labels (node, component) put together."""
+    return labels.select(F.col("node").alias("src"), F.col("component").alias("dst"))
 
 
 def near_duplicates(
@@ -206,7 +265,9 @@ def near_duplicates(
     count as links of each other, as repeated rows do. component_id is the smallest id
     that links reach; rows with a null id take no part and have a null component.
     The search is repeated, with lists and tables doubled, up to twice while the
-    audit finds less than `recall` of the sample's links. Vectors must have one length.
+    audit finds less than `recall`, and what it found stays; after the third time all
+    pairs of components are compared. Tables and rounds grow with the logarithm of
+    the rows. Vectors must have one length.
     """
     rows, code = usable(df, id_col, vector_col)
     rows = durable(rows.withColumn("node", F.xxhash64("vec")))
@@ -217,23 +278,32 @@ def near_duplicates(
             yield pdf.assign(small=small)
 
     nodes = durable(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.first("vec").alias("vec")).mapInPandas(shrink, "node long, n long, first long, vec binary, small binary"))
-    n, least, score = nodes.count(), threshold - MARGIN, 0.0
+    n, least, score, labels = nodes.count(), threshold - MARGIN, 0.0, None
+    doublings = max(0, math.ceil(math.log2(max(n, 1) / FEW)))
+
+    def counted(labels: DataFrame) -> DataFrame:
+        return durable(links_within(labels.join(nodes.select("node", "n", "vec"), "node"), threshold, code))
+
     for attempt in range(3):
         size = k << attempt
-        lists = durable(best_of(first_graph(nodes, least, tables << attempt, 8, seed), size, least, size))
+        lists = durable(best_of(first_graph(nodes, least, tables << attempt, tables * doublings << attempt, 8, seed), size, least, size))
         linked = lists.where(F.col("sim") >= least).count()
-        for r in range(rounds):
+        for r in range(rounds + doublings if rounds else 0):
             more = neighbours_of_neighbours(lists, nodes, size, least)
-            lists = durable(best_of(lists.unionByName(more), size, least, size << r + 1))
+            lists = durable(best_of(lists.unionByName(more), size, least, size << min(r + 1, rounds)))
             before, linked = linked, lists.where(F.col("sim") >= least).count()
             if linked <= 1.001 * before:
                 break
-        labels = durable(components(settled_links(lists, nodes, threshold, code)))
-        grouped = labels.join(nodes.select("node", "n", "vec"), "node")
-        links = durable(links_within(grouped, threshold, code))
-        score = audit(nodes, links, threshold, code, seed, n)
+        edges = settled_links(lists, nodes, threshold, code)
+        labels = durable(components(edges if labels is None else edges.unionByName(star(labels))))
+        links = counted(labels)
+        score = audit(nodes, labels, links, threshold, code, seed + attempt)
         if score >= recall:
             break
+    else:
+        labels = durable(components(missed_between(nodes, labels, n, threshold, code).unionByName(star(labels))))
+        links = counted(labels)
+        score = audit(nodes, labels, links, threshold, code, seed + 3)
     lean = nodes.select("node", "n", "first").join(labels, "node", "left").join(links, "node", "left")
     lean = lean.select("node", "first", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("group"))
     smallest = lean.groupBy("group").agg(F.min("first").alias("smallest"))

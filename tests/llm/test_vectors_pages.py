@@ -61,6 +61,33 @@ def test_nn_descent_repeated_rows_and_null_ids(spark):
     assert sorted(((r.vec_id or 0, r.n_links, r.component_id or 0) for r in got)) == [(0, 0, 0), (1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 0, 3)]
 
 
+def brute_links(rows, threshold=0.9):
+    """n_links and component of every id."""
+    ids, x = units(rows)
+    hit = x @ x.T >= threshold
+    np.fill_diagonal(hit, False)
+    root = {i: i for i in ids}
+    while True:
+        new = {i: min([root[i], *(root[ids[j]] for j in np.flatnonzero(hit[k]))]) for k, i in enumerate(ids)}
+        if new == root:
+            return {i: (hit[k].sum(), root[i]) for k, i in enumerate(ids)}
+        root = new
+
+
+def test_nn_descent_does_not_lose_pairs_behind_a_hot_group(spark):
+    """A weak search finds the hot group and misses pairs; the hot group's many links don't make that pass."""
+    r = np.random.default_rng(8)
+    centre = r.normal(size=24)
+    rows = [(k, (centre + r.normal(size=24) * 0.05).tolist()) for k in range(300)]
+    for k in range(300, 600):
+        v = r.normal(size=24)
+        rows.append((k, v.tolist()))
+        rows.append((k + 1000, (v + r.normal(size=24) * 0.35).tolist()))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in nndescent.near_duplicates(df, k=2, tables=1, rounds=0).collect()}
+    assert got == brute_links(rows)
+
+
 def test_curves_find_the_nearest_with_exact_scores(spark):
     rows = [(i, v) for i, v in vectors(n=800)]
     df = spark.createDataFrame(rows + rows[:3], "vec_id long, embedding array<double>").repartition(3)
