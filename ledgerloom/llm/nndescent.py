@@ -6,7 +6,8 @@ neighbours around each node, keeps the best, and lengthens lists that are full o
 links (saturated). Search compares vectors of signed bytes; links are settled in
 double precision.
 
-Lists only have to connect what belongs together: within each component the links of
+Lists only have to connect what belongs together, and links that a full list has no
+room for still do so where they join components: within each component the links of
 every vector are then counted exactly, block by block, so a dense group neither caps
 nor emits its pairs. An audit compares a bounded sample of vectors with all others,
 each vector counting once whatever its links, and has the search repeated with longer
@@ -80,11 +81,13 @@ def first_graph(nodes: DataFrame, least: float, tables: int, further: int, reach
     return spread.repartitionByRange(parts, "t", "sig", "node").sortWithinPartitions("t", "sig", "node").mapInPandas(windows, PAIR).where("a <> b")
 
 
-def best_of(pairs: DataFrame, k: int, least: float, longest: int) -> DataFrame:
-    """Each node's list: its k best, and links up to `longest`."""
+def best_of(pairs: DataFrame, k: int, least: float, longest: int) -> tuple[DataFrame, DataFrame]:
+    """Each node's list: its k best, and links up to `longest`; and the links that its list has no room for, as they may connect groups."""
     once = pairs.repartition("a").groupBy("a", "b").agg(F.max("sim").alias("sim"))
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))
-    return once.withColumn("place", rank).where((F.col("place") <= k) | ((F.col("sim") >= least) & (F.col("place") <= longest))).drop("place")
+    ranked = durable(once.withColumn("place", rank).where((F.col("place") <= k) | (F.col("sim") >= least)))
+    fits = F.col("place") <= max(k, longest)
+    return ranked.where(fits).drop("place"), ranked.where(~fits).drop("place")
 
 
 def neighbours_of_neighbours(lists: DataFrame, nodes: DataFrame, k: int, least: float) -> DataFrame:
@@ -145,6 +148,12 @@ def settled_links(lists: DataFrame, nodes: DataFrame, threshold: float, code: st
     return ends.mapInPandas(settle, "src long, dst long")
 
 
+def between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Those of pairs (a, b, sim) whose ends labels (node, component) doesn't put together."""
+    ends = pairs.join(labels.select(F.col("node").alias("a"), F.col("component").alias("__a")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("component").alias("__b")), "b", "left")
+    return ends.where(F.coalesce("__a", "a") != F.coalesce("__b", "b")).select("a", "b", "sim")
+
+
 def links_within(grouped: DataFrame, threshold: float, code: str) -> DataFrame:
     """(node, links): for nodes of (component, node, n, vec), the vectors of other nodes of the component that they link with.
 
@@ -286,16 +295,20 @@ def near_duplicates(
 
     for attempt in range(3):
         size = k << attempt
-        lists = durable(best_of(first_graph(nodes, least, tables << attempt, tables * doublings << attempt, 8, seed), size, least, size))
+        lists, crowded = best_of(first_graph(nodes, least, tables << attempt, tables * doublings << attempt, 8, seed), size, least, size)
         linked = lists.where(F.col("sim") >= least).count()
         for r in range(rounds + doublings if rounds else 0):
             more = neighbours_of_neighbours(lists, nodes, size, least)
-            lists = durable(best_of(lists.unionByName(more), size, least, size << min(r + 1, rounds)))
+            lists, out = best_of(lists.unionByName(more), size, least, size << min(r + 1, rounds))
+            crowded = crowded.unionByName(out)
             before, linked = linked, lists.where(F.col("sim") >= least).count()
             if linked <= 1.001 * before:
                 break
         edges = settled_links(lists, nodes, threshold, code)
         labels = durable(components(edges if labels is None else edges.unionByName(star(labels))))
+        bridges = durable(settled_links(between(crowded, labels), nodes, threshold, code))
+        if not bridges.isEmpty():
+            labels = durable(components(bridges.unionByName(star(labels))))
         links = counted(labels)
         score = audit(nodes, labels, links, threshold, code, seed + attempt)
         if score >= recall:

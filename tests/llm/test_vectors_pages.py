@@ -88,6 +88,31 @@ def test_nn_descent_does_not_lose_pairs_behind_a_hot_group(spark):
     assert got == brute_links(rows)
 
 
+def test_links_without_room_in_a_list_still_connect_groups(spark):
+    """Of a node's five links a list of two keeps the nearest; the rest are told apart, and those between components are picked."""
+    rows = [(0, b, 0.99 - b / 100) for b in range(1, 6)] + [(0, 9, 0.5)]
+    kept, crowded = nndescent.best_of(spark.createDataFrame(rows, nndescent.PAIR), 2, 0.9, 2)
+    assert sorted((r.a, r.b) for r in kept.collect()) == [(0, 1), (0, 2)]
+    assert sorted((r.a, r.b) for r in crowded.collect()) == [(0, 3), (0, 4), (0, 5)]
+    labels = spark.createDataFrame([(0, 0), (1, 0), (2, 0), (3, 0), (4, 4)], "node long, component long")
+    assert sorted((r.a, r.b) for r in nndescent.between(crowded, labels).collect()) == [(0, 4), (0, 5)]
+
+
+def test_nn_descent_joins_two_tight_groups(spark):
+    """Two groups whose cross pairs often reach the threshold, but never the place of pairs inside a group; no audit, one search."""
+    r = np.random.default_rng(4)
+    u = r.normal(size=64)
+    u /= np.linalg.norm(u)
+    w = r.normal(size=64)
+    w -= (w @ u) * u
+    w /= np.linalg.norm(w)
+    far = 0.915 * u + np.sqrt(1 - 0.915**2) * w
+    rows = [(300 * g + k, (c + r.normal(size=64) * 0.015).tolist()) for g, c in enumerate((u, far)) for k in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in nndescent.near_duplicates(df, k=2, rounds=1, recall=0.0).collect()}
+    assert got == brute_links(rows)
+
+
 def test_curves_find_the_nearest_with_exact_scores(spark):
     rows = [(i, v) for i, v in vectors(n=800)]
     df = spark.createDataFrame(rows + rows[:3], "vec_id long, embedding array<double>").repartition(3)
