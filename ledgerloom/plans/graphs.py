@@ -36,6 +36,17 @@ def effect_edges(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return edges, table(spark, sf, "part").where("p_partkey <= 390").select(F.col("p_partkey").alias("document"))
 
 
+#: The same over all lines and parts, with keys as they are.
+WHOLE_EDGES_SQL = """e AS (SELECT DISTINCT l_orderkey AS actor, l_partkey AS target, CASE WHEN l_linenumber % 4 = 0 THEN 'REVOKES' ELSE 'SUPERSEDES' END AS kind, l_quantity > 49 AS review FROM lineitem),
+d AS (SELECT p_partkey AS document FROM part)"""
+
+
+def whole_effect_edges(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    kind = F.when(F.col("l_linenumber") % 4 == 0, "REVOKES").otherwise("SUPERSEDES")
+    edges = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("actor"), F.col("l_partkey").alias("target"), kind.alias("kind"), (F.col("l_quantity") > 49).alias("review"))
+    return edges, table(spark, sf, "part").select(F.col("p_partkey").alias("document"))
+
+
 STATUS_SQL = f"""{EDGES_SQL}, t AS (SELECT target, bool_or(actor = target OR review OR actor NOT IN (SELECT document FROM d)) AS blocked, count(DISTINCT CASE WHEN kind = 'SUPERSEDES' THEN actor END) AS s, max(CASE WHEN kind = 'SUPERSEDES' THEN actor END) AS sup, bool_or(kind = 'REVOKES') AS revoked FROM e GROUP BY 1),
 st AS (SELECT document, sup, CASE WHEN blocked OR s > 1 OR (revoked AND s = 1) THEN 'REVIEW_REQUIRED' WHEN revoked THEN 'REVOKED' WHEN s = 1 THEN 'SUPERSEDED' ELSE 'EFFECTIVE' END AS status FROM d LEFT JOIN t ON t.target = d.document)"""
 
@@ -62,6 +73,31 @@ def parent_child_status(spark: SparkSession, sf: str) -> DataFrame:
     return graph.inherit(children, graph.effects(edges, documents), "document").select("id", "effective")
 
 
+WHOLE_STATUS_SQL = STATUS_SQL.replace(EDGES_SQL, WHOLE_EDGES_SQL)
+
+
+@query(f"WITH {WHOLE_STATUS_SQL} SELECT document, status, CASE WHEN status = 'SUPERSEDED' THEN sup END AS replacement FROM st")
+def effect_resolution_all(spark: SparkSession, sf: str) -> DataFrame:
+    """effect_resolution over all lines and parts."""
+    return graph.effects(*whole_effect_edges(spark, sf))
+
+
+@query(f"""WITH RECURSIVE {WHOLE_EDGES_SQL}, f(node) AS (SELECT target FROM e WHERE review UNION SELECT e.target FROM f JOIN e ON e.actor = f.node) SELECT node FROM f""")
+def review_propagation_all(spark: SparkSession, sf: str) -> DataFrame:
+    """review_propagation over all lines."""
+    edges, _ = whole_effect_edges(spark, sf)
+    return graph.spread(edges.where("review").select(F.col("target").alias("node")), edges.select(F.col("actor").alias("src"), F.col("target").alias("dst")).distinct())
+
+
+@query(f"""WITH {WHOLE_STATUS_SQL}, c AS (SELECT p_partkey AS id, p_partkey + 10 AS document, CASE WHEN p_size > 40 THEN 'SUPERSEDED' WHEN p_size > 35 THEN 'UNRESOLVED_SOURCE' ELSE 'EFFECTIVE' END AS own FROM part)
+SELECT id, CASE WHEN status = 'REVIEW_REQUIRED' THEN status WHEN own = 'UNRESOLVED_SOURCE' THEN own WHEN status IS NULL AND own = 'EFFECTIVE' THEN 'UNRESOLVED_SOURCE' WHEN status = 'REVOKED' AND own = 'SUPERSEDED' THEN 'REVIEW_REQUIRED' WHEN status IN ('SUPERSEDED', 'REVOKED') AND own = 'EFFECTIVE' THEN status ELSE own END AS effective FROM c LEFT JOIN st USING (document)""")
+def parent_child_status_all(spark: SparkSession, sf: str) -> DataFrame:
+    """parent_child_status over all lines and parts; each part hangs on the tenth after it, the last ten on none."""
+    status = F.when(F.col("p_size") > 40, "SUPERSEDED").when(F.col("p_size") > 35, "UNRESOLVED_SOURCE").otherwise("EFFECTIVE")
+    children = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") + 10).alias("document"), status.alias("status"))
+    return graph.inherit(children, graph.effects(*whole_effect_edges(spark, sf)), "document").select("id", "effective")
+
+
 @query("""WITH c AS (SELECT user_id, event_id, CASE WHEN event_id % 50 = 0 THEN NULL ELSE strftime(ts, '%Y-%m-%d') END AS day, CASE WHEN event_id % 7 = 0 THEN NULL ELSE strftime(ts, '%H:%M') END AS t, event_type FROM events WHERE event_id % 9 = 0),
 x AS (SELECT *, count(*) OVER w AS n, count(day) OVER w AS dated, max(day) OVER w AS last FROM c WINDOW w AS (PARTITION BY user_id)), y AS (SELECT *, count(*) OVER v AS same, count(t) OVER v AS timed, max(t) OVER v AS top FROM x WHERE n = 1 OR last IS NULL OR day = last WINDOW v AS (PARTITION BY user_id)),
 z AS (SELECT user_id, max(n) AS n, max(dated) AS dated, max(same) AS same, max(timed) AS timed, sum(CASE WHEN t = top THEN 1 ELSE 0 END) AS ties, max_by(event_type, coalesce(t, '')) AS value FROM y GROUP BY 1), q AS (SELECT *, n = 1 OR (dated = n AND (same = 1 OR (timed = same AND ties = 1))) AS fine FROM z)

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from ledgerloom.plans import registry
+from ledgerloom.plans import graphs, registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -49,5 +49,11 @@ def test_query_without_sql_has_rows(spark, sf, name):
     assert registry.QUERIES[name](spark, sf).count() > 0
 
 
+def test_graphs_read_all_lines_and_parts(spark, duck, sf):
+    edges, documents = graphs.whole_effect_edges(spark, sf)
+    assert (edges.count(), documents.count()) == duck.execute("SELECT (SELECT count(*) FROM lineitem), (SELECT count(*) FROM part)").fetchone()
+    assert registry.QUERIES["effect_resolution_all"](spark, sf).count() == documents.count()
+
+
 def test_every_oracle_has_a_query():
     assert set(registry.ORACLES) <= set(registry.QUERIES)
