@@ -98,10 +98,13 @@ def parent_child_status_all(spark: SparkSession, sf: str) -> DataFrame:
     return graph.inherit(children, graph.effects(*whole_effect_edges(spark, sf)), "document").select("id", "effective")
 
 
-@query("""WITH c AS (SELECT user_id, event_id, CASE WHEN event_id % 50 = 0 THEN NULL ELSE strftime(ts, '%Y-%m-%d') END AS day, CASE WHEN event_id % 7 = 0 THEN NULL ELSE strftime(ts, '%H:%M') END AS t, event_type FROM events WHERE event_id % 9 = 0),
+PRECEDENCE_SQL = """WITH c AS (SELECT user_id, event_id, CASE WHEN event_id % 50 = 0 THEN NULL ELSE strftime(ts, '%Y-%m-%d') END AS day, CASE WHEN event_id % 7 = 0 THEN NULL ELSE strftime(ts, '%H:%M') END AS t, event_type FROM events WHERE event_id % 9 = 0),
 x AS (SELECT *, count(*) OVER w AS n, count(day) OVER w AS dated, max(day) OVER w AS last FROM c WINDOW w AS (PARTITION BY user_id)), y AS (SELECT *, count(*) OVER v AS same, count(t) OVER v AS timed, max(t) OVER v AS top FROM x WHERE n = 1 OR last IS NULL OR day = last WINDOW v AS (PARTITION BY user_id)),
 z AS (SELECT user_id, max(n) AS n, max(dated) AS dated, max(same) AS same, max(timed) AS timed, sum(CASE WHEN t = top THEN 1 ELSE 0 END) AS ties, max_by(event_type, coalesce(t, '')) AS value FROM y GROUP BY 1), q AS (SELECT *, n = 1 OR (dated = n AND (same = 1 OR (timed = same AND ties = 1))) AS fine FROM z)
-SELECT user_id, CASE WHEN fine THEN 'DETERMINED' ELSE 'AMBIGUOUS_PRECEDENCE' END AS status, CASE WHEN fine THEN value END AS value FROM q""")
+SELECT user_id, CASE WHEN fine THEN 'DETERMINED' ELSE 'AMBIGUOUS_PRECEDENCE' END AS status, CASE WHEN fine THEN value END AS value FROM q"""
+
+
+@query(PRECEDENCE_SQL)
 def temporal_precedence(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "events").where("event_id % 9 = 0").select(
         "user_id", F.when(F.col("event_id") % 50 != 0, F.date_format("ts", "yyyy-MM-dd")).alias("day"), F.when(F.col("event_id") % 7 != 0, F.date_format("ts", "HH:mm")).alias("t"), "event_type"
@@ -109,6 +112,15 @@ def temporal_precedence(spark: SparkSession, sf: str) -> DataFrame:
     return graph.precedence(rows, "user_id", "day", "t", "event_type")
 
 
+@query(PRECEDENCE_SQL.replace(" WHERE event_id % 9 = 0", ""))
+def temporal_precedence_all(spark: SparkSession, sf: str) -> DataFrame:
+    """temporal_precedence over all events."""
+    rows = table(spark, sf, "events").select(
+        "user_id", F.when(F.col("event_id") % 50 != 0, F.date_format("ts", "yyyy-MM-dd")).alias("day"), F.when(F.col("event_id") % 7 != 0, F.date_format("ts", "HH:mm")).alias("t"), "event_type"
+    )
+    return graph.precedence(rows, "user_id", "day", "t", "event_type")
+
+
 @query("""SELECT l_suppkey, l_partkey % 50 AS part_group, count(*) AS support, count(DISTINCT l_orderkey) AS orders, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS human, CASE WHEN bool_and(l_returnflag = 'R') THEN 'HUMAN' WHEN bool_or(l_returnflag = 'R') THEN 'BOTH' ELSE 'AUTO' END AS origin FROM lineitem GROUP BY 1, 2""")
 def relationship_edges(spark: SparkSession, sf: str) -> DataFrame:
     """How often and by whom each relationship is supported."""

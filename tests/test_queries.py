@@ -55,5 +55,14 @@ def test_graphs_read_all_lines_and_parts(spark, duck, sf):
     assert registry.QUERIES["effect_resolution_all"](spark, sf).count() == documents.count()
 
 
+def test_ladders_and_precedence_read_whole_tables(spark, duck, sf):
+    cuts = ("event_id % 9", "p_partkey % 10 =", "p_partkey % 4 =")
+    for name in ("temporal_precedence_all", "evidence_match_all", "evidence_best_all", "compliance_ladder_all", "box_containment_all"):
+        assert not any(c in registry.ORACLES[name] for c in cuts)
+    parts, users = duck.execute("SELECT (SELECT count(*) FROM part), (SELECT count(DISTINCT user_id) FROM events)").fetchone()
+    assert registry.QUERIES["compliance_ladder_all"](spark, sf).count() == parts
+    assert registry.QUERIES["temporal_precedence_all"](spark, sf).count() == users
+
+
 def test_every_oracle_has_a_query():
     assert set(registry.ORACLES) <= set(registry.QUERIES)
