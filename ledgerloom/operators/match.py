@@ -144,17 +144,18 @@ def jaccard_pairs(df: DataFrame, id_col: str, block: list[str], tokens: str, lea
 
     Only rows that share one of their rarest tokens meet: two sets that overlap by
     `least` must share a token among the first n - ceil(least x n) + 1 of each in one
-    common order, here that of rarity.
+    common order, here that of rarity, and neither is smaller than `least` times the other.
     """
     rare = df.select(*block, F.explode(tokens).alias("token")).groupBy(*block, "token").agg(F.count("*").alias("n"))
     flat = df.select(*block, id_col, F.size(tokens).alias("size"), F.explode(tokens).alias("token"))
     ranked = flat.join(rare, [*block, "token"])
     place = F.row_number().over(Window.partitionBy(*block, id_col).orderBy("n", "token"))
     keep = F.col("size") - F.ceil(F.col("size") * least) + 1
-    prefix = ranked.withColumn("place", place).where((F.col("place") <= keep) & (F.col("n") > 1)).select(*block, id_col, "token")
-    a = prefix.withColumnRenamed(id_col, "a")
-    b = prefix.withColumnRenamed(id_col, "b")
-    met = a.join(b, [*block, "token"]).where("a < b").select("a", "b").distinct()
+    prefix = ranked.withColumn("place", place).where((F.col("place") <= keep) & (F.col("n") > 1)).select(*block, id_col, "token", "size")
+    a = prefix.withColumnsRenamed({id_col: "a", "size": "__sa"})
+    b = prefix.withColumnsRenamed({id_col: "b", "size": "__sb"})
+    alike = (F.col("__sa") >= F.ceil(F.col("__sb") * least)) & (F.col("__sb") >= F.ceil(F.col("__sa") * least))
+    met = a.join(b, [*block, "token"]).where("a < b").where(alike).select("a", "b").distinct()
     left = df.select(F.col(id_col).alias("a"), F.col(tokens).alias("__x"))
     right = df.select(F.col(id_col).alias("b"), F.col(tokens).alias("__y"))
     scored = met.join(left, "a").join(right, "b").withColumn("s", jaccard(F.col("__x"), F.col("__y")))

@@ -82,6 +82,15 @@ def doc_jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return match.jaccard_pairs(docs, "doc_id", ["lang", "block"], "w", 0.5)
 
 
+@query(r"""WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM documents),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(a.w) + len(b.w) AS total, len(list_intersect(a.w, b.w)) AS common FROM t a JOIN t b ON a.doc_id < b.doc_id AND 2 * len(a.w) >= len(b.w) AND 2 * len(b.w) >= len(a.w))
+SELECT a, b, round(common / (total - common), 4) AS similarity FROM p WHERE common / (total - common) >= 0.5""")
+def doc_jaccard_pairs_all(spark: SparkSession, sf: str) -> DataFrame:
+    """All pairs of documents whose word sets overlap by half, whatever their languages and lengths."""
+    docs = table(spark, sf, "documents").select("doc_id", F.array_distinct(X.words(F.col("text"))).alias("w"))
+    return match.jaccard_pairs(docs, "doc_id", [], "w", 0.5)
+
+
 @query("""SELECT d.lang, count(*) AS docs, count(l.quality) AS labelled, round(sum(l.quality) / nullif(count(l.quality), 0), 4) AS quality_rate,
 round(sum(CASE WHEN l.toxic = 1 AND d.n_chars < 1500 THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN l.toxic IS NOT NULL AND d.n_chars < 1500 THEN 1 ELSE 0 END), 0), 4) AS precision,
 round(sum(CASE WHEN l.toxic = 1 AND d.n_chars < 1500 THEN 1 ELSE 0 END) / nullif(sum(l.toxic), 0), 4) AS recall FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1""")

@@ -64,5 +64,10 @@ def test_ladders_and_precedence_read_whole_tables(spark, duck, sf):
     assert registry.QUERIES["temporal_precedence_all"](spark, sf).count() == users
 
 
+def test_jaccard_pairs_meet_across_lengths(spark, sf):
+    blocked, every = ({(r.a, r.b) for r in registry.QUERIES[k](spark, sf).collect()} for k in ("doc_jaccard_pairs", "doc_jaccard_pairs_all"))
+    assert (len(blocked), len(every), blocked < every) == (21, 27, True)
+
+
 def test_every_oracle_has_a_query():
     assert set(registry.ORACLES) <= set(registry.QUERIES)
