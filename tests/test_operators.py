@@ -23,6 +23,13 @@ def test_absence_needs_a_complete_scan(spark):
     assert [tuple(r) for r in diff.absence(known, scan, "k", "present", False).collect()] == [(3, "REAPPEARED")]
 
 
+def test_runs_of_an_item_are_found_wherever_they_stand(spark):
+    docs = spark.createDataFrame([(1, "x a b c y"), (2, "x C, d e"), (3, "b c y d e"), (4, "z Q r"), (5, None), (6, "q z r")], "d int, t string")
+    items = spark.createDataFrame([(10, "a b c d e"), (11, "q r"), (12, "")], "i int, t string")
+    got = match.holds_run(docs, "d", "t", items, "i", "t", 3)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 10), (2, 10), (4, 11)]
+
+
 def test_chains_and_cycles(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (10, 11), (11, 10), (12, 10), (20, 20)], "node long, next long")
     got = {r.node: (r.end, r.depth) for r in graph.chain_ends(links).collect()}
