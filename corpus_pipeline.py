@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import bpe, langid, mixing, simhash, substring
-from ledgerloom.llm.common import shared_dir
+from ledgerloom.llm.common import durable, shared_dir
 
 #: Predictions below this score, little above chance among a few languages, are rejected as of no certain language.
 LEAST_SCORE = 0.3
@@ -25,10 +25,18 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each SimHash component, once if rows repeat; rows without an id stay."""
-    found = simhash.near_duplicates(docs.select("doc_id", "text")).select(F.col("doc_id").alias("__id"), "component_id")
-    firsts = found.where("__id = component_id").select("__id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(firsts, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
+    """The document with the smallest id of each SimHash component; rows without an id stay.
+
+    Rows that repeat an id and its text stay once. Different texts under one id are
+    documents of their own: each goes or stays by the component of its own fingerprint,
+    and of several in one component the first by fingerprint and text stays.
+    """
+    marked = docs.where("doc_id IS NOT NULL").withColumn("__fp", simhash.fingerprint(F.col("text"), 4))
+    prints = durable(marked.select(F.col("doc_id").alias("id"), F.col("__fp").alias("fp")))
+    firsts = simhash.fingerprint_components(prints).select(F.col("fp").alias("__fp"), F.col("component_id").alias("doc_id"), F.col("group").alias("__group"))
+    met = marked.join(firsts, ["doc_id", "__fp"])
+    one = met.groupBy("__group").agg(F.min_by(F.struct(*docs.columns), F.struct("__fp", "text")).alias("__row"))
+    named = one.select("__row.*")
     return named.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
 
 

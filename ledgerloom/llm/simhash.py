@@ -134,6 +134,18 @@ def hamming_links(prints: DataFrame, distance: int = 4, segments: int = 3) -> Da
     return stars.unionByName(found.select("src", "dst"))
 
 
+def fingerprint_components(prints: DataFrame, distance: int = 4, segments: int = 3) -> DataFrame:
+    """(fp, group, component_id) of prints (id, fp) with an id: the smallest fingerprint and the smallest id of fp's component.
+
+    Fingerprints are the nodes, so an id with several texts doesn't connect their components.
+    """
+    reps = durable(prints.groupBy("fp").agg(F.min("id").alias("rep")).where("rep IS NOT NULL"))
+    labels = components(hamming_links(reps.select(F.col("fp").alias("rep"), "fp"), distance, segments))
+    told = durable(reps.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("group")))
+    smallest = told.groupBy("group").agg(F.min("rep").alias("component_id"))
+    return told.join(smallest, "group").select("fp", "group", "component_id")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, segments: int = 3
 ) -> DataFrame:
@@ -145,9 +157,5 @@ def near_duplicates(
     fingerprint, which other ids name; if there are none, it is null. Empty in, empty out.
     """
     prints = durable(docs.select(F.col(id_col).alias("__id"), fingerprint(F.col(text_col), shingle).alias("fp")))
-    reps = durable(prints.groupBy("fp").agg(F.min("__id").alias("rep")).where("rep IS NOT NULL"))
-    labels = components(hamming_links(reps, distance, segments))
-    named = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "fp", F.coalesce("component", "rep").alias("component_id")
-    )
+    named = fingerprint_components(prints.withColumnRenamed("__id", "id"), distance, segments).drop("group")
     return prints.join(named, "fp", "left").select(F.col("__id").alias(id_col), "fp", "component_id")

@@ -66,6 +66,16 @@ def test_stages_match_brute_force(spark, sf):
     assert Counter((r.doc_id, r.ids_sha256) for r in told.collect()) == Counter({(r[0], digest(r[1])): n for r, n in after.items()})
 
 
+def test_different_texts_under_one_id_are_documents_of_their_own(spark, sf):
+    """Id 5 has a near copy of 3's text, a repeated text of its own, and a text that 9 copies: none but near copies and repeats go."""
+    one, two, three = (" ".join(f"{w}{k}" for k in range(200)) for w in ("ab", "cd", "ef"))
+    rows = [(3, one), (5, one), (5, two), (5, two), (5, three), (9, three), (7, one)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = corpus_pipeline.keep_one_of_near_copies(spark, docs, sf)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == [(3, one), (5, two), (5, three)]
+
+
 def test_run_and_empty_tables(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
