@@ -11,9 +11,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import islice
+from itertools import islice, repeat
 
 import numpy as np
 import pandas as pd
@@ -22,8 +23,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pre-tokens whose ids a task remembers, and pre-tokens of a text that are encoded at once.
-REMEMBERED, AT_ONCE = 1 << 19, 1 << 16
+#: Pre-tokens whose ids a task remembers, the longest one remembered, and pre-tokens of a text that are encoded at once.
+REMEMBERED, LONGEST, AT_ONCE = 1 << 19, 64, 1 << 16
+#: Bytes from which the links of a pre-token are kept in arrays.
+SHORT = 4096
 
 
 class PerfectHash:
@@ -87,32 +90,51 @@ class Looked(dict):
 
     def __missing__(self, piece: bytes) -> int | None:
         rank = self.ranks.get(piece)
-        if len(self) < REMEMBERED:
+        if len(self) < REMEMBERED and len(piece) <= LONGEST:
             self[piece] = rank
         return rank
 
 
 def merge_ids(piece: bytes, ranks: Looked) -> list[int]:
-    """Ids of a pre-token that is no token: always merge the adjacent pair of the lowest rank, the leftmost of equals."""
+    """Ids of a pre-token that is no token: always merge the adjacent pair of the lowest rank, the leftmost of equals.
+
+    Links are arrays of 32-bit numbers (lists for short ones) and the heap holds rank and place in one
+    integer, about 70 bytes a byte of the pre-token altogether. An entry is stale if
+    the pair that starts there has another rank by now; pairs of one rank at one
+    place are the same bytes, so no end needs to be kept.
+    """
     n, rank_of = len(piece), ranks.__getitem__
-    after, before, stop = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-    alive = bytearray(b"\1" * n)
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank_of(piece[i : i + 2])) is not None]
+    packed = list if n < SHORT else lambda numbers: array("i", numbers)
+    after, before, paired = packed(range(1, n + 1)), packed(range(-1, n - 1)), packed(repeat(-1, n))
+    heap = []
+    for i in range(n - 1):
+        if (r := rank_of(piece[i : i + 2])) is not None:
+            paired[i] = r
+            heap.append(r << 32 | i)
     heapify(heap)
     while heap:
-        _, i, end = heappop(heap)
-        j = after[i] if alive[i] else n
-        if j >= n or stop[j] != end:
+        entry = heappop(heap)
+        i = entry & 0xFFFFFFFF
+        if paired[i] != entry >> 32:
             continue
-        alive[j], stop[i], after[i] = 0, end, after[j]
-        if after[i] < n:
-            before[after[i]] = i
-            if (r := rank_of(piece[i : stop[after[i]]])) is not None:
-                heappush(heap, (r, i, stop[after[i]]))
-        h = before[i]
-        if h >= 0 and (r := rank_of(piece[h:end])) is not None:
-            heappush(heap, (r, h, end))
-    ids = [rank_of(piece[i : stop[i]]) for i in range(n) if alive[i]]
+        j = after[i]
+        end = after[i] = after[j]
+        paired[j] = paired[i] = -1
+        if end < n:
+            before[end] = i
+            if (r := rank_of(piece[i : after[end]])) is not None:
+                paired[i] = r
+                heappush(heap, r << 32 | i)
+        if (h := before[i]) >= 0:
+            if (r := rank_of(piece[h:end])) is not None:
+                paired[h] = r
+                heappush(heap, r << 32 | h)
+            else:
+                paired[h] = -1
+    ids, i = [], 0
+    while i < n:
+        ids.append(rank_of(piece[i : after[i]]))
+        i = after[i]
     if None in ids:
         raise ValueError("the vocabulary lacks single bytes")
     return ids
@@ -129,7 +151,7 @@ class Encoder(dict):
         piece = token.encode()
         rank = self.ranks.get(piece)
         ids = np.array([rank] if rank is not None else merge_ids(piece, self.looked), dtype="<u4").tobytes()
-        if len(self) < REMEMBERED:
+        if len(self) < REMEMBERED and len(token) <= LONGEST:
             self[token] = ids
         return ids
 
@@ -164,9 +186,14 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
         ranks, tokens = known.value
         encoder = Encoder(ranks, pattern)
         names = [x.split()[0] for x in OUT.split(", ")]
+        before, answer = None, None
         for pdf in batches:
             rows, held = [], 0
             for key, text in zip(pdf["id"], pdf["text"], strict=True):
+                if answer is not None and text == before:  # a copy right behind its original
+                    rows.append((key, *answer))
+                    held += answer[1] if keep else 0
+                    continue
                 n, told, back, parts, whole = 0, hashlib.sha256(), hashlib.sha256(), [], []
                 for ids in encoder.encode(text.decode(errors="replace")) if text is not None else ():
                     n += len(ids) // 4
@@ -177,7 +204,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
                         parts.append(ids)
                     if "decoded" in keep:
                         whole.append(decoded)
-                rows.append((key, np.frombuffer(b"".join(parts), "<i4"), n, told.hexdigest(), b"".join(whole), back.hexdigest()))
+                before, answer = text, (np.frombuffer(b"".join(parts), "<i4"), n, told.hexdigest(), b"".join(whole), back.hexdigest())
+                rows.append((key, *answer))
                 held += n if keep else 0
                 if held > AT_ONCE * 16:
                     yield pd.DataFrame(rows, columns=names)

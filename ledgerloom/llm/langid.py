@@ -3,8 +3,10 @@
 Texts are lower-cased, everything but letters becomes a space, and n-grams of one to
 three characters are hashed into buckets. Document frequencies come from every row
 that may be learned from; weights come from a bounded sample of those rows, by
-follow-the-regularised-leader with L1 and L2 penalties; a temperature fitted on a part
-of the sample that the weights have not seen calibrates the scores.
+follow-the-regularised-leader with L1 and L2 penalties. A part of the sample that the
+weights have not seen settles the rest: the sparsest penalties within one standard
+error of the best loss, the temperature that calibrates the scores, and how strange a
+text of a learned language looks at most.
 """
 
 from __future__ import annotations
@@ -18,31 +20,36 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import durable
-
 
 @dataclass(frozen=True)
 class Settings:
-    """sample_per_label bounds what the weights are fitted on: so many rows of each label, in expectation."""
+    """What bounds the fit: so many rows of each label in expectation, of all labels together, and so many labels (more raise)."""
 
     buckets_log2: int = 14
     longest: int = 3
     sample_per_label: int = 800
-    epochs: int = 4
+    sample: int = 40_000
+    most_labels: int = 500
+    epochs: int = 2
     alpha: float = 0.5
     beta: float = 1.0
-    l1: float = 1e-4
-    l2: float = 1e-5
+    #: (L1, L2) to choose from.
+    penalties: tuple[tuple[float, float], ...] = ((0.1, 0.01), (0.5, 0.01), (0.5, 1.0), (2.0, 0.01))
     seed: int = 7
 
 
 @dataclass
 class Model:
+    """usual: the mean inverse document frequency of a text's n-grams that 99.5 % of unseen learned texts stay below."""
+
     labels: list[str]
     idf: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
+    usual: float = 1.0
+    penalty: tuple[float, float] = (0.0, 0.0)
+    calibration_error: float = 0.0
     settings: Settings = field(default_factory=Settings)
 
 
@@ -67,7 +74,9 @@ def features(text: str, settings: Settings) -> tuple[np.ndarray, bool]:
         codes = np.where(letter, codes, 32)
         last = carry[-1:]
         codes = codes[letter | np.concatenate((last != 32, letter[:-1]))]
-        run = np.concatenate((carry, codes)) if at + PIECE < len(text) else np.concatenate((carry, codes, [np.uint32(32)]))
+        run = np.concatenate((carry, codes))
+        if at + PIECE >= len(text) and run[-1] != 32:
+            run = np.append(run, np.uint32(32))
         gram = np.zeros(len(run), dtype=np.uint64)
         for n in range(settings.longest):
             if len(run) <= n:
@@ -107,26 +116,28 @@ def document_frequencies(texts: DataFrame, settings: Settings) -> tuple[np.ndarr
     return out[:size], int(out[size])
 
 
-def follow_the_leader(rows: list[tuple[np.ndarray, np.ndarray, int]], n_labels: int, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and biases by FTRL-proximal, per coordinate, over shuffled epochs."""
-    size, s = 1 << settings.buckets_log2, settings
+def follow_the_leader(rows: list[tuple[np.ndarray, np.ndarray, int]], n_labels: int, settings: Settings, penalty: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and biases by FTRL-proximal, per coordinate, over shuffled epochs; penalty is (L1, L2). Biases bear no L1."""
+    size, s, (l1, l2) = 1 << settings.buckets_log2, settings, penalty
     z, n = np.zeros((size + 1, n_labels)), np.zeros((size + 1, n_labels))
+    bound = np.full((size + 1, 1), l1)
+    bound[size] = 0.0
 
-    def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return np.where(np.abs(z) <= s.l1, 0.0, -(z - np.sign(z) * s.l1) / ((s.beta + np.sqrt(n)) / s.alpha + s.l2))
+    def weights(z: np.ndarray, n: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        return np.where(np.abs(z) <= bound, 0.0, -(z - np.sign(z) * bound) / ((s.beta + np.sqrt(n)) / s.alpha + l2))
 
     order = np.random.default_rng(s.seed)
     for _ in range(s.epochs):
         for k in order.permutation(len(rows)):
             at, value, label = rows[k]
             at, value = np.append(at, size), np.append(value, 1.0)
-            w = weights(z[at], n[at])
+            w = weights(z[at], n[at], bound[at])
             gap = softmax(value @ w)
             gap[label] -= 1.0
             g = np.outer(value, gap)
             z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / s.alpha * w
             n[at] += g * g
-    w = weights(z, n)
+    w = weights(z, n, bound)
     return w[:size], w[size]
 
 
@@ -135,11 +146,65 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def _temperature(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The divisor of the logits that makes unseen labels likeliest."""
-    grid = np.exp(np.linspace(np.log(0.05), np.log(20), 121))
-    loss = [-np.log(softmax(logits / t)[np.arange(len(labels)), labels] + 1e-300).mean() for t in grid]
-    return float(grid[int(np.argmin(loss))])
+def losses(logits: np.ndarray, labels: np.ndarray, temperature: float) -> np.ndarray:
+    """Cross-entropy of each row against its label, smoothed as if every label had been seen once more.
+
+    Without smoothing, rows that are all told right would drive the temperature to zero.
+    """
+    n, k = logits.shape
+    soft = np.full((n, k), 1 / (n + k))
+    soft[np.arange(n), labels] += n / (n + k)
+    x = logits / temperature
+    x = x - x.max(1, keepdims=True)
+    return -(soft * (x - np.log(np.exp(x).sum(1, keepdims=True)))).sum(1)
+
+
+def temperature_of(logits: np.ndarray, labels: np.ndarray) -> float:
+    """The divisor of the logits with the least smoothed loss, which is convex in its inverse: by golden section."""
+    low, high, ratio = np.log(1e-4), np.log(1e4), (np.sqrt(5) - 1) / 2
+    cost = lambda x: losses(logits, labels, float(np.exp(-x))).mean()
+    while high - low > 1e-4:
+        a, b = high - ratio * (high - low), low + ratio * (high - low)
+        low, high = (low, b) if cost(a) <= cost(b) else (a, high)
+    return float(np.exp(-(low + high) / 2))
+
+
+def calibration_error(scores: np.ndarray, right: np.ndarray, bins: int = 10) -> float:
+    """Mean gap between score and share told right, over bins of equally many rows."""
+    order = np.argsort(scores, kind="stable")
+    parts = [p for p in np.array_split(order, bins) if len(p)]
+    return float(sum(len(p) * abs(scores[p].mean() - right[p].mean()) for p in parts) / max(1, len(scores)))
+
+
+def strangeness(counts: np.ndarray, idf: np.ndarray) -> float:
+    """Mean inverse document frequency of the text's n-grams, each as often as it occurs."""
+    at = np.flatnonzero(counts)
+    return float(counts[at] @ (idf[at] - 1) / counts[at].sum()) if len(at) else 0.0
+
+
+def fit(docs: DataFrame, seen: list, unseen: list, n_labels: int, settings: Settings) -> tuple[np.ndarray, np.ndarray, float, tuple[float, float]]:
+    """(weights, bias, temperature, penalty): a task fits each penalty; of those within a standard error of the best loss the one with fewest weights is taken."""
+    spark = docs.sparkSession
+    known = spark.sparkContext.broadcast((seen, unseen))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k in pdf["id"]:
+                seen, unseen = known.value
+                w, b = follow_the_leader(seen, n_labels, settings, settings.penalties[k])
+                labels = np.array([y for *_, y in unseen])
+                logits = np.array([v @ w[a] + b for a, v, _ in unseen])
+                t = temperature_of(logits, labels)
+                loss = losses(logits, labels, t)
+                yield pd.DataFrame([(k, loss.mean(), loss.std() / np.sqrt(len(loss)), np.count_nonzero(w), t, w.tobytes(), b.tobytes())], columns=["k", "loss", "error", "weights", "temperature", "w", "b"])
+
+    n = len(settings.penalties)
+    told = spark.range(0, n, 1, n).mapInPandas(run, "k long, loss double, error double, weights long, temperature double, w binary, b binary").toPandas()
+    known.unpersist()
+    best = told.loc[told["loss"].idxmin()]
+    near = told[told["loss"] <= best["loss"] + best["error"]].sort_values(["weights", "k"])
+    one = near.iloc[0]
+    return np.frombuffer(one["w"]).reshape(-1, n_labels), np.frombuffer(one["b"]), float(one["temperature"]), settings.penalties[int(one["k"])]
 
 
 def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", learn: Column | None = None, order_col: str = "doc_id", settings: Settings = Settings()) -> Model:
@@ -152,57 +217,65 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", lear
     usable = docs.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
     usable = usable.where(learn) if learn is not None else usable
     usable = usable.select(F.col(text_col).alias("text"), F.col(label_col).alias("label"), F.col(order_col).alias("key"))
-    sizes = {r.label: r.n for r in usable.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    sizes = {r.label: r.n for r in usable.groupBy("label").agg(F.count("*").alias("n")).limit(settings.most_labels + 1).collect()}
+    if len(sizes) > settings.most_labels:
+        raise ValueError(f"more than {settings.most_labels} labels: raise Settings.most_labels")
     if not sizes:
         return Model([], np.zeros(1), np.zeros((1, 0)), np.zeros(0), settings=settings)
     labels = sorted(sizes)
     df, n = document_frequencies(usable, settings)
     idf = np.log((1 + n) / (1 + df)) + 1
     place = F.pmod(F.xxhash64(F.col("key"), F.lit(settings.seed)), F.lit(1 << 30)) / float(1 << 30)
-    fraction = F.create_map(*[F.lit(x) for k in labels for x in (k, min(1.0, settings.sample_per_label / sizes[k]))])[F.col("label")]
+    fraction = F.create_map(*[F.lit(x) for k in labels for x in (k, min(1.0, min(settings.sample_per_label, settings.sample / len(labels)) / sizes[k]))])[F.col("label")]
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            told = [_weighted(features(t.decode(errors="replace"), settings)[0], idf) for t in pdf["text"]]
-            yield pd.DataFrame({"key": pdf["key"], "label": pdf["label"], "at": [a.astype("<i4").tobytes() for a, _ in told], "value": [v.tobytes() for _, v in told]})
+            counts = [features(t.decode(errors="replace"), settings)[0] for t in pdf["text"]]
+            told = [_weighted(c, idf) for c in counts]
+            yield pd.DataFrame({"key": pdf["key"], "label": pdf["label"], "at": [a.astype("<i4").tobytes() for a, _ in told], "value": [v.tobytes() for _, v in told], "strange": [strangeness(c, idf) for c in counts]})
 
     sample = usable.where(place < fraction).select(F.xxhash64("key", "text").alias("key"), "label", F.col("text").cast("binary"))
-    got = sample.mapInPandas(vectors, "key long, label string, at binary, value binary").toPandas()
+    got = sample.mapInPandas(vectors, "key long, label string, at binary, value binary, strange double").toPandas()
     got = got.sort_values(["key", "label"], ignore_index=True)
     rows = [(np.frombuffer(a, "<i4"), np.frombuffer(v), labels.index(y)) for a, v, y in zip(got["at"], got["value"], got["label"], strict=True)]
     unseen, seen = rows[::5], [r for k, r in enumerate(rows) if k % 5]
-    weights, bias = follow_the_leader(seen or rows, len(labels), settings)
-    model = Model(labels, idf, weights, bias, settings=settings)
-    if unseen:
-        logits = np.array([v @ weights[a] + bias for a, v, _ in unseen])
-        model.temperature = _temperature(logits, np.array([y for _, _, y in unseen]))
-    return model
+    if not unseen:
+        return Model([], np.zeros(1), np.zeros((1, 0)), np.zeros(0), settings=settings)
+    weights, bias, temperature, penalty = fit(docs, seen or rows, unseen, len(labels), settings)
+    p = softmax(np.array([v @ weights[a] + bias for a, v, _ in unseen]) / temperature)
+    error = calibration_error(p.max(1), p.argmax(1) == np.array([y for *_, y in unseen]))
+    usual = float(np.quantile(got["strange"][::5], 0.995))
+    return Model(labels, idf, weights, bias, temperature, max(usual, 1e-9), penalty, error, settings)
 
 
 def predict(text: Column, model: Model) -> Column:
-    """struct(lang, score) for whole texts: `und` and 0 for null texts, texts without letters, and without labels."""
+    """struct(lang, score, strange) for whole texts: `und` and 0 for null texts, texts without letters, and without labels.
+
+    strange is the text's mean inverse document frequency as a multiple of what is
+    usual: about 1 at most for the languages learned, more for other ones and junk.
+    """
     told = docs_model(model)
 
-    @F.pandas_udf("lang string, score double")
+    @F.pandas_udf("lang string, score double, strange double")
     def judge(texts: pd.Series) -> pd.DataFrame:
         m, rows = told, []
         for text in texts:
             counts, some = features(text.decode(errors="replace"), m.settings) if text is not None and m.labels else (None, False)
             if not some:
-                rows.append(("und", 0.0))
+                rows.append(("und", 0.0, None))
                 continue
             at, value = _weighted(counts, m.idf)
             p = softmax((value @ m.weights[at] + m.bias) / m.temperature)
             best = int(np.argmax(p))
-            rows.append((m.labels[best], float(p[best])))
-        return pd.DataFrame(rows, columns=["lang", "score"])
+            rows.append((m.labels[best], float(p[best]), strangeness(counts, m.idf) / m.usual))
+        return pd.DataFrame(rows, columns=["lang", "score", "strange"])
 
     return judge(text.cast("binary"))
 
 
 def docs_model(model: Model) -> Model:
     """The model in single precision, as it travels with the tasks: buckets x labels numbers, whatever the corpus."""
-    return Model(model.labels, model.idf.astype(np.float32), model.weights.astype(np.float32), model.bias.astype(np.float32), model.temperature, model.settings)
+    return Model(model.labels, model.idf.astype(np.float32), model.weights.astype(np.float32), model.bias.astype(np.float32), model.temperature, model.usual, model.penalty, model.calibration_error, model.settings)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -211,12 +284,14 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", settings: Settings = Settings()) -> DataFrame:
-    """docs with `held_out`, `lang_pred` and `score`, learned from the labelled rows that aren't held out.
+    """docs with `held_out`, `lang_pred`, `score` and `strange`, learned from the labelled rows that aren't held out.
 
     One row per input row; null ids neither teach nor are held out. Columns of those
-    names in the input are replaced.
+    names in the input are replaced. Equal texts get equal answers. Very long texts
+    are read whole, piece by piece.
     """
-    names = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score")]
+    own = ("held_out", "lang_pred", "score", "strange")
+    names = [c for c in docs.columns if c not in own]
     model = train(docs, text_col, label_col, F.col(id_col).isNotNull() & ~held_out(id_col), id_col, settings)
     out = docs.select(*names, held_out(id_col).alias("held_out"), predict(F.col(text_col), model).alias("__told"))
-    return out.select(*names, "held_out", F.col("__told.lang").alias("lang_pred"), F.col("__told.score").alias("score"))
+    return out.select(*names, "held_out", F.col("__told.lang").alias("lang_pred"), F.col("__told.score").alias("score"), F.col("__told.strange").alias("strange"))

@@ -50,7 +50,7 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+    return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score", "strange")
 
 
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Document operators against brute force on small fixtures with nulls, ties, copies and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -212,7 +213,7 @@ def test_language_id_on_held_out_rows(spark):
     docs = docs.unionByName(spark.createDataFrame(odd, docs.schema)).selectExpr("*", "0 AS score")
     got = langid.identify(docs).collect()
     truth = {r.doc_id: r.lang for r in docs.collect()}
-    assert len(got) == docs.count() and set(got[0].asDict()) == {*docs.columns, "held_out", "lang_pred", "score"}
+    assert len(got) == docs.count() and set(got[0].asDict()) == {*docs.columns, "held_out", "lang_pred", "score", "strange"}
     for r in got:
         assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
         assert 0 <= r.score <= 1 and (r.lang_pred == "und") == (r.doc_id in (-1, -2, -3))
@@ -220,6 +221,135 @@ def test_language_id_on_held_out_rows(spark):
     assert sum(r.lang_pred == truth[r.doc_id] for r in held) / len(held) > 0.97
 
 
+def plain_grams(text):
+    """Hashed n-grams of one to three characters, one by one."""
+    out = {}
+    run = " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split(" "))
+    while "  " in run:
+        run = run.replace("  ", " ")
+    run = " " + run.strip(" ") + " " if run.strip(" ") else " "
+    for n in (1, 2, 3):
+        for at in range(len(run) - n + 1):
+            g = 0
+            for c in run[at : at + n]:
+                g = (g * 0x100000001B3 + ord(c) + 1) % (1 << 64)
+            g = (g * 0x9E3779B97F4A7C15) % (1 << 64) >> 50
+            out[g] = out.get(g, 0) + 1
+    return out
+
+
+def plain_model(rows, labels, penalty, epochs=2, alpha=0.5, beta=1.0, seed=7):
+    """Weights by label of sparse rows ({bucket: value}, label), coordinate by coordinate; bucket -1 is the bias."""
+    import numpy as np
+
+    z, n = {}, {}
+
+    def weight(b, k):
+        bound = 0.0 if b == -1 else penalty[0]
+        v = z.get((b, k), 0.0)
+        return 0.0 if abs(v) <= bound else -(v - math.copysign(bound, v)) / ((beta + math.sqrt(n.get((b, k), 0.0))) / alpha + penalty[1])
+
+    order = np.random.default_rng(seed)
+    for _ in range(epochs):
+        for r in order.permutation(len(rows)):
+            x, y = rows[r]
+            x = {**x, -1: 1.0}
+            w = {(b, k): weight(b, k) for b in x for k in labels}
+            logit = [sum(v * w[b, k] for b, v in x.items()) for k in labels]
+            top = [math.exp(v - max(logit)) for v in logit]
+            for k, p in zip(labels, top, strict=True):
+                gap = p / sum(top) - (k == y)
+                for b, v in x.items():
+                    g, old = gap * v, n.get((b, k), 0.0)
+                    z[b, k] = z.get((b, k), 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / alpha * w[b, k]
+                    n[b, k] = old + g * g
+    return lambda x, k: weight(-1, k) + sum(v * weight(b, k) for b, v in x.items())
+
+
+def test_language_id_matches_a_plain_version(spark):
+    """TF-IDF, FTRL with both penalties, and the temperature, written out for one penalty on short texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("doc_id", "substring(text, 1, 60) AS text", "lang").where("doc_id < 250").repartition(2)
+    penalty = (0.02, 0.1)
+    settings = langid.Settings(penalties=(penalty,))
+    got = {r.doc_id: r for r in langid.identify(docs, settings=settings).collect()}
+    rows = sorted((tuple(r) for r in docs.selectExpr("xxhash64(doc_id, text)", "lang", "doc_id", "text").collect()), key=lambda r: (r[0], r[1]))
+    learned = [r for r in rows if zlib.crc32(str(r[2]).encode()) % 3 != 1]
+    labels = sorted({r[1] for r in learned})
+    df = {}
+    for r in learned:
+        for g in plain_grams(r[3]):
+            df[g] = df.get(g, 0) + 1
+
+    def vector(text):
+        x = {g: math.log1p(c) * (math.log((1 + len(learned)) / (1 + df.get(g, 0))) + 1) for g, c in plain_grams(text).items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        return {g: v / norm for g, v in x.items()}
+
+    seen, unseen = [r for k, r in enumerate(learned) if k % 5], learned[::5]
+    logit = plain_model([(vector(r[3]), r[1]) for r in seen], labels, penalty)
+    told = [([logit(vector(r[3]), k) for k in labels], r[1]) for r in unseen]
+
+    def probabilities(logits, t):
+        top = [math.exp((v - max(logits)) / t) for v in logits]
+        return [v / sum(top) for v in top]
+
+    def loss(t):
+        smooth, out = 1 / (len(told) + len(labels)), 0.0
+        for logits, y in told:
+            for k, p in zip(labels, probabilities(logits, t), strict=True):
+                out -= (smooth + (k == y) * len(told) * smooth) * math.log(p)
+        return out
+
+    t = min((math.exp(k / 400) for k in range(-1600, 1600)), key=loss)
+    for r in rows[:60]:
+        p = probabilities([logit(vector(r[3]), k) for k in labels], t)
+        assert got[r[2]].lang_pred == labels[p.index(max(p))] and got[r[2]].score == pytest.approx(max(p), abs=5e-3)
+
+
+def test_language_penalties_select_and_scores_are_calibrated(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(docs)
+    assert 0.5 < (model.weights == 0).mean() and (model.weights != 0).any()
+    assert 1e-3 < model.temperature < 1e3 and model.calibration_error < 0.05
+
+
+def test_temperature_is_finite_where_all_is_told_right():
+    import numpy as np
+
+    logits = np.array([[5.0, 0.0], [0.0, 5.0], [4.0, 0.0]] * 20)
+    labels = np.array([0, 1, 0] * 20)
+    t = langid.temperature_of(logits, labels)
+    assert 0.3 < t < 3 and langid.softmax(logits / t).max() < 0.999
+    assert langid.temperature_of(logits * 1e-3, labels) == pytest.approx(t * 1e-3, rel=1e-2)
+
+
+def test_too_many_labels_are_refused(spark):
+    docs = spark.createDataFrame([(k, "some text", f"l{k}") for k in range(30)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="labels"):
+        langid.train(docs, settings=langid.Settings(most_labels=5))
+
+
+def test_language_of_repeated_and_very_long_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    one = docs.where("lang = 'en'").first()
+    more = spark.createDataFrame([(5000, one.text, None), (5000, one.text, None), (5001, one.text * (2_000_000 // len(one.text)), None)], docs.schema)
+    got = [r for r in langid.identify(docs.unionByName(more)).collect() if r.doc_id >= 5000 or r.doc_id == one.doc_id]
+    assert len(got) == 4 and {r.lang_pred for r in got} == {"en"} and len({r.score for r in got if r.doc_id != 5001}) == 1
+
+
+def test_bpe_of_a_very_long_pretoken_and_clashing_columns(spark, tiktoken_encoding):
+    import public_tokenizers
+
+    r = random.Random(6)
+    long = "".join(r.choice("abcdefghijklmnop") for _ in range(200_000))
+    rows = [(1, long), (1, long), (None, "x y"), (2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'i' AS id", "array(1) AS ids", "2 AS n_tokens")
+    got = bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    want = {t: tiktoken_encoding.encode_ordinary(t) for _, t in rows}
+    assert sorted((str(x.doc_id), x.n_tokens) for x in got) == sorted((str(i), len(want[t])) for i, t in rows)
+    assert all(list(x.ids) == want[bytes(x.decoded).decode()] for x in got)
+
+
 def test_language_features_cover_whole_texts(monkeypatch):
     import numpy as np
 

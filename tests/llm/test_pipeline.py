@@ -66,6 +66,31 @@ def test_stages_match_brute_force(spark, sf):
     assert Counter((r.doc_id, r.ids_sha256) for r in told.collect()) == Counter({(r[0], digest(r[1])): n for r, n in after.items()})
 
 
+NAMES = "score lang_pred held_out strange kept n_words n_removed size target copies taken source_size fp component_id group id mark doc class tie __row __fp __extra_0".split()
+
+
+def test_clashing_columns_pass_through(spark, sf):
+    """Every name that an operator adds, as a column of the input: it comes out of the first four stages as it went in."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    mine = docs.selectExpr("*", *[f"concat('{c}', doc_id) AS `{c}`" for c in NAMES])
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, mine, sf)
+        assert out.columns == mine.columns, name
+        got = out.collect()
+        assert got and all(r[c] == f"{c}{r.doc_id}" for r in got for c in NAMES), name
+    assert corpus_pipeline.STAGES[4][1](spark, mine, sf).count() == mine.count()
+
+
+def test_foreign_and_junk_texts_go_and_clean_ones_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    odd = ["zzqx", "これは日本語の文章です。とても短いです。", "Это короткий русский текст, который не должен пройти.", "xkjq vvzw qqpt zkxv wqjx", "To jest zwykłe polskie zdanie, które powinno odpaść.", "中文" * 40, "123 456"]
+    short = ["The of and in.", "La é le de de.", "Einü der den und."]
+    more = [(100_000 + k, t, None, "src0", len(t)) for k, t in enumerate(odd)] + [(200_000 + k, t, None, "src0", len(t)) for k, t in enumerate(short)]
+    kept = {r.doc_id for r in corpus_pipeline.keep_known_languages(spark, docs.unionByName(spark.createDataFrame(more, docs.schema)), "").select("doc_id").collect()}
+    clean = {r.doc_id for r in docs.select("doc_id").collect()} | {200_000 + k for k in range(len(short))}
+    assert kept == clean
+
+
 def test_different_texts_under_one_id_are_documents_of_their_own(spark, sf):
     """Id 5 has a near copy of 3's text, a repeated text of its own, and a text that 9 copies: none but near copies and repeats go."""
     one, two, three = (" ".join(f"{w}{k}" for k in range(200)) for w in ("ab", "cd", "ef"))
