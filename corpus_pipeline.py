@@ -7,6 +7,8 @@ source, n_chars); columns beyond these pass through the first four stages.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,22 +16,40 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import bpe, langid, mixing, simhash, substring
 from ledgerloom.llm.common import durable, shared_dir
 
-#: Predictions below this score, little above chance among a few languages, are rejected as of no certain language.
-LEAST_SCORE = 0.3
+#: Texts whose n-grams are rarer than this many times what is usual among the learned languages are of none of them
+#: (clean short texts come to 1.3, other languages and junk to 2 and more); so are predictions little above chance.
+MOST_STRANGE, LEAST_SCORE = 1.6, 0.3
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def with_columns_apart(stage: Stage) -> Stage:
+    """The stage with columns beyond those of documents under names of their own, so that none clashes with what operators add."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        apart = {c: f"__extra_{k}" for k, c in enumerate(docs.columns) if c not in DOCUMENT}
+        out = stage(spark, docs.withColumnsRenamed(apart), sf_dir)
+        return out.withColumnsRenamed({v: k for k, v in apart.items()})
+
+    return run
+
+
+@with_columns_apart
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has letters and is predicted to be of one learned language with a score of LEAST_SCORE or more."""
+    """Documents whose text has letters and is of a learned language: not stranger than MOST_STRANGE, scored LEAST_SCORE or more."""
     told = langid.identify(docs)
-    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    return told.where((F.col("lang_pred") != "und") & (F.col("strange") <= MOST_STRANGE) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
 
 
+@with_columns_apart
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each SimHash component; rows without an id stay.
 
     Rows that repeat an id and its text stay once. Different texts under one id are
     documents of their own: each goes or stays by the component of its own fingerprint,
-    and of several in one component the first by fingerprint and text stays.
+    and of several in one component the first by fingerprint and text stays. Of rows that
+    are equal in both, any one stays.
     """
     marked = docs.where("doc_id IS NOT NULL").withColumn("__fp", simhash.fingerprint(F.col("text"), 4))
     prints = durable(marked.select(F.col("doc_id").alias("id"), F.col("__fp").alias("fp")))
@@ -40,6 +60,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     return named.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
 
 
+@with_columns_apart
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of repeated 50-word windows. A text that loses nothing stays as it is; one that loses all goes."""
     told = substring.remove_repeats(docs)
@@ -49,6 +70,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return told.select(docs.columns)
 
 
+@with_columns_apart
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix emits it."""
     told = mixing.mix(docs, carry=[c for c in docs.columns if c not in ("doc_id", "source")])
