@@ -8,10 +8,14 @@ the window, and a document adds about one minimiser per 21 words rather than one
 window per word. Second pass: only windows whose estimate is two or more are grouped
 exactly, by 96 bits of rolling hash, so none is lost.
 
+The sketch's width follows the input. Up to BROADCAST bytes its bits go to every task;
+a wider one stays a table of repeated counters, and minimisers meet it in joins, whose
+hot keys adaptive execution splits. Either way the same windows are candidates.
+
 Before the shuffle each batch resolves its own repeats: an occurrence that follows a
 smaller document of the same batch is marked at once, and only the smallest
 document's occurrences travel. A passage that every document shares thus sends one
-row per batch to its group.
+row per batch to its group, and groups combine in a tree of bounded fan-in.
 """
 
 from __future__ import annotations
@@ -25,13 +29,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import durable
+from ledgerloom.llm.common import durable, stored
 
 WINDOW, SHINGLE = 50, 10
 #: Counters of a sketch block; the unit in which partial sketches are summed.
 BLOCK = 1 << 18
-#: The sketch has two rows of at most this many counters, so at most 2 x 32 MB are broadcast (one bit per counter).
-MAX_WIDTH = 1 << 28
+#: Bytes of sketch, one bit a counter, that are broadcast at most.
+BROADCAST = 64 << 20
+#: Batches whose rows of one group meet in a task, at most, about; bytes of text that a batch holds, at least, about.
+FAN_IN, BATCH_BYTES = 1 << 14, 1 << 23
 #: Words of a batch that are hashed at once, and candidate windows that are resolved at once.
 WORDS_AT_ONCE, WINDOWS_AT_ONCE = 1 << 19, 1 << 21
 BASE_A, BASE_B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -110,8 +116,21 @@ def _slots(keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch_width(n_bytes: int) -> int:
-    """Counters a row for so many bytes of text: 4 to 8 per expected minimiser (one per some 120 bytes), within bounds."""
-    return min(MAX_WIDTH, max(BLOCK, 1 << int(n_bytes / 120 * 4).bit_length()))
+    """Counters a row for so many bytes of text: 4 to 8 per expected minimiser (one per some 120 bytes)."""
+    return max(BLOCK, 1 << int(n_bytes / 120 * 4).bit_length())
+
+
+def _runs(lengths: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of runs of windows of one document with one minimiser: the group's document, the minimiser, the first window's place in the document, their number, and whether the document's first with that minimiser."""
+    doc, pos, at = _windows(lengths)
+    keys = _minimisers(hashes, at)
+    first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1]))))
+    length = np.diff(np.append(first, len(keys)))
+    doc, keys, pos = doc[first], keys[first], pos[first]
+    order = np.lexsort((pos, keys, doc))
+    once = np.zeros(len(keys), bool)
+    once[order] = np.concatenate(([True], (keys[order][1:] != keys[order][:-1]) | (doc[order][1:] != doc[order][:-1])))
+    return doc, keys, pos, length, once
 
 
 def repeated_bits(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
@@ -121,16 +140,8 @@ def repeated_bits(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
         for pdf in batches:
             slots = []
             for _, lengths, hashes in _groups(pdf["text"].tolist(), np.ones(len(pdf), bool)):
-                doc, _, at = _windows(lengths)
-                keys = _minimisers(hashes, at)
-                fresh = np.ones(len(keys), bool)
-                fresh[1:] = (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])
-                doc, keys = doc[fresh], keys[fresh]
-                order = np.lexsort((keys, doc))
-                doc, keys = doc[order], keys[order]
-                fresh = np.ones(len(keys), bool)
-                fresh[1:] = (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])
-                slots += _slots(keys[fresh], width)
+                _, keys, _, _, once = _runs(lengths, hashes)
+                slots += _slots(keys[once], width)
             if not slots:
                 continue
             slot, count = np.unique(np.concatenate(slots), return_counts=True)
@@ -151,6 +162,27 @@ def repeated_bits(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
     return out
 
 
+def repeated_spans(base: DataFrame, width: int) -> DataFrame:
+    """(doc, mark, spans) of documents with windows that the sketch estimates repeated: first window << 32 | windows of each run.
+
+    The sketch is the table of counters, summed by slot, with two or more.
+    """
+
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ids, marks = pdf["doc"].to_numpy(np.int64), pdf["mark"].to_numpy(np.int64)
+            for rows, lengths, hashes in _groups(pdf["text"].tolist(), np.ones(len(pdf), bool)):
+                doc, keys, pos, length, once = _runs(lengths, hashes)
+                a, b = _slots(keys, width)
+                yield pd.DataFrame({"doc": ids[rows][doc], "mark": marks[rows][doc], "a": a, "b": b, "span": pos.astype(np.int64) << 32 | length, "once": once})
+
+    runs = stored(base.mapInPandas(entries, "doc long, mark long, a long, b long, span long, once boolean"))
+    sketch = runs.where("once").select(F.explode(F.array("a", "b")).alias("slot")).groupBy("slot").agg(F.count("*").alias("n")).where("n > 1").select("slot")
+    sketch = stored(sketch)
+    both = runs.join(sketch.select(F.col("slot").alias("a")), "a", "left_semi").join(sketch.select(F.col("slot").alias("b")), "b", "left_semi")
+    return both.groupBy("doc", "mark").agg(F.collect_list("span").alias("spans"))
+
+
 def _first_owner(h: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted order by (window, document) and, in that order, the smallest document of the window."""
     order = np.lexsort((doc, h2, h))
@@ -161,7 +193,7 @@ def _first_owner(h: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> tuple[np.nda
 
 
 FLAGS = "doc long, mark long, starts binary"
-PACKED = "route int, doc long, mark long, starts binary, docs binary, marks binary, h binary, h2 binary, at binary"
+PACKED = "route int, lane int, doc long, mark long, starts binary, docs binary, marks binary, h binary, h2 binary, at binary"
 
 
 def _flag_rows(doc: np.ndarray, mark: np.ndarray, pos: np.ndarray) -> pd.DataFrame:
@@ -173,73 +205,108 @@ def _flag_rows(doc: np.ndarray, mark: np.ndarray, pos: np.ndarray) -> pd.DataFra
     return pd.DataFrame({"doc": doc[first], "mark": mark[first], "starts": [p.astype("<i4").tobytes() for p in np.split(pos, cuts)] if len(doc) else []})
 
 
+def _sent(doc: np.ndarray, mark: np.ndarray, pos: np.ndarray, h: np.ndarray, h2: np.ndarray, routes: int) -> Iterator[pd.DataFrame]:
+    """PACKED rows of occurrences: marks of those that follow a smaller document here, and the rest by route."""
+    order, owner = _first_owner(h, h2, doc)
+    late = np.zeros(len(doc), bool)
+    late[order] = doc[order] > owner
+    names = [x.split()[0] for x in PACKED.split(", ")]
+    flags = _flag_rows(doc[late], mark[late], pos[late])
+    if len(flags):
+        yield flags.assign(route=np.arange(len(flags)) % routes, lane=0).reindex(columns=names)
+    doc, mark, pos, h, h2 = (x[~late] for x in (doc, mark, pos, h, h2))
+    if not len(doc):
+        return
+    route = ((h >> np.uint64(40)) % np.uint64(routes)).astype(np.int32)
+    order = np.lexsort((pos, mark, doc, route))
+    route, doc, mark, pos, h, h2 = (x[order] for x in (route, doc, mark, pos, h, h2))
+    cuts = np.flatnonzero(np.diff(route)) + 1
+    parts = [[p.tobytes() for p in np.split(x, cuts)] for x in (doc, mark, h, h2, pos)]
+    lane = int(doc[0] ^ mark[0]) & 0x7FFFFFFF
+    # doc and mark are never null: pandas would turn them into floats
+    rows = dict(zip(("docs", "marks", "h", "h2", "at"), parts, strict=True)) | {"route": route[np.concatenate(([0], cuts))], "lane": lane, "doc": 0, "mark": 0}
+    yield pd.DataFrame(rows).reindex(columns=names)
+
+
+def _unpacked(rest: pd.DataFrame) -> list[np.ndarray]:
+    """doc, mark, pos, h, h2."""
+    return [np.frombuffer(b"".join(rest[c]), d) for c, d in (("docs", "<i8"), ("marks", "<i8"), ("at", "<i4"), ("h", "<u8"), ("h2", "<u4"))]
+
+
+def lanes_of(n_bytes: int) -> list[int]:
+    """Into how many lanes each level of the tree combines a group's rows, before the last, which combines all."""
+    out, lanes = [], 1 + n_bytes // BATCH_BYTES
+    while lanes > FAN_IN:
+        lanes = -(-lanes // FAN_IN)
+        out.append(lanes)
+    return out
+
+
 def repeated_starts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, mark, starts): the windows of each document that also start in a document with a smaller id.
 
     mark is a hash of the text, so that rows that share an id stay apart. starts
-    holds little-endian 32-bit places; a document may have several rows.
+    holds little-endian 32-bit places; a document may have several rows. What one
+    document holds in one group, at most all its windows, meets in one task.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("mark"), F.col(text_col).cast("binary").alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("mark"), F.col(text_col).cast("binary").alias("text")).where("doc IS NOT NULL")
     n_bytes = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    width = sketch_width(n_bytes)
-    bits = spark.sparkContext.broadcast(repeated_bits(docs.where(F.col(id_col).isNotNull()), text_col, width))
-    routes = max(512, n_bytes >> 22)
-
-    def packed(held: list[tuple]) -> Iterator[pd.DataFrame]:
-        doc, mark, pos, h, h2 = (np.concatenate(x) for x in zip(*held, strict=True))
-        order, owner = _first_owner(h, h2, doc)
-        late = np.zeros(len(doc), bool)
-        late[order] = doc[order] > owner
-        flags = _flag_rows(doc[late], mark[late], pos[late])
-        if len(flags):
-            yield flags.assign(route=np.arange(len(flags)) % routes)
-        doc, mark, pos, h, h2 = (x[~late] for x in (doc, mark, pos, h, h2))
-        route = ((h >> np.uint64(40)) % np.uint64(routes)).astype(np.int32)
-        order = np.lexsort((pos, mark, doc, route))
-        route, doc, mark, pos, h, h2 = (x[order] for x in (route, doc, mark, pos, h, h2))
-        cuts = np.flatnonzero(np.diff(route)) + 1
-        parts = [[p.tobytes() for p in np.split(x, cuts)] for x in (doc, mark, h, h2, pos)] if len(doc) else [[]] * 5
-        first = np.concatenate(([0], cuts)) if len(doc) else np.zeros(0, np.int64)
-        # doc and mark are never null: pandas would turn them into floats
-        yield pd.DataFrame(dict(zip(("docs", "marks", "h", "h2", "at"), parts, strict=True)) | {"route": route[first], "doc": 0, "mark": 0})
+    width, routes = sketch_width(n_bytes), max(512, n_bytes >> 22)
+    small = 2 * width // 8 <= BROADCAST
+    bits = spark.sparkContext.broadcast(repeated_bits(docs.where(F.col(id_col).isNotNull()), text_col, width)) if small else None
+    base = base.withColumn("spans", F.lit(None).cast("array<bigint>")) if small else base.join(repeated_spans(base, width), ["doc", "mark"])
+
+    def hit_by_sketch(lengths: np.ndarray, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        keys, sketch = _minimisers(hashes, at), bits.value
+        hit = np.ones(len(keys), bool)
+        for slot in _slots(keys, width):
+            hit &= ((sketch[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1).astype(bool)
+        return hit
+
+    def hit_by_spans(lengths: np.ndarray, spans: list[np.ndarray]) -> np.ndarray:
+        counts = lengths - WINDOW + 1
+        edges = np.zeros(counts.sum() + 1, np.int64)
+        for offset, found in zip(np.cumsum(counts) - counts, spans, strict=True):
+            np.add.at(edges, offset + (found >> 32), 1)
+            np.add.at(edges, offset + (found >> 32) + (found & 0xFFFFFFFF), -1)
+        return np.cumsum(edges)[:-1] > 0
 
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sketch, held, n = bits.value, [], 0
-        names = [x.split()[0] for x in PACKED.split(", ")]
+        held, n = [], 0
         for pdf in batches:
             ids, marks = pdf["doc"].to_numpy(np.int64), pdf["mark"].to_numpy(np.int64)
             for rows, lengths, hashes in _groups(pdf["text"].tolist(), np.ones(len(pdf), bool)):
                 doc, pos, at = _windows(lengths)
-                keys = _minimisers(hashes, at)
-                hit = np.ones(len(keys), bool)
-                for slot in _slots(keys, width):
-                    hit &= ((sketch[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1).astype(bool)
+                hit = hit_by_sketch(lengths, hashes, at) if small else hit_by_spans(lengths, [np.asarray(x) for x in pdf["spans"].iloc[rows]])
                 doc, pos, at = doc[hit], pos[hit], at[hit]
                 h = Rolling(BASE_A, _mixed(hashes)).runs(WINDOW, at)
                 h2 = Rolling(BASE_B, _mixed(hashes ^ np.uint64(BASE_B))).runs(WINDOW, at).astype(np.uint32)
                 held.append((ids[rows][doc], marks[rows][doc], pos.astype(np.int32), h, h2))
                 n += len(pos)
                 if n >= WINDOWS_AT_ONCE:
-                    for out in packed(held):
-                        yield out.reindex(columns=names)
+                    yield from _sent(*(np.concatenate(x) for x in zip(*held, strict=True)), routes)
                     held, n = [], 0
         if n:
-            for out in packed(held):
-                yield out.reindex(columns=names)
+            yield from _sent(*(np.concatenate(x) for x in zip(*held, strict=True)), routes)
+
+    def combine(pdf: pd.DataFrame) -> pd.DataFrame:
+        ready = pdf["starts"].notna()
+        return pd.concat([pdf[ready], *_sent(*_unpacked(pdf[~ready]), routes)]) if not ready.all() else pdf
 
     def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
         ready = pdf["starts"].notna()
-        rest = pdf[~ready]
-        if rest.empty:
-            return pdf[ready][["doc", "mark", "starts"]]
-        joined = [np.frombuffer(b"".join(rest[c]), d) for c, d in (("docs", "<i8"), ("marks", "<i8"), ("h", "<u8"), ("h2", "<u4"), ("at", "<i4"))]
-        doc, mark, h, h2, pos = joined
+        done = pdf[ready][["doc", "mark", "starts"]]
+        if ready.all():
+            return done
+        doc, mark, pos, h, h2 = _unpacked(pdf[~ready])
         order, owner = _first_owner(h, h2, doc)
         late = order[doc[order] > owner]
-        return pd.concat([pdf[ready][["doc", "mark", "starts"]], _flag_rows(doc[late], mark[late], pos[late])])
+        return pd.concat([done, _flag_rows(doc[late], mark[late], pos[late])])
 
-    sent = base.where("doc IS NOT NULL").mapInPandas(candidates, PACKED)
+    sent = base.mapInPandas(candidates, PACKED)
+    for lanes in lanes_of(n_bytes):
+        sent = sent.withColumn("lane", F.pmod(F.xxhash64("lane"), F.lit(lanes)).cast("int")).groupBy("route", "lane").applyInPandas(combine, PACKED)
     return sent.groupBy("route").applyInPandas(resolve, FLAGS)
 
 

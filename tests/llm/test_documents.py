@@ -133,6 +133,41 @@ def test_substring_resolves_in_small_batches(spark, monkeypatch):
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got), key=str) == brute_kept(rows)
 
 
+@pytest.mark.parametrize("broadcast", [64 << 20, 0])
+def test_substring_with_a_wide_sketch_and_a_tree(spark, monkeypatch, broadcast):
+    """The sketch as a table, groups combined in several levels, and a window that all documents share."""
+    monkeypatch.setattr(substring, "BROADCAST", broadcast)
+    monkeypatch.setattr(substring, "FAN_IN", 2)
+    monkeypatch.setattr(substring, "BATCH_BYTES", 2_000)
+    monkeypatch.setattr(substring, "WINDOWS_AT_ONCE", 50)
+    r = random.Random(9)
+    hot = " ".join(f"hot{k}" for k in range(75))
+    rows = corpus(5) + [(2000 + k, " ".join(f"w{r.randrange(10**6)}" for _ in range(k % 40)) + " " + hot) for k in range(80)] + [(3000, "again " * 400), (3001, "again " * 30 + hot)]
+    assert len(substring.lanes_of(sum(len((t or "").encode()) for _, t in rows))) >= 2
+    got = substring.remove_repeats(frame(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got), key=str) == brute_kept(rows)
+
+
+def test_sketch_follows_the_input():
+    """At any size 4 to 8 counters a minimiser, so that few unique windows pass; nothing bounds the width."""
+    for n in (10**9, 10**11, 10**14, 10**16):
+        assert 4 <= substring.sketch_width(n) / (n / 120) <= 8.01
+        share = 1 - math.exp(-(n / 120) / substring.sketch_width(n))
+        assert share**2 < 0.1
+
+
+def test_few_unique_windows_are_candidates(spark, monkeypatch):
+    """Texts without repeats, a sketch of 4 to 8 counters a minimiser: under a tenth of the runs of windows is estimated repeated."""
+    monkeypatch.setattr(substring, "BLOCK", 8)
+    r = random.Random(3)
+    rows = [(k, " ".join(f"w{r.randrange(10**9)}" for _ in range(500))) for k in range(60)]
+    docs = frame(spark, rows).selectExpr("doc_id AS doc", "xxhash64(text) AS mark", "cast(text AS binary) AS text")
+    n_bytes = sum(len(t) for _, t in rows)
+    spans = substring.repeated_spans(docs, substring.sketch_width(n_bytes)).collect()
+    windows = sum(s & 0xFFFFFFFF for x in spans for s in x.spans)
+    assert windows / (60 * 451) < 0.1
+
+
 def brute_targets(sizes, weights=(3.0, 1.0, 2.0), share=1.5, most=2.0):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: weights[k % len(weights)] for k, s in enumerate(names)}
