@@ -2,42 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters that part words: space and the five controls 0x09 to 0x0D. `bytes.split()` parts at exactly these.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given Parquet tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from ledgerloom.operators.durable import durable, shared_dir
+from ledgerloom.plans.base import table
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints that driver and executors share.
+__all__ = ["WORD", "components", "durable", "shared_dir", "stored", "table"]
 
-    It is the session's spark.checkpoint.dir. Only a session that runs inside one
-    machine and names none gets a temporary folder.
-    """
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and context.getCheckpointDir() is None:
-        if not context.master.startswith(("local[", "local*")) and context.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerloom-"))
-    elif context.getCheckpointDir() is None:
-        context.setCheckpointDir(named)
-    return named or context.getCheckpointDir()
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """The same rows, written once to the shared folder, so that neither lost executors nor later stages compute them again."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Characters that part words: space and the five controls 0x09 to 0x0D. `bytes.split()` parts at exactly these.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def stored(df: DataFrame) -> DataFrame:

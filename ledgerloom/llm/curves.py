@@ -1,13 +1,16 @@
 """Approximate nearest neighbours by shifted space-filling curves.
 
 Every ordering projects the vectors onto a few random directions, shifts them and
-sorts them by Hilbert key. Quantiles of a bounded sample cut each ordering into
-equally filled windows. A query visits its own window and the two beside it in every
-ordering; what it finds there is ranked by exact cosine and the orderings' best merge.
-
-The sample only places the cuts: every vector is indexed. Windows are a share of the
-ordering, because near-isotropic vectors (as in the test tables) need that for a recall
-of 0.9; each is dealt out to as many tasks as its rows need.
+sorts them by Hilbert key; Spark's range partitioning does the sorting, and counts of
+partitions turn places in a partition into places in the ordering. Windows are so many
+consecutive rows of an ordering, wherever partitions end. A query visits its own
+window and the two beside it in every ordering; what it finds there is ranked by exact
+cosine, and the orderings' best merge.
+
+How many rows a window needs depends on the vectors, not on how many there are: few
+where they cluster, a share of all where they are isotropic. A bounded sample of the
+queries is therefore compared with all rows, and windows double until these queries
+find what they should; only then the others search. Every vector is indexed.
 """
 
 from __future__ import annotations
@@ -16,16 +19,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import durable
+from ledgerloom.llm.common import durable, stored
 from ledgerloom.llm.vectors import cosines, matrix, unit, usable
 
-#: Vectors whose keys place the cuts, at most, in expectation.
-SAMPLE = 20_000
-#: Candidates of a window that one task compares, about, and rows that a window holds at least, on average.
-CELL, LEAST_ROWS = 4_096, 40
+#: Candidates of a window that one task compares at once; it meets at most eight times as many queries.
+CELL = 4_096
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -73,70 +75,154 @@ class Orderings:
         return out
 
 
+def _merged(q: np.ndarray, score: np.ndarray, node: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
+    """Places of each query's k best, by score, then smallest id."""
+    order = np.lexsort((first, -score, q))
+    start = np.flatnonzero(np.concatenate(([True], q[order][1:] != q[order][:-1])))
+    place = np.arange(len(q)) - np.repeat(start, np.diff(np.append(start, len(q))))
+    return order[place < k]
+
+
+def _best(asks: pd.DataFrame, there: pd.DataFrame, k: int, code: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, score, node, first) of the k nearest of `there` to each of `asks`, other than itself; scores are summed in one order whatever the block."""
+    q, y = asks["node"].to_numpy(), unit(matrix(asks["vec"], code))
+    node, first, x = there["node"].to_numpy(), there["first"].to_numpy(), unit(matrix(there["vec"], code))
+    for at in range(0, len(q), 256):
+        score = y[at : at + 256] @ x.T
+        score[q[at : at + 256, None] == node[None, :]] = -np.inf
+        enough = min(k, len(node)) - 1
+        least = -np.partition(-score, enough, axis=1)[:, enough] - 1e-9
+        i, j = np.nonzero((score >= least[:, None]) & np.isfinite(score))
+        exact = np.concatenate([cosines(x[j[c : c + 65536]], y[at + i[c : c + 65536]]) for c in range(0, len(i), 65536)]) if len(i) else np.zeros(0)
+        kept = _merged(i, exact, node[j], first[j], k)
+        yield q[at + i[kept]], exact[kept], node[j[kept]], first[j[kept]]
+
+
+FOUND = "query long, score double, node long, first long"
+
+
+def _frame(parts: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
+    columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, t) for t in (np.int64, np.float64, np.int64, np.int64)]
+    return pd.DataFrame(dict(zip(("query", "score", "node", "first"), columns, strict=True)))
+
+
+def placed(nodes: DataFrame, plan: Orderings, code: str) -> DataFrame:
+    """(node, at): the place of each node of (node, vec) in every ordering, as an array of (o, pos)."""
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                found = plan.keys(unit(matrix(pdf["vec"], code)))
+                for o in range(found.shape[1]):
+                    yield pd.DataFrame({"o": np.int32(o), "key": found[:, o], "node": pdf["node"]})
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = 0
+        for pdf in batches:
+            yield pd.DataFrame({"part": TaskContext.get().partitionId(), "o": pdf["o"], "node": pdf["node"], "place": np.arange(seen, seen + len(pdf))})
+            seen += len(pdf)
+
+    spark = nodes.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = nodes.select("node", "vec").mapInPandas(keys, "o int, key long, node long").repartitionByRange(parts, "o", "key", "node").sortWithinPartitions("o", "key", "node")
+    lean = stored(ranged.mapInPandas(number, "part int, o int, node long, place long"))
+    counts = lean.groupBy("part", "o").agg(F.count("*").alias("n"), F.min("place").alias("skipped")).orderBy("o", "part").collect()
+    shifts, seen = [], {}
+    for r in counts:  # a row per partition, and one more where an ordering ends within it
+        shifts.append((r.part, r.o, seen.get(r.o, 0) - r.skipped))
+        seen[r.o] = seen.get(r.o, 0) + r.n
+    shift = spark.createDataFrame(shifts, "part int, o int, shift long")
+    return lean.join(shift, ["part", "o"]).groupBy("node").agg(F.collect_list(F.struct("o", (F.col("place") + F.col("shift")).alias("pos"))).alias("at"))
+
+
+def search(rows: DataFrame, asking: DataFrame, window: int, k: int, code: str) -> DataFrame:
+    """FOUND: the k nearest of rows (node, first, vec, at) to each of asking (the same columns) in each of its windows."""
+    parts, lanes = -(-window // CELL), -(-3 * window // (8 * CELL))
+    block = F.floor(F.col("spot.pos") / window)
+    lean = ["node", "first", "vec"]
+    there = rows.select(*lean, F.explode("at").alias("spot")).select(
+        *lean, F.lit(False).alias("asks"), "spot.o", block.alias("block"), F.pmod(F.xxhash64("node"), F.lit(parts)).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane")
+    )
+    asks = asking.select(*lean, F.explode("at").alias("spot")).select(*lean, F.lit(True).alias("asks"), "spot.o", F.explode(F.sequence(block - 1, block + 1)).alias("block"), F.pmod(F.xxhash64("node", F.lit(1)), F.lit(lanes)).cast("int").alias("lane"))
+    asks = asks.select(*lean, "asks", "o", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), "lane")
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        asks = pdf["asks"].to_numpy()
+        return _frame(list(_best(pdf[asks], pdf[~asks], k, code)) if asks.any() and not asks.all() else [])
+
+    return there.unionByName(asks).groupBy("o", "block", "part", "lane").applyInPandas(meet, FOUND)
+
+
+def nearest_of_all(rows: DataFrame, asked: pd.DataFrame, k: int, code: str) -> pd.DataFrame:
+    """FOUND for a bounded number of queries: each compared with all rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = _frame([])
+        for pdf in batches:
+            for at in range(0, len(pdf), CELL):
+                best = pd.concat([best, _frame(list(_best(asked, pdf.iloc[at : at + CELL], k, code)))], ignore_index=True)
+                best = best.iloc[_merged(*(best[c].to_numpy() for c in ("query", "score", "node", "first")), k)]
+        yield best
+
+    every = rows.select("node", "first", "vec").mapInPandas(run, FOUND).toPandas()
+    return every.iloc[_merged(*(every[c].to_numpy() for c in ("query", "score", "node", "first")), k)] if len(every) else every
+
+
 def nearest(
-    df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, orderings: int = 16, windows: int = 20, dims: int = 4, bits: int = 10, seed: int = 11
+    df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, orderings: int = 8, window: int = 256, recall: float = 0.95, audited: int = 128, dims: int = 4, bits: int = 10, seed: int = 11
 ) -> DataFrame:
-    """query_id, rank, vec_id, score: for rows whose id is divisible by `every`, the k nearest rows found, by cosine.
-
-    Nearest first, ties to the smaller id; a query isn't its own neighbour. Vectors
-    that are null, zero, or hold null or non-finite components take no part, nor do
-    null ids. Rows that share an id are one candidate, at their best score; a query
-    whose id has several vectors is searched with each. Vectors must have one length.
+    """query_id, rank, vec_id, score, audited_recall, window: for rows whose id is divisible by `every`, the k nearest rows found, by cosine.
+
+    Nearest first, ties to the smaller id; a query isn't its own neighbour. Windows
+    start with `window` rows and double until `audited` sampled queries find `recall`
+    of their k nearest; both figures come with every row. Equal vectors are one
+    point with its smallest ids, so copies, however many, neither crowd a window nor
+    are missed. Vectors that are null, zero, hold null or non-finite components, or
+    are of another length than most, take no part, nor do null ids. Rows that share
+    an id are one candidate, at their best score; a query whose id has several
+    vectors is searched with each. Empty in, empty out.
     """
+    spark = df.sparkSession
     rows, code = usable(df, id_col, vector_col)
-    rows = durable(rows)
-    first = rows.first()
-    if first is None:
-        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    n = rows.count()
-    windows = max(1, min(windows, n // LEAST_ROWS))
-    plan = Orderings(len(np.frombuffer(first.vec, code)), orderings, dims, bits, seed)
-    place = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(place < SAMPLE / n).select("vec").toPandas() if n > SAMPLE else rows.select("vec").toPandas()
-    keys = plan.keys(unit(matrix(sample["vec"], code))) if len(sample) else np.zeros((1, orderings), np.int64)
-    cuts = np.quantile(keys, np.arange(1, windows) / windows, axis=0)
-    parts = max(1, round(n / windows / CELL))
-
-    def place_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    one = rows.first()
+    if one is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, audited_recall double, window long")
+    distinct = rows.distinct()
+    few = distinct.withColumn("place", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where(F.col("place") <= k + 1)
+    points = durable(few.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("node", F.monotonically_increasing_id()))
+    plan = Orderings(len(np.frombuffer(one.vec, code)), orderings, dims, bits, seed)
+    queries = durable(distinct.where(F.col("id") % every == 0).join(points.select("vec", "node"), "vec").select(F.col("id").alias("query_id"), F.col("node").alias("query")))
+    ready = stored(points.join(placed(points, plan, code), "node").select("node", F.col("ids")[0].alias("first"), "vec", "at"))
+    asking = ready.join(queries.select(F.col("query").alias("node")).distinct(), "node", "left_semi")
+    n, score = ready.count(), 1.0
+    sample = asking.orderBy(F.xxhash64("node", F.lit(seed))).limit(audited)
+    asked = sample.toPandas()
+    if len(asked):
+        truth = nearest_of_all(ready, asked, k, code)
+        wanted = set(zip(truth["query"], truth["node"], strict=True))
+        asked_rows = ready.where(F.col("node").isin([int(x) for x in asked["node"]]))
+        while True:
+            block = lambda c: F.floor(c["pos"] / window)  # noqa: B023, E731
+            near = asked_rows.select(F.explode("at").alias("spot")).select("spot.o", F.explode(F.sequence(block(F.col("spot")) - 1, block(F.col("spot")) + 1)).alias("block")).distinct()
+            spots = ready.select("node", "first", "vec", F.explode("at").alias("spot")).withColumns({"o": F.col("spot.o"), "block": block(F.col("spot"))})
+            some = spots.join(near, ["o", "block"], "left_semi").select("node", "first", "vec", F.array("spot").alias("at"))
+            got = search(some, asked_rows, window, k, code).select("query", "node").distinct().toPandas()
+            score = len(wanted & set(zip(got["query"], got["node"], strict=True))) / len(wanted) if wanted else 1.0
+            if score >= recall or window >= n:
+                break
+            window *= 2
+    found = search(ready, asking, window, k, code).groupBy("query", "node").agg(F.max("score").alias("score"), F.first("first").alias("first"))
+    by_score = Window.partitionBy("query").orderBy(F.desc("score"), "first")
+    found = found.withColumn("place", F.row_number().over(by_score)).where(F.col("place") <= 2 * k).select("query", "node", "score")
+
+    def with_itself(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if pdf.empty:
-                continue
-            found = plan.keys(unit(matrix(pdf["vec"], code)))
-            ids = pdf["id"].to_numpy()
-            part = (ids * 0x9E3779B1 >> 16) % parts
-            for o in range(orderings):
-                window = np.searchsorted(cuts[:, o], found[:, o], side="right")
-                yield pd.DataFrame({"cell": (o * windows + window) * parts + part, "asks": False, "id": ids, "vec": pdf["vec"]})
-                asks = np.flatnonzero(ids % every == 0)
-                for step in (-1, 0, 1):
-                    near = window[asks] + step
-                    at = asks[(near >= 0) & (near < windows)]
-                    for p in range(parts):
-                        yield pd.DataFrame({"cell": (o * windows + window[at] + step) * parts + p, "asks": True, "id": ids[at], "vec": pdf["vec"].to_numpy()[at]})
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        asks, there = pdf[pdf["asks"]], pdf[~pdf["asks"]]
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if len(asks) and len(there):
-            ids, x, q = there["id"].to_numpy(), unit(matrix(there["vec"], code)), asks["id"].to_numpy()
-            y = unit(matrix(asks["vec"], code))
-            for at in range(0, len(q), 256):
-                score = y[at : at + 256] @ x.T
-                score[q[at : at + 256, None] == ids[None, :]] = -np.inf
-                enough = min(k, len(ids)) - 1
-                least = -np.partition(-score, enough, axis=1)[:, enough] - 1e-9
-                for row in range(len(score)):
-                    near = np.flatnonzero((score[row] >= least[row]) & np.isfinite(score[row]))
-                    exact = cosines(x[near], y[at + row][None, :])
-                    near, exact = near[(order := np.lexsort((ids[near], -exact)))], exact[order]
-                    _, fresh = np.unique(ids[near], return_index=True)
-                    fresh = np.sort(fresh)[:k]
-                    out.append((np.full(len(fresh), q[at + row]), ids[near][fresh], exact[fresh]))
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], []]
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), cols, strict=True))).astype({"query_id": np.int64, "vec_id": np.int64, "score": np.float64})
-
-    placed = rows.mapInPandas(place_rows, "cell long, asks boolean, id long, vec binary")
-    found = placed.groupBy("cell").applyInPandas(search, "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+            x = unit(matrix(pdf["vec"], code)) if len(pdf) else np.zeros((0, 1))
+            yield pd.DataFrame({"query": pdf["node"], "node": pdf["node"], "score": cosines(x, x)})
+
+    own = asking.select("node", "vec").mapInPandas(with_itself, "query long, node long, score double")
+    named = found.unionByName(own).join(points.select("node", "ids"), "node").select("query", "score", F.explode("ids").alias("vec_id"))
+    told = queries.join(named, "query").where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    told = told.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
+    return told.select("query_id", "rank", "vec_id", "score", F.lit(score).alias("audited_recall"), F.lit(window).cast("long").alias("window"))

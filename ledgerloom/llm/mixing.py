@@ -52,13 +52,6 @@ def targets(sources: DataFrame, weights: tuple[float, ...], share: float, most:
     return w.select("source", "source_size", target.alias("target"))
 
 
-def _same(a: DataFrame, b: DataFrame, names: list[str]) -> Column:
-    out = F.lit(True)
-    for name in names:
-        out = out & a[name].eqNullSafe(b[name])
-    return out
-
-
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -76,13 +69,17 @@ def mix(
     Size is the number of words (null text: 0). Sources, in order of code points with
     null last, take the weights in turn and share `share` times all words; none gets
     more than `most` times its own, and what it can't take is shared anew by weight.
-    A document is emitted floor(most) times at most if most is whole, and a source
-    without words takes none. Ties of size go by a hash of the id, then the id; rows
+    most is a whole number, and no document is emitted more often. A source without
+    words takes none. Ties of size go by a hash of the id, then the id; rows
     that are equal in both are ranked in any order, which changes no result. The
-    offset depends on seed and source alone, so reruns agree. Empty in, empty out.
+    offset depends on seed and source alone, so reruns agree. Carried columns that are
+    called as one of the others are left out. Empty in, empty out.
     """
+    carry = [c for c in carry or [] if c not in (id_col, "size", "source", "source_size", "target", "copies", "taken")]
+    if most != int(most):
+        raise ValueError("most must be a whole number: a document can't be emitted a part of a time")
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("source"), size.alias("size"), *[F.col(c).alias(f"__c_{c}") for c in carry or []])
+    sized = docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("source"), size.alias("size"), *[F.col(c).alias(f"__c_{c}") for c in carry])
     sized = sized.withColumn("class", size_class(F.col("size"))).withColumn("tie", spread(F.col("__id")))
     lean = sized.select("source", "size", "class", "tie", "__id")
     lean = durable(lean)
@@ -115,5 +112,5 @@ def mix(
     upfrom = F.floor((F.col("first") + F.col("rank") - 1) * F.col("rate") + F.col("offset"))
     told = told.withColumn("copies", F.least(upto - upfrom, F.lit(int(most))).cast("long"))
     return told.select(
-        F.col("__id").alias(id_col), "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *[F.col(f"__c_{c}").alias(c) for c in carry or [] if c not in (id_col, source_col)]
+        F.col("__id").alias(id_col), "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *[F.col(f"__c_{c}").alias(c) for c in carry]
     )

@@ -276,10 +276,10 @@ def near_duplicates(
     The search is repeated, with lists and tables doubled, up to twice while the
     audit finds less than `recall`, and what it found stays; after the third time all
     pairs of components are compared. Tables and rounds grow with the logarithm of
-    the rows. Vectors must have one length.
+    the rows. Vectors of another length than most link with nothing.
     """
     rows, code = usable(df, id_col, vector_col)
-    rows = durable(rows.withColumn("node", F.xxhash64("vec")))
+    rows = rows.withColumn("node", F.xxhash64("vec"))
 
     def shrink(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -29,6 +29,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts under piece_bpe_32k's pieces, each scored by minus the logarithm of its place, as the file holds no unigram probabilities."""
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents")
@@ -78,7 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def url_filter_sql(rules: tuple[urlgraph.Rule, ...] = urlgraph.RULES, rounds: int = 8, damping: float = 0.85, threshold: float = 1.0) -> str:
-    """op6 in SQL, its rounds unrolled."""
+    """op6 in SQL, its rounds unrolled: all there are where links only lead to hosts above, as in the test pages."""
     ranked = sorted(rules, key=lambda r: (-len(r[1] + r[2]), -len(r[1]), r[1] + r[2], r[0]))
     fit = [f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')" for _, h, p in ranked]
     which = " ".join(f"WHEN {f} THEN {k}" for k, f in enumerate(fit))
@@ -99,7 +100,7 @@ l AS (SELECT host AS src, {low("unnest(regexp_extract_all(html, '" + href + "',
 n AS (SELECT src, dst, count(*) AS n FROM (SELECT src, dst FROM l WHERE dst <> '' AND dst <> src UNION ALL SELECT h.host, a.host FROM hosts h JOIN hosts a ON a.host = regexp_replace(h.host, '^[^.]*\\.', '') AND a.host <> h.host) GROUP BY 1, 2),
 e AS MATERIALIZED (SELECT 'allow' AS kind, src, dst, n / sum(n) OVER (PARTITION BY src) AS weight FROM n UNION ALL SELECT 'block', dst, src, n / sum(n) OVER (PARTITION BY dst) FROM n),
 r0 AS MATERIALIZED (SELECT ruled AS kind, host AS node, count(*) / sum(count(*)) OVER (PARTITION BY ruled) AS score FROM j WHERE ruled IS NOT NULL AND host <> '' GROUP BY 1, 2){steps},
-t AS (SELECT node, coalesce(sum(CASE WHEN kind = 'block' THEN score END), 0) - coalesce(sum(CASE WHEN kind = 'allow' THEN score END), 0) AS gap FROM r{rounds} GROUP BY 1)
+t AS (SELECT node, coalesce(sum(CASE WHEN kind = 'block' THEN share END), 0) - coalesce(sum(CASE WHEN kind = 'allow' THEN share END), 0) AS gap FROM (SELECT kind, node, score / sum(score) OVER (PARTITION BY kind) AS share FROM r{rounds}) GROUP BY 1)
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN coalesce(gap, 0) * (SELECT count(*) FROM hosts) > {threshold} THEN 'block' ELSE 'allow' END) AS verdict FROM j LEFT JOIN t ON t.node = j.host"""
 
 

@@ -14,6 +14,7 @@ a group of near copies never turns into all of its pairs.
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb, inf
 
 import numpy as np
 import pandas as pd
@@ -75,6 +76,21 @@ def segments_of(bits: int, distance: int, count: int) -> list[tuple[int, int, in
     return [x for x in found if x[2] >= 0]
 
 
+def best_segments(n: int, distance: int, bits: int = 64, most_probes: int = 4096) -> int:
+    """The number of segments that makes least work for n fingerprints: probes of all balls, each with what a bucket holds.
+
+    Buckets of w bits hold n / 2^w fingerprints, so segments lengthen with log2(n):
+    for a distance of 4, three of 21 bits (46 probes) up to some 20 million
+    fingerprints, two of 32 bits (562 probes) from there on.
+    """
+
+    def work(count: int) -> float:
+        balls = [(sum(comb(w, r) for r in range(radius + 1)), w) for _, w, radius in segments_of(bits, distance, count)]
+        return sum(size * (1 + n / 2**w) for size, w in balls) if sum(size for size, _ in balls) <= most_probes and max(w for _, w in balls) <= 56 else inf
+
+    return min(range(1, distance + 2), key=work)
+
+
 def _segment(fp: Column, shift: int, width: int) -> Column:
     return F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1))
 
@@ -134,12 +150,14 @@ def hamming_links(prints: DataFrame, distance: int = 4, segments: int = 3) -> Da
     return stars.unionByName(found.select("src", "dst"))
 
 
-def fingerprint_components(prints: DataFrame, distance: int = 4, segments: int = 3) -> DataFrame:
+def fingerprint_components(prints: DataFrame, distance: int = 4, segments: int | None = None) -> DataFrame:
     """(fp, group, component_id) of prints (id, fp) with an id: the smallest fingerprint and the smallest id of fp's component.
 
     Fingerprints are the nodes, so an id with several texts doesn't connect their components.
+    The number of segments follows the number of fingerprints unless it is given.
     """
     reps = durable(prints.groupBy("fp").agg(F.min("id").alias("rep")).where("rep IS NOT NULL"))
+    segments = segments or best_segments(reps.count(), distance)
     labels = components(hamming_links(reps.select(F.col("fp").alias("rep"), "fp"), distance, segments))
     told = durable(reps.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("group")))
     smallest = told.groupBy("group").agg(F.min("rep").alias("component_id"))
@@ -147,7 +165,7 @@ def fingerprint_components(prints: DataFrame, distance: int = 4, segments: int =
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, segments: int = 3
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, segments: int | None = None
 ) -> DataFrame:
     """docs' id, `fp` (signed long) and `component_id`, one row per input row.
 

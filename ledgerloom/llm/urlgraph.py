@@ -8,6 +8,8 @@ its trust by a threshold is blocked.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,34 +67,39 @@ def host_edges(parsed: DataFrame, html_col: str = "html") -> DataFrame:
     return counted.unionByName(above).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 8, damping: float = 0.85) -> DataFrame:
-    """(kind, node, score): personalised PageRank of each kind of seed after `rounds` steps.
+def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float, damping: float = 0.85) -> DataFrame:
+    """(kind, node, score): personalised PageRank of each kind of seed; what rounds would still add is `tolerance` at most.
 
     edges: (kind, src, dst, weight) with weights that sum to one for each source;
-    seeds: (kind, node, seed) that sum to one for each kind. Sources' ranks are summed
-    by target before they are shuffled; nodes without links out give their rank up.
+    seeds: (kind, node, seed) that sum to one for each kind. Every round carries on
+    what the round before has moved, summed by target before it is shuffled, and
+    rounds end when too little moves. Nodes without links out return their rank to
+    the seeds, which is the same as scaling each kind's scores to a sum of one.
     """
-    rank = seeds.select("kind", "node", F.col("seed").alias("score"))
-    for k in range(rounds):
-        flow = rank.withColumnRenamed("node", "src").join(edges, ["kind", "src"]).select(
-            "kind", F.col("dst").alias("node"), (F.col("score") * F.col("weight") * damping).alias("part")
-        )
-        start = seeds.select("kind", "node", (F.col("seed") * (1 - damping)).alias("part"))
-        rank = flow.unionByName(start).groupBy("kind", "node").agg(F.sum("part").alias("score"))
-        if k % 4 == 3:
-            rank = durable(rank)
-    return rank
+    moved = durable(seeds.select("kind", "node", (F.col("seed") * (1 - damping)).alias("score")))
+    parts, left = [moved], 1.0
+    while left > tolerance:
+        flow = moved.withColumnRenamed("node", "src").join(edges, ["kind", "src"]).select("kind", F.col("dst").alias("node"), (F.col("score") * F.col("weight") * damping).alias("score"))
+        moved = durable(flow.groupBy("kind", "node").agg(F.sum("score").alias("score")))
+        parts.append(moved)
+        mass = moved.groupBy("kind").agg(F.sum("score").alias("mass")).agg(F.max("mass")).first()[0] or 0.0
+        left = mass * damping / (1 - damping)
+    rank = reduce(DataFrame.unionByName, parts).groupBy("kind", "node").agg(F.sum("score").alias("score"))
+    sums = rank.groupBy("kind").agg(F.sum("score").alias("all"))
+    return rank.join(sums, "kind").select("kind", "node", (F.col("score") / F.col("all")).alias("score"))
 
 
 def judge(
-    pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = 1.0, rounds: int = 8
+    pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = 1.0, precision: float = 1e-3
 ) -> DataFrame:
     """page_id, host, path, rule, verdict, trust and distrust: one row per input row.
 
-    trust and distrust are the host's scores in units of an even share, 1 / hosts.
+    trust and distrust are the host's scores in units of an even share, 1 / hosts,
+    to within `precision`.
     Without a fitting rule the verdict is block if distrust exceeds trust by more than
     threshold, else allow; hosts that nothing reaches, and pages without a host, are
-    allowed. Null html has no links. Empty in, empty out.
+    allowed. Null html has no links; very long html is searched whole. Repeated rows
+    count as pages of their own. Empty in, empty out.
     """
     parsed = by_rules(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")), rules)
     edges = durable(host_edges(parsed))
@@ -105,11 +112,11 @@ def judge(
     seeded = lean.where("ruled IS NOT NULL AND host <> ''").groupBy(F.col("ruled").alias("kind"), F.col("host").alias("node")).agg(F.count("*").alias("n"))
     totals = seeded.groupBy("kind").agg(F.sum("n").alias("all"))
     seeds = durable(seeded.join(totals, "kind").select("kind", "node", (F.col("n") / F.col("all")).alias("seed")))
-    ranks = propagate(both, seeds, rounds).groupBy("node").agg(
+    hosts = lean.where("host <> ''").select("host").distinct().count()
+    ranks = propagate(both, seeds, precision / max(1, hosts)).groupBy("node").agg(
         F.coalesce(F.sum(F.when(F.col("kind") == "allow", F.col("score"))), F.lit(0.0)).alias("trust"),
         F.coalesce(F.sum(F.when(F.col("kind") == "block", F.col("score"))), F.lit(0.0)).alias("distrust"),
     )
-    hosts = lean.where("host <> ''").select("host").distinct().count()
     scaled = durable(ranks.select("node", (F.col("trust") * hosts).alias("trust"), (F.col("distrust") * hosts).alias("distrust")))
     told = lean.join(scaled, F.col("host") == F.col("node"), "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))

@@ -9,11 +9,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import durable
 
-def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, vec): rows with an id and a vector of finite components that isn't zero; equal rows once, then one per id.
 
-    vec holds the components as little-endian doubles, or floats if the column has floats.
+def usable(df: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, str]:
+    """(rows, code): (id, vec) of rows with an id and a vector of finite components that isn't zero, written to the shared folder.
+
+    vec holds the components as little-endian doubles (code <f8), or floats (<f4) if
+    the column has floats. Of vectors of several lengths those of the most frequent
+    one count (of equally frequent ones the longest); the others are not usable.
     """
     kind = dict(df.dtypes)[vector_col]
     code = "<f4" if kind == "array<float>" else "<f8"
@@ -28,7 +32,9 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["id", "vec"])
 
     some = df.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull())
-    return some.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).mapInPandas(pack, "id long, vec binary"), code
+    rows = durable(some.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).mapInPandas(pack, "id long, vec binary"))
+    usual = rows.groupBy(F.octet_length("vec").alias("length")).count().orderBy(F.desc("count"), F.desc("length")).first()
+    return rows.where(F.octet_length("vec") == usual.length) if usual else rows, code
 
 
 def matrix(vectors: pd.Series, code: str) -> np.ndarray:

@@ -11,16 +11,20 @@ import base64
 import gzip
 import hashlib
 import io
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import durable, stored
+from ledgerloom.llm.common import durable, shared_dir, stored
 
-#: Captures per archive file, which bounds what a reading task holds.
-CAPTURES_PER_ARCHIVE = 2_000
+#: Captures and, about, bytes of payload per archive file, which bound what a reading task holds.
+CAPTURES_PER_ARCHIVE, ARCHIVE_BYTES = 2_000, 64 << 20
+#: Payloads are archived by size: class k holds those up to 8^k times the size of which so many fit, the last class all larger ones, one a file.
+CLASSES = 5
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -55,20 +59,26 @@ def write_archives(
     Of rows with equal payloads of least_bytes or more, the one with the smallest id
     (null last, then first read) is the response; the others are revisits that refer to it.
     Null payloads are empty. A page's id and url stand in its metadata record; line ends
-    in urls become spaces.
+    in urls become spaces. Rows are numbered and stored first, so that a task that runs
+    again numbers none anew; a file holds captures of one size class, so that many
+    small ones or a few large ones make an archive.
     """
-    nul = F.lit("")
+    nul, spark = F.lit(""), pages.sparkSession
     rows = pages.select(
         F.monotonically_increasing_id().alias("nonce"), F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col).cast("string"), nul).alias("payload")
     )
-    rows = rows.withColumn("sha256", F.sha2(F.col("payload").cast("binary"), 256))
+    raw, fitting = F.col("payload").cast("binary"), ARCHIVE_BYTES // CAPTURES_PER_ARCHIVE
+    size = reduce(lambda out, k: F.when(F.octet_length("payload") <= fitting * 8**k, k).otherwise(out), range(CLASSES - 2, -1, -1), F.lit(CLASSES - 1))
+    rows = rows.withColumns({"sha256": F.sha2(raw, 256), "sha1": base32_of_sha1(F.sha1(raw)), "bytes": F.octet_length("payload"), "size_class": size})
+    numbered = f"{shared_dir(spark).rstrip('/')}/rows-{uuid.uuid4().hex}"
+    rows.write.partitionBy("size_class").parquet(numbered)
+    rows = spark.read.schema(rows.schema).parquet(numbered)
     order = F.struct(F.col("page_id").isNull().alias("last"), "page_id", "nonce", "url")
-    lean = rows.where(F.octet_length("payload") >= least_bytes).select("sha256", order.alias("own"))
+    lean = rows.where(F.col("bytes") >= least_bytes).select("sha256", order.alias("own"))
     firsts = lean.groupBy("sha256").agg(F.count("*").alias("n"), F.min("own").alias("first")).where("n > 1").drop("n")
     again = lean.join(firsts, "sha256").where("own.nonce <> first.nonce").select(F.col("own.nonce").alias("nonce"), F.col("first.nonce").alias("first_nonce"), F.col("first.url").alias("first_url"))
     # a table of known size: small ones are broadcast by Spark's own threshold, others joined by sorting
     rows = rows.join(stored(again), "nonce", "left").withColumns({"date": F.lit(date), "uri": F.regexp_replace("url", r"[\r\n]", " ")})
-    rows = rows.withColumn("sha1", base32_of_sha1(F.sha1(F.col("payload").cast("binary"))))
     own, revisits = _urn("response"), F.col("first_nonce").isNotNull()
     first = F.struct(F.col("first_nonce").alias("nonce"), F.col("first_url").alias("url"))
     refers = F.md5(F.concat_ws("|", F.lit("response"), first["nonce"], F.col("sha256"), first["url"]))
@@ -82,8 +92,9 @@ def write_archives(
     http = "application/http; msgtype="
     main = F.when(revisits, _record("revisit", own, [digest, profile], http + "response", line)).otherwise(_record("response", own, [digest], http + "response", line, F.col("payload")))
     three = F.array(_record("request", _urn("request"), [concurrent], http + "request", get), main, _record("metadata", _urn("metadata"), [concurrent], "application/warc-fields", about))
-    out = rows.select(F.explode(three).alias("value")).write.option("lineSep", "\n").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
-    out.option("maxRecordsPerFile", 3 * CAPTURES_PER_ARCHIVE).text(path)
+    for k in sorted(r.size_class for r in rows.select("size_class").distinct().collect()) or [0]:
+        out = rows.where(F.col("size_class") == k).select(F.explode(three).alias("value")).write.mode("append").option("lineSep", "\n").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
+        out.option("maxRecordsPerFile", 3 * max(1, CAPTURES_PER_ARCHIVE // 8**k if k < CLASSES - 1 else 1)).text(path)
 
 
 RECORD = "archive string, record_id string, type string, concurrent_to array<string>, refers_to string, uri string, date string, payload_digest string, payload_bytes long, computed_digest string, fields map<string,string>, payload binary"
@@ -110,7 +121,8 @@ def parse_records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, list[st
 def read_archives(spark, path: str, keep_payload: bool = True) -> DataFrame:
     """Every record of the archives under path (plain or gzipped): RECORD; payloads are null unless keep_payload.
 
-    A task holds one archive at a time. A record that is cut off or has no header raises.
+    A task holds archives of spark.sql.execution.arrow.maxBytesPerBatch bytes, or one,
+    and the records of one. A record that is cut off or has no header raises.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

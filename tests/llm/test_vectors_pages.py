@@ -3,12 +3,14 @@
 import base64
 import gzip
 import hashlib
+import io
 import math
 import random
 from functools import lru_cache
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("ledgerloom.llm")
 from ledgerloom.llm import curves, nndescent, trie_counts, urlgraph, warc  # noqa: E402
@@ -132,6 +134,79 @@ def test_curves_find_the_nearest_with_exact_scores(spark):
     assert {r.query_id for r in got} == {ids[k] for k in asked}
 
 
+def clustered(n, seed=2, width=24, size=40):
+    """Clusters of `size` vectors around isotropic centres."""
+    r = np.random.default_rng(seed)
+    centres = r.normal(size=(n // size, width))
+    return [(k, (centres[k % len(centres)] + r.normal(size=width) * 0.1).tolist()) for k in range(n)]
+
+
+def test_windows_do_not_grow_with_the_rows_where_vectors_cluster(spark):
+    """What a query is compared with, at most three windows an ordering, is the same for three times the rows."""
+    windows = set()
+    for n in (2000, 6000):
+        df = spark.createDataFrame(clustered(n), "vec_id long, embedding array<double>").repartition(3)
+        got = curves.nearest(df, orderings=4, window=64).collect()
+        assert len(got) == 5 * n // 50
+        windows |= {(r.window, r.audited_recall >= 0.95) for r in got}
+    assert windows == {(64, True)}
+
+
+def test_windows_cross_partitions_and_lanes(spark, monkeypatch):
+    """Small cells, and windows that end within partitions: what three windows hold is what is compared."""
+    monkeypatch.setattr(curves, "CELL", 16)
+    rows = vectors(n=300)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = curves.nearest(df, every=10, window=512)
+    ids, x = units(rows)
+    want = set()
+    for k, i in enumerate(ids):
+        if i % 10 == 0:
+            best = sorted((-float((x[k] * x[j]).sum()), ids[j]) for j in range(len(ids)) if j != k)
+            want |= {(i, r + 1, j) for r, (_, j) in enumerate(best[:5])}
+    exact = {(r.query_id, r.rank, r.vec_id) for r in got.collect()}
+    assert len(exact) == len(want) and len(exact & want) / len(want) > 0.97  # scaled copies tie up to rounding
+
+
+def test_a_hot_vector_neither_crowds_windows_nor_hides_its_smallest_ids(spark):
+    r = np.random.default_rng(5)
+    hot = r.normal(size=8).tolist()
+    rows = [(k, hot) for k in range(0, 3000, 3)] + [(k, r.normal(size=8).tolist()) for k in range(3000) if k % 3]
+    got = curves.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), window=64).collect()
+    asked = [k for k in range(0, 3000, 3) if k % 50 == 0]
+    for k in asked:
+        mine = [r.vec_id for r in sorted((r for r in got if r.query_id == k), key=lambda r: r.rank)]
+        assert mine == [i for i in range(0, 18, 3) if i != k][:5]
+    assert len(got) == 5 * 60
+
+
+def test_vectors_of_another_length_and_clashing_columns(spark):
+    rows = [(k, [float(k % 7), 1.0, 2.0]) for k in range(1, 60)] + [(50, [1.0, 2.0]), (100, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "'n' AS node", "1 AS id", "'v' AS vec", "0 AS score", "2 AS rank")
+    got = curves.nearest(df).collect()
+    assert {r.query_id for r in got} == {50} and [r.rank for r in sorted(got, key=lambda r: r.rank)] == [1, 2, 3, 4, 5]
+    dups = nndescent.near_duplicates(df).collect()
+    assert len(dups) == len(rows) and [(r.n_links, r.component_id) for r in dups if r.vec_id == 100] == [(0, 100)]
+
+
+def test_nearest_query_matches_brute_force(spark, sf):
+    from ledgerloom.llm import queries
+
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    ids, x = units(rows)
+    got = {}
+    for r in queries.QUERIES["op9_nearest_neighbours"](spark, sf).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    assert set(got) == {i for i in ids if i % 50 == 0}
+    hits = 0
+    for k, i in enumerate(ids):
+        if i % 50 == 0:
+            best = [ids[j] for j in np.lexsort((ids, -(x[k] * x).sum(1))) if j != k][:5]
+            hits += len({v for v, _ in got[i].values()} & set(best))
+            assert all(s == pytest.approx(float(x[k] @ x[ids.index(v)]), abs=1e-12) for v, s in got[i].values())
+    assert hits / (5 * len(got)) >= 0.9
+
+
 def test_curves_with_few_or_no_rows(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r.rank, r.vec_id) for r in curves.nearest(few).orderBy("rank").collect()] == [(0, 1, 1), (0, 2, 2)]
@@ -170,6 +245,23 @@ def test_warc_round_trip(spark, tmp_path, least):
     assert sorted((tuple(r) for r in got), key=key) == sorted(want, key=key)
 
 
+def test_warc_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    """Small payloads share files, large ones get few or one each; a frame that numbers its rows differently each time makes no difference."""
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 40_000)
+    monkeypatch.setattr(warc, "CAPTURES_PER_ARCHIVE", 40)
+    rows = [(k, f"http://s/{k}", f"{k} " * 20) for k in range(200)] + [(1000 + k, f"http://m/{k}", str(k) * 7_000) for k in range(9)] + [(2000 + k, "http://l", f"x{k % 2}" * 500_000) for k in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").orderBy(F.rand())
+    got = {r.page_id: r for r in warc.captures_of(df, str(tmp_path / "w")).collect()}
+    assert {i: (r.payload_bytes, r.payload_digest) for i, r in got.items()} == {i: (len(h), base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()) for i, _, h in rows}
+    assert [got[2000 + k].refers_to for k in range(4)] == [None, None, 2000, 2001]
+    sizes = []
+    for file in (tmp_path / "w").glob("*.gz"):
+        payloads = [len(b) for h, b in warc.parse_records(io.BytesIO(gzip.decompress(file.read_bytes()))) if h["warc-type"] == ["response"]]
+        assert sum(payloads) <= 60_000 or len(payloads) == 1
+        sizes.append(len(payloads))
+    assert max(sizes) > 20
+
+
 def test_warc_assembly_and_payloads(spark, tmp_path):
     path = str(tmp_path / "w")
     warc.write_archives(spark.createDataFrame(pages(), "page_id long, url string, html string"), path)
@@ -193,7 +285,8 @@ def test_warc_reads_foreign_archives(spark, tmp_path):
     assert warc.captures_of(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "none")).count() == 0
 
 
-def brute_judge(rows, rules, rounds=8, damping=0.85, threshold=1.0):
+def brute_judge(rows, rules, rounds=300, damping=0.85, threshold=1.0):
+    """PageRank by its definition: every round, hosts without links out send all they have to the seeds."""
     lower = lambda s: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s)
 
     def parse(url):
@@ -231,7 +324,8 @@ def brute_judge(rows, rules, rounds=8, damping=0.85, threshold=1.0):
             degree[a] = degree.get(a, 0) + n
         rank = dict(seed)
         for _ in range(rounds):
-            new = {h: s * (1 - damping) for h, s in seed.items()}
+            lost = sum(v for h, v in rank.items() if h not in degree)
+            new = {h: s * (1 - damping + damping * lost) for h, s in seed.items()}
             for (a, b), n in flow.items():
                 if a in rank:
                     new[b] = new.get(b, 0) + damping * rank[a] * n / degree[a]
@@ -262,6 +356,27 @@ def test_url_verdicts_match_brute_force(spark):
     assert urlgraph.judge(df.where("false")).count() == 0
 
 
+def test_trust_settles_on_cycles_and_long_pages(spark):
+    """Hosts in a ring, a dead end and a page of two megabytes: scores to within the precision of the definition."""
+    ring = [f"h{k}.example" for k in range(6)]
+    rows = [(k, f"http://{h}/", [ring[(k + 1) % 6]] + (["end.example"] if k == 2 else [])) for k, h in enumerate(ring)]
+    rows += [(90, "http://end.example/", []), (91, "http://good.net/de/", [ring[0]]), (92, "http://bad.com/en/", [ring[3]]), (93, "http://x.org/es/", ["good.net"]), (93, "http://x.org/es/", ["good.net"])]
+    html = [(i, u, "".join(f"<a href='http://{x}/'>" for x in links) + ("x" * 2_000_000 if i == 91 else "")) for i, u, links in rows]
+    got = {r.host: r for r in urlgraph.judge(spark.createDataFrame(html, "page_id long, url string, html string").repartition(3)).collect()}
+    hosts = sorted(got)
+    pairs = [(h, x) for (_, u, links) in rows for h in [u.split("/")[2]] for x in links]
+    for kind, seeds, column in (("f", {"good.net": 1}, "trust"), ("b", {"bad.com": 1, "x.org": 2}, "distrust")):
+        m = np.zeros((len(hosts), len(hosts)))
+        for a, b in pairs:
+            a, b = (a, b) if kind == "f" else (b, a)
+            m[hosts.index(b), hosts.index(a)] += 1
+        s = np.array([seeds.get(h, 0) for h in hosts]) / sum(seeds.values())
+        degree = m.sum(0)
+        m = np.where(degree > 0, m / np.maximum(degree, 1), s[:, None])
+        want = np.linalg.solve(np.eye(len(hosts)) - 0.85 * m, 0.15 * s) * len(hosts)
+        assert [got[h][column] for h in hosts] == pytest.approx(want.tolist(), abs=2e-3)
+
+
 def test_token_counts_match_plain_dynamic_programming(spark, sf):
     import public_tokenizers
 
@@ -293,6 +408,35 @@ def test_token_counts_match_plain_dynamic_programming(spark, sf):
     assert trie_counts.count_tokens(docs.where("false"), path).count() == 0
 
 
+def test_trie_shares_prefixes_and_bounds_depth(monkeypatch):
+    """A node a distinct prefix, computed once; the same counts with shallow and with small tries."""
+    scores = {"▁": -5.0, "a": -3.0, "ab": -4.0, "▁ab": -6.0, "b": -3.5, "abab": -7.0, "c": -2.0}
+    unigram = trie_counts.Unigram(scores)
+    words = ["▁abab", "▁ab", "▁abc", "▁ababababababé", "▁c" * 40]
+    trie = trie_counts.Trie(unigram)
+    calls = []
+    step = unigram.step
+    monkeypatch.setattr(unigram, "step", lambda *a: calls.append(a) or step(*a))
+    whole = [trie.tokens(w) for w in words]
+    prefixes = {w[:k] for w in words for k in range(1, min(len(w), trie_counts.DEPTH) + 1)}
+    assert len(trie.forward) == len(prefixes) + 1 and len(calls) == len(prefixes) + sum(max(0, len(w) - trie_counts.DEPTH) for w in words)
+    assert [trie.tokens(w) for w in words[:4]] == whole[:4] and len(trie.forward) == len(prefixes) + 1
+    monkeypatch.setattr(trie_counts, "DEPTH", 2)
+    assert [trie_counts.Trie(unigram).tokens(w) for w in words] == whole
+
+
+def test_token_counts_of_long_words_in_bounded_tries(spark, monkeypatch):
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    long = "日本語" * 30_000
+    docs = spark.createDataFrame([(1, long), (1, long), (2, "some words " * 5_000)], "doc_id long, text string").selectExpr("*", "'i' AS id", "0 AS n_tokens")
+    got = sorted(map(tuple, trie_counts.count_tokens(docs, path).collect()))
+    unigram = trie_counts.Unigram(trie_counts.read_scores(path))
+    tokens = trie_counts.Trie(unigram).tokens
+    assert got == [(1, 1, 1, tokens("▁" + long))] * 2 + [(2, 10_000, 2, 5_000 * (tokens("▁some") + tokens("▁words")))]
+
+
 @pytest.mark.parametrize("name", ["op6_url_filter", "op7_source_mix"])
 def test_queries_match_their_sql(spark, sf, name):
     import duckdb
