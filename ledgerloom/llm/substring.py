@@ -39,7 +39,7 @@ BROADCAST = 64 << 20
 #: Batches whose rows of one group meet in a task, at most, about; bytes of text that a batch holds, at least, about.
 FAN_IN, BATCH_BYTES = 1 << 14, 1 << 23
 #: Words of a batch that are hashed at once, and candidate windows that are resolved at once.
-WORDS_AT_ONCE, WINDOWS_AT_ONCE = 1 << 19, 1 << 21
+WORDS_AT_ONCE, WINDOWS_AT_ONCE = 1 << 19, 1 << 20
 BASE_A, BASE_B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
