@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.durable import durable, shared_dir
+from ledgerloom.operators.durable import durable, shared_dir, stored
 from ledgerloom.plans.base import table
 
 __all__ = ["WORD", "components", "durable", "shared_dir", "stored", "table"]
@@ -16,13 +14,6 @@ __all__ = ["WORD", "components", "durable", "shared_dir", "stored", "table"]
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The same rows as a Parquet table in the shared folder: compressed, of a size that Spark's planner knows."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/rows-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) for every end of an edge; component is the smallest node that links reach.
 

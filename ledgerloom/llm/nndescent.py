@@ -8,8 +8,8 @@ double precision.
 
 Lists only have to connect what belongs together, and links that a full list has no
 room for still do so where they join components: within each component the links of
-every vector are then counted exactly, block by block, so a dense group neither caps
-nor emits its pairs. An audit compares a bounded sample of vectors with all others,
+every vector are then counted exactly, ball by ball, so a dense group neither caps
+nor emits its pairs, and balls that link whole are not compared vector by vector. An audit compares a bounded sample of vectors with all others,
 each vector counting once whatever its links, and has the search repeated with longer
 lists while it misses links; what three searches miss, a pass over all pairs of blocks finds.
 """
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import components, durable
+from ledgerloom.llm.common import components, durable, stored
 from ledgerloom.llm.vectors import matrix, unit, usable
 
 #: Room for what rounding to bytes does to a cosine.
@@ -32,6 +32,8 @@ MARGIN = 0.03
 #: Vectors of components of each size class that the audit compares with all others, in expectation (of those without links
 #: found, four times as many); rows a block of a component; rows a block of the pass over all pairs; rows that need no more tables.
 AUDITED, BLOCK, WHOLE, FEW = 256, 512, 4096, 8192
+#: Balls of a component whose centres one task compares with as many.
+TILE = 1024
 PAIR = "a long, b long, sim float"
 
 
@@ -154,37 +156,113 @@ def between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return ends.where(F.coalesce("__a", "a") != F.coalesce("__b", "b")).select("a", "b", "sim")
 
 
-def links_within(grouped: DataFrame, threshold: float, code: str) -> DataFrame:
+def _met(x: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """How many vectors each row of x (n of each) links with, where rows a meet rows b, or each other if a is b."""
+    sims = x[a] @ x[b].T
+    hit = sims >= threshold
+    for i, j in np.argwhere(np.abs(sims - threshold) < 1e-12):  # as the pair's own sum says, not the matrix product's
+        hit[i, j] = (x[a[i]] * x[b[j]]).sum() >= threshold
+    links = np.zeros(len(x), dtype=np.int64)
+    if a is b:
+        np.fill_diagonal(hit, False)
+        links[a] += hit @ n[b]
+    else:
+        links[a] += hit @ n[b]
+        links[b] += n[a] @ hit
+    return links
+
+
+def links_within(grouped: DataFrame, threshold: float, code: str, seed: int = 9) -> DataFrame:
     """(node, links): for nodes of (component, node, n, vec), the vectors of other nodes of the component that they link with.
 
-    Components are cut into blocks by a hash of the node and every two blocks meet in a
-    task of their own, so memory is bounded and what is emitted grows with blocks met,
-    not with links.
+    Components up to BLOCK nodes are compared whole. Larger ones are cut into balls of
+    about as many nodes, by the leading bits of their signature: where two balls' centres
+    and radii tell that all their vectors link, or none, that settles it by the triangle
+    inequality of angles; only balls in doubt are compared, every two in a task of their
+    own. A tight group of G nodes so costs (G / BLOCK)^2 comparisons of centres, and
+    neither memory nor what is emitted grows with the links.
     """
-    sizes = grouped.groupBy("component").agg(F.count("*").alias("nodes")).where("nodes > 1")
-    sizes = sizes.select("component", F.ceil(F.col("nodes") / BLOCK).cast("int").alias("blocks"))
-    cut = grouped.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
-    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "n", "vec")
+    sizes = grouped.groupBy("component").agg(F.count("*").alias("nodes"))
+    few = sizes.where(F.col("nodes").between(2, BLOCK)).select("component")
+    hot = durable(sizes.where(F.col("nodes") > BLOCK))
 
-    def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        _, low, high = key
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        every = np.arange(len(pdf))
+        return pd.DataFrame({"node": pdf["node"], "links": _met(unit(matrix(pdf["vec"], code)), pdf["n"].to_numpy(), every, every, threshold)})
+
+    small = grouped.join(few, "component", "left_semi").groupBy("component").applyInPandas(whole, "node long, links long")
+    return small if hot.isEmpty() else small.unionByName(links_by_balls(grouped.join(hot, "component"), threshold, code, seed))
+
+
+def links_by_balls(grouped: DataFrame, threshold: float, code: str, seed: int) -> DataFrame:
+    """links_within for (component, nodes, node, n, vec), cut into balls; `nodes` is the component's size."""
+
+    def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                x = unit(matrix(pdf["vec"], code))
+                bits = x @ np.random.default_rng(seed).normal(size=(x.shape[1], 30)) > 0
+                kept = np.ceil(np.log2(pdf["nodes"].to_numpy() / BLOCK)).astype(np.int64).clip(0, 30)
+                yield pdf.assign(lead=(bits @ (1 << np.arange(29, -1, -1, dtype=np.int64))) >> (30 - kept))
+
+    cut = stored(grouped.mapInPandas(signed, "component long, node long, n long, vec binary, nodes long, lead long"))
+    parts = cut.groupBy("component", "lead").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    cut = cut.join(parts, ["component", "lead"]).withColumn("part", F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).cast("int"))
+
+    def ball(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x, n = unit(matrix(pdf["vec"], code)), pdf["n"].to_numpy()
-        mine = (pdf["block"] == low).to_numpy()
+        centre = x.mean(0)
+        length = np.sqrt((centre * centre).sum())
+        centre = centre / length if length > 1e-9 else x[0]
+        radius = float(np.arccos(np.clip(x @ centre, -1, 1)).max())
+        return pd.DataFrame([(*key, centre.tobytes(), radius, int(n.sum()))], columns=["component", "lead", "part", "centre", "radius", "weight"])
+
+    balls = cut.groupBy("component", "lead", "part").applyInPandas(ball, "component long, lead long, part int, centre binary, radius double, weight long")
+    balls = durable(balls.withColumn("ball", F.monotonically_increasing_id()))
+    tiles = balls.groupBy("component").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    dealt = balls.join(tiles, "component").withColumn("tile", F.pmod(F.xxhash64("ball"), F.col("tiles")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.select("component", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "ball", "centre", "radius", "weight")
+    bound = float(np.arccos(threshold))
+
+    def settle(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        _, low, high = key
+        c, r, w, ids = matrix(pdf["centre"], "<f8"), pdf["radius"].to_numpy(), pdf["weight"].to_numpy(), pdf["ball"].to_numpy()
+        mine = (pdf["tile"] == low).to_numpy()
         a, b = np.flatnonzero(mine), np.flatnonzero(mine if low == high else ~mine)
-        hit = (x[a] @ x[b].T) >= threshold
-        close = np.argwhere(np.abs(x[a] @ x[b].T - threshold) < 1e-12)
-        for i, j in close:  # as the pair's own sum says, not the matrix product's
-            hit[i, j] = (x[a[i]] * x[b[j]]).sum() >= threshold
+        angle = np.arccos(np.clip(c[a] @ c[b].T, -1, 1))
         if low == high:
-            np.fill_diagonal(hit, False)
-        links = np.zeros(len(x), dtype=np.int64)
-        links[a] += hit @ n[b]
+            np.fill_diagonal(angle, 0.0)
+        reach = r[a][:, None] + r[b][None, :]
+        every, some = angle + reach <= bound - 1e-7, (angle + reach > bound - 1e-7) & (angle - reach <= bound + 1e-7)
+        if low == high:
+            some = np.triu(some)
+        sure = np.zeros(len(c), dtype=np.int64)
+        sure[a] += every @ w[b]
         if low != high:
-            links[b] += n[a] @ hit
-        return pd.DataFrame({"node": pdf["node"], "links": links})
+            sure[b] += w[a] @ every
+        own = np.diag(every) if low == high else np.zeros(len(a), bool)
+        i, j = np.nonzero(some)
+        told = pd.DataFrame({"ball": ids, "other": ids, "sure": sure, "own": False})
+        told.loc[a, "own"] = own
+        return pd.concat([told, pd.DataFrame({"ball": ids[a[i]], "other": ids[b[j]], "sure": -1, "own": False})])
+
+    settled = durable(dealt.groupBy("component", "low", "high").applyInPandas(settle, "ball long, other long, sure long, own boolean"))
+    sure = settled.where("sure >= 0").groupBy("ball").agg(F.sum("sure").alias("sure"), F.bool_or("own").alias("own"))
+    held = stored(cut.join(balls.select("component", "lead", "part", "ball"), ["component", "lead", "part"]).select("ball", "node", "n", "vec"))
+    pairs = settled.where("sure < 0").select(F.col("ball").alias("low"), F.col("other").alias("high"))
+    ends = pairs.select("low", "high", F.col("low").alias("ball")).unionByName(pairs.where("low <> high").select("low", "high", F.col("high").alias("ball")))
 
-    return dealt.groupBy("component", "low", "high").applyInPandas(meet, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        low, high = key
+        mine = (pdf["ball"] == low).to_numpy()
+        a = np.flatnonzero(mine)
+        b = a if low == high else np.flatnonzero(~mine)
+        return pd.DataFrame({"node": pdf["node"], "links": _met(unit(matrix(pdf["vec"], code)), pdf["n"].to_numpy(), a, b, threshold)})
+
+    doubtful = ends.join(held, "ball").groupBy("low", "high").applyInPandas(meet, "node long, links long")
+    certain = held.join(sure, "ball").select("node", (F.col("sure") - F.when(F.col("own"), F.col("n")).otherwise(0)).alias("links"))
+    return doubtful.unionByName(certain).groupBy("node").agg(F.sum("links").alias("links"))
 
 
 def audit(nodes: DataFrame, labels: DataFrame, found: DataFrame, threshold: float, code: str, seed: int) -> float:
@@ -279,7 +357,13 @@ def near_duplicates(
     the rows. Vectors of another length than most link with nothing.
     """
     rows, code = usable(df, id_col, vector_col)
-    rows = rows.withColumn("node", F.xxhash64("vec"))
+    mark = 0
+    while True:  # a seed under which no two different vectors share a hash; the first one, but for billions of vectors
+        hashed = rows.select(F.xxhash64("vec", F.lit(mark)).alias("node"), F.xxhash64("vec", F.lit(mark + 1)).alias("again"))
+        if hashed.groupBy("node").agg(F.min("again").alias("a"), F.max("again").alias("b")).where("a <> b").isEmpty():
+            break
+        mark += 1
+    rows = rows.withColumn("node", F.xxhash64("vec", F.lit(mark)))
 
     def shrink(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -329,7 +413,7 @@ def near_duplicates(
         return vectors.map(lambda v: None if v is None else np.asarray(v, dtype=np.float64).astype(code).tobytes())
 
     every = df.select(F.col(id_col).cast("long").alias("vec_id"), packed(F.col(vector_col)).alias("vec"))
-    every = every.select("vec_id", F.when(F.col("vec").isNotNull(), F.xxhash64("vec")).alias("__mark"))
+    every = every.select("vec_id", F.when(F.col("vec").isNotNull(), F.xxhash64("vec", F.lit(mark))).alias("__mark"))
     out = every.join(once, (every["vec_id"] == once["__id"]) & (every["__mark"] == once["__node"]), "left")
     component = F.coalesce("smallest", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"), F.lit(score).alias("audited_recall"))

@@ -57,6 +57,33 @@ def test_nn_descent_matches_brute_force(spark, monkeypatch):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
 
 
+def test_links_by_balls_match_brute_force(spark, monkeypatch):
+    """A tight group, whose balls link whole, a wide one and a chain, whose balls are in doubt, and what is far apart; several tiles."""
+    monkeypatch.setattr(nndescent, "BLOCK", 16)
+    monkeypatch.setattr(nndescent, "TILE", 4)
+    r = np.random.default_rng(11)
+    u, v, w = np.linalg.qr(r.normal(size=(10, 3)))[0].T
+    points = [u + r.normal(size=10) * 0.02 for _ in range(200)] + [v + r.normal(size=10) * 0.2 for _ in range(150)]
+    points += [np.cos(t) * w + np.sin(t) * u + r.normal(size=10) * 0.01 for t in np.linspace(0.3, 1.5, 90)]
+    rows = [(0, k, 1 + k % 3, np.asarray(p, "<f8").tobytes()) for k, p in enumerate(points)] + [(5, 900 + k, 2, np.asarray(u + k, "<f8").tobytes()) for k in range(2)]
+    df = spark.createDataFrame(rows, "component long, node long, n long, vec binary").repartition(3)
+    got = {x.node: x.links for x in nndescent.links_within(df, 0.9, "<f8").collect()}
+    x = np.array(points)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    hit = x @ x.T >= 0.9
+    np.fill_diagonal(hit, False)
+    assert {k: got[k] for k in range(len(points))} == dict(enumerate((hit @ np.array([1 + k % 3 for k in range(len(points))])).tolist()))
+    assert set(got) - set(range(len(points))) == {900, 901}
+
+
+def test_query_of_near_vectors_matches_brute_force(spark, sf):
+    from ledgerloom.llm import queries
+
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in queries.QUERIES["op1_embedding_near_dedup"](spark, sf).collect()}
+    assert got == brute_links(rows)
+
+
 def test_nn_descent_repeated_rows_and_null_ids(spark):
     v = [1.0, 2.0]
     got = nndescent.near_duplicates(spark.createDataFrame([(1, v), (1, v), (2, v), (None, v), (3, [2.0, -1.0])], "vec_id long, embedding array<float>")).collect()
