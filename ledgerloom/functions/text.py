@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -53,12 +54,22 @@ def folded(text: Column) -> Column:
 
 
 def tidy_lines(text: Column) -> Column:
-    """CRLF as LF, no control characters, no space at line ends, at most one empty line in a row, trimmed of outer line ends."""
-    t = F.regexp_replace(text, "\r\n?", "\n")
-    t = F.regexp_replace(t, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
-    t = F.regexp_replace(t, r"[ \t]+\n", "\n")
-    t = F.regexp_replace(t, r"\n{3,}", "\n\n")
-    return F.regexp_replace(t, r"^\n+|[ \t\n]+$", "")
+    """NFC, CRLF and CR as LF, no white space at line ends, at most one empty line in a row, no character of category C but line ends, trimmed; null is empty.
+
+    In Python, by Arrow batch, for NFC and for white space as Unicode has it.
+    """
+
+    def tidy(t: str | None) -> str:
+        t = unicodedata.normalize("NFC", t or "").replace("\r\n", "\n").replace("\r", "\n")
+        t = re.sub(r"\n{3,}", "\n\n", "\n".join(map(str.rstrip, t.split("\n"))).strip())
+        odd = {c for c in set(t) if c != "\n" and unicodedata.category(c)[0] == "C"}
+        return t.translate(dict.fromkeys(map(ord, odd))).strip() if odd else t
+
+    @F.pandas_udf("string")
+    def tidied(texts: pd.Series) -> pd.Series:
+        return texts.map(tidy)
+
+    return tidied(text)
 
 
 def digest(*parts: Column) -> Column:
@@ -128,9 +139,25 @@ def html_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
-def csv_safe(cell: Column) -> Column:
-    """Cells that a spreadsheet would run as a formula get an apostrophe before them."""
-    return F.when(cell.rlike(r"^\s*[=+\-@]"), F.concat(F.lit("'"), cell)).otherwise(cell)
+#: What a plain number in a sheet looks like.
+NUMBER = r"^[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?$"
+
+
+def csv_safe(cell: Column, numeric: bool = False) -> Column:
+    """Cells that a spreadsheet would run as a formula get an apostrophe before them: such as begin with = + - @, a tab or a CR. Plain numbers in a numeric column stay."""
+    risky = cell.rlike(r"^[=+\-@\t\r]")
+    risky = risky & ~cell.rlike(NUMBER) if numeric else risky
+    return F.when(risky, F.concat(F.lit("'"), cell)).otherwise(cell)
+
+
+def locator_identity(text: Column) -> Column:
+    """By what places are told apart: NFKC, white space collapsed, case-folded; in Python, by Arrow batch."""
+
+    @F.pandas_udf("string")
+    def identity(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).split()).casefold())
+
+    return identity(text)
 
 
 def locator(text: Column) -> Column:

@@ -9,21 +9,37 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Characters of a chunk.
 TARGET, LONGEST, OVERLAP = 1400, 1800, 200
 
 
 def cuts(text: str, target: int = TARGET, longest: int = LONGEST, overlap: int = OVERLAP) -> Iterator[tuple[int, int]]:
-    """Starts and ends of chunks: up to `longest` characters, cut at the last white space past `target` if there is one, each overlapping the one before."""
-    start, n = 0, len(text)
+    """Starts and ends of chunks, each overlapping the one before.
+
+    A text of up to `longest` characters is one chunk. Else a chunk that doesn't reach
+    the text's end ends behind the last white space within `longest` characters of its
+    start, or after `longest` if there is none. Chunks of white space alone are skipped.
+    """
+    n = len(text)
+    if 0 < n <= longest:
+        yield 0, n
+        return
+    start = 0
     while start < n:
-        end = min(n, start + longest)
-        if end < n:
-            blank = max(text.rfind(c, start + target, end) for c in " \n\t")
-            end = blank if blank > start else end
+        end = n
+        if start + target < n:
+            limit = min(n, start + longest)
+            last = text[start:limit].rsplit(None, 1)[-1:]
+            end = limit
+            if last and text.endswith(last[0], start, limit) and len(last[0]) < limit - start:
+                end = limit - len(last[0])
+        if not text[start:end].strip():
+            start = min(n, start + max(1, target - overlap))
+            continue
         yield start, end
         if end >= n:
             return
-        start = max(end - overlap, start + 1)
+        start = max(start + 1, end - overlap)
 
 
 def chunk(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -31,7 +47,7 @@ def chunk(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(i, k, a, b, t[a:b]) for i, t in zip(pdf["id"], pdf["text"], strict=True) if t is not None for k, (a, b) in enumerate(cuts(t))]
+            rows = [(i, k, a, b, t[a:b].rstrip()) for i, t in zip(pdf["id"], pdf["text"], strict=True) if t is not None for k, (a, b) in enumerate(cuts(t))]
             yield pd.DataFrame(rows, columns=["id", "chunk", "start", "stop", "text"])
 
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, chunk long, start long, stop long, text string")

@@ -5,7 +5,7 @@ A scan may be partial. Absence is only told from a complete one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -46,6 +46,85 @@ def absence(known: DataFrame, scan: DataFrame, key: str, present: str, complete:
     return gone.unionByName(back)
 
 
+def observed_events(known: DataFrame, scan: DataFrame, key: str, fields: list[str], status: str, fingerprint: str) -> DataFrame:
+    """key, event, fields, before, after: what a scan tells of each record.
+
+    NEW_OPPORTUNITY for unknown keys; METADATA_CHANGED, once for all fields that
+    differ (named in `fields`); SOURCE_STATUS_CHANGED for the status alone. before and
+    after are fingerprints.
+    """
+    old = known.select(F.col(key).alias("__k"), F.col(fingerprint).alias("__fp"), *[F.col(f).alias(f"__{f}") for f in [*fields, status]])
+    both = scan.join(old, F.col(key) == F.col("__k"), "left")
+    new, none = F.col("__k").isNull(), F.array().cast("array<string>")
+    differ = lambda f: ~F.col(f).eqNullSafe(F.col(f"__{f}"))
+    changed = F.array_compact(F.array(*[F.when(differ(f), F.lit(f)) for f in fields]))
+    event = lambda name, of: F.struct(F.lit(name).alias("event"), of.alias("fields"))
+    told = F.array_compact(F.array(
+        F.when(new, event("NEW_OPPORTUNITY", none)), F.when(~new & (F.size(changed) > 0), event("METADATA_CHANGED", changed)), F.when(~new & differ(status), event("SOURCE_STATUS_CHANGED", F.array(F.lit(status)))),
+    ))
+    found = both.select(key, F.explode(told).alias("e"), F.col("__fp").alias("before"), F.col(fingerprint).alias("after"))
+    return found.select(key, "e.event", "e.fields", "before", "after")
+
+
+def document_events(known: DataFrame, scan: DataFrame, keys: list[str], fingerprint: str, active: str, complete: bool) -> DataFrame:
+    """keys, event: DOCUMENT_ADDED for references that are new or were inactive, DOCUMENT_CHANGED for other fingerprints, and from a complete scan DOCUMENT_REMOVED for active ones that it lacks.
+
+    keys: a record's and its document's. Only documents of records that the scan saw can be removed.
+    """
+    old = known.select(*keys, F.col(fingerprint).alias("__fp"), F.col(active).alias("__active"))
+    both = scan.select(*keys, F.col(fingerprint).alias("__new")).withColumn("__seen", F.lit(True)).join(old, keys, "full")
+    seen, was = F.coalesce("__seen", F.lit(False)), F.coalesce("__active", F.lit(False))
+    event = F.when(seen & ~was, "DOCUMENT_ADDED").when(seen & ~F.col("__fp").eqNullSafe(F.col("__new")), "DOCUMENT_CHANGED")
+    told = both.select(*keys, (event.when(~seen & was, "DOCUMENT_REMOVED") if complete else event).alias("event")).where("event IS NOT NULL")
+    if not complete:
+        return told
+    records = scan.select(keys[0]).distinct().withColumn("__r", F.lit(True))
+    return told.join(records, keys[0], "left").where("event <> 'DOCUMENT_REMOVED' OR __r").drop("__r")
+
+
+def scope_hash(source: Column, version: Column, query: Column) -> Column:
+    """What identifies the filter of a scan: absence is only told against scans of the same."""
+    return F.sha2(F.to_json(F.struct(source.alias("source"), version.alias("version"), query.alias("query"))), 256)
+
+
+def covered_absence(coverage: DataFrame, observed: DataFrame, scope: str, key: str) -> DataFrame:
+    """scope, key, event against the coverage (scope, key, present) of complete scans of the same scope.
+
+    NO_LONGER_OBSERVED for present keys that the scope's scan lacks, REAPPEARED for
+    absent ones that it has; scopes that were not scanned tell nothing.
+    """
+    seen = observed.select(scope, key).distinct().withColumn("__seen", F.lit(True))
+    scanned = observed.select(scope).distinct()
+    both = coverage.join(scanned, scope, "left_semi").join(seen, [scope, key], "left")
+    here = F.coalesce("__seen", F.lit(False))
+    event = F.when(F.col("present") & ~here, "NO_LONGER_OBSERVED").when(~F.col("present") & here, "REAPPEARED")
+    return both.select(scope, key, event.alias("event")).where("event IS NOT NULL")
+
+
+def recovered(runs: DataFrame, holders: DataFrame, holder: str, status: str, retrieved: str) -> DataFrame:
+    """runs after a crash: RUNNING ones whose holder is gone become PARTIAL if they had retrieved something, else FAILED."""
+    alive = holders.select(F.col(holder).alias("__h")).distinct()
+    met = runs.join(alive, F.col(holder) == F.col("__h"), "left")
+    dead = (F.col(status) == "RUNNING") & F.col("__h").isNull()
+    return met.withColumn(status, F.when(dead, F.when(F.col(retrieved) > 0, "PARTIAL").otherwise("FAILED")).otherwise(F.col(status))).drop("__h")
+
+
+def handoffs(requests: DataFrame, current: DataFrame, receipts: DataFrame, key: str, binding: str, request: str) -> DataFrame:
+    """requests with `outcome`: REPLAYED with a receipt of the same request, MISSING without a record, STALE if what was previewed (binding) is no longer so, LINKED if another request has linked the record, else ACCEPTED."""
+    now = current.select(F.col(key).alias("__k"), F.col(binding).alias("__b"))
+    mine, any_ = receipts.select(F.col(request).alias("__r")).distinct(), receipts.select(F.col(key).alias("__l")).distinct()
+    met = requests.join(now, F.col(key) == F.col("__k"), "left").join(mine, F.col(request) == F.col("__r"), "left").join(any_, F.col(key) == F.col("__l"), "left")
+    outcome = F.when(F.col("__r").isNotNull(), "REPLAYED").when(F.col("__k").isNull(), "MISSING").when(~F.col(binding).eqNullSafe(F.col("__b")), "STALE").when(F.col("__l").isNotNull(), "LINKED").otherwise("ACCEPTED")
+    return met.withColumn("outcome", outcome).drop("__k", "__b", "__r", "__l")
+
+
+def retries(failed: DataFrame, attempts: DataFrame, key: str, fingerprint: str, most: int) -> DataFrame:
+    """failed with `retry`: whether the failed state, as its fingerprint tells it, has been tried fewer than `most` times; a new state starts anew."""
+    tried = attempts.groupBy(F.col(key).alias("__k"), F.col(fingerprint).alias("__f")).agg(F.count("*").alias("__n"))
+    met = failed.join(tried, (F.col(key) == F.col("__k")) & F.col(fingerprint).eqNullSafe(F.col("__f")), "left")
+    return met.withColumn("retry", F.coalesce("__n", F.lit(0)) < most).drop("__k", "__f", "__n")
+
+
 def coverage(known: DataFrame, scan: DataFrame, key: str, scope: str) -> DataFrame:
     """scope, known, observed, share of known keys that the scan saw."""
     seen = scan.select(F.col(key).alias("__k")).distinct()

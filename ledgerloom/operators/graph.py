@@ -36,22 +36,26 @@ def effects(edges: DataFrame, documents: DataFrame) -> DataFrame:
     return out.select("document", status.alias("status"), F.when(status == "SUPERSEDED", F.col("by")).alias("replacement"))
 
 
-def chain_ends(links: DataFrame, rounds: int = 20) -> DataFrame:
+def chain_ends(links: DataFrame, flag: str | None = None) -> DataFrame:
     """node, end, depth of links (node, next) with one next each: where its chain ends and how many steps on; null ends lie on or before cycles.
 
-    Rounds stop once every chain has ended; `rounds` of them cover 2^rounds steps.
+    With a boolean column `flag`, also whether it holds for some link of the chain.
+    No chain is longer than there are links, so nodes that have gone further without
+    an end never reach one; rounds go on until all others have ended.
     """
-    step = durable(links.select("node", F.col("next").alias("end"), F.lit(1).cast("long").alias("depth"), F.lit(False).alias("done")))
-    for _ in range(rounds):
-        on = step.select(F.col("node").alias("end"), F.col("end").alias("__end"), F.col("depth").alias("__depth"))
+    raised = F.lit(False) if flag is None else F.coalesce(flag, F.lit(False))
+    step = durable(links.select("node", F.col("next").alias("end"), F.lit(1).cast("long").alias("depth"), F.lit(False).alias("done"), raised.alias("__flag")))
+    n = step.count()
+    while True:
+        on = step.select(F.col("node").alias("end"), F.col("end").alias("__end"), F.col("depth").alias("__depth"), F.col("__flag").alias("__raised"))
         moved = step.join(on, "end", "left").select(
-            "node", F.coalesce("__end", "end").alias("end"), (F.col("depth") + F.coalesce("__depth", F.lit(0))).alias("depth"), F.col("__end").isNull().alias("done")
+            "node", F.coalesce("__end", "end").alias("end"), (F.col("depth") + F.coalesce("__depth", F.lit(0))).alias("depth"), F.col("__end").isNull().alias("done"), (F.col("__flag") | F.coalesce("__raised", F.lit(False))).alias("__flag")
         )
         step = durable(moved)
-        left = step.where("NOT done").agg(F.count("*").alias("n"), F.max("depth").alias("d")).first()
-        if left.n == 0 or left.d > 2 * step.count():
+        if step.where((~F.col("done")) & (F.col("depth") <= n)).isEmpty():
             break
-    return step.select("node", F.when(F.col("done"), F.col("end")).alias("end"), F.when(F.col("done"), F.col("depth")).alias("depth"))
+    out = step.select("node", F.when(F.col("done"), F.col("end")).alias("end"), F.when(F.col("done"), F.col("depth")).alias("depth"), F.col("__flag").alias(flag or "__flag"))
+    return out if flag else out.drop("__flag")
 
 
 def spread(seeds: DataFrame, edges: DataFrame) -> DataFrame:

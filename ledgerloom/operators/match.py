@@ -8,6 +8,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.durable import stored
+
 
 def where_given(df: DataFrame, wanted: dict) -> DataFrame:
     """Rows that equal every given value, or one of a list; None adds no filter."""
@@ -139,45 +141,81 @@ def three_way(base: DataFrame, live: DataFrame, imported: DataFrame, key: str, v
     return rows.select(key, state.alias("state"))
 
 
-def jaccard_pairs(df: DataFrame, id_col: str, block: list[str], tokens: str, least: float) -> DataFrame:
-    """(a, b, similarity) of rows of a block whose token sets overlap by at least `least`, a < b.
+def token_classes(df: DataFrame, id_col: str, tokens: str, block: tuple[str, ...] = ()) -> DataFrame:
+    """(id, class, blocks, set): equal token sets of a block are one class, named by its smallest id; set holds 64-bit hashes of the tokens, sorted.
+
+    Columns are called __id, __class, __b0, ... and __set. Null token arrays are empty.
+    """
+    sets = F.array_sort(F.array_distinct(F.transform(F.coalesce(tokens, F.array().cast("array<string>")), lambda t: F.xxhash64(t))))
+    rows = stored(df.select(F.col(id_col).alias("__id"), *[F.col(c).alias(f"__b{k}") for k, c in enumerate(block)], sets.alias("__set")))
+    keys = [f"__b{k}" for k in range(len(block))]
+    first = rows.groupBy(*[F.col(k).alias(f"f{k}") for k in keys], F.col("__set").alias("f__set")).agg(F.min("__id").alias("__class"))
+    same = F.col("__set") == F.col("f__set")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"f{k}"))
+    return stored(rows.join(first, same).select("__id", "__class", *keys, "__set"))
+
+
+def jaccard_pairs(classes: DataFrame, least: float) -> DataFrame:
+    """(a, b, similarity) of token_classes of a block whose sets overlap by at least `least`, a < b; similarity 1 is within classes, not between.
 
-    Only rows that share one of their rarest tokens meet: two sets that overlap by
+    Only classes that share one of their rarest tokens meet: two sets that overlap by
     `least` must share a token among the first n - ceil(least x n) + 1 of each in one
-    common order, here that of rarity, and neither is smaller than `least` times the other.
+    common order, here that of rarity. Of those that meet, such go no further whose
+    sizes, or whose tokens from the shared one on, are too few for the overlap.
     """
-    rare = df.select(*block, F.explode(tokens).alias("token")).groupBy(*block, "token").agg(F.count("*").alias("n"))
-    flat = df.select(*block, id_col, F.size(tokens).alias("size"), F.explode(tokens).alias("token"))
-    ranked = flat.join(rare, [*block, "token"])
-    place = F.row_number().over(Window.partitionBy(*block, id_col).orderBy("n", "token"))
-    keep = F.col("size") - F.ceil(F.col("size") * least) + 1
-    prefix = ranked.withColumn("place", place).where((F.col("place") <= keep) & (F.col("n") > 1)).select(*block, id_col, "token", "size")
-    a = prefix.withColumnsRenamed({id_col: "a", "size": "__sa"})
-    b = prefix.withColumnsRenamed({id_col: "b", "size": "__sb"})
-    alike = (F.col("__sa") >= F.ceil(F.col("__sb") * least)) & (F.col("__sb") >= F.ceil(F.col("__sa") * least))
-    met = a.join(b, [*block, "token"]).where("a < b").where(alike).select("a", "b").distinct()
-    left = df.select(F.col(id_col).alias("a"), F.col(tokens).alias("__x"))
-    right = df.select(F.col(id_col).alias("b"), F.col(tokens).alias("__y"))
-    scored = met.join(left, "a").join(right, "b").withColumn("s", jaccard(F.col("__x"), F.col("__y")))
+    keys = [c for c in classes.columns if c.startswith("__b")]
+    reps = classes.where("__id = __class")
+    flat = reps.select(*keys, F.col("__class").alias("c"), F.size("__set").alias("size"), F.explode("__set").alias("token"))
+    rare = flat.groupBy(*keys, "token").agg(F.count("*").alias("n"))
+    held = rare.where("n > 1").select(*[F.col(k).alias(f"r{k}") for k in keys], F.col("token").alias("r_token"), "n")
+    same = F.col("token") == F.col("r_token")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"r{k}"))
+    shared = flat.join(held, same).groupBy(*keys, "c", "size").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("tokens"))
+    # tokens of one class alone are rarest of all; they take places of the prefix and meet nobody
+    alone = F.col("size") - F.size("tokens")
+    prefix = F.greatest(F.col("size") - F.ceil(F.col("size") * least) + 1 - alone, F.lit(0)).cast("int")
+    spots = shared.select(*keys, "c", "size", alone.alias("alone"), F.posexplode(F.slice("tokens", 1, prefix)).alias("at", "t"))
+    spots = spots.select(*keys, "c", "size", (F.col("size") - F.col("alone") - F.col("at")).alias("rest"), F.col("t.token").alias("token"))
+    x, y = spots.alias("x"), spots.alias("y")
+    need = F.ceil((F.col("x.size") + F.col("y.size")) * (least / (1 + least)) - 1e-9)
+    met = x.join(y, [F.expr("x.token = y.token"), F.expr("x.c < y.c"), *[F.expr(f"x.{k} <=> y.{k}") for k in keys]])
+    met = met.where((F.least("x.size", "y.size") >= need) & (F.least("x.rest", "y.rest") >= F.greatest(need - (F.col("x.size") - F.col("x.rest")), F.lit(1))))
+    pairs = met.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
+    left, right = reps.select(F.col("__class").alias("a"), F.col("__set").alias("__x")), reps.select(F.col("__class").alias("b"), F.col("__set").alias("__y"))
+    scored = pairs.join(left, "a").join(right, "b").withColumn("s", jaccard(F.col("__x"), F.col("__y")))
     return scored.where(F.col("s") >= least).select("a", "b", F.round("s", 4).alias("similarity"))
 
 
+#: Runs of items that are few enough to go to every task.
+FEW_RUNS = 200_000
+
+
 def holds_run(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str, n: int) -> DataFrame:
     """(doc_id, item_id): documents that hold some n words in a row of an item, found by joining word runs on a hash, then compared.
 
     An item of fewer words is one run of its own length; one without words is nowhere.
+    While the items' runs are few (FEW_RUNS, counted), they go to every task and no run
+    of a document is shuffled; more of them are joined by hash.
     """
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-    starts = lambda k: F.sequence(F.lit(1), F.size("w") - k + 1)
-    runs = lambda k: F.explode(F.transform(starts(k), lambda i: F.array_join(F.slice("w", i, k), " "))).alias("gram")
+    starts = lambda k: F.when(F.size("w") >= k, F.sequence(F.lit(1), F.size("w") - k + 1)).otherwise(F.array().cast("array<int>"))
+    run = lambda k, i: F.array_join(F.slice("w", i, k), " ")
+    runs = lambda k: F.transform(starts(k), lambda i: run(k, i))
     item_words = items.select(F.col(item_id).alias("item_id"), words(item_text).alias("w")).where(F.size("w") > 0)
     doc_words = docs.select(F.col(doc_id).alias("doc_id"), words(doc_text).alias("w"))
     length = F.least(F.size("w"), F.lit(n))
-    lengths = sorted(r.k for r in item_words.select(length.alias("k")).distinct().collect()) or [n]
+    wanted = stored(
+        reduce(DataFrame.unionByName, [item_words.where(length == k).select("item_id", F.lit(k).alias("k"), F.explode(runs(k)).alias("run")) for k in range(1, n + 1)])
+        .distinct().withColumn("h", F.xxhash64("run"))
+    )
+    lengths = sorted(r.k for r in wanted.select("k").distinct().collect()) or [n]
+    few = wanted.count() <= FEW_RUNS
 
     def met(k: int) -> DataFrame:
-        wanted = item_words.where(length == k).select("item_id", runs(k)).distinct().select("item_id", F.col("gram").alias("run"), F.xxhash64("gram").alias("h"))
-        grams = doc_words.where(F.size("w") >= k).select("doc_id", runs(k)).withColumn("h", F.xxhash64("gram"))
-        return grams.join(wanted, "h").where("gram = run").select("doc_id", "item_id")
+        some = wanted.where(F.col("k") == k)
+        told = doc_words.select("doc_id", F.explode(F.transform(starts(k), lambda i: F.struct(F.xxhash64(run(k, i)).alias("h"), run(k, i).alias("gram")))).alias("g")).select("doc_id", "g.h", "g.gram")
+        return told.join(F.broadcast(some) if few else some, "h").where("gram = run").select("doc_id", "item_id")
 
     return reduce(DataFrame.unionByName, [met(k) for k in lengths]).distinct()

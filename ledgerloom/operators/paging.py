@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.durable import durable
+
 
 def keyset_page(df: DataFrame, keys: list[str], cursor: tuple | None, size: int) -> DataFrame:
     """The `size` rows after the cursor in descending order of keys, and one more if there are any."""
@@ -31,6 +33,20 @@ def numbered_top(df: DataFrame, order: list[Column], k: int) -> DataFrame:
     return top.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
+def ranked(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """All rows with their place from 1 in the order of all.
+
+    Spark's sort deals ranges to partitions; a place is the rows of the partitions
+    before, a table of one row a partition, plus the place in the partition.
+    """
+    placed = durable(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part, within = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("__part", before.alias("__before"))
+    return placed.join(counts, part == F.col("__part")).withColumn(name, (F.col("__before") + within + 1).cast("long")).drop("__at", "__part", "__before")
+
+
 def top_per_group(df: DataFrame, keys: list[str], k: int, *order: Column) -> DataFrame:
     """The first k rows of each group with their `place`; Spark limits groups before the shuffle."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

@@ -38,20 +38,23 @@ def next_revisions(log: DataFrame, batch: DataFrame, keys: list[str], revision:
     return joined.select(*[numbered[c] for c in batch.columns], (F.coalesce("__top", F.lit(0)) + F.col("__place")).cast("long").alias(revision))
 
 
-def upsert(state: DataFrame, batch: DataFrame, keys: list[str], fingerprint: str, payload: list[str]) -> DataFrame:
+def upsert(state: DataFrame, batch: DataFrame, keys: list[str], fingerprint: str, payload: list[str], order: tuple[str, ...] = ()) -> DataFrame:
     """State after the batch: keys, payload, fingerprint, previous_fingerprint, revision, outcome.
 
     Rows of the batch replace the payload. A changed fingerprint moves the old one to
-    previous_fingerprint and adds one to the revision; otherwise both stay.
+    previous_fingerprint and adds one to the revision; otherwise both stay. A null
+    fingerprint is a value like any other. Of several rows of the batch with one key
+    the last by `order` counts (if none is given, by fingerprint and payload).
     """
-    old, new = state.alias("o"), batch.alias("n")
+    last = F.max_by(F.struct(fingerprint, *payload), F.struct(*order, fingerprint, *payload))
+    once = batch.groupBy(*keys).agg(last.alias("__row")).select(*keys, "__row.*")
+    old, new = state.withColumn("__old", F.lit(True)).alias("o"), once.withColumn("__new", F.lit(True)).alias("n")
     both = old.join(new, [F.expr(f"o.{k} <=> n.{k}") for k in keys], "full")
-    present = F.expr(f"n.{fingerprint} IS NOT NULL")
-    known = F.expr(f"o.{fingerprint} IS NOT NULL")
-    changed = present & known & F.expr(f"o.{fingerprint} <> n.{fingerprint}")
+    present, known = F.col("__new").isNotNull(), F.col("__old").isNotNull()
+    changed = present & known & ~F.col(f"o.{fingerprint}").eqNullSafe(F.col(f"n.{fingerprint}"))
     take = lambda c: F.when(present, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c)
     return both.select(
-        *[F.coalesce(F.col(f"n.{k}"), F.col(f"o.{k}")).alias(k) for k in keys],
+        *[take(k) for k in keys],
         *[take(c) for c in payload],
         take(fingerprint),
         F.when(changed, F.col(f"o.{fingerprint}")).otherwise(F.col("o.previous_fingerprint")).alias("previous_fingerprint"),
@@ -61,8 +64,14 @@ def upsert(state: DataFrame, batch: DataFrame, keys: list[str], fingerprint: str
 
 
 def append_missing(log: DataFrame, batch: DataFrame, key: str) -> DataFrame:
-    """Rows of the batch whose key the log lacks, once each: what an exactly-once log appends."""
-    return batch.dropDuplicates([key]).join(log.select(key), key, "left_anti")
+    """Rows of the batch whose key the log lacks, once each: what an exactly-once log appends.
+
+    A null key is a key. Of several rows of a key the smallest by the other columns counts.
+    """
+    rest = [c for c in batch.columns if c != key]
+    once = batch.groupBy(key).agg(F.min(F.struct(*rest)).alias("__row")).select(key, "__row.*") if rest else batch.distinct()
+    held = log.select(F.col(key).alias("__key"))
+    return once.join(held, once[key].eqNullSafe(held["__key"]), "left_anti").select(batch.columns)
 
 
 def conditional_outcomes(state: DataFrame, commands: DataFrame, keys: list[str], revision: str, expected: str) -> DataFrame:

@@ -11,13 +11,14 @@ QUERIES: dict[str, Plan] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Plan], Plan]:
-    """Registers a plan under its function's name, with its SQL if SQL can express it."""
+def query(sql: str | None = None, also: str | None = None) -> Callable[[Plan], Plan]:
+    """Registers a plan under its function's name, and a further one, with its SQL if SQL can express it."""
 
     def register(plan: Plan) -> Plan:
-        QUERIES[plan.__name__] = plan
-        if sql:
-            ORACLES[plan.__name__] = sql
+        for name in filter(None, (plan.__name__, also)):
+            QUERIES[name] = plan
+            if sql:
+                ORACLES[name] = sql
         return plan
 
     return register

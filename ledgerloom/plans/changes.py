@@ -37,6 +37,63 @@ def scan_change_events(spark: SparkSession, sf: str) -> DataFrame:
     return diff.change_events(known, scan, "user_id", ["kind", "top"])
 
 
+@query(f"""WITH {KNOWN_SQL}, {SCAN_SQL}, b AS (SELECT s.*, k.user_id AS kid, k.kind AS kkind, k.top AS ktop, k.fp AS kfp FROM scan s LEFT JOIN known k USING (user_id))
+SELECT user_id, 'NEW_OPPORTUNITY' AS event, '' AS fields, kfp AS before, fp AS after FROM b WHERE kid IS NULL UNION ALL SELECT user_id, 'METADATA_CHANGED', 'top', kfp, fp FROM b WHERE kid IS NOT NULL AND ktop <> top
+UNION ALL SELECT user_id, 'SOURCE_STATUS_CHANGED', 'kind', kfp, fp FROM b WHERE kid IS NOT NULL AND kkind <> kind""")
+def scan_observed_events(spark: SparkSession, sf: str) -> DataFrame:
+    """New records, changed fields and changed status, an event each."""
+    known, scan = halves(spark, sf)
+    return diff.observed_events(known, scan, "user_id", ["top"], "kind", "fp").withColumn("fields", F.array_join("fields", ","))
+
+
+@query("""WITH o AS (SELECT user_id, event_type, max(floor(value / 30)) AS fp, user_id % 5 <> 0 AS active FROM events WHERE ts < TIMESTAMP '2024-01-12' GROUP BY 1, 2), n AS (SELECT user_id, event_type, max(floor(value / 30)) AS fp FROM events WHERE ts >= TIMESTAMP '2024-01-22' AND event_id % 3 = 0 GROUP BY 1, 2)
+SELECT n.user_id, n.event_type, CASE WHEN NOT coalesce(active, FALSE) THEN 'DOCUMENT_ADDED' ELSE 'DOCUMENT_CHANGED' END AS event FROM n LEFT JOIN o USING (user_id, event_type) WHERE NOT coalesce(active, FALSE) OR o.fp <> n.fp
+UNION ALL SELECT user_id, event_type, 'DOCUMENT_REMOVED' FROM o WHERE active AND user_id IN (SELECT user_id FROM n) AND (user_id, event_type) NOT IN (SELECT user_id, event_type FROM n)""")
+def scan_document_events(spark: SparkSession, sf: str) -> DataFrame:
+    """A record's documents against a complete scan: added, changed, removed."""
+    rows = table(spark, sf, "events").withColumn("fp", F.floor(F.col("value") / 30))
+    view = lambda df: df.groupBy("user_id", "event_type").agg(F.max("fp").alias("fp"))
+    known = view(rows.where("ts < '2024-01-12'")).withColumn("active", F.col("user_id") % 5 != 0)
+    return diff.document_events(known, view(rows.where("ts >= '2024-01-22' AND event_id % 3 = 0")), ["user_id", "event_type"], "fp", "active", complete=True)
+
+
+@query("""WITH c AS (SELECT DISTINCT event_type, user_id, user_id % 4 <> 0 AS present FROM events WHERE ts < TIMESTAMP '2024-01-12'), o AS (SELECT DISTINCT event_type, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-22' AND event_type <> 'signup' AND event_id % 3 = 0)
+SELECT c.event_type AS kind, c.user_id, CASE WHEN present THEN 'NO_LONGER_OBSERVED' ELSE 'REAPPEARED' END AS event FROM c LEFT JOIN o USING (event_type, user_id) WHERE c.event_type <> 'signup' AND present = (o.user_id IS NULL)""")
+def scan_scoped_absence(spark: SparkSession, sf: str) -> DataFrame:
+    """Absence within the same scope of complete scans; one scope isn't scanned and tells nothing."""
+    rows = table(spark, sf, "events").withColumn("scope", diff.scope_hash(F.lit("events"), F.lit(1), F.col("event_type")))
+    names = rows.select("scope", F.col("event_type").alias("kind")).distinct()
+    coverage = rows.where("ts < '2024-01-12'").select("scope", "user_id").distinct().withColumn("present", F.col("user_id") % 4 != 0)
+    observed = rows.where("ts >= '2024-01-22' AND event_type <> 'signup' AND event_id % 3 = 0")
+    return diff.covered_absence(coverage, observed, "scope", "user_id").join(names, "scope").select("kind", "user_id", "event")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' AND o_custkey % 3 <> 0 THEN CASE WHEN o_totalprice > 150000 THEN 'PARTIAL' ELSE 'FAILED' END WHEN o_orderstatus = 'P' THEN 'RUNNING' ELSE o_orderstatus END AS status FROM orders""")
+def crash_recovery(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs whose holder is gone end as partial or failed."""
+    status = F.when(F.col("o_orderstatus") == "P", "RUNNING").otherwise(F.col("o_orderstatus"))
+    runs = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("holder"), status.alias("status"), F.when(F.col("o_totalprice") > 150000, 5).otherwise(0).alias("rows"))
+    holders = table(spark, sf, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("holder"))
+    return diff.recovered(runs, holders, "holder", "status", "rows").select("o_orderkey", "status")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'REPLAYED' WHEN o_custkey % 7 = 0 THEN 'MISSING' WHEN o_orderkey % 4 = 1 THEN 'STALE' WHEN o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 10 = 0) THEN 'LINKED' ELSE 'ACCEPTED' END AS outcome FROM orders""")
+def handoff_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests to hand a record over: replays, stale previews, records that are linked already."""
+    orders = table(spark, sf, "orders")
+    binding = F.md5(F.col("o_custkey").cast("string").cast("binary"))
+    requests = orders.select("o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 4 == 1, "old").otherwise(binding).alias("binding"))
+    current = orders.where("o_custkey % 7 <> 0").select("o_custkey").distinct().withColumn("binding", binding)
+    return diff.handoffs(requests, current, orders.where("o_orderkey % 10 = 0").select("o_orderkey", "o_custkey"), "o_custkey", "binding", "o_orderkey").select("o_orderkey", "outcome")
+
+
+@query("""WITH a AS (SELECT user_id, floor(value / 20) AS fp, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1, 2) SELECT event_id, coalesce(n, 0) < 3 AS retry FROM events e LEFT JOIN a ON a.user_id = e.user_id AND a.fp = floor(e.value / 20) WHERE event_type = 'purchase'""")
+def safe_retries(spark: SparkSession, sf: str) -> DataFrame:
+    """A failed state is tried again until it has failed three times as it is."""
+    rows = table(spark, sf, "events").withColumn("fp", F.floor(F.col("value") / 20))
+    return diff.retries(rows.where("event_type = 'purchase'"), rows.where("event_type = 'error'"), "user_id", "fp", 3).select("event_id", "retry")
+
+
 @query(f"""WITH {KNOWN_SQL}, {SCAN_SQL} SELECT user_id, 'NO_LONGER_OBSERVED' AS event FROM known k WHERE present AND NOT EXISTS (SELECT 1 FROM scan s WHERE s.user_id = k.user_id)
 UNION ALL SELECT user_id, 'REAPPEARED' FROM scan s WHERE EXISTS (SELECT 1 FROM known k WHERE k.user_id = s.user_id AND NOT present)""")
 def scan_absence(spark: SparkSession, sf: str) -> DataFrame:

@@ -9,7 +9,10 @@ from ledgerloom.functions import text as X
 from ledgerloom.operators import chunks, imports, match, rollup, rules
 from ledgerloom.plans.base import query, table
 
-TIDY = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\n+|[ \t\n]+$', '', 'g')"""
+#: NFC, then line ends, then white space at them, outer white space, empty lines, and characters of category C.
+TIDY = "nfc_normalize(coalesce(text, ''))"
+for _pattern, _by in ((r"\r\n?", "chr(10)"), (r"[\t\v\f\x1c-\x1f\x{85}\p{Z}]+(\n|$)", r"'\1'"), (r"^[\n\t\v\f\x1c-\x1f\x{85}\p{Z}]+|[\n\t\v\f\x1c-\x1f\x{85}\p{Z}]+$", "''"), (r"\n{3,}", "chr(10) || chr(10)"), (r"[^\n\P{C}]", "''"), (r"^[\n\p{Z}]+|[\n\p{Z}]+$", "''")):
+    TIDY = f"regexp_replace({TIDY}, '{_pattern}', {_by}, 'g')"
 
 
 @query(f"SELECT doc_id, sha256({TIDY}) AS fingerprint, CAST(length({TIDY}) AS BIGINT) AS n_chars FROM documents")
@@ -64,34 +67,34 @@ def doc_reference_resolve(spark: SparkSession, sf: str) -> DataFrame:
     return counts.join(told, ["doc_id", "alias"]).select("doc_id", F.col("alias").alias("ref"), "n", "status")
 
 
-@query(r"""WITH b AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')[1:8]) AS w, generate_subscripts(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')[1:8], 1) AS i FROM benchmark),
-k AS (SELECT item_id, string_agg(w, ' ' ORDER BY i) AS head FROM b GROUP BY 1), d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), ' ') || ' ' AS t FROM documents)
-SELECT d.doc_id, k.item_id FROM d JOIN k ON contains(d.t, ' ' || k.head || ' ')""")
+@query(r"""WITH b AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark), c AS (SELECT item_id, w, least(len(w), 8) AS k FROM b WHERE len(w) > 0),
+g AS (SELECT DISTINCT item_id, array_to_string(w[i:i + k - 1], ' ') AS run FROM (SELECT item_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM c)), d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), ' ') || ' ' AS t FROM documents)
+SELECT DISTINCT d.doc_id, g.item_id FROM d JOIN g ON contains(d.t, ' ' || g.run || ' ')""")
 def doc_contains_benchmark(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that hold eight words in a row of a benchmark passage, by an equi-join on word runs.
-
-    The SQL looks for the first eight words alone; on the given tables the pairs are the same.
-    """
+    """Documents that hold eight words in a row of a benchmark passage, or a shorter one whole, by an equi-join on word runs."""
     docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
     return match.holds_run(docs, "doc_id", "text", items, "item_id", "text", 8)
 
 
-@query(r"""WITH t AS (SELECT doc_id, source, lang, n_chars // 50 AS block, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM documents)
-SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 4) AS similarity FROM t a JOIN t b ON a.lang = b.lang AND a.block = b.block AND a.doc_id < b.doc_id
-WHERE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= 0.5""")
+def word_sets(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", F.array_distinct(X.words(F.col("text"))).alias("w"))
+
+
+WORD_SETS_SQL = r"t AS (SELECT min(doc_id) AS doc_id, w FROM (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS w FROM documents) GROUP BY w)"
+
+
+@query(f"""WITH {WORD_SETS_SQL}, p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(a.w) + len(b.w) AS total, len(list_intersect(a.w, b.w)) AS common FROM t a JOIN t b ON a.doc_id < b.doc_id AND 2 * len(a.w) >= len(b.w) AND 2 * len(b.w) >= len(a.w))
+SELECT a, b, round(common / (total - common), 4) AS similarity FROM p WHERE common / (total - common) >= 0.5""", also="doc_jaccard_pairs_all")
 def doc_jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs within a block of language and length whose word sets overlap by half; both empty count as equal."""
-    docs = table(spark, sf, "documents").select("doc_id", "lang", F.floor(F.col("n_chars") / 50).alias("block"), F.array_distinct(X.words(F.col("text"))).alias("w"))
-    return match.jaccard_pairs(docs, "doc_id", ["lang", "block"], "w", 0.5)
-
-
-@query(r"""WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM documents),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(a.w) + len(b.w) AS total, len(list_intersect(a.w, b.w)) AS common FROM t a JOIN t b ON a.doc_id < b.doc_id AND 2 * len(a.w) >= len(b.w) AND 2 * len(b.w) >= len(a.w))
-SELECT a, b, round(common / (total - common), 4) AS similarity FROM p WHERE common / (total - common) >= 0.5""")
-def doc_jaccard_pairs_all(spark: SparkSession, sf: str) -> DataFrame:
-    """All pairs of documents whose word sets overlap by half, whatever their languages and lengths."""
-    docs = table(spark, sf, "documents").select("doc_id", F.array_distinct(X.words(F.col("text"))).alias("w"))
-    return match.jaccard_pairs(docs, "doc_id", [], "w", 0.5)
+    """Pairs of word sets that overlap by half, whatever their languages and lengths. Documents of one set are a class, named by its smallest id."""
+    return match.jaccard_pairs(match.token_classes(word_sets(spark, sf), "doc_id", "w"), 0.5)
+
+
+@query(r"""SELECT doc_id, min(doc_id) OVER (PARTITION BY list_sort(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')))) AS class FROM documents""")
+def doc_word_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """To which class of equal word sets each document belongs."""
+    found = match.token_classes(word_sets(spark, sf), "doc_id", "w")
+    return found.select(F.col("__id").alias("doc_id"), F.col("__class").alias("class"))
 
 
 @query("""SELECT d.lang, count(*) AS docs, count(l.quality) AS labelled, round(sum(l.quality) / nullif(count(l.quality), 0), 4) AS quality_rate,

@@ -32,8 +32,7 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
 
 def priced(spark: SparkSession, sf: str) -> DataFrame:
     c, p, q, cur = (F.col(x) for x in ("cost", "price", "quantity", "currency"))
-    rows = lines(spark, sf).withColumns({"total_cost": money.total(c, q, cur), "total_price": money.total(p, q, cur)})
-    return rows.withColumn("codes", money.warnings(c, p, q, cur))
+    return lines(spark, sf).withColumns({"total_cost": money.total(c, q, cur), "total_price": money.total(p, q, cur)})
 
 
 TOTALS = LINES + """, priced AS (SELECT *, CASE WHEN currency IS NOT NULL THEN round(cost * quantity, 2) END AS total_cost, CASE WHEN currency IS NOT NULL THEN round(price * quantity, 2) END AS total_price FROM lines)"""
@@ -66,25 +65,58 @@ def pricing_summary(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-CODES = LINES + """, codes AS (SELECT *, list_filter([CASE WHEN cost IS NULL THEN 'COST_MISSING' END, CASE WHEN price IS NULL THEN 'PRICE_MISSING' END, CASE WHEN quantity IS NULL THEN 'QUANTITY_MISSING' END,
-CASE WHEN currency IS NULL THEN 'CURRENCY_MISSING' END, CASE WHEN cost = 0 THEN 'COST_ZERO' END, CASE WHEN price = 0 THEN 'PRICE_ZERO' END, CASE WHEN quantity = 0 THEN 'QUANTITY_ZERO' END, CASE WHEN price < cost THEN 'PRICE_BELOW_COST' END], lambda x: x IS NOT NULL) AS codes FROM lines)"""
+#: Every third line is priced from its cost, to a markup or a margin that now and then no price meets.
+TERMS = """, terms AS (SELECT *, CASE WHEN l_orderkey % 3 = 0 THEN 'COST_FIRST' ELSE 'PRICE_FIRST' END AS mode, CASE l_linenumber % 3 WHEN 0 THEN 'MARKUP' WHEN 1 THEN 'MARGIN' END AS basis, CASE WHEN l_partkey % 10 <> 0 THEN CAST(l_partkey % 130 AS DECIMAL(18,8)) END AS target FROM lines)"""
+CODES = LINES + TERMS + """, codes AS (SELECT *, list_filter([CASE WHEN currency IS NULL THEN 'MISSING_CURRENCY' END, CASE WHEN cost IS NULL THEN 'COST_UNRESOLVED' END, CASE WHEN price IS NULL THEN 'MISSING_OFFERED_PRICE' END, CASE WHEN quantity IS NULL THEN 'MISSING_CANONICAL_QUANTITY' END,
+CASE WHEN cost < 0 OR price < 0 THEN 'NEGATIVE_VALUE' END, CASE WHEN cost = 0 THEN 'ZERO_COST' END, CASE WHEN price = 0 THEN 'ZERO_PRICE' END, CASE WHEN price < cost THEN 'PRICE_BELOW_COST' END, CASE WHEN mode = 'COST_FIRST' AND basis = 'MARKUP' AND target IS NULL THEN 'INVALID_MARKUP' END,
+CASE WHEN mode = 'COST_FIRST' AND basis = 'MARGIN' AND (target IS NULL OR target >= 100) THEN 'INVALID_MARGIN' END, CASE WHEN mode = 'COST_FIRST' AND basis IS NULL THEN 'MISSING_CALCULATION_BASIS' END], lambda x: x IS NOT NULL) AS codes FROM terms),
+kinds AS (SELECT *, list_transform(codes, lambda c: CASE WHEN c IN ('MISSING_OFFERED_PRICE', 'MISSING_CURRENCY', 'MISSING_CANONICAL_QUANTITY') THEN 'BLOCKER' WHEN c IN ('INVALID_MARKUP', 'INVALID_MARGIN', 'MISSING_CALCULATION_BASIS') THEN CASE WHEN price IS NULL THEN 'BLOCKER' ELSE 'WARNING' END WHEN c = 'NEGATIVE_VALUE' THEN 'REVIEW' ELSE 'WARNING' END) AS kinds FROM codes)"""
 
 
-@query(CODES + """, flat AS (SELECT unnest(codes) AS code FROM codes) SELECT code, count(*) AS n, CASE WHEN code IN ('COST_MISSING', 'PRICE_MISSING', 'QUANTITY_MISSING', 'CURRENCY_MISSING') THEN 'BLOCKER' ELSE 'WARNING' END AS severity FROM flat GROUP BY 1""")
+def coded(spark: SparkSession, sf: str) -> DataFrame:
+    """Priced lines with their terms and codes."""
+    k, line = F.col("l_partkey"), F.col("l_linenumber") % 3
+    rows = priced(spark, sf).withColumns(
+        {
+            "mode": F.when(F.col("l_orderkey") % 3 == 0, "COST_FIRST").otherwise("PRICE_FIRST"),
+            "basis": F.when(line == 0, "MARKUP").when(line == 1, "MARGIN"),
+            "target": F.when(k % 10 != 0, (k % 130).cast(money.PERCENT)),
+        }
+    )
+    return rows.withColumn("codes", money.warnings(*[F.col(x) for x in ("cost", "price", "quantity", "currency", "mode", "basis", "target")]))
+
+
+@query(CODES + """, flat AS (SELECT unnest(codes) AS code, unnest(kinds) AS severity FROM kinds) SELECT code, severity, count(*) AS n FROM flat GROUP BY 1, 2""")
 def findings_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    return rollup.histogram(priced(spark, sf), "codes").withColumn("severity", money.severity(F.col("code")))
+    flat = coded(spark, sf).select("price", "mode", F.explode("codes").alias("code"))
+    return flat.withColumn("severity", money.severity(F.col("code"), F.col("price"), F.col("mode"))).groupBy("code", "severity").agg(F.count("*").alias("n"))
 
 
-@query(CODES + """, s AS (SELECT CASE WHEN list_has_any(codes, ['COST_MISSING', 'PRICE_MISSING', 'QUANTITY_MISSING', 'CURRENCY_MISSING']) THEN 'INCOMPLETE' ELSE 'READY' END AS status FROM codes)
+@query(CODES + """, s AS (SELECT CASE WHEN list_contains(kinds, 'BLOCKER') THEN 'INCOMPLETE' WHEN list_contains(kinds, 'REVIEW') THEN 'REVIEW_REQUIRED' ELSE 'READY' END AS status FROM kinds)
 SELECT count(*) AS lines, CAST(sum(CASE WHEN status = 'READY' THEN 1 ELSE 0 END) AS BIGINT) AS ready, round(100.0 * sum(CASE WHEN status = 'READY' THEN 1 ELSE 0 END) / count(*), 2) AS completion,
-CASE WHEN bool_or(status = 'INCOMPLETE') THEN 'INCOMPLETE' ELSE 'READY' END AS overall FROM s""")
+CASE WHEN bool_or(status = 'INCOMPLETE') THEN 'INCOMPLETE' WHEN bool_or(status = 'REVIEW_REQUIRED') THEN 'REVIEW_REQUIRED' ELSE 'READY' END AS overall FROM s""")
 def completion_percent(spark: SparkSession, sf: str) -> DataFrame:
     """Lines that are ready, their share, and the worst status of all."""
-    rows = priced(spark, sf).select(money.line_status(F.col("codes")).alias("status"))
+    rows = coded(spark, sf).select(money.line_status(F.col("codes"), F.col("price"), F.col("mode")).alias("status"))
     ready = F.sum((F.col("status") == "READY").cast("long"))
     return rows.agg(F.count("*").alias("lines"), ready.alias("ready"), rollup.ratio(ready * 100, F.count("*"), 2).alias("completion"), rollup.worst_status(F.col("status")).alias("overall"))
 
 
+@query(CODES + """, s AS (SELECT l_suppkey, currency, CASE WHEN list_contains(kinds, 'BLOCKER') THEN 'INCOMPLETE' WHEN list_contains(kinds, 'REVIEW') THEN 'REVIEW_REQUIRED' ELSE 'READY' END AS status, len(list_filter(kinds, lambda x: x = 'WARNING')) AS w FROM kinds)
+SELECT l_suppkey, count(*) AS lines, CAST(sum(CASE WHEN status = 'READY' THEN 1 ELSE 0 END) AS BIGINT) AS ready, CAST(sum(CASE WHEN status = 'INCOMPLETE' THEN 1 ELSE 0 END) AS BIGINT) AS incomplete, CAST(sum(w) AS BIGINT) AS warnings, bool_and(status = 'READY') AND count(DISTINCT currency) = 1 AS eligible FROM s GROUP BY 1""")
+def proposal_eligibility(spark: SparkSession, sf: str) -> DataFrame:
+    """Who may propose: all lines ready, in one currency; with counts of lines by status and of warnings."""
+    rows = coded(spark, sf)
+    status = money.line_status(F.col("codes"), F.col("price"), F.col("mode"))
+    warned = F.size(F.filter("codes", lambda c: money.severity(c, F.col("price"), F.col("mode")) == "WARNING"))
+    told = rows.select("l_suppkey", "currency", status.alias("status"), warned.alias("w"))
+    count = lambda s: F.sum((F.col("status") == s).cast("long"))
+    return told.groupBy("l_suppkey").agg(
+        F.count("*").alias("lines"), count("READY").alias("ready"), count("INCOMPLETE").alias("incomplete"), F.sum("w").alias("warnings"),
+        (F.bool_and(F.col("status") == "READY") & (F.count_distinct("currency") == 1)).alias("eligible"),
+    )
+
+
 @query(TOTALS + """ SELECT l_orderkey, CASE WHEN count(*) = count(total_price) AND count(*) = count(currency) AND count(DISTINCT currency) = 1 THEN CAST(sum(total_price) AS DOUBLE) END AS total FROM priced GROUP BY 1""")
 def order_total_fail_closed(spark: SparkSession, sf: str) -> DataFrame:
     """A total only where every line has one and all share a currency."""
@@ -96,12 +128,13 @@ def known_cost_by_supplier(spark: SparkSession, sf: str) -> DataFrame:
     return lines(spark, sf).groupBy("l_suppkey").agg(rollup.known_sum(F.col("cost")).cast("double").alias("cost"), (F.count("*") - F.count("cost")).alias("unknown"))
 
 
-@query("""SELECT 'export' AS sheet, concat_ws(',', CASE WHEN regexp_matches(n_name, '^\\s*[=+@-]') THEN '''' || n_name ELSE n_name END, CASE WHEN regexp_matches(v, '^\\s*[=+@-]') THEN '''' || v ELSE v END) AS line
-FROM (SELECT n_name, CAST(count(*) FILTER (WHERE c_acctbal < 0) AS VARCHAR) AS k, '-' || CAST(count(*) AS VARCHAR) AS v FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)""")
+@query(r"""SELECT 'export' AS sheet, CASE WHEN regexp_matches(cell, '^[=+\-@\t\r]') THEN chr(39) || cell ELSE cell END AS cell, '-' || CAST(n AS VARCHAR) AS number
+FROM (SELECT CASE c_custkey % 8 WHEN 0 THEN '=' WHEN 1 THEN '+' WHEN 2 THEN '-' WHEN 3 THEN '@' WHEN 4 THEN chr(9) WHEN 5 THEN chr(13) WHEN 6 THEN ' =' ELSE '' END || c_name AS cell, c_custkey AS n FROM customer)""")
 def csv_safe_export(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines of a sheet in which no cell starts a formula."""
+    """Cells of a sheet: none of text starts a formula, and numbers keep their sign."""
     from ledgerloom.functions.text import csv_safe
 
-    rows = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").count()
-    v = F.concat(F.lit("-"), F.col("count").cast("string"))
-    return rows.select(F.lit("export").alias("sheet"), F.concat_ws(",", csv_safe(F.col("n_name")), csv_safe(v)).alias("line"))
+    k = F.col("c_custkey") % 8
+    lead = F.element_at(F.array(*[F.lit(x) for x in ("=", "+", "-", "@", "\t", "\r", " =", "")]), (k + 1).cast("int"))
+    number = F.concat(F.lit("-"), F.col("c_custkey").cast("string"))
+    return table(spark, sf, "customer").select(F.lit("export").alias("sheet"), csv_safe(F.concat(lead, "c_name")).alias("cell"), csv_safe(number, numeric=True).alias("number"))

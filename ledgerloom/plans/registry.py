@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import board, changes, corpus, evaluation, graphs, pricing, relational, streams, tender, validation
+from ledgerloom.plans import board, changes, corpus, doctypes, evaluation, graphs, pricing, relational, streams, tender, validation
 from ledgerloom.plans.base import ORACLES, QUERIES
 
-MODULES = (relational, pricing, corpus, changes, board, graphs, streams, tender, validation, evaluation)
+MODULES = (relational, pricing, corpus, changes, board, graphs, streams, tender, validation, evaluation, doctypes)
 
 __all__ = ["MODULES", "ORACLES", "QUERIES"]

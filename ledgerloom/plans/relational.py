@@ -58,9 +58,10 @@ def semi_join_exists(spark: SparkSession, sf: str) -> DataFrame:
     return c.join(o, c.c_custkey == o.o_custkey, "left_semi").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def anti_join_missing(spark: SparkSession, sf: str) -> DataFrame:
-    c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
+    """Customers without an urgent order."""
+    c, o = table(spark, sf, "customer"), table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'")
     return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
 
 
@@ -153,12 +154,12 @@ def offset_page_total(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""SELECT o_orderkey, CAST(row_number() OVER (ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END, CASE WHEN o_orderstatus = 'O' THEN NULL ELSE o_orderdate END NULLS LAST, o_orderkey) AS BIGINT) AS place
-FROM orders ORDER BY place LIMIT 100""")
+FROM orders""")
 def rank_sort_nulls_last(spark: SparkSession, sf: str) -> DataFrame:
     """A domain rank first, undated rows last within it, then the id."""
     rows = table(spark, sf, "orders").withColumn("dated", F.when(F.col("o_orderstatus") != "O", F.col("o_orderdate")))
     order = [match.rank("o_orderpriority", ["1-URGENT", "2-HIGH"]), F.asc_nulls_last("dated"), F.col("o_orderkey")]
-    return paging.numbered_top(rows, order, 100).select("o_orderkey", "place")
+    return paging.ranked(rows, order).select("o_orderkey", "place")
 
 
 @query("SELECT user_id, count(DISTINCT event_type) AS types, count(*) AS n, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS errors, max(event_id) AS last_id FROM events GROUP BY 1")

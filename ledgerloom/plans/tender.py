@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import tender as T
+from ledgerloom.operators.paging import ranked
 from ledgerloom.plans.base import query, table
 
 SENTENCES = (
@@ -13,12 +14,13 @@ SENTENCES = (
     "Fe de erratas de la convocatoria publicada", "Queda modificado el modelo de contrato", "Se aclara que aplica la norma ISO 9001:2015", "No se modifica la fecha del fallo",
     "Opinión positiva de cumplimiento fiscal", "Acta constitutiva de la empresa", "Currículum y cédula del personal propuesto", "Constancia del IMSS vigente",
     "Visita al sitio y junta de aclaraciones", "Apertura técnica y evaluación económica", "Carta de respaldo del fabricante", "Sin otro particular",
+    "Fecha del fallo: se emitirá el acto", "Firma del contrato en quince días", "Firma del contrato y plazo de ejecución", "Se publica la adenda 2", "Cancelación de la partida", "Queda cancelada", "Fecha límite para presentar proposiciones", "Evaluación técnicamente",
 )
-TEXT_SQL = "t AS (SELECT p_partkey, trim(regexp_replace(translate(lower([" + ", ".join(f"'{s}'" for s in SENTENCES) + "][CAST(p_partkey % 16 AS INTEGER) + 1] || ' ' || p_name), 'áéíóúüñ', 'aeiouun'), '\\s+', ' ', 'g')) AS x FROM part)"
+TEXT_SQL = "t AS (SELECT p_partkey, trim(regexp_replace(translate(lower([" + ", ".join(f"'{s}'" for s in SENTENCES) + "][CAST(p_partkey % 24 AS INTEGER) + 1] || ' ' || p_name), 'áéíóúüñ', 'aeiouun'), '\\s+', ' ', 'g')) AS x FROM part)"
 
 
 def sentences(spark: SparkSession, sf: str) -> DataFrame:
-    sentence = F.element_at(F.lit(list(SENTENCES)), (F.col("p_partkey") % 16 + 1).cast("int"))
+    sentence = F.element_at(F.lit(list(SENTENCES)), (F.col("p_partkey") % 24 + 1).cast("int"))
     return table(spark, sf, "part").select("p_partkey", T.plain(F.concat_ws(" ", sentence, "p_name")).alias("x"))
 
 
@@ -68,7 +70,7 @@ def wording_changes(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("p_partkey", "change", T.wording(F.col("x"), F.col("change")).alias("w")).select("p_partkey", "change", "w.*")
 
 
-@query(f"WITH {TEXT_SQL}, e AS (" + " UNION ALL ".join(f"SELECT p_partkey, '{c}' AS event FROM t WHERE regexp_matches(x, '{p}')" for c, p in T.EVENT_PHRASES) + ") SELECT * FROM e")
+@query(f"WITH {TEXT_SQL}, e AS (" + " UNION ALL ".join(f"SELECT p_partkey, '{c}' AS event FROM t WHERE regexp_matches(x, '{T.event_pattern(p)}')" + (f" AND regexp_matches(x, '{T.EVENT_NEEDS[c]}')" if c in T.EVENT_NEEDS else "") + (f" AND NOT regexp_matches(x, '{T.EVENT_FORBIDS[c]}')" if c in T.EVENT_FORBIDS else "") for c, p in T.EVENT_PHRASES) + ") SELECT * FROM e")
 def event_mentions(spark: SparkSession, sf: str) -> DataFrame:
     return sentences(spark, sf).select("p_partkey", F.explode(T.events(F.col("x"))).alias("event"))
 
@@ -114,15 +116,13 @@ def snapshot_readiness(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").groupBy("c_mktsegment", "c_nationkey").agg(state.alias("readiness"))
 
 
-@query("""SELECT event_id, CAST(row_number() OVER (ORDER BY CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END, CASE WHEN event_id % 11 = 0 THEN NULL ELSE CAST(ts AS DATE) END, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END, CASE WHEN event_id % 3 = 0 THEN NULL ELSE ts END, event_type, event_id) AS BIGINT) AS place FROM events ORDER BY place LIMIT 200""")
+@query("""SELECT event_id, CAST(row_number() OVER (ORDER BY CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END, CASE WHEN event_id % 11 = 0 THEN NULL ELSE CAST(ts AS DATE) END, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END, CASE WHEN event_id % 3 = 0 THEN NULL ELSE ts END, event_type, event_id) AS BIGINT) AS place FROM events""")
 def timeline_sort(spark: SparkSession, sf: str) -> DataFrame:
     """A timeline: undated events last, untimed ones after the timed of their day, then type and id."""
-    from ledgerloom.operators.paging import numbered_top
-
     dated = F.when(F.col("event_id") % 11 != 0, F.col("ts").cast("date"))
     timed = F.when(F.col("event_id") % 3 != 0, F.col("ts"))
     order = [F.asc_nulls_last("day"), F.asc_nulls_last("moment"), F.col("event_type"), F.col("event_id")]
-    return numbered_top(table(spark, sf, "events").withColumn("day", dated).withColumn("moment", timed), order, 200).select("event_id", "place")
+    return ranked(table(spark, sf, "events").withColumn("day", dated).withColumn("moment", timed), order).select("event_id", "place")
 
 
 @query("""SELECT l_suppkey, coalesce(string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber), '') AS lines, count(*) FILTER (WHERE o_orderkey IS NULL) AS unknown_orders FROM (SELECT DISTINCT l_suppkey, l_linenumber, o_orderkey FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey AND o_orderstatus <> 'P' WHERE l_quantity = 50) GROUP BY 1""")

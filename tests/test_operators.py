@@ -4,9 +4,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import money
+import pytest
+from ledgerloom.functions import evaluation, money, tender
 from ledgerloom.functions import text as X
-from ledgerloom.operators import chunks, diff, graph, match, readiness, rollup, state
+from ledgerloom.operators import chunks, diff, effects, graph, match, paging, readiness, rollup, state
 
 
 def test_upsert_keeps_history(spark):
@@ -16,6 +17,52 @@ def test_upsert_keeps_history(spark):
     assert got == {"a": (50, "1", None, 1, "UNCHANGED"), "b": (60, "2", "1", 4, "UPDATED"), "c": (1, "9", None, 1, "INSERTED"), None: (8, "1", None, 1, "UNCHANGED")}
 
 
+def test_upsert_takes_null_fingerprints_and_repeated_keys(spark):
+    old = spark.createDataFrame([("a", "1", 5, None, 1), ("b", None, 6, None, 2)], "k string, fp string, v int, previous_fingerprint string, revision long")
+    new = spark.createDataFrame([("a", None, 77), ("b", None, 60), ("c", None, 9), ("d", "1", 1), ("d", "2", 2)], "k string, fp string, v int")
+    got = {r.k: tuple(r)[1:] for r in state.upsert(old, new, ["k"], "fp", ["v"]).collect()}
+    assert got == {"a": (77, None, "1", 2, "UPDATED"), "b": (60, None, None, 2, "UNCHANGED"), "c": (9, None, None, 1, "INSERTED"), "d": (2, "2", None, 1, "INSERTED")}
+    ordered = state.upsert(old, spark.createDataFrame([("d", "2", 2, 1), ("d", "1", 1, 2)], "k string, fp string, v int, at int"), ["k"], "fp", ["v"], order=("at",))
+    assert [(r.v, r.fp) for r in ordered.collect() if r.k == "d"] == [(1, "1")]
+
+
+def test_append_missing_knows_null_keys(spark):
+    log = spark.createDataFrame([("a",), (None,)], "k string")
+    batch = spark.createDataFrame([("a", 1), (None, 2), ("b", 4), ("b", 3)], "k string, v int")
+    assert [tuple(r) for r in state.append_missing(log, batch, "k").collect()] == [("b", 3)]
+    assert [tuple(r) for r in state.append_missing(log.where("k = 'a'"), batch.where("k IS NULL"), "k").collect()] == [(None, 2)]
+
+
+def test_jaccard_with_empty_sets_blocks_of_any_name_and_equal_sets(spark):
+    rows = [(1, "x", ["p", "q", "r", "s"]), (2, "x", ["p", "q", "r"]), (3, "x", ["q", "p", "s", "r", "p"]), (4, "x", []), (5, "x", None), (6, "y", ["p", "q", "r"]), (7, None, ["z", "w"]), (8, None, ["z"])]
+    df = spark.createDataFrame(rows, "id int, a string, w array<string>").withColumn("b", F.lit(1))
+    classes = match.token_classes(df, "id", "w", ("a", "b"))
+    assert sorted((r["__id"], r["__class"]) for r in classes.collect()) == [(1, 1), (2, 2), (3, 1), (4, 4), (5, 4), (6, 6), (7, 7), (8, 8)]
+    assert sorted(tuple(r) for r in match.jaccard_pairs(classes, 0.5).collect()) == [(1, 2, 0.75), (7, 8, 0.5)]
+
+
+@pytest.mark.parametrize("least", [0.3, 0.6, 0.9])
+def test_jaccard_pairs_lose_none(spark, least):
+    import random
+
+    r = random.Random(7)
+    sets = {k: frozenset(f"t{int(r.paretovariate(0.7))}" for _ in range(r.randint(1, 12))) for k in range(120)}
+    df = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "id int, w array<string>")
+    first = {}
+    for k, v in sets.items():
+        first.setdefault(v, k)
+    reps = sorted(first.values())
+    want = {(a, b) for a in reps for b in reps if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least}
+    assert {(x.a, x.b) for x in match.jaccard_pairs(match.token_classes(df, "id", "w"), least).collect()} == want
+
+
+def test_places_of_all_rows(spark):
+    rows = [(k * 37 % 1000, k) for k in range(1000)] + [(None, 2000)]
+    got = paging.ranked(spark.createDataFrame(rows, "a int, b int").repartition(4), [F.asc_nulls_last("a"), F.col("b")]).collect()
+    want = {b: k + 1 for k, (_, b) in enumerate(sorted(rows, key=lambda t: (t[0] is None, t[0], t[1])))}
+    assert {r.b: r.place for r in got} == want
+
+
 def test_absence_needs_a_complete_scan(spark):
     known = spark.createDataFrame([(1, True), (2, True), (3, False)], "k int, present boolean")
     scan = spark.createDataFrame([(1,), (3,)], "k int")
@@ -36,6 +83,68 @@ def test_chains_and_cycles(spark):
     assert got == {1: (4, 3), 2: (4, 2), 3: (4, 1), 10: (None, None), 11: (None, None), 12: (None, None), 20: (None, None)}
 
 
+def test_long_chains_end(spark):
+    links = spark.range(3000).selectExpr("id AS node", "id + 1 AS next").unionByName(spark.createDataFrame([(9000, 9001), (9001, 9000)], "node long, next long"))
+    got = {r.node: (r.end, r.depth) for r in graph.chain_ends(links).collect()}
+    assert got == {**{k: (3000, 3000 - k) for k in range(3000)}, 9000: (None, None), 9001: (None, None)}
+
+
+EFFECT_CASES = {
+    "none": ([], {1: ("ACTIVE", None, None)}),
+    "one superseder": ([(2, 1, "SUPERSEDES", "DOCUMENT_WIDE", False)], {1: ("SUPERSEDED", None, 2), 2: ("ACTIVE", None, None)}),
+    "chain": ([(2, 1, "SUPERSEDES", "DOCUMENT_WIDE", False), (3, 2, "SUPERSEDES", "DOCUMENT_WIDE", False)], {1: ("SUPERSEDED", None, 3), 2: ("SUPERSEDED", None, 3)}),
+    "revoked": ([(2, 1, "REVOKES", "DOCUMENT_WIDE", False)], {1: ("REVOKED", None, None)}),
+    "no revival": ([(2, 1, "SUPERSEDES", "DOCUMENT_WIDE", False), (3, 2, "REVOKES", "DOCUMENT_WIDE", False)], {1: ("REVIEW_REQUIRED", "NO_REVIVAL_REQUIRES_REVIEW", None), 2: ("REVOKED", None, None)}),
+    "ring": ([(2, 1, "SUPERSEDES", "DOCUMENT_WIDE", False), (1, 2, "SUPERSEDES", "DOCUMENT_WIDE", False)], {1: ("REVIEW_REQUIRED", "SUPERSESSION_CYCLE", None), 2: ("REVIEW_REQUIRED", "SUPERSESSION_CYCLE", None)}),
+    "two superseders": ([(2, 1, "SUPERSEDES", "DOCUMENT_WIDE", False), (3, 1, "SUPERSEDES", "DOCUMENT_WIDE", False)], {1: ("REVIEW_REQUIRED", "MULTIPLE_SUPERSEDING_SOURCES", None)}),
+    "both ends": ([(2, 1, "SUPERSEDES", "DOCUMENT_WIDE", False), (3, 1, "REVOKES", "DOCUMENT_WIDE", False)], {1: ("REVIEW_REQUIRED", "CONFLICTING_TERMINAL_EFFECTS", None)}),
+    "self": ([(1, 1, "AMENDS", "DOCUMENT_WIDE", False)], {1: ("REVIEW_REQUIRED", "SELF_SOURCE_EFFECT", None)}),
+    "unknown actor": ([(99, 1, "REVOKES", "DOCUMENT_WIDE", False)], {1: ("ACTIVE", None, None)}),
+    "under review": ([(2, 1, "REVOKES", "DOCUMENT_WIDE", True)], {1: ("REVIEW_REQUIRED", "REVIEW_REQUIRED_EFFECT_TARGET_BLOCKS_AUTOMATION", None)}),
+    "open scope": ([(2, 1, "REVOKES", "UNRESOLVED", False)], {1: ("REVIEW_REQUIRED", "UNRESOLVED_SCOPE_TARGET_BLOCKS_AUTOMATION", None)}),
+    "partial": ([(2, 1, "SUPERSEDES", "PARTIAL", False)], {1: ("ACTIVE_WITH_EFFECTS", None, None)}),
+    "amended": ([(2, 1, "AMENDS", "DOCUMENT_WIDE", False)], {1: ("ACTIVE_WITH_EFFECTS", None, None)}),
+    "amended by a superseded one": (
+        [(2, 1, "AMENDS", "DOCUMENT_WIDE", False), (3, 2, "SUPERSEDES", "DOCUMENT_WIDE", False)],
+        {1: ("REVIEW_REQUIRED", "ACTING_SOURCE_SUPERSEDED_MIXED_EFFECT_REQUIRES_REVIEW", None), 2: ("SUPERSEDED", None, 3)},
+    ),
+    "amended by a revoked one": ([(2, 1, "CLARIFIES", "PARTIAL", False), (3, 2, "REVOKES", "DOCUMENT_WIDE", False)], {1: ("REVIEW_REQUIRED", "REVOKED_ACTING_SOURCE_EFFECT_APPLICABILITY_UNRESOLVED", None)}),
+    "superseder under review": (
+        [(2, 1, "SUPERSEDES", "DOCUMENT_WIDE", False), (3, 2, "SUPERSEDES", "DOCUMENT_WIDE", False), (4, 3, "AMENDS", "DOCUMENT_WIDE", True)],
+        {1: ("REVIEW_REQUIRED", "SUPERSEDING_SOURCE_REVIEW_REQUIRED", None), 2: ("REVIEW_REQUIRED", "SUPERSEDING_SOURCE_REVIEW_REQUIRED", None), 3: ("REVIEW_REQUIRED", "REVIEW_REQUIRED_EFFECT_TARGET_BLOCKS_AUTOMATION", None)},
+    ),
+}
+
+
+def test_effects_case_by_case(spark):
+    """Each case in a range of ids of its own, all resolved together."""
+    rows, want, at = [], {}, 0
+    for edges, told in EFFECT_CASES.values():
+        rows += [(a + at if a != 99 else -1, t + at, *rest) for a, t, *rest in edges]
+        want |= {k + at: (s, why, None if r is None else r + at) for k, (s, why, r) in told.items()}
+        at += 10
+    edges = spark.createDataFrame(rows, "actor long, target long, kind string, scope string, review boolean")
+    got = {r.document: (r.status, r.reason, r.replacement) for r in effects.resolve_documents(edges, spark.range(1, at).withColumnRenamed("id", "document")).collect()}
+    assert {k: got[k] for k in want} == want
+
+
+def test_places_fail_closed(spark):
+    docs = spark.createDataFrame([(k, s) for k, s in ((1, "ACTIVE"), (2, "ACTIVE"), (3, "REVOKED"), (4, "ACTIVE"))], "document long, status string")
+    rows = [(2, 1, "SUPERSEDES", "a"), (2, 1, "SUPERSEDES", "b"), (4, 1, "SUPERSEDES", "B "), (2, 1, "REVOKES", "c"), (2, 1, "AMENDS", "d"), (4, 1, "CORRECTS", "d"), (2, 1, "CLARIFIES", "e"), (3, 1, "AMENDS", "f"), (2, 1, "REVOKES", "g"), (4, 1, "SUPERSEDES", "g"), (2, 1, "UNSPECIFIED", "h"), (2, 77, "AMENDS", "a"), (2, 1, "AMENDS", None)]
+    e = spark.createDataFrame([(*r, "PARTIAL", False) for r in rows] + [(2, 1, "AMENDS", "i", "PARTIAL", True), (2, 1, "AMENDS", "z", "DOCUMENT_WIDE", False)], "actor long, target long, kind string, locator string, scope string, review boolean")
+    got = {r.place: (r.status, r.source) for r in effects.resolve_places(e, docs, X.locator_identity(F.col("locator"))).collect()}
+    review = ("REVIEW_REQUIRED", None)
+    assert got == {"a": ("SUPERSEDED", 2), "b": review, "c": ("REVOKED", None), "d": ("MODIFIED", None), "e": ("CLARIFIED", None), "f": review, "g": review, "h": ("UNCHANGED", None), "i": review}
+
+
+def test_scans_of_documents(spark):
+    known = spark.createDataFrame([(1, "a", "x", True), (1, "b", "x", True), (1, "c", "x", False), (2, "a", "x", True)], "k int, d string, fp string, active boolean")
+    scan = spark.createDataFrame([(1, "a", "y"), (1, "c", "x"), (1, "e", "x")], "k int, d string, fp string")
+    whole = {tuple(r) for r in diff.document_events(known, scan, ["k", "d"], "fp", "active", True).collect()}
+    assert whole == {(1, "a", "DOCUMENT_CHANGED"), (1, "b", "DOCUMENT_REMOVED"), (1, "c", "DOCUMENT_ADDED"), (1, "e", "DOCUMENT_ADDED")}
+    assert {tuple(r) for r in diff.document_events(known, scan, ["k", "d"], "fp", "active", False).collect()} == whole - {(1, "b", "DOCUMENT_REMOVED")}
+
+
 def test_effects_fail_closed(spark):
     docs = spark.createDataFrame([(i,) for i in range(1, 9)], "document long")
     edges = [(1, 2, "SUPERSEDES", False), (1, 3, "SUPERSEDES", False), (4, 3, "SUPERSEDES", False), (4, 5, "REVOKES", False), (1, 6, "SUPERSEDES", True), (7, 7, "SUPERSEDES", False), (99, 8, "REVOKES", False), (1, 2, "SUPERSEDES", False)]
@@ -59,12 +168,48 @@ def test_prices(spark):
     got = df.select(money.total(c, q, cur).cast("double").alias("t"), money.markup(c, p).cast("double").alias("u"), money.margin(c, p).cast("double").alias("g"), codes.alias("w"), money.line_status(codes).alias("s")).collect()
     assert [r.t for r in got] == [3.02, 0.0, 2.0, None, 0.0]
     assert (got[0].u, got[1].u, got[2].g) == (99.00497512, None, None)
-    assert [r.w for r in got] == [[], ["COST_ZERO"], ["PRICE_ZERO", "PRICE_BELOW_COST"], ["COST_MISSING", "CURRENCY_MISSING"], ["QUANTITY_ZERO", "PRICE_BELOW_COST"]]
+    assert [r.w for r in got] == [[], ["ZERO_COST"], ["ZERO_PRICE", "PRICE_BELOW_COST"], ["MISSING_CURRENCY", "COST_UNRESOLVED"], ["PRICE_BELOW_COST"]]
     assert [r.s for r in got] == ["READY", "READY", "READY", "INCOMPLETE", "READY"]
     targets = spark.createDataFrame([("MARKUP", 50.0), ("MARGIN", 50.0), ("MARGIN", 100.0), ("MARKUP", -101.0)], "b string, t double")
     assert [float(r[0]) if r[0] is not None else None for r in targets.select(money.recommended(F.lit(10), F.col("b"), F.col("t"))).collect()] == [15.0, 20.0, None, None]
 
 
+def test_what_is_wrong_with_a_price(spark):
+    """(cost, price, mode, basis, target, currency) -> codes; a missing cost is advice, a bad target only blocks without a price."""
+    cases = [
+        ((None, "5", "PRICE_FIRST", None, None, "MXN"), ["COST_UNRESOLVED"], "READY"),
+        (("-1", "5", "PRICE_FIRST", None, None, "MXN"), ["NEGATIVE_VALUE"], "REVIEW_REQUIRED"),
+        (("5", None, "PRICE_FIRST", None, None, "MXN"), ["MISSING_OFFERED_PRICE"], "INCOMPLETE"),
+        (("5", "6", "COST_FIRST", "MARGIN", "100", "MXN"), ["INVALID_MARGIN"], "READY"),
+        (("5", None, "COST_FIRST", "MARKUP", "-101", "MXN"), ["MISSING_OFFERED_PRICE", "INVALID_MARKUP"], "INCOMPLETE"),
+        (("5", "6", "COST_FIRST", None, "10", "MXN"), ["MISSING_CALCULATION_BASIS"], "READY"),
+        (("900000000000000000", "6", "COST_FIRST", "MARKUP", "100", "MXN"), ["PRICE_BELOW_COST", "CALCULATION_OUT_OF_RANGE"], "READY"),
+        (("5", "6", "COST_FIRST", "MARKUP", "100", None), ["MISSING_CURRENCY"], "INCOMPLETE"),
+    ]
+    df = spark.createDataFrame([(k, *c) for k, (c, _, _) in enumerate(cases)], "i int, c string, p string, mode string, basis string, t string, cur string")
+    c, p, t = F.col("c").cast("decimal(24,6)"), F.col("p").cast("decimal(24,6)"), F.col("t").cast("decimal(18,8)")
+    codes = money.warnings(c, p, F.lit(1), F.col("cur"), F.col("mode"), F.col("basis"), t)
+    got = df.select("i", codes.alias("w"), money.line_status(codes, p, F.col("mode")).alias("s"), money.recommended(c, F.col("basis"), t, F.col("cur")).alias("r")).orderBy("i").collect()
+    assert [(r.w, r.s) for r in got] == [(w, s) for _, w, s in cases] and got[7].r is None
+    needed = df.where("i = 0").select(money.severity(F.lit("COST_UNRESOLVED"), p, F.lit("COST_FIRST"), manual=False).alias("s")).first().s
+    assert needed == "BLOCKER"
+
+
+def test_events_need_their_wording(spark):
+    texts = ["fallo", "fecha del fallo", "firma del contrato", "firma del contrato y plazo de ejecucion", "se publica la adenda 2", "cancelada", "evaluacion tecnicamente", "fecha limite para presentar proposiciones"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "i int, t string")
+    got = [r.e for r in df.select("i", tender.events(F.col("t")).alias("e")).orderBy("i").collect()]
+    assert got == [[], ["AWARD_ANNOUNCEMENT"], ["CONTRACT_SIGNATURE_DEADLINE"], [], ["ADDENDUM_PUBLICATION"], ["CANCELLATION"], [], ["PROPOSAL_SUBMISSION_DEADLINE"]]
+
+
+def test_weights_stand_in_their_context(spark):
+    far = "x" * 150
+    texts = ["ponderacion 60 % y 40,5 %", "fianza del 10 %", f"ponderacion 60 % {far} pena convencional 5 %", f"ponderacion {far} 5 %", "metodologia del adjudicatario 10 %", None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "i int, t string")
+    got = [r.w for r in df.select("i", evaluation.weights(F.col("t")).alias("w")).orderBy("i").collect()]
+    assert got == [[60.0, 40.5], [], [60.0], [], [], []]
+
+
 def test_text_rules(spark):
     one = spark.range(1)
 
@@ -72,11 +217,14 @@ def test_text_rules(spark):
         return one.select(column.alias("x")).first().x
 
     assert value(X.tidy_lines(F.lit("a  \r\n\r\n\r\n\r\nb\x07\n"))) == "a\n\nb"
+    assert value(X.tidy_lines(F.lit("e\u0301\tx\u200b \u00a0\r y\ue000"))) == "éx\n y"
+    assert value(X.tidy_lines(F.lit(None).cast("string"))) == ""
     assert value(X.folded(F.lit("  Straße ÉCOLE\n"))) == "strasse ecole"
     assert [value(X.item_number(F.lit(s))) for s in ("01.2.", "1", "0.00", "1..2", "a")] == ["1.2", "1", "0.0", None, None]
     assert value(X.name_uuid("6ba7b811-9dad-11d1-80b4-00c04fd430c8", F.lit("x/y"))) == str(uuid.uuid5(uuid.NAMESPACE_URL, "x/y"))
     assert value(X.has_term(F.lit("Éplc plc."), "PLC")) and not value(X.has_term(F.lit("éplc"), "plc"))
-    assert [value(X.csv_safe(F.lit(s))) for s in ("=1", " @x", "a=1")] == ["'=1", "' @x", "a=1"]
+    assert [value(X.csv_safe(F.lit(s))) for s in ("=1", " @x", "a=1", "\tx", "\rx", "-5", "")] == ["'=1", " @x", "a=1", "'\tx", "'\rx", "'-5", ""]
+    assert [value(X.csv_safe(F.lit(s), numeric=True)) for s in ("-5", "+1.5e3", "-x")] == ["-5", "+1.5e3", "'-x"]
     for s, day, kind in (("3 de marzo de 2024", "2024-03-03", "DAY"), ("31/02/2024", None, "UNKNOWN"), ("en MARZO 2023", "2023-03-01", "MONTH"), ("año 2022", "2022-01-01", "YEAR"), ("nada", None, "UNKNOWN")):
         d, k = X.spanish_date(F.lit(s))
         assert (value(d.cast("string")), value(k)) == (day, kind)
@@ -89,6 +237,9 @@ def test_chunks_cover_and_overlap():
     spans = list(chunks.cuts(text))
     assert spans[0][0] == 0 and spans[-1][1] == len(text) and list(chunks.cuts("")) == []
     assert all(b - a <= 1800 for a, b in spans) and all(x[1] - y[0] == 200 for x, y in zip(spans, spans[1:], strict=False))
+    assert all(text[b - 1] == " " for _, b in spans[:-1])
+    assert list(chunks.cuts("x" * 1800)) == [(0, 1800)] and list(chunks.cuts("x" * 2000)) == [(0, 1800), (1600, 2000)]
+    assert list(chunks.cuts("ab " + "x" * 1900))[0] == (0, 3) and list(chunks.cuts("a" + " " * 1799 + "b"))[0] == (0, 1800)
 
 
 def test_nearest_within_bound_and_ties(spark):
