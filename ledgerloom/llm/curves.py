@@ -9,8 +9,9 @@ cosine, and the orderings' best merge.
 
 How many rows a window needs depends on the vectors, not on how many there are: few
 where they cluster, a share of all where they are isotropic. A bounded sample of the
-queries is therefore compared with all rows, and windows double until these queries
-find what they should; only then the others search. Every vector is indexed.
+queries is therefore compared with all rows, and where their true neighbours stand in
+the orderings tells how wide windows must be to hold enough of them. Every vector is
+indexed.
 """
 
 from __future__ import annotations
@@ -174,8 +175,10 @@ def nearest(
     """query_id, rank, vec_id, score, audited_recall, window: for rows whose id is divisible by `every`, the k nearest rows found, by cosine.
 
     Nearest first, ties to the smaller id; a query isn't its own neighbour. Windows
-    start with `window` rows and double until `audited` sampled queries find `recall`
-    of their k nearest; both figures come with every row. Equal vectors are one
+    have `window` rows, or as many more as `audited` sampled queries need to find
+    `recall` of their k nearest; both figures come with every row. Two rows at most a
+    window apart in some ordering always meet, and of rows that meet none is missed,
+    so places tell what is found. Equal vectors are one
     point with its smallest ids, so copies, however many, neither crowd a window nor
     are missed. Vectors that are null, zero, hold null or non-finite components, or
     are of another length than most, take no part, nor do null ids. Rows that share
@@ -194,23 +197,17 @@ def nearest(
     queries = durable(distinct.where(F.col("id") % every == 0).join(points.select("vec", "node"), "vec").select(F.col("id").alias("query_id"), F.col("node").alias("query")))
     ready = stored(points.join(placed(points, plan, code), "node").select("node", F.col("ids")[0].alias("first"), "vec", "at"))
     asking = ready.join(queries.select(F.col("query").alias("node")).distinct(), "node", "left_semi")
-    n, score = ready.count(), 1.0
+    score = 1.0
     sample = asking.orderBy(F.xxhash64("node", F.lit(seed))).limit(audited)
     asked = sample.toPandas()
     if len(asked):
         truth = nearest_of_all(ready, asked, k, code)
-        wanted = set(zip(truth["query"], truth["node"], strict=True))
-        asked_rows = ready.where(F.col("node").isin([int(x) for x in asked["node"]]))
-        while True:
-            block = lambda c: F.floor(c["pos"] / window)  # noqa: B023, E731
-            near = asked_rows.select(F.explode("at").alias("spot")).select("spot.o", F.explode(F.sequence(block(F.col("spot")) - 1, block(F.col("spot")) + 1)).alias("block")).distinct()
-            spots = ready.select("node", "first", "vec", F.explode("at").alias("spot")).withColumns({"o": F.col("spot.o"), "block": block(F.col("spot"))})
-            some = spots.join(near, ["o", "block"], "left_semi").select("node", "first", "vec", F.array("spot").alias("at"))
-            got = search(some, asked_rows, window, k, code).select("query", "node").distinct().toPandas()
-            score = len(wanted & set(zip(got["query"], got["node"], strict=True))) / len(wanted) if wanted else 1.0
-            if score >= recall or window >= n:
-                break
-            window *= 2
+        ends = ready.where(F.col("node").isin([int(x) for x in {*truth["query"], *truth["node"]}])).select("node", F.transform(F.array_sort("at"), lambda x: x["pos"]).alias("pos")).toPandas()
+        places = dict(zip(ends["node"], map(np.asarray, ends["pos"]), strict=True))
+        if len(truth):
+            own, near = (np.stack([places[x] for x in truth[c]]) for c in ("query", "node"))
+            window = max(window, int(np.quantile(np.abs(own - near).min(1), recall, method="higher")))
+            score = float((np.abs(own // window - near // window) <= 1).any(1).mean())
     found = search(ready, asking, window, k, code).groupBy("query", "node").agg(F.max("score").alias("score"), F.first("first").alias("first"))
     by_score = Window.partitionBy("query").orderBy(F.desc("score"), "first")
     found = found.withColumn("place", F.row_number().over(by_score)).where(F.col("place") <= 2 * k).select("query", "node", "score")

@@ -179,6 +179,20 @@ def test_windows_do_not_grow_with_the_rows_where_vectors_cluster(spark):
     assert windows == {(64, True)}
 
 
+def test_windows_widen_until_the_audit_finds_enough(spark):
+    """Isotropic vectors, of which a narrow window holds few neighbours: the recall that is told is the recall there is."""
+    r = np.random.default_rng(1)
+    x = r.normal(size=(1500, 32))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = curves.nearest(df, window=16, audited=1000).collect()
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for k in range(0, 1500, 50):
+        best = [j for j in np.argsort(-(x[k] @ x.T)) if j != k][:5]
+        hits += len(set(best) & {g.vec_id for g in got if g.query_id == k})
+    assert got[0].window > 16 and got[0].audited_recall >= 0.95 and hits / 150 == pytest.approx(got[0].audited_recall)
+
+
 def test_windows_cross_partitions_and_lanes(spark, monkeypatch):
     """Small cells, and windows that end within partitions: what three windows hold is what is compared."""
     monkeypatch.setattr(curves, "CELL", 16)
