@@ -165,11 +165,26 @@ def locator(text: Column) -> Column:
     return F.str_to_map(text, F.lit(r"\|"), F.lit(":"))
 
 
+#: What units measure.
+UNIT_KINDS = {
+    "PIEZA": "COUNT", "PIEZAS": "COUNT", "PZA": "COUNT", "PZAS": "COUNT", "UNIDAD": "COUNT", "UNIDADES": "COUNT", "EQUIPO": "COUNT", "EQUIPOS": "COUNT", "JUEGO": "COUNT", "JUEGOS": "COUNT",
+    "SERVICIO": "SERVICE", "SERVICIOS": "SERVICE", "LOTE": "LOT", "LOTES": "LOT", "PERSONA": "PERSONNEL", "PERSONAS": "PERSONNEL", "TECNICO": "PERSONNEL", "TECNICOS": "PERSONNEL",
+    "DIA": "DURATION", "DIAS": "DURATION", "HORA": "DURATION", "HORAS": "DURATION", "METRO": "LENGTH", "METROS": "LENGTH", "M": "LENGTH", "M2": "AREA", "M3": "VOLUME", "KG": "MASS", "TON": "MASS",
+}
+
+
 def terminal_quantity(text: Column) -> tuple[Column, Column]:
-    """Amount and unit of a final `(12 PIEZAS)`; null without one."""
-    pattern = r"\(\s*([0-9]+(?:[.,][0-9]+)?)\s+(\p{L}+)\s*\)\s*$"
-    amount = F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
-    return F.regexp_replace(amount, ",", ".").cast("double"), F.nullif(F.upper(F.regexp_extract(text, pattern, 2)), F.lit(""))
+    """Amount and unit, as they are written, of a final `(12 piezas)`; null without one."""
+    pattern = r"\((\d+(?:\.\d+)?)\s+([^()]+?)\)\.?\s*$"
+    plain = F.trim(F.regexp_replace(text, r"\s+", " "))
+    part = lambda k: F.nullif(F.trim(F.regexp_extract(plain, pattern, k)), F.lit(""))
+    return F.when(part(2).isNotNull(), part(1)), F.when(part(1).isNotNull(), part(2))
+
+
+def measure_kind(unit: Column) -> Column:
+    """What a unit measures, however it is cased or dotted; null for unknown ones."""
+    plain = F.replace(F.upper(F.trim(F.regexp_replace(unit, r"\s+", " "))), F.lit("."), F.lit(""))
+    return F.element_at(F.create_map(*[F.lit(x) for kv in UNIT_KINDS.items() for x in kv]), plain)
 
 
 #: Month names in dates.

@@ -1,8 +1,7 @@
-"""Ordered text work: chunks, runs within a sequence, and greedy groups."""
+"""Ordered text work: chunks, and runs within a sequence."""
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -60,30 +59,3 @@ def runs(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     changed = (~F.lag(value).over(w).eqNullSafe(F.col(value)) | (F.row_number().over(w) == 1)).cast("long")
     marked = df.withColumn("__c", changed).withColumn("run", F.sum("__c").over(w)).drop("__c")
     return marked.withColumn("in_run", (F.row_number().over(Window.partitionBy(key, "run").orderBy(order)) - 1).cast("long"))
-
-
-def complete_link(df: DataFrame, block: str, id_col: str, text_col: str, least: float) -> DataFrame:
-    """block, id, group: in order of id, a row joins the first group whose every member is similar, else starts one.
-
-    The outcome depends on the order, so a block is one task's work; choose blocks
-    that stay small. Similarity is the ratio of matching runs of the two texts.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        groups: list[list[str]] = []
-        out = []
-        for row in pdf.sort_values("id").itertuples():
-            text = row.text or ""
-            for k, members in enumerate(groups):
-                if all(m == text or difflib.SequenceMatcher(None, m, text).ratio() >= least for m in members):
-                    break
-            else:
-                k = len(groups)
-                groups.append([])
-            if text not in groups[k]:
-                groups[k].append(text)
-            out.append((row.block, row.id, k))
-        return pd.DataFrame(out, columns=["block", "id", "group"])
-
-    rows = df.select(F.col(block).alias("block"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.groupBy("block").applyInPandas(run, "block string, id long, group long").withColumnRenamed("id", id_col)

@@ -85,7 +85,7 @@ def occurrences(pages: DataFrame, doc: str, page: str, text: str) -> DataFrame:
     upper = (letters > 0) & (F.regexp_count("line", F.lit(r"\p{Lu}")) >= UPPER * letters)
     shape = F.col("norm").startswith(F.col("signal")) | upper | (F.length("norm") <= F.length("signal") + TIGHT)
     heading = (words <= HEADING_WORDS) & shape & ((F.col("at") <= 2) | (F.col(page) <= EARLY_PAGES) | upper)
-    before = F.trim(F.substring_index("norm", F.col("signal"), 1))
+    before = F.trim(F.call_function("substring_index", F.col("norm"), F.col("signal"), F.lit(1)))
     refers = holds_any(F.col("norm"), REFERENCE_CUES) | ((before != "") & (F.size(F.split(before, " ")) >= 2))
     kind = F.when(F.col("__contents"), "REFERENCE_LIST").when(heading & ~refers, "ANCHOR").otherwise("REFERENCE")
     anchored = F.lit(ANCHOR) + F.when(words <= SHORT_HEADING, HEADING_BONUS).otherwise(0) + F.when(F.col(page) <= EARLY_PAGES, EARLY_BONUS).otherwise(0)

@@ -68,7 +68,7 @@ def canonical_by_key(df: DataFrame, key: str, id_col: str) -> DataFrame:
     return found.select(key, "n", F.when(one, "LINKED").otherwise("CANONICAL_AMBIGUOUS").alias("status"), F.when(one, F.col("__first")).alias("canonical"))
 
 
-def one_to_one(expected: DataFrame, discovered: DataFrame, key: str, order: list[str]) -> DataFrame:
+def one_to_one(expected: DataFrame, discovered: DataFrame, key: str) -> DataFrame:
     """key, expected, discovered, matched: the n-th expected row of a key takes the n-th discovered.
 
     Rows of a key are interchangeable, so counts alone tell how many pairs there are
@@ -162,7 +162,7 @@ def jaccard_pairs(classes: DataFrame, least: float) -> DataFrame:
     Only classes that share one of their rarest tokens meet: two sets that overlap by
     `least` must share a token among the first n - ceil(least x n) + 1 of each in one
     common order, here that of rarity. Of those that meet, such go no further whose
-    sizes, or whose tokens from the shared one on, are too few for the overlap.
+    sizes, or whose tokens from the first shared one on, are too few for the overlap.
     """
     keys = [c for c in classes.columns if c.startswith("__b")]
     reps = classes.where("__id = __class")
@@ -181,7 +181,7 @@ def jaccard_pairs(classes: DataFrame, least: float) -> DataFrame:
     x, y = spots.alias("x"), spots.alias("y")
     need = F.ceil((F.col("x.size") + F.col("y.size")) * (least / (1 + least)) - 1e-9)
     met = x.join(y, [F.expr("x.token = y.token"), F.expr("x.c < y.c"), *[F.expr(f"x.{k} <=> y.{k}") for k in keys]])
-    met = met.where((F.least("x.size", "y.size") >= need) & (F.least("x.rest", "y.rest") >= F.greatest(need - (F.col("x.size") - F.col("x.rest")), F.lit(1))))
+    met = met.where((F.least("x.size", "y.size") >= need) & (F.least("x.rest", "y.rest") >= need))
     pairs = met.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
     left, right = reps.select(F.col("__class").alias("a"), F.col("__set").alias("__x")), reps.select(F.col("__class").alias("b"), F.col("__set").alias("__y"))
     scored = pairs.join(left, "a").join(right, "b").withColumn("s", jaccard(F.col("__x"), F.col("__y")))

@@ -74,18 +74,20 @@ def append_missing(log: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     return once.join(held, once[key].eqNullSafe(held["__key"]), "left_anti").select(batch.columns)
 
 
-def conditional_outcomes(state: DataFrame, commands: DataFrame, keys: list[str], revision: str, expected: str) -> DataFrame:
-    """commands with `outcome`: APPLIED if the expected revision is the current one, STALE if not, MISSING without a row, SKIPPED after another command that applied to the key.
+def conditional_outcomes(state: DataFrame, commands: DataFrame, keys: list[str], revision: str, expected: str, invalid: Column | None = None, applied: str = "APPLIED") -> DataFrame:
+    """commands with `outcome`: APPLIED if the expected revision is the current one, STALE if not, MISSING without a row, INVALID if `invalid` holds, SKIPPED after another command that applied to the key.
 
-    Only the first command of a key can apply, in order of `command_id`.
+    Only the first command of a key can apply, in order of `command_id`. A preview
+    calls what would apply ELIGIBLE (`applied`).
     """
     current = state.groupBy(*keys).agg(F.max(revision).alias("__current"))
     joined = commands.join(current, same_keys(commands, current, keys), "left")
     joined = joined.select(*[commands[c] for c in commands.columns], "__current")
-    fits = F.col(expected) == F.col("__current")
+    bad = F.lit(False) if invalid is None else F.coalesce(invalid, F.lit(False))
+    fits = (F.col(expected) == F.col("__current")) & ~bad
     earlier = Window.partitionBy(*keys).orderBy("command_id").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.max(F.when(fits, 1).otherwise(0)).over(earlier), F.lit(0))
-    outcome = F.when(F.col("__current").isNull(), "MISSING").when(~fits, "STALE").when(before == 1, "SKIPPED").otherwise("APPLIED")
+    outcome = F.when(F.col("__current").isNull(), "MISSING").when(bad, "INVALID").when(~fits, "STALE").when(before == 1, "SKIPPED").otherwise(applied)
     return joined.withColumn("outcome", outcome).drop("__current")
 
 

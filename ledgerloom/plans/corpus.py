@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as X
-from ledgerloom.operators import chunks, imports, match, rollup, rules
+from ledgerloom.operators import chunks, equivalence, imports, match, rollup, rules
 from ledgerloom.plans.base import query, table
 
 #: NFC, then line ends, then white space at them, outer white space, empty lines, and characters of category C.
@@ -90,6 +90,13 @@ def doc_jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return match.jaccard_pairs(match.token_classes(word_sets(spark, sf), "doc_id", "w"), 0.5)
 
 
+@query(f"""WITH {WORD_SETS_SQL}, p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(a.w) + len(b.w) AS total, len(list_intersect(a.w, b.w)) AS common FROM t a JOIN t b ON a.doc_id < b.doc_id AND len(a.w) >= 0.8 * len(b.w) AND len(b.w) >= 0.8 * len(a.w))
+SELECT a, b, round(common / (total - common), 4) AS similarity FROM p WHERE common / (total - common) >= 0.8""")
+def doc_near_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of word sets that overlap by four fifths: near copies. Only the rarest fifth of the words has to meet."""
+    return match.jaccard_pairs(match.token_classes(word_sets(spark, sf), "doc_id", "w"), 0.8)
+
+
 @query(r"""SELECT doc_id, min(doc_id) OVER (PARTITION BY list_sort(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')))) AS class FROM documents""")
 def doc_word_classes(spark: SparkSession, sf: str) -> DataFrame:
     """To which class of equal word sets each document belongs."""
@@ -164,25 +171,47 @@ def fold_accents(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.sha2(X.folded(X.nfc(F.col("text"))), 256).alias("digest"))
 
 
+def text_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, line): all lines of all documents."""
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).select((F.col("doc_id") * 100_000 + F.col("at")).alias("id"), "line")
+
+
 @query()
 def cluster_equivalent(spark: SparkSession, sf: str) -> DataFrame:
-    """Greedy complete-link groups of similar opening lines within a block of source, language and length."""
-    docs = table(spark, sf, "documents").select("doc_id", F.concat_ws("/", "source", "lang", F.floor(F.col("n_chars") / 200).cast("string")).alias("block"), F.substring_index("text", ".", 1).alias("line"))
-    return chunks.complete_link(docs, "block", "doc_id", "line", 0.88)
+    """Greedy groups of lines that say the same, over all lines of all documents, whatever their source, language and length."""
+    pairs, members = equivalence.judged_pairs(text_lines(spark, sf), "id", F.col("line"))
+    return equivalence.groups(pairs, members)
 
 
-@query("""SELECT doc_id, CASE strftime(TIMESTAMP '2020-01-01' + INTERVAL (doc_id % 400) DAY, '%d/%m/%Y') WHEN '' THEN NULL ELSE strftime(TIMESTAMP '2020-01-01' + INTERVAL (doc_id % 400) DAY, '%Y-%m-%d') END AS day, 'DAY' AS precision FROM documents""")
+#: What each document says of a date, by its id: all written forms, a month, a year, impossible days and none.
+DATES = ("Entrega el {d}/{m}/{y} a las 10:00", "Firmado el {d} de {n} de {y}", "EL {d} DE {n} DEL {y}", "visita {d}-{n}-{y}", "en {n} de {y}", "durante {y}", "el 31/02/{y}", "el 30 de febrero de {y}", "sin fecha")
+
+
+@query(f"""WITH k AS (SELECT doc_id, CAST(1 + doc_id % 28 AS INT) AS d, CAST(1 + doc_id % 12 AS INT) AS m, CAST(1990 + doc_id % 40 AS INT) AS y, doc_id % 9 AS f FROM documents)
+SELECT doc_id, CASE WHEN f < 4 THEN strftime(make_date(y, m, d), '%Y-%m-%d') WHEN f = 4 THEN strftime(make_date(y, m, 1), '%Y-%m-%d') WHEN f = 5 THEN strftime(make_date(y, 1, 1), '%Y-%m-%d') END AS day, CASE WHEN f < 4 THEN 'DAY' WHEN f = 4 THEN 'MONTH' WHEN f = 5 THEN 'YEAR' ELSE 'UNKNOWN' END AS precision FROM k""")
 def date_extract(spark: SparkSession, sf: str) -> DataFrame:
-    """Dates out of sentences that name them."""
-    day = F.date_add(F.lit("2020-01-01").cast("date"), (F.col("doc_id") % 400).cast("int"))
-    value, kind = X.spanish_date(F.concat(F.lit("Entrega el "), F.date_format(day, "dd/MM/yyyy"), F.lit(" a las 10:00")))
+    """Dates out of sentences that name them in several forms, or name none."""
+    k = F.col("doc_id")
+    text = F.element_at(F.lit(list(DATES)), (k % 9 + 1).cast("int"))
+    name = F.element_at(F.lit(list(X.MONTHS)), (k % 12 + 1).cast("int"))
+    for mark, by in (("{d}", (k % 28 + 1).cast("string")), ("{m}", (k % 12 + 1).cast("string")), ("{y}", (k % 40 + 1990).cast("string")), ("{n}", name)):
+        text = F.replace(text, F.lit(mark), by)
+    value, kind = X.spanish_date(text)
     return table(spark, sf, "documents").select("doc_id", F.date_format(value, "yyyy-MM-dd").alias("day"), kind.alias("precision"))
 
 
-@query("""SELECT p_partkey, CAST(p_size AS DOUBLE) AS amount, 'PIEZAS' AS unit FROM part""")
+UNITS = ("piezas", "PZA.", "m2", "Kg", "cajas", "horas")
+
+
+@query(f"""WITH u AS (SELECT p_partkey, p_size, [{", ".join(repr(u) for u in UNITS)}][CAST(p_partkey % 6 AS INT) + 1] AS unit, p_partkey % 11 <> 0 AND p_partkey % 13 <> 0 AS whole FROM part)
+SELECT p_partkey, CASE WHEN whole THEN CASE WHEN p_partkey % 4 = 0 THEN p_size || '.5' ELSE CAST(p_size AS VARCHAR) END END AS amount, CASE WHEN whole THEN unit END AS unit, CASE WHEN whole THEN CASE unit WHEN 'piezas' THEN 'COUNT' WHEN 'PZA.' THEN 'COUNT' WHEN 'm2' THEN 'AREA' WHEN 'Kg' THEN 'MASS' WHEN 'horas' THEN 'DURATION' END END AS kind FROM u""")
 def terminal_quantity(spark: SparkSession, sf: str) -> DataFrame:
-    amount, unit = X.terminal_quantity(F.concat(F.col("p_name"), F.lit(" ("), F.col("p_size").cast("string"), F.lit(" piezas)")))
-    return table(spark, sf, "part").select("p_partkey", amount.alias("amount"), unit.alias("unit"))
+    """Quantities at the end of a text, and what their units measure; such as stand elsewhere or have a comma don't count."""
+    k = F.col("p_partkey")
+    number = F.concat(F.col("p_size").cast("string"), F.when(k % 11 == 0, ",5").when(k % 4 == 0, ".5").otherwise(""))
+    text = F.concat(F.col("p_name"), F.lit(" ("), number, F.lit("  "), F.element_at(F.lit(list(UNITS)), (k % 6 + 1).cast("int")), F.when(k % 13 == 0, ") y más").when(k % 2 == 0, "). ").otherwise(")"))
+    amount, unit = X.terminal_quantity(text)
+    return table(spark, sf, "part").select("p_partkey", amount.alias("amount"), unit.alias("unit"), X.measure_kind(unit).alias("kind"))
 
 
 @query("""SELECT doc_id, CASE WHEN contains(t, 'the') THEN substr(t, greatest(strpos(t, 'the') - 40, 1), strpos(t, 'the') + 40 - greatest(strpos(t, 'the') - 40, 1)) END AS excerpt FROM (SELECT doc_id, replace(text, chr(10), ' ') AS t FROM documents)""")
@@ -192,9 +221,12 @@ def excerpt_window(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.when(at > 0, X.excerpt(t, at, 40, 40)).alias("excerpt"))
 
 
-@query("""SELECT 'page:' || page_id || '|lines:4-9' AS locator, page_id, 4 AS first, 9 AS last FROM pages""")
+@query("""SELECT page_id, CASE WHEN page_id % 4 <> 3 THEN page_id END AS page, CASE WHEN page_id % 4 IN (0, 3) THEN CAST(page_id % 10 + 1 AS INT) END AS first, CASE WHEN page_id % 4 IN (0, 3) THEN CAST(page_id % 10 + 6 AS INT) END AS last, CASE WHEN page_id % 4 = 2 THEN 'A' || page_id END AS cell FROM pages""")
 def locator_parse(spark: SparkSession, sf: str) -> DataFrame:
-    raw = F.concat(F.lit("page:"), F.col("page_id").cast("string"), F.lit("|lines:4-9"))
+    """Places in documents: pages, lines, cells, in any order."""
+    k = F.col("page_id")
+    page, lines = F.concat(F.lit("page:"), k.cast("string")), F.concat(F.lit("lines:"), (k % 10 + 1).cast("string"), F.lit("-"), (k % 10 + 6).cast("string"))
+    raw = F.when(k % 4 == 0, F.concat_ws("|", page, lines)).when(k % 4 == 1, page).when(k % 4 == 2, F.concat_ws("|", F.concat(F.lit("cell:A"), k.cast("string")), page)).otherwise(lines)
     parts = X.locator(raw)
     span = F.split(parts["lines"], "-")
-    return table(spark, sf, "pages").select(raw.alias("locator"), parts["page"].cast("long").alias("page_id"), span[0].cast("int").alias("first"), span[1].cast("int").alias("last"))
+    return table(spark, sf, "pages").select("page_id", parts["page"].cast("long").alias("page"), span[0].cast("int").alias("first"), span[1].cast("int").alias("last"), parts["cell"].alias("cell"))

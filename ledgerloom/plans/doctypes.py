@@ -27,12 +27,12 @@ NORM = r"trim(regexp_replace(lower({}), '\s+', ' ', 'g'))"
 RULE_ROWS = ", ".join(f"('{kind}', '{term}', {n})" for kind, terms in D.SIGNALS.items() for n, term in enumerate(terms))
 PAGES_SQL = f"""h AS (SELECT {listed(HEADS)} AS hs, {listed(NAMES)} AS ns), p AS (SELECT doc_id // 3 AS doc, CAST(doc_id % 3 * 3 + 1 AS INT) AS page, concat_ws(chr(10), hs[doc_id % 16 + 1], hs[doc_id * 7 % 16 + 1], ' ' || hs[doc_id * 5 % 13 + 1], text) AS t FROM documents, h),
 q AS (SELECT doc, page, list_filter(list_transform(regexp_split_to_array(t, '\\r\\n|[\\r\\n]'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS ls, {any_of(NORM.format('t'), D.CONTENTS_CUES)} AS cued FROM p),
-l AS (SELECT doc, page, cued, unnest(ls) AS line, unnest(generate_series(0, len(ls) - 1)) AS at FROM q), n AS (SELECT *, {NORM.format('line')} AS norm FROM l),
+l AS (SELECT doc, page, cued, unnest(ls) AS line, unnest(generate_series(0, len(ls) - 1)) AS pos FROM q), n AS (SELECT *, {NORM.format('line')} AS norm FROM l),
 c AS (SELECT doc, page, bool_or(cued) AND sum(CASE WHEN regexp_matches(norm, '{D.LISTING}') OR {any_of('line', D.LISTED)} THEN 1 ELSE 0 END) >= 3 AS contents FROM n GROUP BY 1, 2),
 r(type, term, ord) AS (VALUES {RULE_ROWS}),
-m AS (SELECT n.doc, n.page, n.at, n.line, n.norm, r.type, min_by(r.term, r.ord) AS signal FROM n JOIN r ON contains(n.norm, r.term) GROUP BY ALL),
+m AS (SELECT n.doc, n.page, n.pos, n.line, n.norm, r.type, min_by(r.term, r.ord) AS signal FROM n JOIN r ON contains(n.norm, r.term) GROUP BY ALL),
 w AS (SELECT m.*, contents, len(string_split(norm, ' ')) AS words, len(regexp_extract_all(line, '\\p{{L}}')) > 0 AND len(regexp_extract_all(line, '\\p{{Lu}}')) >= 0.6 * len(regexp_extract_all(line, '\\p{{L}}')) AS upper, trim(string_split(norm, signal)[1]) AS front FROM m JOIN c USING (doc, page)),
-k AS (SELECT doc, page, type, signal, words, CASE WHEN contents THEN 'REFERENCE_LIST' WHEN words <= 14 AND (starts_with(norm, signal) OR upper OR length(norm) <= length(signal) + 35) AND (at <= 2 OR page <= 3 OR upper)
+k AS (SELECT doc, page, type, signal, words, CASE WHEN contents THEN 'REFERENCE_LIST' WHEN words <= 14 AND (starts_with(norm, signal) OR upper OR length(norm) <= length(signal) + 35) AND (pos <= 2 OR page <= 3 OR upper)
  AND NOT ({any_of('norm', D.REFERENCE_CUES)} OR (front <> '' AND len(string_split(front, ' ')) >= 2)) THEN 'ANCHOR' ELSE 'REFERENCE' END AS kind FROM w),
 o AS (SELECT doc, page, type, signal, kind, CASE kind WHEN 'ANCHOR' THEN 35 + CASE WHEN words <= 8 THEN 10 ELSE 0 END + CASE WHEN page <= 3 THEN 10 ELSE 0 END WHEN 'REFERENCE' THEN 8 ELSE 4 END AS weight FROM k)"""
 

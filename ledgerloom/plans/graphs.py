@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as X
 from ledgerloom.operators import effects, graph
+from ledgerloom.operators.paging import ranked
 from ledgerloom.plans.base import query, table
 
 
 @query("""WITH RECURSIVE n AS (SELECT doc_id AS node, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS next FROM documents), l AS (SELECT * FROM n WHERE next IS NOT NULL AND node % 4 <> 0),
 w AS (SELECT node, next AS pos, 1 AS depth FROM l UNION ALL SELECT w.node, l.next, depth + 1 FROM w JOIN l ON l.node = w.pos) SELECT node, max_by(pos, depth) AS "end", CAST(max(depth) AS BIGINT) AS depth FROM w GROUP BY 1""")
 def supersession_chain(spark: SparkSession, sf: str) -> DataFrame:
-    """The ultimate replacement of documents that the next of their source supersedes."""
-    w = Window.partitionBy("source").orderBy("doc_id")
-    links = table(spark, sf, "documents").select(F.col("doc_id").alias("node"), F.lead("doc_id").over(w).alias("next")).where("next IS NOT NULL AND node % 4 <> 0")
+    """The ultimate replacement of documents that the next of their source supersedes; neighbours come from places in the order of all, so no task holds a source."""
+    placed = ranked(table(spark, sf, "documents").select("source", "doc_id"), [F.col("source"), F.col("doc_id")])
+    after = placed.select((F.col("place") - 1).alias("place"), F.col("source").alias("its_source"), F.col("doc_id").alias("next"))
+    links = placed.join(after, "place").where("source <=> its_source AND doc_id % 4 <> 0").select(F.col("doc_id").alias("node"), "next")
     return graph.chain_ends(links)
 
 

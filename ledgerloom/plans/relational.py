@@ -233,8 +233,7 @@ SELECT CAST(coalesce(x.k, y.k) AS BIGINT) AS k, count(x.rn) AS expected, count(y
 def greedy_match_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Expected against discovered rows, each matched once, in order, within its key."""
     rows = table(spark, sf, "lineitem").withColumn("k", F.col("l_partkey") % 500)
-    order = ["l_orderkey", "l_linenumber", "l_suppkey"]
-    return match.one_to_one(rows.where("l_returnflag = 'R'"), rows.where("l_returnflag = 'A'"), "k", order)
+    return match.one_to_one(rows.where("l_returnflag = 'R'"), rows.where("l_returnflag = 'A'"), "k")
 
 
 @query("""SELECT l_orderkey, count(*) AS lines, min(l_linenumber) AS first_line, bool_or(l_returnflag = 'R') AS any_returned, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY 1""")

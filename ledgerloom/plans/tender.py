@@ -125,13 +125,15 @@ def timeline_sort(spark: SparkSession, sf: str) -> DataFrame:
     return ranked(table(spark, sf, "events").withColumn("day", dated).withColumn("moment", timed), order).select("event_id", "place")
 
 
-@query("""SELECT l_suppkey, coalesce(string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber), '') AS lines, count(*) FILTER (WHERE o_orderkey IS NULL) AS unknown_orders FROM (SELECT DISTINCT l_suppkey, l_linenumber, o_orderkey FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey AND o_orderstatus <> 'P' WHERE l_quantity = 50) GROUP BY 1""")
+@query("""SELECT l_suppkey, coalesce(string_agg(DISTINCT CAST(l_linenumber AS VARCHAR), ',' ORDER BY CAST(l_linenumber AS VARCHAR)) FILTER (WHERE o_orderkey IS NULL), '') AS lines, count(*) FILTER (WHERE o_orderkey IS NULL) AS unknown_orders
+FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey AND o_orderstatus <> 'P' GROUP BY 1""")
 def referential_validation(spark: SparkSession, sf: str) -> DataFrame:
-    """References that lead nowhere, counted beside an ordered list with an empty default."""
+    """References that lead nowhere, counted, and the numbers of their lines in order, empty where there are none."""
     orders = table(spark, sf, "orders").where("o_orderstatus <> 'P'").select("o_orderkey")
-    rows = table(spark, sf, "lineitem").where("l_quantity = 50").join(orders, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("l_suppkey", "l_linenumber", "o_orderkey").distinct()
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list("l_linenumber")), lambda x: x.cast("string")), ",")
-    return rows.groupBy("l_suppkey").agg(F.coalesce(listed, F.lit("")).alias("lines"), F.sum(F.col("o_orderkey").isNull().cast("long")).alias("unknown_orders"))
+    rows = table(spark, sf, "lineitem").join(orders, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    lost = F.col("o_orderkey").isNull()
+    listed = F.array_join(F.transform(F.array_sort(F.collect_set(F.when(lost, F.col("l_linenumber")))), lambda x: x.cast("string")), ",")
+    return rows.groupBy("l_suppkey").agg(F.coalesce(listed, F.lit("")).alias("lines"), F.sum(lost.cast("long")).alias("unknown_orders"))
 
 
 @query("""WITH a AS (SELECT user_id, event_id, event_type, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY CASE WHEN value > 80 THEN 0 WHEN value > 40 THEN 1 ELSE 2 END, length(props) DESC, ts, event_id) AS n FROM events) SELECT user_id, event_type, event_id FROM a WHERE n = 1""")

@@ -44,7 +44,7 @@ def revision_monotone(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') AS active FROM customer")
 def json_list_backfill(spark: SparkSession, sf: str) -> DataFrame:
     """Whether some parent's JSON list names the row."""
-    lists = table(spark, sf, "orders").where("o_orderstatus = 'P'").groupBy(F.col("o_orderkey") % 100).agg(F.to_json(F.collect_set(F.col("o_custkey").cast("string"))).alias("json"))
+    lists = table(spark, sf, "orders").where("o_orderstatus = 'P'").groupBy(F.floor(F.col("o_orderkey") / 100)).agg(F.to_json(F.collect_set(F.col("o_custkey").cast("string"))).alias("json"))
     return validate.listed(table(spark, sf, "customer").select("c_custkey"), lists, "c_custkey", "json")
 
 

@@ -20,10 +20,15 @@ def stream_of(spark: SparkSession, path: str, name: str, files_per_batch: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "*.parquet").parquet(f"{path}/{name.replace('.parquet', '.parquet*')}")
 
 
-def run_to_end(rows: DataFrame, mode: str = "append") -> DataFrame:
-    """Everything a stream has to say now, written batch by batch to the shared folder and read back."""
+def run_to_end(rows: DataFrame, mode: str = "append", home: str | None = None) -> DataFrame:
+    """Everything a stream has to say now, written batch by batch under `home` and read back.
+
+    A later run with the same home reads on where the log ends. A batch that runs again,
+    because the driver died behind its write, overwrites what it wrote. Without a home
+    the stream gets one of its own in the shared folder.
+    """
     spark = rows.sparkSession
-    home = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    home = home or f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{home}/rows/batch={batch_id}")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import pytest
 from ledgerloom.functions import evaluation, money, tender
 from ledgerloom.functions import text as X
-from ledgerloom.operators import chunks, diff, effects, graph, match, paging, readiness, rollup, state
+from ledgerloom.operators import chunks, diff, effects, equivalence, graph, match, paging, readiness, rollup, state
 
 
 def test_upsert_keeps_history(spark):
@@ -228,8 +228,9 @@ def test_text_rules(spark):
     for s, day, kind in (("3 de marzo de 2024", "2024-03-03", "DAY"), ("31/02/2024", None, "UNKNOWN"), ("en MARZO 2023", "2023-03-01", "MONTH"), ("año 2022", "2022-01-01", "YEAR"), ("nada", None, "UNKNOWN")):
         d, k = X.spanish_date(F.lit(s))
         assert (value(d.cast("string")), value(k)) == (day, kind)
-    amount, unit = X.terminal_quantity(F.lit("Bomba (12,5 piezas) "))
-    assert (value(amount), value(unit)) == (12.5, "PIEZAS")
+    for t, want in (("Bomba (12.5  pzas.). ", ("12.5", "pzas.", "COUNT")), ("(3 m2)", ("3", "m2", "AREA")), ("(x) (7 cajas)", ("7", "cajas", None)), ("(7 piezas) más", (None, None, None)), ("(12,5 kg)", (None, None, None)), ("(7)", (None, None, None))):
+        amount, unit = X.terminal_quantity(F.lit(t))
+        assert (value(amount), value(unit), value(X.measure_kind(unit))) == want
 
 
 def test_chunks_cover_and_overlap():
@@ -258,3 +259,29 @@ def test_adjudication_without_judgments(spark):
     df = spark.createDataFrame([("a", "T", "x"), ("a", "F", "y"), ("b", None, None)], "d string, j string, t string")
     got = {r.d: (r.precision, r.recall) for r in readiness.adjudicate(df, "d", "j", "t", ("T",)).collect()}
     assert got == {"a": (0.5, 0.5), "b": (None, None)}
+
+
+def test_equivalence_verdicts_and_groups(spark):
+    texts = [
+        (1, "Presentar el Anexo A con la carta del fabricante"), (2, "Anexar y presentar el anexo A, carta del fabricante de la bomba nueva"), (3, "Presentar el Anexo B con la carta del fabricante"),
+        (4, "El licitante entregará 10 bombas centrífugas de acero"), (5, "El licitante entregará 12 bombas centrífugas de acero"), (6, "El licitante entregará 10 bombas centrifugas de acero"),
+        (7, "El consorcio entregará 10 bombas centrífugas de acero"), (8, "Se entregan bombas centrífugas de acero inoxidable para agua limpia original"), (9, "Se entregan bombas centrífugas de acero inoxidable para agua limpia"),
+        (10, "Se entregan bombas centrifugas de acero inoxidable para aguas limpias"), (11, "limpia agua para inoxidable acero de centrífugas bombas entregan Se"), (12, None), (13, ""),
+    ]
+    df = spark.createDataFrame(texts, "i long, t string")
+    pairs, members = equivalence.judged_pairs(df, "i", F.col("t"), 0.4)
+    got = {(r.a, r.b): r.verdict for r in pairs.collect()}
+    assert got[1, 3] == "annex_mismatch" and got[1, 2] == "same_annex_action_signature"
+    assert got[4, 5] == "numeric_mismatch" and (4, 6) not in got and got[4, 7] == "actor_scope_mismatch"
+    assert got[8, 9] == "qualifier_mismatch" and got[9, 10] == "near_exact_lexical_match" and got[9, 11] == "insufficient_similarity"
+    assert dict(map(tuple, members.collect()))[6] == 4
+    told = dict(map(tuple, equivalence.groups(pairs, members).collect()))
+    assert told == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 4, 7: 7, 8: 8, 9: 9, 10: 9, 11: 11}
+
+
+def test_groups_are_complete_links(spark):
+    """1 is one with 2 and 2 with 3, but 1 not with 3; 4 is one with all."""
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (1, 4), (2, 4), (3, 4), (5, 6)], "a long, b long").withColumn("verdict", F.lit("near_exact_lexical_match"))
+    members = spark.createDataFrame([(k, k) for k in range(1, 8)] + [(70, 7)], "id long, class long")
+    got = dict(map(tuple, equivalence.groups(pairs, members).collect()))
+    assert got == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5, 6: 5, 7: 7, 70: 7}
