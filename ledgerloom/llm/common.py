@@ -1,41 +1,12 @@
-"""What the training-data operators share: tables, durable intermediates and graph components."""
+"""What the training-data operators share, most of it the library's own: tables, durable intermediates and graph components."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
 from ledgerloom.operators.durable import durable, shared_dir, stored
+from ledgerloom.operators.graph import components
 from ledgerloom.plans.base import table
 
 __all__ = ["WORD", "components", "durable", "shared_dir", "stored", "table"]
 
 #: Characters that part words: space and the five controls 0x09 to 0x0D. `bytes.split()` parts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
-
-
-def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """(node, component) for every end of an edge; component is the smallest node that links reach.
-
-    Every round points each node at its smallest neighbour, contracts the edges to
-    those parents and forgets loops and repeats, so paths shrink by more than half
-    a round. Degrees don't matter: a hub's edges only meet in a minimum, which
-    combines before the shuffle, and in joins that adaptive execution splits.
-    Self-links count as nodes; rows with a null end are ignored.
-    """
-    ends = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    both = durable(ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node"))
-    live = both.where("a <> b")
-    while not live.isEmpty():
-        parents = live.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("parent"))
-        left = live.join(parents, "a").select(F.col("parent").alias("pa"), "b")
-        right = parents.select(F.col("a").alias("b"), F.col("parent").alias("pb"))
-        moved = parents.select(F.col("a").alias("component"), "parent")
-        labels = durable(
-            labels.join(moved, "component", "left").select("node", F.coalesce("parent", "component").alias("component"))
-        )
-        live = durable(
-            left.join(right, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct()
-        )
-    return labels
