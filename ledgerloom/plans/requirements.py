@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import requirements as R
 from ledgerloom.functions import tender as T
+from ledgerloom.operators import versions
 from ledgerloom.plans.base import query, table
 
 SPANS = (
@@ -15,6 +16,7 @@ SPANS = (
     "Será causa de desechamiento la falta de firma.", "No se aceptarán ofertas condicionadas de ningún tipo.", "El supervisor revisará y el contratista deberá atender sus notas.", "Índice general del contenido del documento", "Véase el numeral 4 de las bases.",
     "Deberá cumplir [nombre de la empresa] con lo previsto.", "Los licitantes acreditarán experiencia mínima de tres años.", "Es requisito.", "La oferta deberá: ok.", "Como parte de su propuesta, el adjudicado deberá incluir el programa.", "Cantidad de bombas instaladas en la planta norte.",
     "El licitante deberá acreditar la capacidad antes de que resulte adjudicado.", "Para cada partida; anexar ficha técnica de los bienes ofertados.", "Los servicios tendrán que iniciar a tiempo en la planta.",
+    "de los trabajos similares ejecutados con personal técnico que", "Dicha documentación deberá presentarse en formato PDF firmada;", "El certificado y dicha documentación ISO 9001 del fabricante.", "| n x y z w b: garantía ¢ | �", "Propuesta económica con precios unitarios e importe y condiciones comerciales", "Presentación y apertura de propuestas comercial, técnica y económica",
 )
 PAGES = ("Generalidades del procedimiento", "Documentación requerida a los interesados", "Documentación del participante adjudicado", "Integrar su propuesta previo a la firma del contrato")
 
@@ -58,3 +60,62 @@ def text_spans(spark: SparkSession, sf: str) -> DataFrame:
     """Sentences of whole texts."""
     x = R.spans(F.col("text"))
     return table(spark, sf, "documents").select("doc_id", F.size(x).cast("long").alias("spans"), F.sha2(F.array_join(x, "|"), 256).alias("digest"))
+
+
+def score_sql(name: str) -> str:
+    return "(" + " + ".join(f"CASE WHEN contains(k, '{w}') THEN {2 if w in R.TWICE.get(name, ()) else 1} ELSE 0 END" for w in R.CATEGORIES[name]) + ")"
+
+
+BEST_SQL = "greatest(" + ", ".join(f"s_{n}" for n in R.CATEGORIES) + ")"
+CATEGORY_SQL = f"""{SPANS_SQL}, r AS (SELECT p_partkey, raw, t FROM b JOIN s USING (p_partkey)), k AS (SELECT *, regexp_replace(t, '{R.PROCEDURE}', ' ', 'g') AS k FROM r),
+c0 AS (SELECT *, {", ".join(f"{score_sql(n)} AS r_{n}" for n in R.CATEGORIES)} FROM k),
+c1 AS (SELECT *, {", ".join(f"r_{n} AS s_{n}" for n in R.CATEGORIES if n not in ("PERSONNEL", "EXPERIENCE"))}, r_PERSONNEL - CASE WHEN r_PERSONNEL > 0 AND r_EXPERIENCE > r_PERSONNEL THEN 1 ELSE 0 END AS s_PERSONNEL, r_EXPERIENCE - CASE WHEN r_EXPERIENCE > 0 AND r_PERSONNEL > 0 AND r_PERSONNEL >= r_EXPERIENCE THEN 1 ELSE 0 END AS s_EXPERIENCE FROM c0),
+c2 AS (SELECT *, {BEST_SQL} AS best FROM c1), c3 AS (SELECT *, {" + ".join(f"CASE WHEN s_{n} = best THEN 1 ELSE 0 END" for n in R.CATEGORIES)} AS tied FROM c2),
+c4 AS (SELECT p_partkey, raw, t, CASE WHEN best <= 0 THEN 'UNKNOWN' WHEN tied > 1 THEN CASE {" ".join(f"WHEN s_{n} = best AND regexp_matches(k, '{p}') THEN '{n}'" for n, p in R.TIES)} ELSE 'UNKNOWN' END {" ".join(f"WHEN s_{n} = best THEN '{n}'" for n in R.CATEGORIES)} END AS category FROM c3)"""
+NOISY_SQL = " OR ".join(f"starts_with(raw, '{x}')" for x in ("|", "✓", "we ", "n ", "y ", "v "))
+
+
+@query(f"""WITH {CATEGORY_SQL}, d AS (SELECT *, substr(raw, 1, 42) AS head, regexp_extract(t, '^([a-zñ]+)', 1) AS word, regexp_extract(t, '{R.REFERENT}') AS ref FROM c4)
+SELECT p_partkey, category, array_to_string(list_filter([CASE WHEN {NOISY_SQL} OR len(regexp_extract_all(head, '\\b[a-zA-Z]\\b')) >= 6 THEN 'ocr_noise' END, CASE WHEN regexp_matches(raw, '{R.OPEN_END}') OR (length(raw) < 60 AND NOT regexp_matches(raw, '[.:]$')) THEN 'truncated_span' END,
+CASE WHEN regexp_matches(raw, '^[a-záéíóúñ]') AND (word IN {R.CLIPPED} OR length(word) <= 2) THEN 'clipped_continuation' END, CASE WHEN regexp_matches(t, '{R.CONNECTOR}') THEN 'open_terminal_connector' END, CASE WHEN ref <> '' AND NOT regexp_matches(substr(t, 1, strpos(t, ref) - 1), '{R.ANTECEDENT}') THEN 'missing_context_antecedent' END,
+CASE WHEN len(regexp_extract_all(raw, '{R.MALFORMED}')) >= 3 THEN 'malformed_chars' END, CASE WHEN category = 'UNKNOWN' THEN 'unknown_category' END], lambda x: x IS NOT NULL), ',') AS missing FROM d""")
+def requirement_categories(spark: SparkSession, sf: str) -> DataFrame:
+    """Of what kind requirements are, and what they lack to stand on their own."""
+    k = F.col("p_partkey")
+    raw = F.element_at(F.lit(list(SPANS)), (k % len(SPANS) + 1).cast("int"))
+    rows = table(spark, sf, "part").select("p_partkey", raw.alias("raw"), T.plain(raw).alias("t")).withColumn("category", R.category(F.col("t")))
+    return rows.select("p_partkey", "category", F.array_join(R.incomplete(F.col("raw"), F.col("t"), F.col("category")), ",").alias("missing"))
+
+
+VERSIONS_SQL = """q AS (SELECT p_partkey AS requirement, p_partkey // 12 AS document, 'entregar ' || p_size || ' bombas' AS text, 'seccion ' || p_partkey % 5 || ' entregar' AS excerpt FROM part),
+h AS (SELECT p_partkey AS change, p_partkey // 12 AS document, CASE WHEN p_partkey % 4 <> 0 THEN 'seccion ' || p_partkey % 5 END AS locator, p_size || ' bombas' AS before, CASE WHEN p_partkey % 6 = 0 THEN '' ELSE (p_size + 1) || ' bombas' END AS after, CASE p_partkey % 9 WHEN 0 THEN 'ADDS' WHEN 3 THEN 'REMOVES' ELSE 'MODIFIES' END AS kind FROM part WHERE p_partkey % 3 = 0),
+z AS (SELECT change, document, locator, 'before' AS side, before AS fragment FROM h UNION ALL SELECT change, document, locator, 'after', after FROM h),
+m AS (SELECT change, side, requirement, CASE WHEN fragment <> '' AND contains(text, fragment) THEN 3 ELSE 0 END + CASE WHEN fragment <> '' AND contains(excerpt, fragment) THEN 3 ELSE 0 END + CASE WHEN contains(text, locator) THEN 2 ELSE 0 END + CASE WHEN contains(excerpt, locator) THEN 2 ELSE 0 END AS score FROM z JOIN q USING (document)),
+x AS (SELECT change, side, max(score) AS score FROM m WHERE score > 0 GROUP BY 1, 2), y AS (SELECT x.change, x.side, x.score, count(*) AS n, min(requirement) AS target FROM x JOIN m ON m.change = x.change AND m.side = x.side AND m.score = x.score GROUP BY 1, 2, 3),
+w AS (SELECT z.change, z.side, CASE WHEN n IS NULL THEN 'UNRESOLVED' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'RESOLVED' END AS status, CASE WHEN n = 1 THEN target END AS target FROM z LEFT JOIN y ON y.change = z.change AND y.side = z.side),
+v AS (SELECT h.change, kind, b.status AS bs, b.target AS old, a.status AS st, a.target AS new FROM h JOIN w b ON b.change = h.change AND b.side = 'before' JOIN w a ON a.change = h.change AND a.side = 'after'),
+l AS (SELECT change, CASE WHEN (kind <> 'ADDS' AND bs = 'AMBIGUOUS') OR (kind <> 'REMOVES' AND st = 'AMBIGUOUS') OR (kind = 'MODIFIES' AND old = new) THEN 'AMBIGUOUS' WHEN (kind <> 'ADDS' AND bs = 'UNRESOLVED') OR (kind <> 'REMOVES' AND st = 'UNRESOLVED') THEN 'UNRESOLVED' WHEN kind = 'ADDS' THEN 'INTRODUCES' WHEN kind = 'REMOVES' THEN 'RETIRES' ELSE 'SUPERSEDES' END AS link,
+ CASE WHEN kind <> 'ADDS' THEN old END AS old, CASE WHEN kind <> 'REMOVES' THEN new END AS new FROM v)"""
+
+
+def version_links_of(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    k, size, part = F.col("p_partkey"), F.col("p_size").cast("string"), table(spark, sf, "part")
+    document, place = F.floor(k / 12).alias("document"), F.concat(F.lit("seccion "), (k % 5).cast("string"))
+    asked = part.select(k.alias("requirement"), document, F.concat(F.lit("entregar "), size, F.lit(" bombas")).alias("text"), F.concat(place, F.lit(" entregar")).alias("excerpt"))
+    after = F.when(k % 6 == 0, "").otherwise(F.concat((F.col("p_size") + 1).cast("string"), F.lit(" bombas")))
+    changes = part.where("p_partkey % 3 = 0").select(k.alias("change"), document, F.when(k % 4 != 0, place).alias("locator"), F.concat(size, F.lit(" bombas")).alias("before"), after.alias("after"), F.when(k % 9 == 0, "ADDS").when(k % 9 == 3, "REMOVES").otherwise("MODIFIES").alias("kind"))
+    return asked, versions.links(versions.targets(changes, asked), changes.select("change", "kind"))
+
+
+@query(f"WITH {VERSIONS_SQL} SELECT change, link, old, new FROM l")
+def version_links(spark: SparkSession, sf: str) -> DataFrame:
+    """What each change of the texts does to requirements."""
+    return version_links_of(spark, sf)[1]
+
+
+@query(f"""WITH {VERSIONS_SQL}, e AS (SELECT old AS requirement, link, TRUE AS is_old FROM l WHERE old IS NOT NULL UNION ALL SELECT new, link, FALSE FROM l WHERE new IS NOT NULL), g AS (SELECT requirement, bool_or(link = 'AMBIGUOUS') AS a, bool_or(link = 'UNRESOLVED') AS u, bool_or(is_old AND link IN ('SUPERSEDES', 'RETIRES')) AS s FROM e GROUP BY 1)
+SELECT q.requirement, CASE WHEN a THEN 'AMBIGUOUS' WHEN u THEN 'UNRESOLVED' WHEN s THEN 'SUPERSEDED' ELSE 'EFFECTIVE' END AS status FROM q LEFT JOIN g USING (requirement)""")
+def requirement_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """What each requirement is worth after all changes."""
+    asked, linked = version_links_of(spark, sf)
+    return versions.status(asked, linked)
