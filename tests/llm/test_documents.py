@@ -156,6 +156,25 @@ def test_sketch_follows_the_input():
         assert share**2 < 0.1
 
 
+def test_very_long_texts(spark):
+    """A text of 120,000 words and its copy, beside short ones: windows, fingerprints and sizes of the whole."""
+    r = random.Random(12)
+    long = " ".join(f"w{r.randrange(10**9)}" for _ in range(120_000))
+    rows = [(1, long), (2, long), (3, "short text"), (4, long + " and a tail of its own")]
+    df = frame(spark, rows).selectExpr("*", "'s' AS source", "7 AS size", "'t' AS target", "0 AS fp", "1 AS component_id", "2 AS copies")
+    gone = {x.doc_id: (x.n_words, x.n_removed) for x in substring.remove_repeats(df).collect()}
+    assert gone == {1: (120_000, 0), 2: (120_000, 120_000), 3: (2, 0), 4: (120_006, 120_000)}
+    prints = {x.doc_id: (x.fp % (1 << 64), x.component_id) for x in simhash.near_duplicates(df).collect()}
+    assert prints[1] == prints[2] == (brute_print(long), 1) and prints[4][1] == 1 and prints[3][1] == 3
+    mixed = {x.doc_id: (x.size, x.source_size) for x in mixing.mix(df, carry=["size", "target", "fp", "text"]).collect()}
+    assert mixed == {1: (120_000, 360_008), 2: (120_000, 360_008), 3: (2, 360_008), 4: (120_006, 360_008)}
+
+
+def test_mix_refuses_a_part_of_a_copy(spark):
+    with pytest.raises(ValueError, match="whole"):
+        mixing.mix(spark.createDataFrame([(1, "a", "s")], "doc_id long, text string, source string"), most=1.5)
+
+
 def test_few_unique_windows_are_candidates(spark, monkeypatch):
     """Texts without repeats, a sketch of 4 to 8 counters a minimiser: under a tenth of the runs of windows is estimated repeated."""
     monkeypatch.setattr(substring, "BLOCK", 8)

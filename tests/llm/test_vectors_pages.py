@@ -303,6 +303,14 @@ def test_warc_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
     assert max(sizes) > 20
 
 
+def test_warc_of_very_long_pages(spark, tmp_path):
+    """A page of three megabytes and its copy, with columns called as those of records."""
+    long = "<p>é</p>" * 400_000
+    df = spark.createDataFrame([(1, "http://a", long), (2, "http://b", long), (3, "http://c", "x")], "page_id long, url string, html string").selectExpr("*", "'t' AS type", "1 AS nonce", "'s' AS sha256", "0 AS bytes")
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.captures_of(df, str(tmp_path / "w")).collect()}
+    assert got == {1: (len(long.encode()), "response", None), 2: (len(long.encode()), "revisit", 1), 3: (1, "response", None)}
+
+
 def test_warc_assembly_and_payloads(spark, tmp_path):
     path = str(tmp_path / "w")
     warc.write_archives(spark.createDataFrame(pages(), "page_id long, url string, html string"), path)
