@@ -50,3 +50,27 @@ def cascade(text: Column, steps: tuple[tuple[str, str], ...], default: str = "UN
     for code, pattern in reversed(steps):
         out = F.when(text.rlike(pattern), code).otherwise(out)
     return out
+
+
+def profile_hits(fields: dict[str, Column], terms: tuple[str, ...], synonyms: dict[str, tuple[str, ...]]) -> Column:
+    """(term, matched, field, kind) of every term that a field holds as whole words: EXACT, or SYNONYM by way of a group that the term belongs to."""
+    hits = []
+    for term in terms:
+        group = [term]
+        for canonical, related in synonyms.items():
+            if term.lower() in {t.lower() for t in (canonical, *related)}:
+                group += [canonical, *related]
+        for candidate in dict.fromkeys(group):
+            kind = "EXACT" if candidate.lower() == term.lower() else "SYNONYM"
+            for name, text in fields.items():
+                hit = F.struct(F.lit(term).alias("term"), F.lit(candidate).alias("matched"), F.lit(name).alias("field"), F.lit(kind).alias("kind"))
+                hits.append(F.when(has_term(F.coalesce(text, F.lit("")), candidate), hit))
+    return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<struct<term:string,matched:string,field:string,kind:string>>")
+
+
+def profile_match(fields: dict[str, Column], include: tuple[str, ...], exclude: tuple[str, ...], synonyms: dict[str, tuple[str, ...]], *restrictions: tuple[Column, str]) -> Column:
+    """struct(matched, included, excluded, restrictions): matched without a restriction and an excluded term, and with an included one if any is asked for."""
+    yes, no = profile_hits(fields, include, synonyms), profile_hits(fields, exclude, synonyms)
+    broken = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(code)) for bad, code in restrictions])) if restrictions else F.array().cast("array<string>")
+    matched = (F.size(broken) == 0) & (F.size(no) == 0) & ((F.size(yes) > 0) | F.lit(not include))
+    return F.struct(matched.alias("matched"), yes.alias("included"), no.alias("excluded"), broken.alias("restrictions"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as X
-from ledgerloom.operators import chunks, equivalence, imports, match, rollup, rules
+from ledgerloom.operators import chunks, equivalence, imports, match, readiness, rollup, rules
 from ledgerloom.plans.base import query, table
 
 #: NFC, then line ends, then white space at them, outer white space, empty lines, and characters of category C.
@@ -230,3 +230,35 @@ def locator_parse(spark: SparkSession, sf: str) -> DataFrame:
     parts = X.locator(raw)
     span = F.split(parts["lines"], "-")
     return table(spark, sf, "pages").select("page_id", parts["page"].cast("long").alias("page"), span[0].cast("int").alias("first"), span[1].cast("int").alias("last"), parts["cell"].alias("cell"))
+
+
+READABLE_SQL = r"len(list_distinct(regexp_extract_all(lower(text), '\p{L}+'))) >= 4 AND len(regexp_extract_all(text, '\p{L}')) >= len(regexp_extract_all(text, '[^\s]')) * 0.45 AND NOT contains(text, chr(65533)) AND NOT regexp_matches(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]')"
+
+
+@query(f"""WITH d AS (SELECT doc_id, doc_id % 3 AS k, CASE WHEN doc_id % 10 = 9 THEN ' ' ELSE text END AS text, doc_id % 17 <> 0 AS supported, doc_id % 19 = 0 AS spatial, doc_id % 23 = 0 AS region, CASE doc_id % 7 WHEN 1 THEN 'the' WHEN 2 THEN 'no such words' END AS x, doc_id % 11 = 0 AS task, doc_id % 13 = 0 AS blocks FROM documents),
+s AS (SELECT doc_id, CASE WHEN NOT supported THEN 'UNAVAILABLE|UNSUPPORTED_NATIVE_CAPABILITY' WHEN spatial THEN 'VISUAL_REQUIRED|EXPLICIT_SPATIAL_RELATIONSHIP_REQUIRED' WHEN region THEN 'INSUFFICIENT|REQUESTED_REGION_TEXT_NOT_COVERED' WHEN x IS NOT NULL AND contains(text, x) THEN 'SUFFICIENT|GROUNDED_TASK_EXCERPTS_PRESENT' WHEN x IS NOT NULL THEN 'INSUFFICIENT|REQUIRED_TEXT_NOT_AVAILABLE'
+WHEN task AND text <> ' ' THEN 'UNKNOWN|TEXT_TASK_CONTRACT_REQUIRED' WHEN text = ' ' THEN 'INSUFFICIENT|TEXT_NOT_AVAILABLE' WHEN blocks THEN 'SUFFICIENT|GROUNDED_STRUCTURED_FRAGMENTS_AVAILABLE' WHEN {READABLE_SQL} THEN 'SUFFICIENT|CANONICAL_TEXT_READABLE_FOR_TASK_ATTEMPT' ELSE 'INSUFFICIENT|TEXTUAL_COVERAGE_NOT_ESTABLISHED' END AS v FROM d)
+SELECT doc_id, string_split(v, '|')[1] AS state, string_split(v, '|')[2] AS reason FROM s""")
+def text_sufficiency(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether each text is enough for the task that is asked of it, and why."""
+    k = F.col("doc_id")
+    docs = table(spark, sf, "documents").withColumn("text", F.when(k % 10 == 9, " ").otherwise(F.col("text")))
+    excerpts = F.when(k % 7 == 1, F.array(F.lit("the"))).when(k % 7 == 2, F.array(F.lit("no such words"))).otherwise(F.array().cast("array<string>"))
+    state, reason = readiness.sufficiency(F.col("text"), X.readable(F.col("text")), k % 17 != 0, k % 19 == 0, k % 23 == 0, excerpts, k % 11 == 0, k % 13 == 0)
+    return docs.select("doc_id", state.alias("state"), reason.alias("reason"))
+
+
+def term_sql(text: str, term: str) -> str:
+    return rf"regexp_matches(lower({text}), '(^|[^\p{{L}}\p{{N}}_]){term}([^\p{{L}}\p{{N}}_]|$)')"
+
+
+HITS_SQL = " + ".join(f"CASE WHEN {term_sql(f, t)} THEN 1 ELSE 0 END" for t in ("the", "les", "los") for f in ("text", "source"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, {HITS_SQL} AS yes, CASE WHEN {term_sql("text", "license")} OR {term_sql("source", "license")} OR {term_sql("text", "src3")} OR {term_sql("source", "src3")} THEN 1 ELSE 0 END AS no, concat_ws(',', CASE WHEN lang = 'es' THEN 'AREA_RESTRICTION' END, CASE WHEN doc_id % 50 = 0 THEN 'PROFILE_INACTIVE' END) AS r FROM documents)
+SELECT doc_id, r = '' AND no = 0 AND yes > 0 AS matched, CAST(yes AS INT) AS hits, r AS restrictions FROM d""")
+def profile_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Profiles over several fields: synonyms count as their term, an excluded term and restrictions outweigh."""
+    told = rules.profile_match({"text": F.col("text"), "source": F.col("source")}, ("the",), ("license", "src3"), {"the": ("les", "los")}, (F.col("lang") == "es", "AREA_RESTRICTION"), (F.col("doc_id") % 50 == 0, "PROFILE_INACTIVE"))
+    rows = table(spark, sf, "documents").select("doc_id", told.alias("p"))
+    return rows.select("doc_id", "p.matched", F.size("p.included").alias("hits"), F.array_join("p.restrictions", ",").alias("restrictions"))

@@ -51,20 +51,6 @@ def line_pricing(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(TOTALS + """ SELECT coalesce(currency, 'UNSPECIFIED') AS currency, count(*) AS lines, count(total_cost) AS with_cost, CAST(sum(CASE WHEN total_cost IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS without_cost,
-CAST(sum(total_cost) AS DOUBLE) AS cost, CAST(sum(total_price) AS DOUBLE) AS price,
-round(100 * CAST(sum(CASE WHEN total_cost IS NOT NULL AND total_price IS NOT NULL THEN total_price - total_cost END) AS DOUBLE) / nullif(CAST(sum(CASE WHEN total_price IS NOT NULL THEN total_cost END) AS DOUBLE), 0), 4) AS markup FROM priced GROUP BY 1""")
-def pricing_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """Per currency, the missing one included: counts, sums of what is known, markup over lines that have both totals."""
-    gain = F.col("total_price") - F.col("total_cost")
-    both_cost = F.when(F.col("total_price").isNotNull(), F.col("total_cost"))
-    return priced(spark, sf).groupBy(F.coalesce("currency", F.lit("UNSPECIFIED")).alias("currency")).agg(
-        F.count("*").alias("lines"), F.count("total_cost").alias("with_cost"), F.sum(F.col("total_cost").isNull().cast("long")).alias("without_cost"),
-        F.sum("total_cost").cast("double").alias("cost"), F.sum("total_price").cast("double").alias("price"),
-        rollup.paired_percent(gain, both_cost).alias("markup"),
-    )
-
-
 #: Every third line is priced from its cost, to a markup or a margin that now and then no price meets.
 TERMS = """, terms AS (SELECT *, CASE WHEN l_orderkey % 3 = 0 THEN 'COST_FIRST' ELSE 'PRICE_FIRST' END AS mode, CASE l_linenumber % 3 WHEN 0 THEN 'MARKUP' WHEN 1 THEN 'MARGIN' END AS basis, CASE WHEN l_partkey % 10 <> 0 THEN CAST(l_partkey % 130 AS DECIMAL(18,8)) END AS target FROM lines)"""
 CODES = LINES + TERMS + """, codes AS (SELECT *, list_filter([CASE WHEN currency IS NULL THEN 'MISSING_CURRENCY' END, CASE WHEN cost IS NULL THEN 'COST_UNRESOLVED' END, CASE WHEN price IS NULL THEN 'MISSING_OFFERED_PRICE' END, CASE WHEN quantity IS NULL THEN 'MISSING_CANONICAL_QUANTITY' END,
@@ -86,6 +72,25 @@ def coded(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("codes", money.warnings(*[F.col(x) for x in ("cost", "price", "quantity", "currency", "mode", "basis", "target")]))
 
 
+@query(CODES + """, priced AS (SELECT *, CASE WHEN currency IS NOT NULL THEN round(cost * quantity, 2) END AS total_cost, CASE WHEN currency IS NOT NULL THEN round(price * quantity, 2) END AS total_price, CASE WHEN list_contains(kinds, 'BLOCKER') THEN 'INCOMPLETE' WHEN list_contains(kinds, 'REVIEW') THEN 'REVIEW_REQUIRED' ELSE 'READY' END AS status FROM kinds),
+paired AS (SELECT *, CASE WHEN total_cost IS NOT NULL AND total_price IS NOT NULL THEN total_price - total_cost END AS gain FROM priced)
+SELECT coalesce(currency, 'UNSPECIFIED') AS currency, count(*) AS lines, count(total_cost) AS with_cost, CAST(sum(CASE WHEN total_cost IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS without_cost,
+CAST(sum(total_cost) AS DOUBLE) AS cost, CAST(sum(total_price) AS DOUBLE) AS price, round(100 * CAST(sum(gain) AS DOUBLE) / nullif(CAST(sum(CASE WHEN gain IS NOT NULL THEN total_cost END) AS DOUBLE), 0), 4) AS markup, round(100 * CAST(sum(gain) AS DOUBLE) / nullif(CAST(sum(CASE WHEN gain IS NOT NULL THEN total_price END) AS DOUBLE), 0), 4) AS margin,
+count(*) FILTER (WHERE status = 'READY') AS ready, count(*) FILTER (WHERE status = 'INCOMPLETE') AS incomplete, count(*) FILTER (WHERE status = 'REVIEW_REQUIRED') AS review FROM paired GROUP BY 1""")
+def pricing_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Per currency, the missing one included: counts, sums of what is known, lines by status, markup and margin over lines that have both totals."""
+    gain = F.col("total_price") - F.col("total_cost")
+    rows = coded(spark, sf).withColumn("status", money.line_status(F.col("codes"), F.col("price"), F.col("mode")))
+    known = lambda c: F.when(gain.isNotNull(), F.col(c))
+    count = lambda s: F.sum((F.col("status") == s).cast("long"))
+    return rows.groupBy(F.coalesce("currency", F.lit("UNSPECIFIED")).alias("currency")).agg(
+        F.count("*").alias("lines"), F.count("total_cost").alias("with_cost"), F.sum(F.col("total_cost").isNull().cast("long")).alias("without_cost"),
+        F.sum("total_cost").cast("double").alias("cost"), F.sum("total_price").cast("double").alias("price"),
+        rollup.paired_percent(gain, known("total_cost")).alias("markup"), rollup.paired_percent(gain, known("total_price")).alias("margin"),
+        count("READY").alias("ready"), count("INCOMPLETE").alias("incomplete"), count("REVIEW_REQUIRED").alias("review"),
+    )
+
+
 @query(CODES + """, flat AS (SELECT unnest(codes) AS code, unnest(kinds) AS severity FROM kinds) SELECT code, severity, count(*) AS n FROM flat GROUP BY 1, 2""")
 def findings_histogram(spark: SparkSession, sf: str) -> DataFrame:
     flat = coded(spark, sf).select("price", "mode", F.explode("codes").alias("code"))
