@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import board, changes, compliance, corpus, doctypes, evaluation, graphs, pricing, records, relational, requirements, streams, tender, validation
+from ledgerloom.plans import board, changes, compliance, corpus, doctypes, evaluation, graphs, perception, pricing, records, relational, requirements, streams, tender, validation
 from ledgerloom.plans.base import ORACLES, QUERIES
 
-MODULES = (relational, pricing, corpus, changes, board, graphs, streams, tender, validation, evaluation, doctypes, records, requirements, compliance)
+MODULES = (relational, pricing, corpus, changes, board, graphs, streams, tender, validation, evaluation, doctypes, records, requirements, compliance, perception)
 
 __all__ = ["MODULES", "ORACLES", "QUERIES"]
