@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import bpe, langid, mixing, simhash, substring
-from ledgerloom.llm.common import durable, shared_dir
+from ledgerloom.llm.common import shared_dir, stored
 
 #: Texts whose n-grams are rarer than this many times what is usual among the learned languages are of none of them
-#: (clean short texts come to 1.3, other languages and junk to 2 and more); so are predictions little above chance.
+#: (clean short texts come to 1.3, few to 1.6; other languages and junk to 2 and more); so are predictions little above chance.
 MOST_STRANGE, LEAST_SCORE = 1.6, 0.3
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -48,16 +48,19 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
     Rows that repeat an id and its text stay once. Different texts under one id are
     documents of their own: each goes or stays by the component of its own fingerprint,
-    and of several in one component the first by fingerprint and text stays. Of rows that
-    are equal in both, any one stays.
+    and of several in one component the first by fingerprint and hash of the text stays.
+    Of rows that are equal in both, any one stays. Who stays is settled on ids,
+    fingerprints and hashes; texts are only looked up.
     """
-    marked = docs.where("doc_id IS NOT NULL").withColumn("__fp", simhash.fingerprint(F.col("text"), 4))
-    prints = durable(marked.select(F.col("doc_id").alias("id"), F.col("__fp").alias("fp")))
-    firsts = simhash.fingerprint_components(prints).select(F.col("fp").alias("__fp"), F.col("component_id").alias("doc_id"), F.col("group").alias("__group"))
-    met = marked.join(firsts, ["doc_id", "__fp"])
-    one = met.groupBy("__group").agg(F.min_by(F.struct(*docs.columns), F.struct("__fp", "text")).alias("__row"))
-    named = one.select("__row.*")
-    return named.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
+    hashes = {"__h": F.xxhash64("text"), "__g": F.xxhash64("text", F.lit(1))}
+    named = docs.where("doc_id IS NOT NULL")
+    prints = stored(named.select("doc_id", simhash.fingerprint(F.col("text"), 4).alias("fp"), *[h.alias(k) for k, h in hashes.items()]))
+    firsts = simhash.fingerprint_components(prints.select(F.col("doc_id").alias("id"), "fp")).select("fp", F.col("component_id").alias("doc_id"), "group")
+    once = prints.groupBy("doc_id", "fp", *hashes).agg(F.count("*").alias("n")).join(firsts, ["doc_id", "fp"])
+    stay = stored(once.groupBy("group").agg(F.min(F.struct("fp", "__h", "__g", "doc_id", "n")).alias("s")).select("s.doc_id", "s.__h", "s.__g", "s.n"))
+    kept = named.withColumns(hashes).join(stay, ["doc_id", *hashes])
+    repeated = kept.where("n > 1").dropDuplicates(["doc_id", *hashes])
+    return kept.where("n = 1").select(docs.columns).unionByName(repeated.select(docs.columns)).unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
 
 
 @with_columns_apart
