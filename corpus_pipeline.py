@@ -18,7 +18,7 @@ from ledgerloom.llm.common import shared_dir, stored
 
 #: Texts whose n-grams are rarer than this many times what is usual among the learned languages are of none of them
 #: (clean short texts come to 1.3, few to 1.6; other languages and junk to 2 and more); so are predictions little above chance.
-MOST_STRANGE, LEAST_SCORE = 1.6, 0.3
+MOST_STRANGE, LEAST_SCORE = 1.9, 0.3
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
