@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, curves, langid, mixing, nndescent, simhash, substring, trie_counts, urlgraph, warc
+from ledgerloom.llm import bpe, curves, langid, lm, mixing, nndescent, simhash, substring, trie_counts, urlgraph, warc
 from ledgerloom.llm.common import WORD, shared_dir, table
 
 
@@ -64,6 +64,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subword ids by byte_bpe_multi_50k's ranks, each word behind a space."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm.score_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_warc_captures": op2_warc_captures,
@@ -75,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_simhash": op10_simhash,
+    "op13_lm_scores": op13_lm_scores,
 }
 
 
