@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, curves, langid, lm, mixing, nndescent, simhash, substring, trie_counts, urlgraph, warc
+from ledgerloom.llm import bpe, curves, langid, lm, mixing, nndescent, simhash, substring, trie_counts, urlgraph, vacodes, warc
 from ledgerloom.llm.common import WORD, shared_dir, table
 
 
@@ -64,6 +64,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vacodes.encode(table(spark, sf_dir, "embeddings")).drop("refined")
+
+
 def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subword ids by byte_bpe_multi_50k's ranks, each word behind a space."""
     import public_tokenizers
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_simhash": op10_simhash,
+    "op11_vector_codes": op11_vector_codes,
     "op13_lm_scores": op13_lm_scores,
 }
 
@@ -126,4 +131,24 @@ r AS (SELECT k.*, t.source_size, t.target, t.shift, CASE WHEN t.source_size > 0
 x AS (SELECT *, CAST(least(floor(place * rate + shift) - floor((place - 1) * rate + shift), 2) AS BIGINT) AS copies FROM r)
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies, source FROM x"""
 
-ORACLES: dict[str, str] = {"op6_url_filter": url_filter_sql(), "op7_source_mix": SOURCE_MIX_SQL}
+
+
+def vector_codes_sql(settings: vacodes.Settings = vacodes.Settings()) -> str:
+    """op11 in SQL, its rounds unrolled; for vectors of one length that the parts divide."""
+    s = settings
+    nearest = """n{k} AS MATERIALIZED (SELECT vec_id, label, part, piece, min({{'d': d, 'entry': entry}}) AS best FROM
+ (SELECT r.*, b.entry, list_sum(list_transform(list_zip(r.piece, b.piece), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::HUGEINT AS d FROM r JOIN b{k} b ON b.part = r.part) GROUP BY 1, 2, 3, 4)"""
+    steps = "".join(
+        f""", {nearest.format(k=k)},
+m{k} AS MATERIALIZED (SELECT part, best.entry AS entry, place, floor_div(sum(piece[place]), count(*)) AS x FROM (SELECT n{k}.*, unnest(range(1, len(piece) + 1)) AS place FROM n{k}) GROUP BY 1, 2, 3),
+b{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.piece, b.piece) AS piece FROM b{k} b LEFT JOIN (SELECT part, entry, list(x ORDER BY place) AS piece FROM m{k} GROUP BY 1, 2) m USING (part, entry))"""
+        for k in range(s.rounds)
+    ).replace("floor_div(sum(piece[place]), count(*))", "((sum(piece[place]) - ((sum(piece[place]) % count(*)) + count(*)) % count(*)) // count(*))::HUGEINT")
+    return f"""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor({s.scale} * x::DOUBLE)::HUGEINT) AS q FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+r AS MATERIALIZED (SELECT vec_id, label, part, q[part * (len(q) // {s.parts}) + 1 : (part + 1) * (len(q) // {s.parts})] AS piece FROM (SELECT *, unnest(range({s.parts})) AS part FROM v)),
+b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, piece FROM r QUALIFY entry < {s.entries}){steps}, {nearest.format(k=s.rounds)},
+e AS (SELECT vec_id, label, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM n{s.rounds} GROUP BY 1, 2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, (SELECT sha256(string_agg(array_to_string(piece, ','), ',' ORDER BY part, entry)) FROM b{s.rounds}) AS codebooks_sha256 FROM e"""
+
+
+ORACLES: dict[str, str] = {"op11_vector_codes": vector_codes_sql(), "op6_url_filter": url_filter_sql(), "op7_source_mix": SOURCE_MIX_SQL}
