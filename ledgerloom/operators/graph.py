@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.durable import durable
+from ledgerloom.operators.durable import durable, stored
 
 
 def effects(edges: DataFrame, documents: DataFrame) -> DataFrame:
@@ -40,20 +40,23 @@ def chain_ends(links: DataFrame, flag: str | None = None) -> DataFrame:
     """node, end, depth of links (node, next) with one next each: where its chain ends and how many steps on; null ends lie on or before cycles.
 
     With a boolean column `flag`, also whether it holds for some link of the chain.
-    No chain is longer than there are links, so nodes that have gone further without
-    an end never reach one; rounds go on until all others have ended.
+    After k rounds a node that hasn't ended has 2^k links or more before it; if its
+    chain ends, each node on it that is further than 2^k links from the end is one
+    that hasn't ended either, so the chain isn't longer than these and 2^k together.
+    Nodes that go on beyond that never end. Steps are tables of a size that Spark knows.
     """
     raised = F.lit(False) if flag is None else F.coalesce(flag, F.lit(False))
-    step = durable(links.select("node", F.col("next").alias("end"), F.lit(1).cast("long").alias("depth"), F.lit(False).alias("done"), raised.alias("__flag")))
-    n = step.count()
-    while True:
-        on = step.select(F.col("node").alias("end"), F.col("end").alias("__end"), F.col("depth").alias("__depth"), F.col("__flag").alias("__raised"))
-        moved = step.join(on, "end", "left").select(
-            "node", F.coalesce("__end", "end").alias("end"), (F.col("depth") + F.coalesce("__depth", F.lit(0))).alias("depth"), F.col("__end").isNull().alias("done"), (F.col("__flag") | F.coalesce("__raised", F.lit(False))).alias("__flag")
-        )
-        step = durable(moved)
-        if step.where((~F.col("done")) & (F.col("depth") <= n)).isEmpty():
-            break
+    step = stored(links.select("node", F.col("next").alias("end"), F.lit(1).cast("long").alias("depth"), F.lit(False).alias("done"), raised.alias("__flag")))
+    reach, longest, left = 1, None, step.count()
+    while left and (longest is None or reach < longest):
+        on = step.select(F.col("node").alias("end"), F.col("end").alias("__end"), F.col("depth").alias("__depth"), F.col("done").alias("__done"), F.col("__flag").alias("__raised"))
+        moved = step.where(~F.col("done")).join(on, "end", "left").select(
+            "node", F.coalesce("__end", "end").alias("end"), (F.col("depth") + F.coalesce("__depth", F.lit(0))).alias("depth"),
+            (F.col("__end").isNull() | F.col("__done")).alias("done"), (F.col("__flag") | F.coalesce("__raised", F.lit(False))).alias("__flag"),
+        )
+        step = stored(step.where("done").unionByName(moved))
+        reach, left = 2 * reach, step.where(~F.col("done")).count()
+        longest = min(left + reach, longest or left + reach)
     out = step.select("node", F.when(F.col("done"), F.col("end")).alias("end"), F.when(F.col("done"), F.col("depth")).alias("depth"), F.col("__flag").alias(flag or "__flag"))
     return out if flag else out.drop("__flag")
 
