@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, curves, langid, lm, mixing, nndescent, simhash, substring, trie_counts, urlgraph, vacodes, warc
+from ledgerloom.llm import bpe, curves, langid, lm, mixing, nndescent, simhash, spelling, substring, trie_counts, urlgraph, vacodes, warc
 from ledgerloom.llm.common import WORD, shared_dir, table
 
 
@@ -68,6 +68,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vacodes.encode(table(spark, sf_dir, "embeddings")).drop("refined")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subword ids by byte_bpe_multi_50k's ranks, each word behind a space."""
     import public_tokenizers
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_simhash": op10_simhash,
     "op11_vector_codes": op11_vector_codes,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_lm_scores": op13_lm_scores,
 }
 
@@ -151,4 +156,17 @@ e AS (SELECT vec_id, label, string_agg(printf('%02x', best.entry), '' ORDER BY p
 SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, (SELECT sha256(string_agg(array_to_string(piece, ','), ',' ORDER BY part, entry)) FROM b{s.rounds}) AS codebooks_sha256 FROM e"""
 
 
-ORACLES: dict[str, str] = {"op11_vector_codes": vector_codes_sql(), "op6_url_filter": url_filter_sql(), "op7_source_mix": SOURCE_MIX_SQL}
+#: crc32 of a text's bytes, a byte at a time; near words share what is left when one code point is taken from either or from the longer.
+SPELLING_VARIANTS_SQL = """WITH RECURSIVE crc AS (SELECT list(c ORDER BY i) AS crcs FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) AS c FROM range(256) r(i))),
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+per_doc AS (SELECT doc, run, count(*) AS n, list_transform(regexp_extract_all(hex(encode(doc || ':' || run)), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes FROM runs GROUP BY 1, 2),
+told AS (SELECT run, n, xor(list_reduce(bytes, lambda c, b: xor(c // 256, crcs[xor(c % 256, b) + 1]), 4294967295), 4294967295) AS h FROM per_doc, crc),
+w AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM told) WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+less AS MATERIALIZED (SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+pairs AS (SELECT DISTINCT a.word AS a, b.word AS b FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word UNION SELECT l.word, w.word FROM less l JOIN w ON w.word = l.rest UNION SELECT w.word, l.word FROM less l JOIN w ON w.word = l.rest),
+near AS (SELECT a AS word, count(*) AS n_near, min({'m': -w.n, 'form': b}) AS top FROM pairs JOIN w ON w.word = b GROUP BY 1),
+f AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -top.m >= 2 * n THEN top.form END AS form, CASE WHEN -top.m >= 2 * n THEN -top.m END AS form_n FROM w LEFT JOIN near USING (word)),
+walk AS (SELECT word, word AS root FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.root WHERE f.form IS NOT NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN (SELECT walk.word, walk.root FROM walk JOIN f ON f.word = walk.root WHERE f.form IS NULL) r USING (word)"""
+
+ORACLES: dict[str, str] = {"op12_spelling_variants": SPELLING_VARIANTS_SQL, "op11_vector_codes": vector_codes_sql(), "op6_url_filter": url_filter_sql(), "op7_source_mix": SOURCE_MIX_SQL}
