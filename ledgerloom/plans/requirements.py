@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import requirements as R
 from ledgerloom.functions import tender as T
-from ledgerloom.operators import versions
+from ledgerloom.operators import spans, versions
 from ledgerloom.plans.base import query, table
 
 SPANS = (
@@ -45,14 +45,14 @@ g AS (SELECT *, coalesce(award > pos AND bidder AND {has(R.EXCEPTION_VERBS, "sub
 WHEN {has(R.IMPERATIVE_START)} AND small THEN 'NO_SUBJECT' WHEN {has(R.AUTHORITY, "near")} OR {has(R.AWARDED, "near")} THEN 'OTHER_SUBJECT_NEAR' WHEN ({has(R.AWARDED)} OR {has(R.AFTER_AWARD)}) AND NOT bidder THEN 'AFTER_AWARD' WHEN coalesce(award <= pos, FALSE) AND NOT excepted THEN 'AWARD_FORM'
 WHEN ({has(R.AWARD_PAGE, "p")} OR (({has(R.AWARD_RESULT, "p")} OR {has(R.AFTER_AWARD, "p")}) AND NOT {has(R.PROPOSAL, "p")})) AND NOT excepted THEN 'AWARD_PAGE' WHEN {has(R.FORM_INSTRUCTION)} AND {has(R.FORM_PAGE, "p")} THEN 'FORM_INSTRUCTION'
 WHEN {has(R.CONTRACT_KINDS, "kind")} AND NOT relevant AND NOT rejected THEN 'CONTRACT_TEXT' WHEN NOT rejected AND NOT relevant AND NOT ({has(R.IMPERATIVE_START)} AND {has(R.CHECKLIST, "p")}) THEN 'NOT_FOR_BIDDERS' WHEN NOT rejected AND length(tail) < 8 THEN 'NO_CONTENT' ELSE 'REQUIREMENT' END AS verdict,
-said.w AS modality, coalesce(nullif(trim(regexp_extract(t, '{R.BIDDER}')), ''), nullif(trim(regexp_extract(t, '{R.AUTHORITY}')), ''), nullif(trim(regexp_extract(t, '{R.AWARDED}')), '')) AS actor FROM g""")
+CASE WHEN regexp_matches(said.w, '{R.ASKED}') THEN regexp_extract(said.w, '{R.ASKED}', 1) ELSE trim(said.w) END AS modality, coalesce(nullif(trim(regexp_extract(t, '{R.BIDDER}')), ''), nullif(trim(regexp_extract(t, '{R.AUTHORITY}')), ''), nullif(trim(regexp_extract(t, '{R.AWARDED}')), '')) AS actor FROM g""")
 def requirement_spans(spark: SparkSession, sf: str) -> DataFrame:
     """Which spans ask something of bidders, in what words, and of whom."""
     k = F.col("p_partkey")
     raw = F.element_at(F.lit(list(SPANS)), (k % len(SPANS) + 1).cast("int"))
     page = F.element_at(F.lit(list(PAGES)), (F.floor(k / 22) % 4 + 1).cast("int"))
     rows = table(spark, sf, "part").select("p_partkey", T.plain(raw).alias("t"), T.plain(page).alias("p"), raw.rlike("^[a-z]").alias("small"), F.when(k % 5 == 0, "CONTRACT_DRAFT").otherwise("BIDDING_RULES").alias("kind"))
-    return rows.select("p_partkey", R.verdict(F.col("t"), F.col("p"), F.col("kind"), F.col("small")).alias("verdict"), R.obligation(F.col("t"))["words"].alias("modality"), R.actor(F.col("t")).alias("actor"))
+    return rows.select("p_partkey", R.verdict(F.col("t"), F.col("p"), F.col("kind"), F.col("small")).alias("verdict"), R.modality(R.obligation(F.col("t"))["words"]).alias("modality"), R.actor(F.col("t")).alias("actor"))
 
 
 @query(r"""SELECT doc_id, CAST(len(x) AS BIGINT) AS spans, sha256(array_to_string(x, '|')) AS digest FROM (SELECT doc_id, list_filter(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.;])\s+', '\1' || chr(1), 'g'), chr(1)), lambda y: y <> '') AS x FROM documents)""")
@@ -119,3 +119,67 @@ def requirement_versions(spark: SparkSession, sf: str) -> DataFrame:
     """What each requirement is worth after all changes."""
     asked, linked = version_links_of(spark, sf)
     return versions.status(asked, linked)
+
+
+#: Lines of pages, dealt to the lines of orders: headings, bullets, obligations, blanks and garbled lines.
+LINES = (
+    "Documentos que deberá presentar el licitante:", "Presentar {q} copias de la constancia fiscal vigente; firmadas.", "- El licitante deberá acreditar {q} años de experiencia. Es requisito contar con personal.", "a b c d e", "",
+    "de la propuesta técnica y sus {q} anexos", "3) Se requiere garantía por {q} por ciento.", "   No se aceptarán   ofertas condicionadas;  ni parciales de {q} bombas.  ", "--", "IV. Alcance de los trabajos en la planta norte",
+    "anexar ficha técnica de los {q} equipos ofertados", "Los servicios similares ejecutados se enlistan en el formato.", "Requisitos y criterios:", "x\tEl participante presentará {q} cartas.\rEl contratista entregará reportes.",
+)
+
+
+def order_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """(o, page): a page for each order, of a line of text for each of its lines."""
+    k = F.col("l_partkey") + F.col("l_linenumber")
+    line = F.replace(F.element_at(F.lit(list(LINES)), (k % len(LINES) + 1).cast("int")), F.lit("{q}"), F.col("l_quantity").cast("int").cast("string"))
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), k.alias("k"), line.alias("line"))
+    return rows.groupBy("o").agg(F.array_join(F.sort_array(F.collect_list(F.struct("n", "k", "line")))["line"], "\n").alias("page"))
+
+
+ORDER_PAGES_SQL = f"""lines AS (SELECT l_orderkey AS o, l_linenumber AS n, l_partkey + l_linenumber AS k, CAST(l_quantity AS INT) AS q FROM lineitem),
+pages AS (SELECT o AS id, string_agg(replace([{", ".join("'" + x + "'" for x in LINES)}][k % {len(LINES)} + 1], '{{q}}', CAST(q AS VARCHAR)), chr(10) ORDER BY n, k, CAST(q AS VARCHAR)) AS page FROM lines GROUP BY o)"""
+
+
+def blocks_sql(pages: str) -> str:
+    """Spans of pages (id, page) as a digest of each page's."""
+    any_of = " OR ".join(f"regexp_matches(t, '{p}')" for p in (*R.OBLIGING, R.IMPERATIVE_LATER))
+    w = "PARTITION BY id ORDER BY no"
+    return rf"""WITH {pages},
+l0 AS (SELECT id, unnest(x) AS raw, unnest(range(len(x))) AS no FROM (SELECT id, string_split_regex(page, '[
+]') AS x FROM pages WHERE page IS NOT NULL)),
+l1 AS (SELECT *, coalesce(sum(length(raw) + 1) OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos0, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS c, {prepared("raw")} AS t FROM l0),
+l2 AS (SELECT *, sum(CASE WHEN c = '' THEN 1 ELSE 0 END) OVER ({w}) AS gap, len(list_filter(string_split_regex(c, '[^\pL\pN_]+'), lambda x: regexp_matches(x, '{spans.LONE}'))) AS lone, len(regexp_extract_all(c, '{spans.LETTERS}')) AS letters FROM l1),
+l3 AS (SELECT *, regexp_matches(t, '{R.CHECKLIST}') AND ends_with(c, ':') AS head, regexp_matches(c, '{spans.BULLET}') AS bullet, {any_of} AS anchor FROM l2 WHERE c <> '' AND NOT (length(c) <= 3 OR (lone >= 4 AND letters <= 18) OR (letters = 0 AND length(c) < 12))),
+l4 AS (SELECT *, NOT head AND coalesce(lag(head) OVER ({w}) AND lag(gap) OVER ({w}) = gap, FALSE) AS joined, coalesce(lag(gap) OVER ({w}) < gap, TRUE) AS fresh FROM l3),
+l5 AS (SELECT *, head OR (NOT joined AND (bullet OR fresh)) AS sure FROM l4), l6 AS (SELECT *, sum(CAST(sure AS INT)) OVER ({w}) AS part FROM l5),
+l7 AS (SELECT *, sure OR (NOT joined AND anchor AND coalesce(sum(CAST(anchor AS INT)) OVER (PARTITION BY id, part ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0) AS begins, coalesce(lead(joined) OVER ({w}), FALSE) AS followed FROM l6),
+l8 AS (SELECT *, sum(CAST(begins AS INT)) OVER ({w}) AS block FROM l7), p0 AS (SELECT id, no, pos0, block, unnest(x) AS piece, unnest(range(len(x))) AS k FROM (SELECT *, regexp_extract_all(raw, '(?s).+?[.;]\s+|.+') AS x FROM l8 WHERE NOT head OR followed)),
+p1 AS (SELECT *, pos0 + coalesce(sum(length(piece)) OVER (PARTITION BY id, no ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(piece) - length(regexp_replace(piece, '^\s+', '')) AS s, trim(regexp_replace(piece, '\s+', ' ', 'g')) AS text FROM p0),
+p2 AS (SELECT *, s + length(regexp_replace(piece, '^\s+|\s+$', '', 'g')) AS e, coalesce(regexp_matches(lag(text) OVER (PARTITION BY id, block ORDER BY no, k), '[.;]$'), TRUE) AS first FROM p1),
+p3 AS (SELECT *, sum(CAST(first AS INT)) OVER (PARTITION BY id, block ORDER BY no, k) AS sentence FROM p2),
+p4 AS (SELECT *, sum(length(text) + 1) OVER (PARTITION BY id, block, sentence) - 1 AS size, sum(length(text) + 1) OVER (PARTITION BY id, block) - 1 AS whole FROM p3),
+p5 AS (SELECT *, sum(CASE WHEN first AND size >= 20 THEN 1 ELSE 0 END) OVER (PARTITION BY id, block) AS useful FROM p4),
+g AS (SELECT id, block, CASE WHEN useful <= 1 THEN 0 ELSE sentence END AS span, string_agg(CAST(s AS BIGINT) || '-' || CAST(e AS BIGINT), ',' ORDER BY s) || ':' || string_agg(text, ' ' ORDER BY s) AS told FROM p5 WHERE whole >= 20 AND (useful <= 1 OR size >= 20) GROUP BY 1, 2, 3)
+SELECT p.id, count(told) AS spans, sha256(coalesce(string_agg(told, '|' ORDER BY block, span), '')) AS digest FROM pages p LEFT JOIN g USING (id) GROUP BY 1"""
+
+
+def digests(pages: DataFrame, key: str, text: str) -> DataFrame:
+    """id, spans, digest of each page."""
+    found = spans.spans(pages, [key], text)
+    told = F.concat(F.array_join(F.transform("places", lambda p: F.concat_ws("-", p["start"], p["end"])), ","), F.lit(":"), F.col("text"))
+    sums = found.groupBy(key).agg(F.count("*").alias("spans"), F.sort_array(F.collect_list(F.struct("block", "span", told.alias("told"))))["told"].alias("all"))
+    out = pages.select(key).join(sums, key, "left")
+    return out.select(F.col(key).alias("id"), F.coalesce("spans", F.lit(0)).cast("long").alias("spans"), F.sha2(F.coalesce(F.array_join("all", "|"), F.lit("")), 256).alias("digest"))
+
+
+@query(blocks_sql("pages AS (SELECT doc_id AS id, text AS page FROM documents)"))
+def text_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks and their spans in whole texts, with their places."""
+    return digests(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
+@query(blocks_sql(ORDER_PAGES_SQL))
+def page_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks and their spans in pages of headings, bullets and obligations."""
+    return digests(order_pages(spark, sf), "o", "page")
