@@ -23,6 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import small_batches
+
 #: Pre-tokens whose ids a task remembers, the longest one remembered, and pre-tokens of a text that are encoded at once.
 REMEMBERED, LONGEST, AT_ONCE = 1 << 19, 64, 1 << 16
 #: Bytes from which the links of a pre-token are kept in arrays.
@@ -176,6 +178,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
     empty texts have no tokens. Bytes that aren't UTF-8 are read as U+FFFD. The ids
     are decoded again by joining their tokens. Repeated rows give repeated rows.
     """
+    small_batches(docs.sparkSession)
     read = read_ranks(vocabulary)
     tokens: list[bytes] = [b""] * (max(read.values(), default=-1) + 1)
     for token, rank in read.items():

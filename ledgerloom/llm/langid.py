@@ -5,14 +5,17 @@ three characters are hashed into buckets. Document frequencies come from every r
 that may be learned from; weights come from a bounded sample of those rows, by
 follow-the-regularised-leader with L1 and L2 penalties. A part of the sample that the
 weights have not seen settles the rest: the sparsest penalties within one standard
-error of the best loss, the temperature that calibrates the scores, and how strange a
-text of a learned language looks at most.
+error of the best loss, and the temperature that calibrates the scores.
+
+Whether a text is of a learned language at all is told by the surprise of its n-grams:
+how far it exceeds what unseen texts of the closest label come to, given its length. The limit stands between what unseen texts come to under
+their own label and under the best of the others, as if theirs had not been learned.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import lru_cache
 
 import numpy as np
@@ -20,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import small_batches
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -40,14 +45,19 @@ class Settings:
 
 @dataclass
 class Model:
-    """usual: the mean inverse document frequency of a text's n-grams that 99.5 % of unseen learned texts stay below."""
+    """surprise: minus the log share of each bucket in a label's n-grams, by label; centre: a label's usual mean of it; noise: its variance by n-gram and by text; limit: deviations that are too many."""
 
     labels: list[str]
     idf: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
+    surprise: np.ndarray = field(default_factory=lambda: np.zeros((0, 1)))
+    centre: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    #: The mean inverse document frequency of a text's n-grams that OWN of unseen learned texts stay below.
     usual: float = 1.0
+    noise: tuple[float, float] = (1.0, 1.0)
+    limit: float = 1.0
     penalty: tuple[float, float] = (0.0, 0.0)
     calibration_error: float = 0.0
     settings: Settings = field(default_factory=Settings)
@@ -176,10 +186,56 @@ def calibration_error(scores: np.ndarray, right: np.ndarray, bins: int = 10) ->
     return float(sum(len(p) * abs(scores[p].mean() - right[p].mean()) for p in parts) / max(1, len(scores)))
 
 
-def strangeness(counts: np.ndarray, idf: np.ndarray) -> float:
+#: n-grams added to a label's in equal shares; n-grams that say the same as one, as they overlap; the least variance between texts; quantiles of own and of foreign texts; the least limit; what rarity counts.
+PRIOR, OVERLAP, LEAST_NOISE, OWN, FOREIGN, LEAST_LIMIT, NOVEL = 2000.0, 1.0, 0.005, 0.995, 0.1, 8.0, 0.74
+
+
+def deviation(at: np.ndarray, counts: np.ndarray, model: Model) -> float:
+    """By how many standard deviations a text's mean surprise exceeds what is usual, under the label where it does least; short texts vary more. 0 without n-grams."""
+    n = counts.sum()
+    return float((model.surprise[:, at] @ counts / n - model.centre).min() / np.sqrt(OVERLAP * model.noise[0] / n + model.noise[1])) if n else 0.0
+
+
+def rarity(at: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> float:
     """Mean inverse document frequency of the text's n-grams, each as often as it occurs."""
-    at = np.flatnonzero(counts)
-    return float(counts[at] @ (idf[at] - 1) / counts[at].sum()) if len(at) else 0.0
+    return float(counts @ (idf[at] - 1) / counts.sum()) if len(at) else 0.0
+
+
+def strangeness(at: np.ndarray, counts: np.ndarray, model: Model) -> float:
+    """deviation as a multiple of the limit or, if more, NOVEL of rarity as a multiple of the usual: that tells of the shortest texts too."""
+    return max(deviation(at, counts, model) / model.limit, NOVEL * rarity(at, counts, model.idf) / model.usual)
+
+
+def learn_surprise(model: Model, seen: list[tuple[np.ndarray, np.ndarray, int]], unseen: list[tuple[np.ndarray, np.ndarray, int]]) -> None:
+    """Sets the model's surprise, centre, noise and limit; rows are (buckets, counts, label).
+
+    The limit is the geometric mean of what almost all unseen texts stay below under
+    their own label, and what most exceed under the closest other label.
+    """
+    k, size = len(model.labels), len(model.idf)
+    totals = np.zeros((k, size))
+    for at, counts, label in seen:
+        totals[label, at] += counts
+    model.surprise = -np.log((totals + PRIOR / size) / (totals.sum(1, keepdims=True) + PRIOR))
+    some = [(at, c, y) for at, c, y in unseen if c.sum()]
+    model.usual = max(1e-9, float(np.quantile([rarity(at, c, model.idf) for at, c, _ in unseen], OWN)))
+    if not some:
+        model.centre = np.zeros(k)
+        model.limit = np.inf
+        return
+    means = np.array([model.surprise[:, at] @ c / c.sum() for at, c, _ in some])
+    own, sizes = np.array([y for *_, y in some]), np.array([c.sum() for _, c, _ in some])
+    mine = means[np.arange(len(own)), own]
+    model.centre = np.array([np.median(mine[own == j]) if (own == j).any() else np.median(mine) for j in range(k)])
+    within = np.array([c @ (model.surprise[y, at] - m) ** 2 / c.sum() for (at, c, y), m in zip(some, mine, strict=True)])
+    between = np.median((mine - model.centre[own]) ** 2) / 0.455  # of a square normal deviate the median is 0.455
+    model.noise = (float(np.median(within)), float(max(LEAST_NOISE, between - OVERLAP * np.median(within) / np.median(sizes))))
+    scale = np.sqrt(OVERLAP * model.noise[0] / sizes + model.noise[1])
+    off = (means - model.centre) / scale[:, None]
+    usual = max(1.0, float(np.quantile(off[np.arange(len(own)), own], OWN)))
+    off[np.arange(len(own)), own] = np.inf
+    foreign = float(np.quantile(off.min(1), FOREIGN)) if k > 1 else 4 * usual
+    model.limit = max(LEAST_LIMIT, float(np.sqrt(usual * max(foreign, usual))))
 
 
 def fit(docs: DataFrame, seen: list, unseen: list, n_labels: int, settings: Settings) -> tuple[np.ndarray, np.ndarray, float, tuple[float, float]]:
@@ -232,10 +288,10 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", lear
         for pdf in batches:
             counts = [features(t.decode(errors="replace"), settings)[0] for t in pdf["text"]]
             told = [_weighted(c, idf) for c in counts]
-            yield pd.DataFrame({"key": pdf["key"], "label": pdf["label"], "at": [a.astype("<i4").tobytes() for a, _ in told], "value": [v.tobytes() for _, v in told], "strange": [strangeness(c, idf) for c in counts]})
+            yield pd.DataFrame({"key": pdf["key"], "label": pdf["label"], "at": [a.astype("<i4").tobytes() for a, _ in told], "value": [v.tobytes() for _, v in told], "count": [c[a].astype("<i8").tobytes() for c, (a, _) in zip(counts, told, strict=True)]})
 
     sample = usable.where(place < fraction).select(F.xxhash64("key", "text").alias("key"), "label", F.col("text").cast("binary"))
-    got = sample.mapInPandas(vectors, "key long, label string, at binary, value binary, strange double").toPandas()
+    got = sample.mapInPandas(vectors, "key long, label string, at binary, value binary, count binary").toPandas()
     got = got.sort_values(["key", "label"], ignore_index=True)
     rows = [(np.frombuffer(a, "<i4"), np.frombuffer(v), labels.index(y)) for a, v, y in zip(got["at"], got["value"], got["label"], strict=True)]
     unseen, seen = rows[::5], [r for k, r in enumerate(rows) if k % 5]
@@ -244,15 +300,19 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", lear
     weights, bias, temperature, penalty = fit(docs, seen or rows, unseen, len(labels), settings)
     p = softmax(np.array([v @ weights[a] + bias for a, v, _ in unseen]) / temperature)
     error = calibration_error(p.max(1), p.argmax(1) == np.array([y for *_, y in unseen]))
-    usual = float(np.quantile(got["strange"][::5], 0.995))
-    return Model(labels, idf, weights, bias, temperature, max(usual, 1e-9), penalty, error, settings)
+    model = Model(labels, idf, weights, bias, temperature, penalty=penalty, calibration_error=error, settings=settings)
+    counts = [(np.frombuffer(a, "<i4"), np.frombuffer(c, "<i8"), labels.index(y)) for a, c, y in zip(got["at"], got["count"], got["label"], strict=True)]
+    learn_surprise(model, [r for k, r in enumerate(counts) if k % 5] or counts, counts[::5])
+    return model
 
 
 def predict(text: Column, model: Model) -> Column:
     """struct(lang, score, strange) for whole texts: `und` and 0 for null texts, texts without letters, and without labels.
 
-    strange is the text's mean inverse document frequency as a multiple of what is
-    usual: about 1 at most for the languages learned, more for other ones and junk.
+    strange is the surprise of the text's n-grams under the closest label, in deviations
+    from what is usual there, as a multiple of the limit: below 1 for the languages learned,
+    above for other ones and for what is no language. A few words come to that only if
+    their n-grams are rare in all of them.
     """
     told = docs_model(model)
 
@@ -267,7 +327,7 @@ def predict(text: Column, model: Model) -> Column:
             at, value = _weighted(counts, m.idf)
             p = softmax((value @ m.weights[at] + m.bias) / m.temperature)
             best = int(np.argmax(p))
-            rows.append((m.labels[best], float(p[best]), strangeness(counts, m.idf) / m.usual))
+            rows.append((m.labels[best], float(p[best]), strangeness(at, counts[at], m)))
         return pd.DataFrame(rows, columns=["lang", "score", "strange"])
 
     return judge(text.cast("binary"))
@@ -275,7 +335,7 @@ def predict(text: Column, model: Model) -> Column:
 
 def docs_model(model: Model) -> Model:
     """The model in single precision, as it travels with the tasks: buckets x labels numbers, whatever the corpus."""
-    return Model(model.labels, model.idf.astype(np.float32), model.weights.astype(np.float32), model.bias.astype(np.float32), model.temperature, model.usual, model.penalty, model.calibration_error, model.settings)
+    return replace(model, **{k: getattr(model, k).astype(np.float32) for k in ("idf", "weights", "bias", "surprise")})
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -290,6 +350,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     names in the input are replaced. Equal texts get equal answers. Very long texts
     are read whole, piece by piece.
     """
+    small_batches(docs.sparkSession)
     own = ("held_out", "lang_pred", "score", "strange")
     names = [c for c in docs.columns if c not in own]
     model = train(docs, text_col, label_col, F.col(id_col).isNotNull() & ~held_out(id_col), id_col, settings)

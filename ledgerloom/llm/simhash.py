@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import components, durable
+from ledgerloom.llm.common import components, durable, small_batches
 
 BLOCK = 1 << 16
 
@@ -174,6 +174,7 @@ def near_duplicates(
     fingerprint zero and link like any other. A null id has the component of its
     fingerprint, which other ids name; if there are none, it is null. Empty in, empty out.
     """
+    small_batches(docs.sparkSession)
     prints = durable(docs.select(F.col(id_col).alias("__id"), fingerprint(F.col(text_col), shingle).alias("fp")))
     named = fingerprint_components(prints.withColumnRenamed("__id", "id"), distance, segments).drop("group")
     return prints.join(named, "fp", "left").select(F.col("__id").alias(id_col), "fp", "component_id")

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import stored
+from ledgerloom.llm.common import small_batches, stored
 from ledgerloom.operators.graph import chain_ends
 
 
@@ -165,6 +165,7 @@ def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", se
     """
     if settings.ratio < 2 or settings.shortest < 4:
         raise ValueError("ratio must be 2 or more, and words have 4 code points or more")
+    small_batches(docs.sparkSession)
     words = stored(words_of(docs, id_col, text_col, settings))
     pairs = stored(near_words(words.select("word"), settings))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import durable, stored
+from ledgerloom.llm.common import durable, small_batches, stored
 
 WINDOW, SHINGLE = 50, 10
 #: Counters of a sketch block; the unit in which partial sketches are summed.
@@ -339,6 +339,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     each other nor mix; a null id takes no part. Other columns pass through; such as
     are called n_words, n_removed or kept are replaced.
     """
+    small_batches(docs.sparkSession)
     held = docs.drop(*{"n_words", "n_removed", "kept"}.intersection(docs.columns))
     flags = durable(repeated_starts(docs, id_col, text_col).groupBy("doc", "mark").agg(F.collect_list("starts").alias("__starts")))
     flags = flags.select(F.col("doc").alias("__doc"), F.col("mark").alias("__mark"), "__starts")

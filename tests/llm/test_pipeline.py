@@ -105,3 +105,26 @@ def test_run_and_empty_tables(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+FOREIGN = {
+    "Polish": "Wczoraj poszliśmy do lasu, żeby zbierać grzyby, ale nie znaleźliśmy niczego ciekawego oprócz starego, zardzewiałego roweru pod drzewem.",
+    "Dutch": "Gisteren zijn we naar het bos gegaan om paddenstoelen te zoeken, maar we hebben niets gevonden behalve een oude fiets onder een boom.",
+    "Portuguese": "Ontem fomos à floresta para procurar cogumelos, mas não encontramos nada de interessante além de uma bicicleta velha e enferrujada.",
+    "Italian": "Ieri siamo andati nel bosco a cercare funghi, ma non abbiamo trovato niente di interessante tranne una vecchia bicicletta arrugginita.",
+    "Swedish": "Igår gick vi till skogen för att plocka svamp, men vi hittade inget intressant förutom en gammal rostig cykel under ett träd.",
+    "Turkish": "Dün mantar toplamak için ormana gittik ama ağacın altındaki eski paslı bir bisikletten başka ilginç bir şey bulamadık.",
+    "Finnish": "Eilen menimme metsään keräämään sieniä, mutta emme löytäneet mitään kiinnostavaa paitsi vanhan ruosteisen polkupyörän puun alta.",
+    "code": 'for (int i = 0; i < n; ++i) { sum += a[i] * b[i]; }\nreturn {"items": [{"name": "foo", "qty": 3}, {"name": "bar", "qty": null}], "total": sum};',
+}
+
+
+def test_other_languages_and_code_go_and_clean_documents_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    odd = [(10**9 + k, text, None, "src0", len(text)) for k, text in enumerate(FOREIGN.values())]
+    short = [(2 * 10**9 + k, text, None, "src0", len(text)) for k, text in enumerate(("ok", "the", "la de"))]
+    kept = corpus_pipeline.keep_known_languages(spark, docs.unionByName(spark.createDataFrame(odd + short, docs.schema)), "")
+    got = [r.doc_id for r in kept.select("doc_id").collect()]
+    assert [i for i in got if 10**9 <= i < 2 * 10**9] == []
+    assert len([i for i in got if i < 10**9]) == docs.count()
+    assert len([i for i in got if i >= 2 * 10**9]) >= 2  # a few letters can't tell: they stay unless the prediction is hardly above chance
