@@ -14,11 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import bpe, langid, mixing, simhash, substring
-from ledgerloom.llm.common import shared_dir, stored
+from ledgerloom.llm.common import shared_dir, small_batches, stored
 
-#: Texts whose n-grams are rarer than this many times what is usual among the learned languages are of none of them
-#: (clean short texts come to 1.3, few to 1.6; other languages and junk to 2 and more); so are predictions little above chance.
-MOST_STRANGE, LEAST_SCORE = 1.9, 0.3
+#: Texts stranger than this are of no learned language (clean ones stay below 1, a few that mix languages come to 1.5; sentences of other languages and code to 1.7 and more); so are predictions little above chance.
+MOST_STRANGE, LEAST_SCORE = 1.6, 0.3
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -28,6 +27,7 @@ def with_columns_apart(stage: Stage) -> Stage:
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
         apart = {c: f"__extra_{k}" for k, c in enumerate(docs.columns) if c not in DOCUMENT}
         out = stage(spark, docs.withColumnsRenamed(apart), sf_dir)
         return out.withColumnsRenamed({v: k for k, v in apart.items()})
