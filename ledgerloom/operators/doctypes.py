@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import or_
 
@@ -58,27 +59,25 @@ def relation_cue(line: Column) -> Column:
     return F.when(holds_any(without_accents(matching(line)), MODIFICATION_CUES), "MODIFIES").otherwise("REFERENCES")
 
 
-def lines_of(pages: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """(keys, at, line, norm): lines of each page that aren't blank, numbered from 0 among these, trimmed, and lower-cased with single spaces."""
-    lines = F.filter(F.transform(F.split(text, r"\r\n|[\r\n]"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
-    return pages.select(*keys, F.posexplode(lines).alias("at", "line")).withColumn("norm", matching(F.col("line")))
-
-
 def occurrences(pages: DataFrame, doc: str, page: str, text: str) -> DataFrame:
     """(doc, page, type, signal, kind, weight) of every signal of a line.
 
     REFERENCE_LIST on a page of contents; ANCHOR in a heading that refers to nothing,
     more in short headings and on early pages; else REFERENCE.
     """
-    lines = lines_of(pages, [doc, page], text)
-    listing = F.col("norm").rlike(LISTING) | holds_any(F.col("line"), LISTED)
-    listed = lines.groupBy(doc, page).agg(F.sum(listing.cast("int")).alias("__listing"))
-    cued = pages.select(doc, page, holds_any(matching(F.col(text)), CONTENTS_CUES).alias("__cued"))
-    contents = listed.join(cued, [doc, page]).where("__cued AND __listing >= 3").select(doc, page).distinct().withColumn("__contents", F.lit(True))
-    first = lambda terms: F.coalesce(*[F.when(F.contains("norm", F.lit(t)), F.lit(t)) for t in terms])
-    named = F.array_compact(F.array(*[F.when(first(terms).isNotNull(), F.struct(F.lit(kind).alias("type"), first(terms).alias("signal"))) for kind, terms in SIGNALS.items()]))
-    some = lines.where(holds_any(F.col("norm"), tuple(t for terms in SIGNALS.values() for t in terms)))
-    hits = some.select(doc, page, "at", "line", "norm", F.explode(named).alias("m")).select(doc, page, "at", "line", "norm", "m.type", "m.signal").join(contents, [doc, page], "left")
+    every = [(kind, t) for kind, terms in SIGNALS.items() for t in terms]
+    table = F.array(*[F.struct(F.lit(kind).alias("type"), F.lit(t).alias("signal"), F.lit(k).alias("k")) for k, (kind, t) in enumerate(every)])
+    # what a line holds is found while the line is at hand: one look for any signal, and for each signal only in lines that hold one
+    trimmed = F.filter(F.transform(F.split(text, r"\r\n|[\r\n]"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    lines = F.transform(trimmed, lambda x, i: F.struct(i.alias("at"), x.alias("line"), matching(x).alias("norm")))
+    listing = lambda x: x["norm"].rlike(LISTING) | holds_any(x["line"], LISTED)
+    signal = "|".join(sorted({re.escape(t) for _, t in every}))
+    rows = pages.select(doc, page, lines.alias("__lines"), holds_any(matching(F.col(text)), CONTENTS_CUES).alias("__cued"))
+    rows = rows.select(doc, page, F.filter("__lines", lambda x: x["norm"].rlike(signal)).alias("__some"), (F.col("__cued") & (F.size(F.filter("__lines", listing)) >= 3)).alias("__contents"))
+    some = rows.select(doc, page, "__contents", F.explode("__some").alias("l")).select(doc, page, "__contents", "l.at", "l.line", "l.norm")
+    held = some.withColumn("__held", F.filter(table, lambda m: F.contains(F.col("norm"), m["signal"])))
+    firsts = F.filter("__held", lambda m: ~F.exists("__held", lambda n: (n["type"] == m["type"]) & (n["k"] < m["k"])))
+    hits = held.withColumn("m", F.explode(firsts)).select(doc, page, "__contents", "at", "line", "norm", "m.type", "m.signal")
 
     words = F.size(F.split("norm", " "))
     letters = F.regexp_count("line", F.lit(r"\p{L}"))

@@ -141,6 +141,43 @@ def three_way(base: DataFrame, live: DataFrame, imported: DataFrame, key: str, v
     return rows.select(key, state.alias("state"))
 
 
+def ordered_matches(expected: DataFrame, found: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """(keys, expected, found): each expected row, in its order, takes the first row left that equals it in all keys; what finds none, and what is left, stands alone.
+
+    `order` is unique on each side and names its rows. Among equals the k-th expected
+    row takes the k-th found one, so a full join on keys and k is the whole loop. Nulls
+    are equal to each other.
+    """
+    k = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    e = expected.select(*[F.col(c).alias(f"e_{c}") for c in keys], F.col(order).alias("expected"), k.alias("ke"))
+    f = found.select(*[F.col(c).alias(f"f_{c}") for c in keys], F.col(order).alias("found"), k.alias("kf"))
+    same = F.col("ke") == F.col("kf")
+    for c in keys:
+        same = same & F.col(f"e_{c}").eqNullSafe(F.col(f"f_{c}"))
+    side = F.col("ke").isNotNull()
+    return e.join(f, same, "full").select(*[F.when(side, F.col(f"e_{c}")).otherwise(F.col(f"f_{c}")).alias(c) for c in keys], "expected", "found")
+
+
+def greedy_matches(edges: DataFrame, left: str, right: str, order: list[Column]) -> DataFrame:
+    """(left, right) that a loop over the edges takes, in the given order, then by both ends: each edge whose ends are both still free.
+
+    An edge that comes first at both of its ends is one that the loop takes, whatever
+    the others; so all of these are taken at once, their ends leave, and so on. Rounds
+    are as many as the longest chain of edges that wait for each other. Edges that
+    repeat count once, by their first; edges with a null end are left out. Each round
+    is a table of known size.
+    """
+    ends = edges.where(F.col(left).isNotNull() & F.col(right).isNotNull()).select(F.col(left).alias("__l"), F.col(right).alias("__r"), F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)], F.col(left).alias("l"), F.col(right).alias("r")).alias("__o"))
+    live = stored(ends.groupBy("__l", "__r").agg(F.min("__o").alias("__o")))
+    taken = live.limit(0).select("__l", "__r")
+    while not live.isEmpty():
+        firsts = live.groupBy("__l").agg(F.min("__o").alias("__o")).join(live.groupBy(F.col("__r").alias("__r2")).agg(F.min("__o").alias("__o")), "__o")
+        chosen = stored(firsts.select("__l", F.col("__r2").alias("__r")))
+        taken = taken.unionByName(chosen)
+        live = stored(live.join(chosen.select("__l"), "__l", "left_anti").join(chosen.select("__r"), "__r", "left_anti").select("__l", "__r", "__o"))
+    return taken.select(F.col("__l").alias(left), F.col("__r").alias(right))
+
+
 def token_classes(df: DataFrame, id_col: str, tokens: str, block: tuple[str, ...] = ()) -> DataFrame:
     """(id, class, blocks, set): equal token sets of a block are one class, named by its smallest id; set holds 64-bit hashes of the tokens, sorted.
 

@@ -88,8 +88,8 @@ def golden_scores(cases: DataFrame, keys: list[str], passed: str, negative: str,
 
 
 def findings(checks: list[tuple[str, str, str, DataFrame]]) -> DataFrame:
-    """(section, code, severity, n) of checks that found rows: each (section, code, severity, the rows that break it)."""
-    told = [rows.agg(F.count("*").alias("n")).select(F.lit(section).alias("section"), F.lit(code).alias("code"), F.lit(severity).alias("severity"), "n") for section, code, severity, rows in checks]
+    """(section, code, severity, n) of checks that found rows: each (section, code, severity, the rows that break it; a row counts as often as its `__times` says, if there is such a column)."""
+    told = [rows.agg((F.coalesce(F.sum("__times"), F.lit(0)) if "__times" in rows.columns else F.count("*")).alias("n")).select(F.lit(section).alias("section"), F.lit(code).alias("code"), F.lit(severity).alias("severity"), "n") for section, code, severity, rows in checks]
     return reduce(DataFrame.unionByName, told).where("n > 0")
 
 

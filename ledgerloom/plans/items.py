@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import items as I
+from ledgerloom.operators import match as M
 from ledgerloom.plans.base import query, table
 
 LINES = (
@@ -83,3 +84,28 @@ def catalogue_items(spark: SparkSession, sf: str) -> DataFrame:
     """Items of catalogue pages, with amounts, units and the lines they take."""
     found = I.items(catalogue_pages(spark, sf), ["page"], "text", F.col("kind").isin(*I.PENALISED))
     return found.drop("confidence").withColumns({"quantity": F.col("quantity").cast("double"), **{c: F.col(c).cast("long") for c in ("index", "first", "last")}})
+
+
+@query("""WITH e AS (SELECT event_id AS id, event_type, user_id % 40 AS u, CASE WHEN event_id % 9 = 0 THEN NULL ELSE CAST(floor(value / 20) AS BIGINT) END AS v, event_id % 2 = 0 AS expected FROM events),
+x AS (SELECT *, row_number() OVER (PARTITION BY event_type, u, v ORDER BY id) AS k FROM e WHERE expected), f AS (SELECT *, row_number() OVER (PARTITION BY event_type, u, v ORDER BY id) AS k FROM e WHERE NOT expected)
+SELECT CASE WHEN x.id IS NULL THEN f.event_type ELSE x.event_type END AS event_type, CASE WHEN x.id IS NULL THEN f.u ELSE x.u END AS u, CASE WHEN x.id IS NULL THEN f.v ELSE x.v END AS v, x.id AS expected, f.id AS found FROM x FULL JOIN f ON x.event_type = f.event_type AND x.u = f.u AND x.v IS NOT DISTINCT FROM f.v AND x.k = f.k""")
+def expected_and_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Expected rows with the found ones that they take, in order; and what is missing or left."""
+    v = F.when(F.col("event_id") % 9 != 0, F.floor(F.col("value") / 20))
+    rows = table(spark, sf, "events").select(F.col("event_id").alias("id"), "event_type", (F.col("user_id") % 40).alias("u"), v.alias("v"))
+    return M.ordered_matches(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), ["event_type", "u", "v"], "id")
+
+
+GREEDY_SQL = """WITH RECURSIVE e AS MATERIALIZED (SELECT o_custkey AS c, dayofweek(o_orderdate) * 60 + month(o_orderdate) AS d, max(o_totalprice) AS p FROM orders GROUP BY 1, 2),
+r AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY p DESC, c, d) AS k FROM e),
+g(k, cs, ds, c, d, won) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), FALSE
+ UNION ALL SELECT r.k, CASE WHEN free THEN list_append(cs, r.c) ELSE cs END, CASE WHEN free THEN list_append(ds, r.d) ELSE ds END, r.c, r.d, free FROM (SELECT g.k, g.cs, g.ds, r.c AS c, r.d AS d, NOT list_contains(g.cs, r.c) AND NOT list_contains(g.ds, r.d) AS free FROM g JOIN r ON r.k = g.k + 1 WHERE len(g.ds) < (SELECT count(DISTINCT d) FROM e)) s JOIN r ON r.k = s.k + 1)
+SELECT c AS customer, d AS slot FROM g WHERE won"""
+
+
+@query(GREEDY_SQL)
+def greedy_slots(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers and slots of the calendar, one to one, taken by their dearest orders first."""
+    slot = F.dayofweek("o_orderdate") - 1
+    rows = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("customer"), (slot * 60 + F.month("o_orderdate")).cast("long").alias("slot")).agg(F.max("o_totalprice").alias("p"))
+    return M.greedy_matches(rows, "customer", "slot", [-F.col("p")])

@@ -126,7 +126,7 @@ UNION ALL SELECT 'integrity', 'REPEATED_TEXT', 'REVIEW', CAST(coalesce(sum(n), 0
 def audit_rollup(spark: SparkSession, sf: str) -> DataFrame:
     """Findings of several layers in one table."""
     docs, labels, pages = (table(spark, sf, t) for t in ("documents", "labels", "pages"))
-    repeated = docs.groupBy(F.md5(F.col("text").cast("binary")).alias("h")).agg(F.count("*").alias("c")).where("c > 1").select(F.explode(F.sequence(F.lit(2).cast("long"), F.col("c"))))
+    repeated = docs.groupBy(F.md5(F.col("text").cast("binary")).alias("h")).agg(F.count("*").alias("c")).where("c > 1").select((F.col("c") - 1).alias("__times"))
     return records.findings([
         ("acquisition", "PAGE_WITHOUT_HOST", "WARNING", pages.where(~F.contains("url", F.lit("://")))), ("normalization", "SHORT_TEXT", "WARNING", docs.where(F.length("text") < 200)),
         ("classification", "UNLABELLED", "REVIEW", docs.join(labels, "doc_id", "left_anti")), ("references", "UNKNOWN_DOCUMENT", "BLOCKER", labels.join(docs, "doc_id", "left_anti")),

@@ -63,7 +63,7 @@ def text_spans(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def score_sql(name: str) -> str:
-    return "(" + " + ".join(f"CASE WHEN contains(k, '{w}') THEN {2 if w in R.TWICE.get(name, ()) else 1} ELSE 0 END" for w in R.CATEGORIES[name]) + ")"
+    return "(" + " + ".join(f"CASE WHEN contains(k, '{w}') THEN {n} ELSE 0 END" for w, n in R.WEIGHTS[name].items()) + ")"
 
 
 BEST_SQL = "greatest(" + ", ".join(f"s_{n}" for n in R.CATEGORIES) + ")"
