@@ -7,9 +7,12 @@ arrive. Every sink is keyed by batch id, so a batch that runs again writes the s
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ledgerloom.operators.durable import shared_dir
 
@@ -53,3 +56,81 @@ def latest_batch(rows: DataFrame) -> DataFrame:
     """Of a stream that was written in complete mode, the last batch: the whole result."""
     last = rows.agg(F.max("batch").alias("b")).first().b
     return rows.where(F.col("batch") == F.lit(last)).drop("batch")
+
+
+class Presence(StatefulProcessor):
+    """One record's life: its last fingerprint, when it was seen, and whether it counts as present. A timer ends its presence."""
+
+    def __init__(self, silence_ms: int):
+        self.silence = silence_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "fingerprint string, seen long, present boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        told, held = [], self.last.get() if self.last.exists() else None
+        seen = pd.concat(list(rows)).sort_values(["at", "fingerprint"], kind="stable", na_position="first")
+        for at, fingerprint in zip(seen["at"].astype("int64"), seen["fingerprint"], strict=True):
+            fingerprint = None if pd.isna(fingerprint) else fingerprint
+            if held is None:
+                told.append((*key, "NEW", int(at)))
+            else:
+                before, was, present = held
+                if at < was:
+                    continue  # the record is known to be newer
+                if present and at > was + self.silence:
+                    told.append((*key, "NO_LONGER_OBSERVED", int(was + self.silence)))
+                    present = False
+                if not present:
+                    told.append((*key, "REAPPEARED", int(at)))
+                if before != fingerprint:
+                    told.append((*key, "CHANGED", int(at)))
+            held = (fingerprint, int(at), True)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.last.update(held)
+        self.handle.registerTimer(held[1] + self.silence)
+        yield pd.DataFrame(told, columns=["key", "event", "at_ms"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        fingerprint, seen, present = self.last.get()
+        gone = present and expiredTimerInfo.getExpiryTimeInMs() >= seen + self.silence
+        if gone:
+            self.last.update((fingerprint, seen, False))
+        yield pd.DataFrame([(*key, "NO_LONGER_OBSERVED", seen + self.silence)] if gone else [], columns=["key", "event", "at_ms"])
+
+    def close(self) -> None:
+        pass
+
+
+def presence_events(rows: DataFrame, key: str, at: str, fingerprint: str, silence_ms: int, late: str = "0 seconds") -> DataFrame:
+    """(key string, event, at_ms) of a stream of observations, by state of each key: NEW, CHANGED, NO_LONGER_OBSERVED after `silence`, REAPPEARED.
+
+    The state of a key is its last fingerprint and two numbers; a timer in event time
+    tells of its absence once the watermark, `late` behind, has passed. Observations
+    older than the last of their key tell nothing. Files in any batches give the same
+    events, and a restart reads on where the log ends. The session must use the
+    RocksDB state store, as `with_keyed_state` sees to.
+    """
+    some = rows.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(at).alias("ts"), F.unix_millis(at).alias("at"), F.col(fingerprint).cast("string").alias("fingerprint"))
+    told = some.withWatermark("ts", late).groupBy("key").transformWithStateInPandas(Presence(silence_ms), "key string, event string, at_ms long", "append", "eventTime")
+    return told
+
+
+def with_keyed_state(spark: SparkSession) -> None:
+    """Keyed state lives in RocksDB, beside the heap, and is written to the stream's log with each batch."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def presence_of(rows: DataFrame, key: str, at: str, fingerprint: str, silence_ms: int) -> DataFrame:
+    """presence_events of a whole table, by windows: what the stream tells once its watermark has come to the last observation."""
+    w = Window.partitionBy("key").orderBy("at", F.asc_nulls_first("fingerprint"))
+    some = rows.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(F.col(key).cast("string").alias("key"), F.unix_millis(at).alias("at"), F.col(fingerprint).cast("string").alias("fingerprint"))
+    end = some.agg(F.max("at").alias("__end"))
+    told = some.withColumns({"was": F.lag("at").over(w), "before": F.lag("fingerprint").over(w), "next": F.lead("at").over(w)}).crossJoin(F.broadcast(end))
+    new, back = F.col("was").isNull(), F.col("at") > F.col("was") + silence_ms
+    gone = F.when(F.col("next").isNotNull(), F.col("next") > F.col("at") + silence_ms).otherwise(F.col("__end") > F.col("at") + silence_ms)
+    one = lambda test, event, when: F.when(test, F.struct(F.lit(event).alias("event"), when.alias("at_ms")))
+    events = F.array_compact(F.array(one(new, "NEW", F.col("at")), one(back, "REAPPEARED", F.col("at")), one(~new & ~F.col("before").eqNullSafe(F.col("fingerprint")), "CHANGED", F.col("at")), one(gone, "NO_LONGER_OBSERVED", F.col("at") + silence_ms)))
+    return told.select("key", F.explode(events).alias("e")).select("key", "e.event", "e.at_ms")

@@ -55,3 +55,20 @@ def test_first_seen_once_over_batches(spark, tmp_path):
     rows = scans.stream_of(spark, str(tmp_path), "events.parquet", files_per_batch=1)
     got = scans.run_to_end(scans.first_seen(rows, ["user_id", "event_type"], "ts", "1 day"))
     assert sorted((r.user_id, r.event_type) for r in got.collect()) == [(1, "a"), (2, "a")]
+
+
+def test_presence_by_keyed_state_equals_the_whole_table_after_a_restart(spark, tmp_path):
+    """Three files, a break, two more: the same events as from all rows at once; a silent key is told of once, by its timer or by what comes later."""
+    scans.with_keyed_state(spark)
+    day = lambda d, h, u, k: (0, f"2024-01-{d:02d} {h:02d}:00:00", u, k)
+    first = [[day(1, 1, 1, "a"), day(1, 2, 2, "a"), day(1, 3, 1, "b")], [day(2, 1, 1, "b"), day(2, 5, 3, None), day(2, 5, 3, "z")], [day(9, 1, 1, "b"), day(9, 2, 3, "z")]]
+    second = [[day(10, 1, 2, "a"), (0, None, 5, "a"), (0, "2024-01-10 05:00:00", None, "a")], [day(20, 1, 4, "q"), day(20, 1, 4, "q")]]
+    home, silence = f"{tmp_path}/home-{uuid.uuid4().hex}", 3 * 24 * 3600 * 1000
+    for files in (first, second):
+        write(spark, tmp_path / "events.parquet", *files)
+        stream = scans.presence_events(scans.stream_of(spark, str(tmp_path), "events.parquet", files_per_batch=1), "user_id", "ts", "event_type", silence)
+        got = scans.run_to_end(stream, home=home)
+    rows = spark.read.parquet(str(tmp_path / "events.parquet"))
+    want = sorted(tuple(r) for r in scans.presence_of(rows, "user_id", "ts", "event_type", silence).collect())
+    assert sorted((r.key, r.event, r.at_ms) for r in got.collect()) == want
+    assert [e for k, e, _ in sorted(want, key=lambda r: (r[0], r[2])) if k == "1"] == ["NEW", "CHANGED", "NO_LONGER_OBSERVED", "REAPPEARED", "NO_LONGER_OBSERVED"]
