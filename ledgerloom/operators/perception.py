@@ -69,3 +69,44 @@ def operational_state(effective: Column, review: Column, mode: Column, decision:
         ((mode == "DIRECT_VERIFICATION") & has(("DIRECT_VERIFICATION_PENDING",)), "DIRECT_VERIFICATION_PENDING"), (condition == "CONDITION_UNRESOLVED", "CONDITION_UNRESOLVED"), (has(TO_REVIEW), "REVIEW_REQUIRED"), (has(TO_ACT), "ACTION_REQUIRED"),
         (system.isin("NOT_EVALUATED", "REVIEW_REQUIRED"), "REVIEW_REQUIRED"), otherwise="FINALIZED",
     )
+
+
+#: How grave each finding is.
+SEVERITY = {
+    "NO_COMPANY_EVIDENCE": "ACTION", "NO_ACTIVE_EVIDENCE": "ACTION", "NO_CONFIRMED_EVIDENCE_MATCH": "ACTION", "MATCH_REVIEW_PENDING": "WARNING", "MATCH_REVIEW_STALE": "WARNING", "EVIDENCE_REVIEW_PENDING": "WARNING",
+    "EVIDENCE_REVIEW_STALE": "WARNING", "SYSTEM_ASSESSMENT_MISSING": "ACTION", "SYSTEM_ASSESSMENT_REVIEW_REQUIRED": "WARNING", "DIRECT_VERIFICATION_PENDING": "ACTION", "CONDITIONAL_APPLICABILITY_UNRESOLVED": "WARNING",
+    "HUMAN_DECISION_PENDING": "ACTION", "HUMAN_DECISION_STALE": "WARNING", "HUMAN_OVERRIDE_PRESENT": "INFO", "REQUIREMENT_SUPERSEDED": "INFO", "REQUIREMENT_REJECTED": "INFO",
+}
+
+
+def match_counts(matches: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, matches, confirmed, pending, stale, evidence_pending, evidence_stale) of matches (review, freshness, evidence_freshness): what findings are made from."""
+    review, some = F.col("review"), lambda test: F.sum(F.coalesce(test, F.lit(False)).cast("long"))
+    return matches.groupBy(*keys).agg(
+        F.count("*").alias("matches"), some(review == "CONFIRMED").alias("confirmed"), some(review.isNull() | review.isin("", "PENDING")).alias("pending"),
+        some(review.isin("CONFIRMED", "NEEDS_REVIEW", "REJECTED") & (F.col("freshness") == "STALE")).alias("stale"),
+        some(F.col("evidence_freshness") == "NOT_REVIEWED").alias("evidence_pending"), some(F.col("evidence_freshness") == "STALE").alias("evidence_stale"),
+    )
+
+
+def findings(requirements: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
+    """requirements with `findings`: codes in order of what stands open, each once.
+
+    requirements: (keys, effective, review, mode, evidence, current_evidence, assessed,
+    system, condition, reviewed, decision, fresh, relation); counts as match_counts
+    gives them, none for requirements without matches. Nulls are states that aren't known.
+    """
+    r = requirements.join(counts, keys, "left").fillna(0, ["matches", "confirmed", "pending", "stale", "evidence_pending", "evidence_stale"])
+    is_ = lambda c, *v: F.coalesce(F.col(c).isin(*v), F.lit(False))
+    direct, some = is_("mode", "DIRECT_VERIFICATION"), F.col("matches") > 0
+    bare = ~F.col("assessed") | (F.col("evidence") == 0) | (F.col("current_evidence") == 0) | ~some
+    open_ = (F.col("reviewed") & is_("decision", "PENDING", "NEEDS_REVIEW")) | (~F.col("reviewed") & direct) | (~F.col("reviewed") & ~direct & bare)
+    told, stale = F.col("reviewed") & ~is_("decision", "PENDING", "NEEDS_REVIEW"), is_("fresh", "STALE")
+    table = (
+        ("REQUIREMENT_SUPERSEDED", is_("effective", "SUPERSEDED")), ("REQUIREMENT_REJECTED", ~is_("effective", "SUPERSEDED") & is_("review", "REJECTED")),
+        ("NO_COMPANY_EVIDENCE", ~direct & (F.col("evidence") == 0)), ("NO_ACTIVE_EVIDENCE", ~direct & (F.col("evidence") > 0) & (F.col("current_evidence") == 0)),
+        ("NO_CONFIRMED_EVIDENCE_MATCH", some & (F.col("confirmed") == 0)), ("MATCH_REVIEW_PENDING", F.col("pending") > 0), ("MATCH_REVIEW_STALE", F.col("stale") > 0), ("EVIDENCE_REVIEW_PENDING", F.col("evidence_pending") > 0), ("EVIDENCE_REVIEW_STALE", F.col("evidence_stale") > 0),
+        ("SYSTEM_ASSESSMENT_MISSING", ~F.col("assessed") & ~direct), ("SYSTEM_ASSESSMENT_REVIEW_REQUIRED", F.col("assessed") & is_("system", "REVIEW_REQUIRED")), ("CONDITIONAL_APPLICABILITY_UNRESOLVED", F.col("assessed") & is_("condition", "CONDITION_UNRESOLVED")),
+        ("DIRECT_VERIFICATION_PENDING", open_ & direct), ("HUMAN_DECISION_PENDING", open_ & ~direct), ("HUMAN_DECISION_STALE", told & stale), ("HUMAN_OVERRIDE_PRESENT", told & ~stale & is_("decision", "COMPLIES", "DOES_NOT_COMPLY", "NOT_APPLICABLE") & is_("relation", "HUMAN_OVERRIDE")),
+    )
+    return r.withColumn("findings", F.array_compact(F.array(*[F.when(test, F.lit(code)) for code, test in table])))

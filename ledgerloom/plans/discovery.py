@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import requirements as R
+from ledgerloom.functions import tender as T
 from ledgerloom.operators import discovery as D
 from ledgerloom.plans.base import query, table
 
@@ -98,3 +100,21 @@ def evidence_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Targets, places and dates that offered sentences name, with where they stand."""
     pages = part_pages(spark, sf).select(F.concat_ws("/", "document", "page").alias("id"), "text")
     return D.candidates(D.offered_spans(pages, ["id"], "text"), ["id"]).select("id", "kind", "number", "rank", "raw", "start")
+
+
+PLAIN_SQL = r"trim(regexp_replace(translate(lower(text), 'áéíóúüñ', 'aeiouun'), '\s+', ' ', 'g'))"
+
+
+@query(f"""WITH {PAGES_SQL}, t AS (SELECT document, page, {PLAIN_SQL} AS t FROM pages)
+SELECT document, page, coalesce({", ".join(f"nullif(regexp_extract(t, '{p}'), '')" for p in T.PLACES)}) AS place, CASE WHEN regexp_matches(t, '{T.ANNEX_PLAIN}') THEN 'ANEXO:' || upper(regexp_replace(replace(regexp_extract(t, '{T.ANNEX_PLAIN}', 1), '.', '-'), '[^a-z0-9-]', '', 'g')) {" ".join(f"WHEN regexp_matches(t, '{p}') THEN '{n}'" for n, p in T.REFERENCE_WORDING)} END AS target FROM t""")
+def change_places(spark: SparkSession, sf: str) -> DataFrame:
+    """The place and the document that each page speaks of first."""
+    t = T.plain(F.col("text"))
+    return part_pages(spark, sf).select("document", "page", T.place(t).alias("place"), T.target(t).alias("target"))
+
+
+@query(rf"""WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS c, {PLAIN_SQL} AS t FROM documents)
+SELECT doc_id, CAST(regexp_matches(t, '{R.PLACEHOLDER}') AS INT) AS placeholder, len(regexp_extract_all(c, '{R.BAD_SIGNS}')) AS signs, len(list_filter(string_split_regex(left(c, 80), '[^\pL\pN_]+'), lambda x: regexp_matches(x, '{R.LONE}'))) AS lone, -len(regexp_extract_all(c, '{R.LETTERS}')) AS letters FROM t""")
+def text_qualities(spark: SparkSession, sf: str) -> DataFrame:
+    """How well each text reads."""
+    return table(spark, sf, "documents").select("doc_id", R.text_quality(F.col("text"), T.plain(F.col("text"))).alias("q")).select("doc_id", "q.*")

@@ -65,3 +65,31 @@ def operational_states(spark: SparkSession, sf: str) -> DataFrame:
         F.when(u % 2 == 0, "CURRENT").otherwise("STALE"), F.when(e % 17 == 0, "CONDITION_UNRESOLVED"), F.when(v > 90, "NOT_EVALUATED").when(v > 10, "SUPPORTED"), F.array(finding),
     )
     return table(spark, sf, "events").select("event_id", state.alias("state"))
+
+
+FINDINGS_SQL = """WITH r AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 13 = 0 THEN 'SUPERSEDED' ELSE 'EFFECTIVE' END AS effective, CASE WHEN o_custkey % 11 = 0 THEN 'REJECTED' END AS review, CASE WHEN o_orderkey % 5 = 0 THEN 'DIRECT_VERIFICATION' ELSE 'DOCUMENT' END AS mode, o_custkey % 4 AS evidence, o_custkey % 4 - CASE WHEN o_orderkey % 3 = 0 THEN o_custkey % 4 ELSE 0 END AS cur,
+o_orderkey % 7 <> 0 AS assessed, CASE o_orderstatus WHEN 'O' THEN 'REVIEW_REQUIRED' WHEN 'F' THEN 'SUPPORTED' END AS system, CASE WHEN o_orderkey % 17 = 0 THEN 'CONDITION_UNRESOLVED' END AS condition, o_custkey % 3 <> 0 AS reviewed, CASE o_orderkey % 6 WHEN 0 THEN 'PENDING' WHEN 1 THEN 'NEEDS_REVIEW' WHEN 2 THEN 'COMPLIES' WHEN 3 THEN 'NOT_APPLICABLE' END AS decision, CASE WHEN o_custkey % 5 = 0 THEN 'STALE' ELSE 'CURRENT' END AS fresh, CASE WHEN o_orderkey % 2 = 0 THEN 'HUMAN_OVERRIDE' END AS relation FROM orders),
+m AS (SELECT l_orderkey AS k, CASE l_partkey % 5 WHEN 0 THEN 'CONFIRMED' WHEN 1 THEN 'PENDING' WHEN 2 THEN 'REJECTED' WHEN 3 THEN 'NEEDS_REVIEW' END AS rv, CASE WHEN l_suppkey % 7 = 0 THEN 'STALE' ELSE 'CURRENT' END AS fr, CASE l_suppkey % 6 WHEN 0 THEN 'NOT_REVIEWED' WHEN 1 THEN 'STALE' END AS ef FROM lineitem WHERE l_orderkey % 4 <> 1),
+c AS (SELECT k, count(*) AS n, count(CASE WHEN rv = 'CONFIRMED' THEN 1 END) AS confirmed, count(CASE WHEN rv IS NULL OR rv = 'PENDING' THEN 1 END) AS pending, count(CASE WHEN rv <> 'PENDING' AND fr = 'STALE' THEN 1 END) AS stale, count(CASE WHEN ef = 'NOT_REVIEWED' THEN 1 END) AS ep, count(CASE WHEN ef = 'STALE' THEN 1 END) AS es FROM m GROUP BY 1),
+j AS (SELECT r.*, coalesce(n, 0) AS n, coalesce(confirmed, 0) AS confirmed, coalesce(pending, 0) AS pending, coalesce(stale, 0) AS stale, coalesce(ep, 0) AS ep, coalesce(es, 0) AS es, mode = 'DIRECT_VERIFICATION' AS direct, coalesce(decision IN ('PENDING', 'NEEDS_REVIEW'), FALSE) AS waits FROM r LEFT JOIN c USING (k)),
+o AS (SELECT *, CASE WHEN reviewed THEN waits ELSE direct OR NOT assessed OR evidence = 0 OR cur = 0 OR n = 0 END AS opened FROM j)
+SELECT k AS requirement, array_to_string(list_filter([CASE WHEN effective = 'SUPERSEDED' THEN 'REQUIREMENT_SUPERSEDED' WHEN review = 'REJECTED' THEN 'REQUIREMENT_REJECTED' END, CASE WHEN direct THEN NULL WHEN evidence = 0 THEN 'NO_COMPANY_EVIDENCE' WHEN cur = 0 THEN 'NO_ACTIVE_EVIDENCE' END, CASE WHEN n > 0 AND confirmed = 0 THEN 'NO_CONFIRMED_EVIDENCE_MATCH' END,
+CASE WHEN pending > 0 THEN 'MATCH_REVIEW_PENDING' END, CASE WHEN stale > 0 THEN 'MATCH_REVIEW_STALE' END, CASE WHEN ep > 0 THEN 'EVIDENCE_REVIEW_PENDING' END, CASE WHEN es > 0 THEN 'EVIDENCE_REVIEW_STALE' END, CASE WHEN NOT assessed AND NOT direct THEN 'SYSTEM_ASSESSMENT_MISSING' WHEN assessed AND system = 'REVIEW_REQUIRED' THEN 'SYSTEM_ASSESSMENT_REVIEW_REQUIRED' END,
+CASE WHEN assessed AND condition IS NOT NULL THEN 'CONDITIONAL_APPLICABILITY_UNRESOLVED' END, CASE WHEN opened AND direct THEN 'DIRECT_VERIFICATION_PENDING' WHEN opened THEN 'HUMAN_DECISION_PENDING' END, CASE WHEN reviewed AND NOT waits AND fresh = 'STALE' THEN 'HUMAN_DECISION_STALE' WHEN reviewed AND NOT waits AND decision IN ('COMPLIES', 'NOT_APPLICABLE') AND relation = 'HUMAN_OVERRIDE' THEN 'HUMAN_OVERRIDE_PRESENT' END], lambda x: x IS NOT NULL), ',') AS findings FROM o"""
+
+
+@query(FINDINGS_SQL)
+def requirement_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """What stands open about each requirement, from its states and its matches."""
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    asked = table(spark, sf, "orders").select(
+        o.alias("requirement"), F.when(o % 13 == 0, "SUPERSEDED").otherwise("EFFECTIVE").alias("effective"), F.when(c % 11 == 0, "REJECTED").alias("review"), F.when(o % 5 == 0, "DIRECT_VERIFICATION").otherwise("DOCUMENT").alias("mode"), (c % 4).alias("evidence"),
+        F.when(o % 3 == 0, 0).otherwise(c % 4).alias("current_evidence"), (o % 7 != 0).alias("assessed"), F.when(F.col("o_orderstatus") == "O", "REVIEW_REQUIRED").when(F.col("o_orderstatus") == "F", "SUPPORTED").alias("system"), F.when(o % 17 == 0, "CONDITION_UNRESOLVED").alias("condition"),
+        (c % 3 != 0).alias("reviewed"), F.when(o % 6 == 0, "PENDING").when(o % 6 == 1, "NEEDS_REVIEW").when(o % 6 == 2, "COMPLIES").when(o % 6 == 3, "NOT_APPLICABLE").alias("decision"), F.when(c % 5 == 0, "STALE").otherwise("CURRENT").alias("fresh"), F.when(o % 2 == 0, "HUMAN_OVERRIDE").alias("relation"),
+    )
+    p, s = F.col("l_partkey"), F.col("l_suppkey")
+    matches = table(spark, sf, "lineitem").where("l_orderkey % 4 <> 1").select(
+        F.col("l_orderkey").alias("requirement"), F.when(p % 5 == 0, "CONFIRMED").when(p % 5 == 1, "PENDING").when(p % 5 == 2, "REJECTED").when(p % 5 == 3, "NEEDS_REVIEW").alias("review"), F.when(s % 7 == 0, "STALE").otherwise("CURRENT").alias("freshness"), F.when(s % 6 == 0, "NOT_REVIEWED").when(s % 6 == 1, "STALE").alias("evidence_freshness"),
+    )
+    told = P.findings(asked, P.match_counts(matches, ["requirement"]), ["requirement"])
+    return told.select("requirement", F.array_join("findings", ",").alias("findings"))

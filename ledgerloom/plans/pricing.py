@@ -143,3 +143,26 @@ def csv_safe_export(spark: SparkSession, sf: str) -> DataFrame:
     lead = F.element_at(F.array(*[F.lit(x) for x in ("=", "+", "-", "@", "\t", "\r", " =", "")]), (k + 1).cast("int"))
     number = F.concat(F.lit("-"), F.col("c_custkey").cast("string"))
     return table(spark, sf, "customer").select(F.lit("export").alias("sheet"), csv_safe(F.concat(lead, "c_name")).alias("cell"), csv_safe(number, numeric=True).alias("number"))
+
+
+#: Cells of sheets: types, number formats, fields and texts, dealt to order lines.
+KINDS, SHAPES, FIELDS, TEXTS = ("s", "n", "inlineStr", "b"), ("0.00%", "General", "0%", "#,##0%"), ("unit_cost", "offered_unit_price", "markup_percent", "target_margin_percent", "notes"), ("", "{q}", "{q}.5%", "-{q}e1", "+.{q}", "{q},5", "abc", "1e40", "{q}%")
+
+
+def dealt(xs: tuple[str, ...], by: str) -> str:
+    return f"[{', '.join(repr(x) for x in xs)}][({by}) % {len(xs)} + 1]"
+
+
+@query(f"""WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, {dealt(FIELDS, "l_partkey")} AS field, {dealt(KINDS, "l_suppkey")} AS kind, {dealt(SHAPES, "l_orderkey")} AS shape, replace({dealt(TEXTS, "l_partkey + l_linenumber")}, '{{q}}', CAST(CAST(l_quantity AS INT) AS VARCHAR)) AS value FROM lineitem),
+d AS (SELECT *, field <> 'notes' AS number, contains(field, 'percent') AS percent, ends_with(value, '%') AS signed, CASE WHEN ends_with(value, '%') THEN left(value, length(value) - 1) ELSE value END AS plain, kind = 'n' AND contains(shape, '%') AS formatted FROM c),
+e AS (SELECT *, coalesce(TRY_CAST(plain AS DECIMAL(38, 12)), TRY_CAST(TRY_CAST(plain AS DOUBLE) AS DECIMAL(38, 12))) AS exact FROM d),
+f AS (SELECT *, CASE WHEN kind = 'b' THEN 'UNSUPPORTED_CELL_TYPE' WHEN value = '' THEN NULL WHEN NOT number THEN CASE WHEN kind = 'n' THEN 'TEXT_CELL_REQUIRED' END WHEN NOT regexp_matches(plain, '{money.WRITTEN}') OR length(plain) > 64 THEN 'INVALID_DECIMAL_TEXT' WHEN exact IS NULL THEN 'NONFINITE_NUMBER' WHEN formatted AND (NOT percent OR NOT regexp_matches(shape, '^0(?:\\.0+)?%$')) THEN 'UNSUPPORTED_PERCENT_FORMAT' WHEN NOT formatted AND signed AND NOT percent THEN 'PERCENT_NOT_MONEY' END AS error FROM e)
+SELECT l_orderkey, l_linenumber, l_partkey, error, CASE WHEN error IS NULL AND value <> '' AND number THEN CAST(CASE WHEN formatted THEN exact * 100 ELSE exact END AS DOUBLE) END AS number, CASE WHEN error IS NULL AND value <> '' AND NOT number THEN value END AS text FROM f""")
+def typed_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Values and errors of the cells of sheets."""
+    pick = lambda xs, by: F.element_at(F.lit(list(xs)), (by % len(xs) + 1).cast("int"))
+    field, kind, shape = pick(FIELDS, F.col("l_partkey")), pick(KINDS, F.col("l_suppkey")), pick(SHAPES, F.col("l_orderkey"))
+    text = F.replace(pick(TEXTS, F.col("l_partkey") + F.col("l_linenumber")), F.lit("{q}"), F.col("l_quantity").cast("int").cast("string"))
+    value, error = money.cell_value(field, kind, text, shape)
+    number = field.isin(*money.NUMERIC)
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", error.alias("error"), F.when(number, value).cast("double").alias("number"), F.when(~number, value).alias("text"))
