@@ -327,7 +327,8 @@ def _kept(text: Column, starts: Column) -> Column:
             rows.append((len(words), int(out.sum()), b" ".join([w for w, gone in zip(words, out.tolist(), strict=True) if not gone])))
         return pd.DataFrame(rows, columns=["n_words", "n_removed", "kept"])
 
-    return keep(text.cast("binary"), starts)
+    # not called deterministic, so that a filter on the result isn't pushed below and the texts aren't read twice
+    return keep.asNondeterministic()(text.cast("binary"), starts)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
