@@ -176,3 +176,45 @@ def manifest_differences(manifest: DataFrame, files: DataFrame) -> DataFrame:
     both = m.join(f, F.expr("m.path = f.path"), "full")
     finding = F.expr("CASE WHEN f.path IS NULL THEN 'MISSING' WHEN m.path IS NULL THEN 'UNREFERENCED' WHEN m.size <> f.size THEN 'SIZE' WHEN m.sha <> f.sha THEN 'HASH' END")
     return both.select(F.expr("coalesce(m.path, f.path)").alias("path"), finding.alias("finding")).where("finding IS NOT NULL")
+
+
+#: Changes of a record's documents.
+DOCUMENT_CHANGES = ("DOCUMENT_ADDED", "DOCUMENT_CHANGED", "DOCUMENT_REMOVED")
+
+
+def unread(changes: DataFrame, key: str) -> DataFrame:
+    """(key, unread_changes, unread_document_changes) of changes (key, category, origin, acknowledged_at) that a source made and nobody has acknowledged."""
+    some = changes.where((F.col("origin") == "SOURCE") & F.col("acknowledged_at").isNull())
+    return some.groupBy(key).agg(F.count("*").alias("unread_changes"), F.sum(F.col("category").isin(*DOCUMENT_CHANGES).cast("long")).alias("unread_document_changes"))
+
+
+def acknowledge(changes: DataFrame, requests: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(outcomes, changes): what becomes of requests (request, key, id, at), a row an id, and the changes (id, key, acknowledged_at) after them.
+
+    A request that names an id twice is DUPLICATE_CHANGE_ID, one that names an unknown
+    id or another record's is DISCOVERY_CHANGE_NOT_OWNED, and nothing of either is done.
+    Of the others each unacknowledged id goes to the first that names it, by number;
+    outcomes tell how many that were, and an event is due where it is more than none.
+    """
+    owned = changes.select("id", F.col(key).alias("__owner"), F.col("acknowledged_at").isNull().alias("__open"))
+    asked = requests.join(owned, "id", "left")
+    twice = asked.groupBy("request", "id").agg(F.count("*").alias("n")).where("n > 1").select("request").distinct().withColumn("__twice", F.lit(True))
+    foreign = asked.where(F.col("__owner").isNull() | (F.col("__owner") != F.col(key))).select("request").distinct().withColumn("__foreign", F.lit(True))
+    judged = requests.select("request").distinct().join(twice, "request", "left").join(foreign, "request", "left")
+    judged = judged.select("request", F.when(F.col("__twice"), "DUPLICATE_CHANGE_ID").when(F.col("__foreign"), "DISCOVERY_CHANGE_NOT_OWNED").alias("error"))
+    firsts = asked.where("__open").join(judged.where("error IS NULL").select("request"), "request").groupBy("id").agg(F.min(F.struct("request", "at")).alias("f"))
+    done = firsts.groupBy("f.request").agg(F.count("*").alias("acknowledged"))
+    outcomes = judged.join(done, "request", "left").select("request", "error", F.when(F.col("error").isNull(), F.coalesce("acknowledged", F.lit(0))).alias("acknowledged"))
+    after = changes.join(firsts.select("id", F.col("f.at").alias("__at")), "id", "left").withColumn("acknowledged_at", F.coalesce("acknowledged_at", "__at")).drop("__at")
+    return outcomes, after
+
+
+def change_summary(changes: DataFrame, records: DataFrame, key: str) -> DataFrame:
+    """One row: records (key, state, watching) that are new, have unread changes, are followed and have some; unread changes and new documents."""
+    counts = unread(changes, key)
+    open_ = changes.where((F.col("origin") == "SOURCE") & F.col("acknowledged_at").isNull()).agg(F.count("*").alias("unread_changes"), F.coalesce(F.sum((F.col("category") == "DOCUMENT_ADDED").cast("long")), F.lit(0)).alias("new_documents"))
+    told = records.join(counts, key, "left").agg(
+        F.coalesce(F.sum((F.col("state") == "NEW").cast("long")), F.lit(0)).alias("new_opportunities"), F.coalesce(F.sum((F.col("unread_changes").isNotNull() & F.col("watching")).cast("long")), F.lit(0)).alias("followed_with_changes")
+    )
+    changed = counts.agg(F.count("*").alias("changed_opportunities"))
+    return told.crossJoin(changed).crossJoin(open_)

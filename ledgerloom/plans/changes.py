@@ -232,3 +232,38 @@ def storage_reconciliation(spark: SparkSession, sf: str) -> DataFrame:
     manifest = part.where("p_partkey % 9 <> 0").select(path, F.col("p_size").alias("size"), F.when(F.col("p_partkey") % 5 == 0, "x").otherwise("y").alias("sha"))
     files = part.where("p_partkey % 7 <> 0").select(path, F.when(F.col("p_partkey") % 8 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")).alias("size"), F.lit("y").alias("sha"))
     return diff.manifest_differences(manifest, files)
+
+
+CHANGES_SQL = """c AS (SELECT event_id AS id, user_id, CASE event_type WHEN 'click' THEN 'DOCUMENT_ADDED' WHEN 'view' THEN 'DOCUMENT_CHANGED' ELSE 'METADATA_CHANGED' END AS category, CASE WHEN event_type = 'signup' THEN 'LOCAL_USER' ELSE 'SOURCE' END AS origin, CASE WHEN event_id % 7 = 0 THEN ts END AS acknowledged_at, ts, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events),
+q AS (SELECT id AS request, CASE WHEN id % 11 = 0 THEN user_id + 1 ELSE user_id END AS user_id, unnest([id, before, CASE WHEN id % 13 = 0 THEN id END]) AS id, ts AS at FROM c WHERE value_ < 30), r AS (SELECT * FROM q WHERE id IS NOT NULL),
+a AS (SELECT r.*, c.user_id AS owner, c.acknowledged_at IS NULL AS open FROM r LEFT JOIN c ON c.id = r.id), j AS (SELECT request, CASE WHEN count(*) > count(DISTINCT id) THEN 'DUPLICATE_CHANGE_ID' WHEN bool_or(owner IS NULL OR owner <> user_id) THEN 'DISCOVERY_CHANGE_NOT_OWNED' END AS error FROM a GROUP BY 1),
+f AS (SELECT id, min(request) AS request FROM a JOIN j USING (request) WHERE error IS NULL AND open GROUP BY 1)""".replace("acknowledged_at, ts, lag", "acknowledged_at, ts, value AS value_, lag")
+
+
+def acknowledgements(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(changes, requests): a user's events are changes of a record; some events ask to acknowledge themselves and the one before."""
+    e, kind = F.col("event_id"), F.col("event_type")
+    rows = table(spark, sf, "events").withColumn("before", F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id")))
+    changes = rows.select(
+        e.alias("id"), "user_id", F.when(kind == "click", "DOCUMENT_ADDED").when(kind == "view", "DOCUMENT_CHANGED").otherwise("METADATA_CHANGED").alias("category"),
+        F.when(kind == "signup", "LOCAL_USER").otherwise("SOURCE").alias("origin"), F.when(e % 7 == 0, F.col("ts")).alias("acknowledged_at"),
+    )
+    ids = F.array_compact(F.array(e, F.col("before"), F.when(e % 13 == 0, e)))
+    requests = rows.where("value < 30").select(e.alias("request"), (F.col("user_id") + (e % 11 == 0).cast("int")).alias("user_id"), F.explode(ids).alias("id"), F.col("ts").alias("at"))
+    return changes, requests
+
+
+@query(f"WITH {CHANGES_SQL} SELECT request, error, CASE WHEN error IS NULL THEN (SELECT count(*) FROM f WHERE f.request = j.request) END AS acknowledged FROM j")
+def acknowledged_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """What becomes of requests to acknowledge changes."""
+    return diff.acknowledge(*acknowledgements(spark, sf), "user_id")[0]
+
+
+@query(f"""WITH {CHANGES_SQL}, d AS (SELECT c.*, coalesce(acknowledged_at IS NOT NULL, FALSE) OR f.id IS NOT NULL AS read FROM c LEFT JOIN f ON f.id = c.id), u AS (SELECT user_id, count(*) AS n FROM d WHERE origin = 'SOURCE' AND NOT read GROUP BY 1)
+SELECT (SELECT count(DISTINCT user_id) FROM c WHERE user_id % 4 = 0) AS new_opportunities, (SELECT count(*) FROM u) AS changed_opportunities, (SELECT count(*) FROM u WHERE user_id % 3 = 0) AS followed_with_changes, (SELECT coalesce(CAST(sum(n) AS BIGINT), 0) FROM u) AS unread_changes, (SELECT count(*) FROM d WHERE origin = 'SOURCE' AND NOT read AND category = 'DOCUMENT_ADDED') AS new_documents""")
+def unread_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """What is unread after all requests to acknowledge."""
+    changes, requests = acknowledgements(spark, sf)
+    u = F.col("user_id")
+    records = changes.select("user_id").distinct().select("user_id", F.when(u % 4 == 0, "NEW").otherwise("FOLLOWING").alias("state"), (u % 3 == 0).alias("watching"))
+    return diff.change_summary(diff.acknowledge(changes, requests, "user_id")[1], records, "user_id")
