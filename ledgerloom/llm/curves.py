@@ -176,9 +176,10 @@ def nearest(
 
     Nearest first, ties to the smaller id; a query isn't its own neighbour. Windows
     have `window` rows, or as many more as `audited` sampled queries need to find
-    `recall` of their k nearest; both figures come with every row. Two rows at most a
-    window apart in some ordering always meet, and of rows that meet none is missed,
-    so places tell what is found. Equal vectors are one
+    `recall` of their k nearest: two rows at most a window apart in some ordering always
+    meet, so places tell that. What is found then is measured on as many other queries,
+    each compared with all rows (on the same ones if there are no others); windows
+    double until they find `recall` or hold everything. Both figures come with every row. Equal vectors are one
     point with its smallest ids, so copies, however many, neither crowd a window nor
     are missed. Vectors that are null, zero, hold null or non-finite components, or
     are of another length than most, take no part, nor do null ids. Rows that share
@@ -197,7 +198,7 @@ def nearest(
     queries = durable(distinct.where(F.col("id") % every == 0).join(points.select("vec", "node"), "vec").select(F.col("id").alias("query_id"), F.col("node").alias("query")))
     ready = stored(points.join(placed(points, plan, code), "node").select("node", F.col("ids")[0].alias("first"), "vec", "at"))
     asking = ready.join(queries.select(F.col("query").alias("node")).distinct(), "node", "left_semi")
-    score = 1.0
+    truth = _frame([])
     sample = asking.orderBy(F.xxhash64("node", F.lit(seed))).limit(audited)
     asked = sample.toPandas()
     if len(asked):
@@ -207,10 +208,18 @@ def nearest(
         if len(truth):
             own, near = (np.stack([places[x] for x in truth[c]]) for c in ("query", "node"))
             window = max(window, int(np.quantile(np.abs(own - near).min(1), recall, method="higher")))
-            score = float((np.abs(own // window - near // window) <= 1).any(1).mean())
-    found = search(ready, asking, window, k, code).groupBy("query", "node").agg(F.max("score").alias("score"), F.first("first").alias("first"))
-    by_score = Window.partitionBy("query").orderBy(F.desc("score"), "first")
-    found = found.withColumn("place", F.row_number().over(by_score)).where(F.col("place") <= 2 * k).select("query", "node", "score")
+    others = asking.where(~F.col("node").isin([int(x) for x in asked["node"]])).orderBy(F.xxhash64("node", F.lit(seed + 1))).limit(audited).toPandas()
+    truth = nearest_of_all(ready, others, k, code) if len(others) else truth
+    want = {(int(q), int(x)) for q, x in zip(truth["query"], truth["node"], strict=True)}
+    total, by_score = ready.count(), Window.partitionBy("query").orderBy(F.desc("score"), "first")
+    while True:
+        found = search(ready, asking, window, k, code).groupBy("query", "node").agg(F.max("score").alias("score"), F.first("first").alias("first"))
+        found = stored(found.withColumn("place", F.row_number().over(by_score)).where(F.col("place") <= 2 * k).select("query", "node", "score"))
+        got = {(r.query, r.node) for r in found.where(F.col("query").isin([q for q, _ in want])).select("query", "node").collect()}
+        score = len(want & got) / len(want) if want else 1.0
+        if score >= recall or window >= total:
+            break
+        window = min(2 * window, total)
 
     def with_itself(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
