@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as X
-from ledgerloom.operators import chunks, equivalence, imports, match, readiness, rollup, rules
+from ledgerloom.operators import chunks, equivalence, imports, match, materialise, readiness, rollup, rules
+from ledgerloom.operators.durable import shared_dir
 from ledgerloom.plans.base import query, table
 
 #: NFC, then line ends, then white space at them, outer white space, empty lines, and characters of category C.
@@ -262,3 +265,15 @@ def profile_fields(spark: SparkSession, sf: str) -> DataFrame:
     told = rules.profile_match({"text": F.col("text"), "source": F.col("source")}, ("the",), ("license", "src3"), {"the": ("les", "los")}, (F.col("lang") == "es", "AREA_RESTRICTION"), (F.col("doc_id") % 50 == 0, "PROFILE_INACTIVE"))
     rows = table(spark, sf, "documents").select("doc_id", told.alias("p"))
     return rows.select("doc_id", "p.matched", F.size("p.included").alias("hits"), F.array_join("p.restrictions", ",").alias("restrictions"))
+
+
+@query(r"""SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS lines, md5(text) AS digest, doc_id % 10 = 3 OR doc_id % 50 = 7 AS rebuilt FROM documents""")
+def refreshed_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of all documents after a refresh: some had another text before, some weren't there, some have gone since; only these are built again."""
+    docs, home = table(spark, sf, "documents").select("doc_id", "text"), f"{shared_dir(spark).rstrip('/')}/refreshed-{uuid.uuid4().hex}"
+    i = F.col("doc_id")
+    before = docs.where(i % 50 != 7).withColumn("text", F.when(i % 10 == 3, F.concat("text", F.lit("\nmore"))).otherwise(F.col("text"))).unionByName(docs.where(i % 20 == 1).withColumn("doc_id", -i - 1))
+    build = lambda some: some.select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("lines"), F.md5(F.col("text").cast("binary")).alias("digest"))
+    materialise.refresh(before, "doc_id", ["text"], build, home)
+    told = materialise.refresh(docs, "doc_id", ["text"], build, home)
+    return told.rows.join(told.built.withColumn("rebuilt", F.lit(True)), "doc_id", "left").fillna({"rebuilt": False})
