@@ -4,6 +4,7 @@ import random
 
 import pytest
 from ledgerloom.operators import items as I
+from ledgerloom.operators import labelled
 from ledgerloom.operators import layout as L
 from ledgerloom.operators import match
 from pyspark.sql import functions as F
@@ -145,3 +146,34 @@ def test_ordered_matches_equal_the_loop(spark):
     f = spark.createDataFrame([(10, "y", 2), (11, "x", None), (12, None, 1), (13, "x", None), (14, "x", None)], "id int, k string, v int")
     got = {tuple(r) for r in match.ordered_matches(e, f, ["k", "v"], "id").collect()}
     assert got == {("x", None, 1, 11), ("x", None, 2, 13), ("x", None, None, 14), ("y", 1, 3, None), ("y", 2, None, 10), (None, 1, 4, 12)}
+
+
+BLOCKS = {
+    "Partida|Descripción|Cantidad|Unidad\n1|Tubo|2|kg\n\n2|Tubo|2|kg": [("1", {"description": "Tubo", "quantity": "2", "unit": "kg"}, "SUPPORTED")],
+    "item\tDescripcion\tquantity\tunit\tmodel\n1\tPipe\t2\tkg\tX-1\nnote\n2\tPipe\t2\tkg\tX-2": [("1", {"description": "Pipe", "quantity": "2", "unit": "kg", "model": "X-1"}, "SUPPORTED")],
+    "Partida|Descripción|Cantidad|Cantidad\n1|Tubo|2|2": [],
+    "Partida|Descripción|Cantidad|Unidad|Color\n1|Tubo|2|kg|rojo": [],
+    "PARTIDA 7: Entrega de planos\n\tfinales \nModelo: M1 \r\nCantidad: 3\nfin\n  suelto": [("7", {"description": "Entrega de planos finales", "model": "M1", "quantity": "3"}, "SUPPORTED")],
+    "PARTIDA 7\nServicio de limpieza | marca : A | nada\nPARTIDA 8: entregar todo": [("7", {"description": "Servicio de limpieza", "brand": "A"}, "SUPPORTED"), ("8", {"description": "entregar todo"}, "SUPPORTED")],
+    "PARTIDA 7\nPartida|Descripción|Cantidad|Unidad\n1|Tubo|2|kg": [],
+    "PARTIDA 7": [],
+    "PARTIDA 7: Suministro\nUnidad: kg\nUnidad: m": [("7", {"description": "Suministro", "unit": "kg m"}, "AMBIGUOUS")],
+    "PARTIDA 7: Suministro de válvulas ..... 12": [],
+    "": [],
+    "  \n|\t|\n": [],
+}
+
+
+def test_labelled_items_and_their_places(spark):
+    pages = [*enumerate(BLOCKS), (99, None), (98, "PARTIDA 1: Suministrar\n" + "  más\n" * 500)]
+    found = labelled.structured_blocks(spark.createDataFrame(pages, "p int, t string"), ["p"], "t").orderBy("p", "occurrence").collect()
+    texts = dict(pages)
+    for r in found:
+        for role, places in r.places.items():
+            said = " ".join(texts[r.p][a:b] for a, b in places)
+            assert role == "item" or role.startswith("header_") or said == r.fields[role]
+    told = {}
+    for r in found:
+        told.setdefault(r.p, []).append((r.item, {k: " ".join(v.split()) for k, v in r.fields.items()}, r.state))
+    assert told.pop(98)[0][1]["description"] == "Suministrar" + " más" * 500
+    assert {p: told.get(p, []) for p in range(len(BLOCKS))} == {p: [(i, {k: " ".join(v.split()) for k, v in f.items()}, s) for i, f, s in want] for p, want in enumerate(BLOCKS.values())}
