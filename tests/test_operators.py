@@ -285,3 +285,22 @@ def test_groups_are_complete_links(spark):
     members = spark.createDataFrame([(k, k) for k in range(1, 8)] + [(70, 7)], "id long, class long")
     got = dict(map(tuple, equivalence.groups(pairs, members).collect()))
     assert got == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5, 6: 5, 7: 7, 70: 7}
+
+
+def test_chain_ends_keep_small_estimates_over_many_rounds(spark):
+    """A path of 3,000 links (12 rounds), a cycle with a tail, a short chain: ends, depths, and a plan whose size estimate stays a number of bytes."""
+    links = [(k, k + 1) for k in range(3000)] + [(10_000, 10_001), (10_001, 10_002), (10_002, 10_001)] + [(20_000, 20_001)]
+    ends = graph.chain_ends(spark.createDataFrame(links, "node long, next long"))
+    got = {r.node: (r.end, r.depth) for r in ends.collect()}
+    assert got == {**{k: (3000, 3000 - k) for k in range(3000)}, 10_000: (None, None), 10_001: (None, None), 10_002: (None, None), 20_000: (20_001, 1)}
+    assert ends._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bitLength() < 64
+    twice = graph.chain_ends(ends.where("end IS NOT NULL").selectExpr("node", "end AS next"))
+    assert twice._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bitLength() < 64
+
+
+def test_positions_behind_seeds(spark):
+    links = [("a", k, k + 1) for k in range(100)] + [("b", 0, 1), ("b", 1, 2), ("b", 2, 0), ("c", 5, None)]
+    df = spark.createDataFrame(links, "g string, node long, next long").selectExpr("struct(g, node) AS node", "CASE WHEN next IS NOT NULL THEN struct(g, next AS node) END AS next")
+    seeds = spark.createDataFrame([("a", 40), ("b", 1), ("c", 5), ("d", 1)], "g string, node long").selectExpr("struct(g, node) AS node")
+    got = {(r.node.g, r.node.node): r.position for r in graph.positions(df, seeds).collect()}
+    assert got == {**{("a", 40 + k): k for k in range(61)}, ("b", 1): 0, ("b", 2): 1, ("b", 0): 2, ("c", 5): 0, ("d", 1): 0}
