@@ -305,3 +305,10 @@ def test_positions_behind_seeds(spark):
     seeds = spark.createDataFrame([("a", 40), ("b", 1), ("c", 5), ("d", 1)], "g string, node long").selectExpr("struct(g, node) AS node")
     got = {(r.node.g, r.node.node): r.position for r in graph.positions(df, seeds).collect()}
     assert got == {**{("a", 40 + k): k for k in range(61)}, ("b", 1): 0, ("b", 2): 1, ("b", 0): 2, ("c", 5): 0, ("d", 1): 0}
+
+
+def test_near_exact_texts_of_few_long_words_meet(spark):
+    texts = [(1, "constitucionalidad internacionalizaciones desproporcionadamente"), (2, "constitucionalidat internacionalizaciones desproporcionadamente"), (3, "constitucionalidat internacionalizacionez desproporcionadamente"), (4, "abcd"), (5, "abce"), (6, "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa"), (7, "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa"), (8, "xy"), (9, None)]
+    pairs, _ = equivalence.judged_pairs(spark.createDataFrame(texts, "i int, t string"), "i", F.col("t"))
+    told = {(r.a, r.b): r.verdict for r in pairs.collect()}
+    assert {k for k, v in told.items() if v == "near_exact_lexical_match"} == {(1, 2), (2, 3), (1, 3), (6, 7)}
