@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -110,18 +110,45 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
+#: Most ids of one pack, but for chance: equal rows are dealt to packs by hash.
+PACK = 1_000
+
+
+def packed(rows: DataFrame, keys: list[str], id_col: str) -> DataFrame:
+    """(keys, ids): rows that are equal in all keys are few rows with a list of some PACK ids (id) each. Nulls are equal to each other."""
+    counts = rows.groupBy(*[F.col(k).alias(f"__k{n}") for n, k in enumerate(keys)]).agg(F.count("*").alias("__n"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__k{n}")) for n, k in enumerate(keys)])
+    dealt = rows.join(counts, same).withColumn("__pack", F.pmod(F.xxhash64(id_col), F.ceil(F.col("__n") / PACK)))
+    return dealt.groupBy(*keys, "__pack").agg(F.collect_list(F.struct(F.col(id_col).alias("id"))).alias("ids")).drop("__pack")
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], ways: int) -> DataFrame:
+    """Inner join on keys that are few beside the pairs they make: each left row goes to one of `ways` tasks of its key, right rows to all of them.
+
+    The number of partitions is fixed, as sizes of what goes in don't tell adaptive
+    execution how much comes out.
+    """
+    parts = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * left.sparkSession.sparkContext.defaultParallelism)
+    a = left.withColumn("__way", F.pmod(F.xxhash64(*left.columns), F.lit(ways))).repartition(parts, *keys, "__way")
+    b = right.withColumn("__way", F.explode(F.sequence(F.lit(0), F.lit(ways - 1)).cast("array<long>"))).repartition(parts, *keys, "__way")
+    return a.hint("merge").join(b, [*keys, "__way"]).drop("__way")
+
+
 def boxes_within(inner: DataFrame, outer: DataFrame, page: str, cell: float) -> DataFrame:
     """(inner_id, outer_id) of rectangles whose centre lies in another on the same page.
 
     Columns: page, id, x0, y0, x1, y1. Outer rectangles are listed in every grid cell
-    they touch, so only neighbours are compared.
+    they touch, so only neighbours are compared. Equal centres, and equal rectangles,
+    are compared once for all of their ids.
     """
     grid = lambda c: F.floor(F.col(c) / cell)
     mid = inner.select(page, F.col("id").alias("inner_id"), ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"))
+    mid = packed(mid, [page, "cx", "cy"], "inner_id").withColumnRenamed("ids", "inner")
     mid = mid.withColumn("gx", F.floor(F.col("cx") / cell)).withColumn("gy", F.floor(F.col("cy") / cell))
-    big = outer.withColumn("gx", F.explode(F.sequence(grid("x0"), grid("x1")))).withColumn("gy", F.explode(F.sequence(grid("y0"), grid("y1"))))
-    big = big.select(page, F.col("id").alias("outer_id"), "x0", "y0", "x1", "y1", "gx", "gy")
-    return mid.join(big, [page, "gx", "gy"]).where("cx BETWEEN x0 AND x1 AND cy BETWEEN y0 AND y1").select("inner_id", "outer_id")
+    big = packed(outer.select(page, "id", "x0", "y0", "x1", "y1"), [page, "x0", "y0", "x1", "y1"], "id").withColumnRenamed("ids", "outer")
+    big = big.withColumn("gx", F.explode(F.sequence(grid("x0"), grid("x1")))).withColumn("gy", F.explode(F.sequence(grid("y0"), grid("y1"))))
+    met = spread_join(mid, big, [page, "gx", "gy"], 4).where("cx BETWEEN x0 AND x1 AND cy BETWEEN y0 AND y1")
+    return met.select(F.explode("inner").alias("i"), "outer").select("i", F.explode("outer").alias("o")).select(F.col("i.id").alias("inner_id"), F.col("o.id").alias("outer_id"))
 
 
 def three_way(base: DataFrame, live: DataFrame, imported: DataFrame, key: str, value: str) -> DataFrame:

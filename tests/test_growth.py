@@ -1,7 +1,9 @@
 """What shows on larger tables only: keys beyond a million, groups of copies, plans that would send much to one place."""
 
 import duckdb
-import pytest
+from pyspark.sql import functions as F
+
+from ledgerloom.operators import match
 from ledgerloom.plans import registry
 from test_queries import rows
 
@@ -20,3 +22,22 @@ def test_first_of_a_scan_where_part_keys_exceed_a_million(spark, tmp_path):
     lines = spark.createDataFrame([(1, 1_500_000, 1), (1, 3, 2), (1, 3, 2), (2, 7, 2), (2, 9, 1)], "l_orderkey long, l_partkey long, l_linenumber int")
     got = same_as_sql(spark, tmp_path, "scan_first_wins", lineitem=lines)
     assert {(r.l_orderkey, r.l_partkey, r.repeats, r.conflicts) for r in got.collect()} == {(1, 3, 2, 1), (2, 9, 1, 1)}
+
+
+def test_pairs_of_one_family_are_listed_by_several_tasks(spark, tmp_path):
+    part = spark.range(600).selectExpr("id AS p_partkey", "'b' AS p_brand", "CAST(id % 12 AS INT) AS p_size")
+    got = same_as_sql(spark, tmp_path, "evidence_match", part=part)
+    assert got.select(F.spark_partition_id()).distinct().count() > 2
+
+
+def test_boxes_that_are_alike_meet_once_and_in_several_tasks(spark, tmp_path):
+    part = spark.range(3000).selectExpr("id AS p_partkey", "CAST(id % 9 AS INT) AS p_size")
+    got = same_as_sql(spark, tmp_path, "box_containment", part=part)
+    assert got.select(F.spark_partition_id()).distinct().count() > 2
+
+
+def test_packs_hold_all_ids_nulls_and_repeats_included(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (None, "a"), (2, None), (3, None)] + [(k, "z") for k in range(5000)], "id long, k string")
+    packs = match.packed(df, ["k"], "id").collect()
+    assert sorted((r.k or "", x.id if x.id is not None else -1) for r in packs for x in r.ids) == sorted((r.k or "", r.id if r.id is not None else -1) for r in df.collect())
+    assert 4 <= sum(r.k == "z" for r in packs) <= 5
