@@ -43,14 +43,15 @@ def chain_ends(links: DataFrame, flag: str | None = None) -> DataFrame:
     After k rounds a node that hasn't ended has 2^k links or more before it; if its
     chain ends, each node on it that is further than 2^k links from the end is one
     that hasn't ended either, so the chain isn't longer than these and 2^k together.
-    Nodes that go on beyond that never end. Steps are tables of a size that Spark knows.
+    Nodes that go on beyond that never end. Steps are tables of a size that Spark knows;
+    they are joined by sorting, as a round after the other would send its steps to the driver.
     """
     raised = F.lit(False) if flag is None else F.coalesce(flag, F.lit(False))
     step = stored(links.select("node", F.col("next").alias("end"), F.lit(1).cast("long").alias("depth"), F.lit(False).alias("done"), raised.alias("__flag")))
     reach, longest, left = 1, None, step.count()
     while left and (longest is None or reach < longest):
         on = step.select(F.col("node").alias("end"), F.col("end").alias("__end"), F.col("depth").alias("__depth"), F.col("done").alias("__done"), F.col("__flag").alias("__raised"))
-        moved = step.where(~F.col("done")).join(on, "end", "left").select(
+        moved = step.where(~F.col("done")).join(on.hint("merge"), "end", "left").select(
             "node", F.coalesce("__end", "end").alias("end"), (F.col("depth") + F.coalesce("__depth", F.lit(0))).alias("depth"),
             (F.col("__end").isNull() | F.col("__done")).alias("done"), (F.col("__flag") | F.coalesce("__raised", F.lit(False))).alias("__flag"),
         )
@@ -70,12 +71,12 @@ def positions(links: DataFrame, seeds: DataFrame) -> DataFrame:
     jump = stored(links.where(F.col("next").isNotNull()).select("node", F.col("next").alias("end")))
     seen, reach = stored(seeds.select("node", F.lit(0).cast("long").alias("position")).distinct()), 1
     while True:
-        further = seen.join(jump, "node").select(F.col("end").alias("node"), (F.col("position") + reach).alias("position"))
-        new = stored(further.join(seen.select("node"), "node", "left_anti").groupBy("node").agg(F.min("position").alias("position")))
+        further = seen.join(jump.hint("merge"), "node").select(F.col("end").alias("node"), (F.col("position") + reach).alias("position"))
+        new = stored(further.join(seen.select("node").hint("merge"), "node", "left_anti").groupBy("node").agg(F.min("position").alias("position")))
         if new.isEmpty():
             return seen
         seen, reach = stored(seen.unionByName(new)), 2 * reach
-        jump = stored(jump.join(jump.select(F.col("node").alias("end"), F.col("end").alias("__end")), "end").select("node", F.col("__end").alias("end")))
+        jump = stored(jump.join(jump.select(F.col("node").alias("end"), F.col("end").alias("__end")).hint("merge"), "end").select("node", F.col("__end").alias("end")))
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:

@@ -3,7 +3,8 @@
 import duckdb
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import match
+from ledgerloom.operators import graph, match
+from ledgerloom.operators.durable import stored
 from ledgerloom.plans import registry
 from test_queries import rows
 
@@ -41,3 +42,14 @@ def test_packs_hold_all_ids_nulls_and_repeats_included(spark):
     packs = match.packed(df, ["k"], "id").collect()
     assert sorted((r.k or "", x.id if x.id is not None else -1) for r in packs for x in r.ids) == sorted((r.k or "", r.id if r.id is not None else -1) for r in df.collect())
     assert 4 <= sum(r.k == "z" for r in packs) <= 5
+
+
+def test_walks_along_chains_send_no_step_to_the_driver(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(graph, "stored", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stored(df))
+    links = spark.range(40).selectExpr("id AS node", "IF(id % 10 = 9, id - 9, id + 1) AS next").where("node <> 19")
+    ends = {r.node: (r.end, r.depth) for r in graph.chain_ends(links).collect()}
+    assert ends[10] == (19, 9) and ends[25] == (None, None) and len(ends) == 39
+    at = {r.node: r.position for r in graph.positions(links, spark.createDataFrame([(10,), (33,)], "node long")).collect()}
+    assert at[19] == 9 and at[32] == 9 and len(at) == 20
+    assert len(plans) > 8 and not any("Broadcast" in p for p in plans)
