@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import measure_kind
+from ledgerloom.operators.durable import roomy
 
 #: Names of columns and labels, and what a table must have.
 ALIASES = {
@@ -23,6 +24,9 @@ ITEM, ACTION = r"(?iu)^(?:PARTIDA|ITEM|ÍTEM)\s*:?[ \t]*(\d+(?:\.\d+)*)\s*:?[ \t
 LABEL = r"(?iu)^(marca|brand|modelo|model|cantidad|quantity|unidad|unit)\s*:\s*(.+)$"
 NUMBER, AMOUNT, CONTENTS = r"^\d+(?:\.\d+)*$", r"^\d+(?:\.\d+)?$", r"\.{3,}\s*\d+\s*$"
 
+#: Characters of text of one task: its lines are sorted some ten times, as rows some forty times as large.
+CHARS = 4_000_000
+
 
 def bare(x: Column) -> Column:
     return F.regexp_replace(x, r"^\s+|\s+$", "")
@@ -71,7 +75,8 @@ def structured_blocks(pages: DataFrame, keys: list[str], text: str) -> DataFrame
     """
     page = Window.partitionBy(*keys).orderBy("no")
     upto, before = page.rowsBetween(Window.unboundedPreceding, 0), page.rowsBetween(Window.unboundedPreceding, -1)
-    rows = pages.where(F.col(text).isNotNull()).select(*keys, F.posexplode(F.split(text, "\n")).alias("no", "full"))
+    some = roomy(pages.where(F.col(text).isNotNull()).select(*keys, text), keys, F.length(text), CHARS)
+    rows = some.select(*keys, F.posexplode(F.split(text, "\n")).alias("no", "full"))
     rows = rows.withColumn("at", F.coalesce(F.sum(F.length("full") + 1).over(before), F.lit(0))).withColumn("raw", F.regexp_replace("full", r"\r+$", "")).drop("full")
     raw, at = F.col("raw"), F.col("at")
     delimiter = F.when(F.contains(raw, F.lit("|")), "|").when(F.contains(raw, F.lit("\t")), "\t")

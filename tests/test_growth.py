@@ -3,7 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import graph, match
+from ledgerloom.operators import graph, labelled, match
 from ledgerloom.operators.durable import stored
 from ledgerloom.plans import registry
 from test_queries import rows
@@ -53,3 +53,11 @@ def test_walks_along_chains_send_no_step_to_the_driver(spark, monkeypatch):
     at = {r.node: r.position for r in graph.positions(links, spark.createDataFrame([(10,), (33,)], "node long")).collect()}
     assert at[19] == 9 and at[32] == 9 and len(at) == 20
     assert len(plans) > 8 and not any("Broadcast" in p for p in plans)
+
+
+def test_pages_of_labelled_items_are_dealt_by_their_text(spark, monkeypatch):
+    pages = spark.range(50).selectExpr("id AS page", "'PARTIDA 3: Entregar planos' AS text")
+    assert labelled.structured_blocks(pages, ["page"], "text").rdd.getNumPartitions() <= 4
+    monkeypatch.setattr(labelled, "CHARS", 100)
+    found = labelled.structured_blocks(pages, ["page"], "text")
+    assert found.rdd.getNumPartitions() == 13 and found.where("item = '3'").count() == 50
