@@ -61,3 +61,9 @@ def test_pages_of_labelled_items_are_dealt_by_their_text(spark, monkeypatch):
     monkeypatch.setattr(labelled, "CHARS", 100)
     found = labelled.structured_blocks(pages, ["page"], "text")
     assert found.rdd.getNumPartitions() == 13 and found.where("item = '3'").count() == 50
+
+
+def test_tables_of_pages_are_dealt_by_page_but_once(spark):
+    for name, most in (("ruled_table_rows", 2), ("standing_table_rows", 1)):
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert 1 <= plan.count("Exchange") <= most, name
