@@ -67,3 +67,24 @@ def test_tables_of_pages_are_dealt_by_page_but_once(spark):
     for name, most in (("ruled_table_rows", 2), ("standing_table_rows", 1)):
         plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert 1 <= plan.count("Exchange") <= most, name
+
+
+def test_similar_sets_meet_in_parts_and_never_travel_with_a_pair(spark, monkeypatch):
+    import random
+
+    r = random.Random(3)
+    monkeypatch.setattr(match, "PART", 300)
+    monkeypatch.setattr(match, "NUMBERED", 20)
+    sets = {k: frozenset(r.sample([f"t{n}" for n in range(60)], r.randint(1, 30))) for k in range(80)}
+    sets |= {k + 80: (s | {"u"}) - {min(s)} for k, s in sets.items() if len(s) > 3}
+    df = spark.createDataFrame([(k, k % 2 or None, sorted(v)) for k, v in sets.items()], "id long, b long, w array<string>")
+    for block in ((), ("b",)):
+        first = {}
+        for k, v in sorted(sets.items()):
+            first.setdefault((v, block and k % 2), k)
+        reps = sorted(first.values())
+        want = {(a, b) for a in reps for b in reps if a < b and not (block and (a - b) % 2) and 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])}
+        monkeypatch.setattr(match, "STEP", 40)
+        found = match.jaccard_pairs(match.token_classes(df, "id", "w", block), 0.5)
+        assert sorted((x.a, x.b) for x in found.collect()) == sorted(want)
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
