@@ -31,8 +31,9 @@ def identifiers(line: Column) -> Column:
 
 def identifier_status(value: Column, source: Column, reliable: Column) -> Column:
     """Aggregate over observations: INSUFFICIENT_EVIDENCE under two reliable sources, CONFLICT if their values differ, else AGREEMENT; NOT_APPLICABLE without any."""
-    sources, values = F.count_distinct(F.when(reliable, source)), F.count_distinct(F.when(reliable, value))
-    return F.when(F.count("*") == 0, "NOT_APPLICABLE").when(sources < 2, "INSUFFICIENT_EVIDENCE").when(values > 1, "CONFLICT").otherwise("AGREEMENT")
+    # whether there are several is told by the least and the largest, so rows are aggregated once and no distinct ones are kept
+    several = lambda c: F.coalesce(F.min(F.when(reliable, c)) < F.max(F.when(reliable, c)), F.lit(False))
+    return F.when(F.count("*") == 0, "NOT_APPLICABLE").when(~several(source), "INSUFFICIENT_EVIDENCE").when(several(value), "CONFLICT").otherwise("AGREEMENT")
 
 
 def routed(readings: DataFrame, keys: list[str], vision: Column) -> DataFrame:
