@@ -62,21 +62,27 @@ def chain_ends(links: DataFrame, flag: str | None = None) -> DataFrame:
     return out if flag else out.drop("__flag")
 
 
-def positions(links: DataFrame, seeds: DataFrame) -> DataFrame:
+def positions(links: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
     """(node, position): how many links (node, next) each node stands behind its seed (node), by the shortest way; cycles end where they close.
 
     Chains are walked by doubling: a round joins what is known with the links of 2^k
-    steps, so a chain of a million pages takes twenty rounds.
+    steps, so a chain of a million pages takes twenty rounds. With `most`, only nodes
+    less than so many links behind a seed are told: the rounds, each of which shuffles
+    all links, follow `most` and not the longest chain.
     """
     jump = stored(links.where(F.col("next").isNotNull()).select("node", F.col("next").alias("end")))
     seen, reach = stored(seeds.select("node", F.lit(0).cast("long").alias("position")).distinct()), 1
-    while True:
-        further = seen.join(jump.hint("merge"), "node").select(F.col("end").alias("node"), (F.col("position") + reach).alias("position"))
+    while most is None or reach < most:
+        further = seen.join(jump.hint("merge") if most is None else jump, "node").select(F.col("end").alias("node"), (F.col("position") + reach).alias("position"))
+        if most is not None:
+            further = further.where(F.col("position") < most)
         new = stored(further.join(seen.select("node").hint("merge"), "node", "left_anti").groupBy("node").agg(F.min("position").alias("position")))
         if new.isEmpty():
-            return seen
+            break
         seen, reach = stored(seen.unionByName(new)), 2 * reach
-        jump = stored(jump.join(jump.select(F.col("node").alias("end"), F.col("end").alias("__end")).hint("merge"), "end").select("node", F.col("__end").alias("end")))
+        if most is None or reach < most:
+            jump = stored(jump.join(jump.select(F.col("node").alias("end"), F.col("end").alias("__end")).hint("merge"), "end").select("node", F.col("__end").alias("end")))
+    return seen
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:

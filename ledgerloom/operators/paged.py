@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.durable import stored
 from ledgerloom.operators.graph import positions
 
 
@@ -19,15 +20,16 @@ def scan_report(pages: DataFrame, rows: DataFrame, most_batches: int, most_uniqu
     most_batches. Issues, sorted, also tell of totals that change or don't match, and
     of records that come again with another fingerprint. SUCCESS without issues,
     PARTIAL if some records came, else FAILED. Areas without a first page fail.
+    Only pages that a scan of most_batches can reach are looked at; their rows are kept.
     """
     node = lambda cursor: F.struct("area", F.col(cursor).alias("cursor"))
     links = pages.where("next IS NOT NULL").select(node("cursor").alias("node"), node("next").alias("next"))
     seeds = pages.select("area").distinct().select(F.struct("area", F.lit("").alias("cursor")).alias("node"))
-    at = positions(links, seeds).select("node.area", "node.cursor", "position")
-    counts = rows.groupBy("area", "cursor").agg(F.count("*").alias("n"))
+    at = positions(links, seeds, most_batches).select("node.area", "node.cursor", "position")
+    came = stored(rows.join(at, ["area", "cursor"]))
+    counts = came.groupBy("area", "cursor").agg(F.count("*").alias("n"))
     chain = at.join(pages.withColumn("__there", F.lit(True)), ["area", "cursor"], "left").join(counts, ["area", "cursor"], "left").fillna(0, ["n"])
     chain = chain.join(at.select("area", F.col("cursor").alias("next"), F.col("position").alias("__next")), ["area", "next"], "left")
-    came = rows.join(at, ["area", "cursor"])
     firsts = came.groupBy("area", "external_id").agg(F.min(F.struct("position", "index", "fingerprint")).alias("f"))
     fresh = firsts.groupBy("area", F.col("f.position").alias("position")).agg(F.count("*").alias("fresh"))
     chain = chain.join(fresh, ["area", "position"], "left").fillna(0, ["fresh"])

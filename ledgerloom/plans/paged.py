@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import paged
+from ledgerloom.operators.durable import stored
 from ledgerloom.plans.base import query, table
 
 BATCHES, UNIQUE, SIZE = 60, 180, 12
@@ -39,7 +40,7 @@ def scan_reports(spark: SparkSession, sf: str) -> DataFrame:
     none = ((a % 5 == 4) & (a != 4) & (p == 12)) | ends | ((a % 10 == 3) & (p == 14))
     after = F.when((a % 5 == 1) & (p == 20), F.col("tenth")).when((a % 5 == 2) & (p == 15), "missing").when(none, None).otherwise(F.col("after"))
     total = F.when(a % 3 == 0, F.when((a % 2 == 0) & (p > 7), 51).otherwise(50))
-    pages = pages.select("area", "k", F.when(p == 0, "").otherwise(own).alias("cursor"), after.alias("next"), (ends | ((a == 4) & (p == 12))).alias("terminal"), F.when((a == 8) & (p == 5), F.col("n") - 1).otherwise(F.col("n")).alias("raw_count"), total.alias("total"))
+    pages = stored(pages.select("area", "k", F.when(p == 0, "").otherwise(own).alias("cursor"), after.alias("next"), (ends | ((a == 4) & (p == 12))).alias("terminal"), F.when((a == 8) & (p == 5), F.col("n") - 1).otherwise(F.col("n")).alias("raw_count"), total.alias("total")))
     rows = lines.join(pages.select("area", "cursor", "k"), "k").drop("k")
     told = paged.scan_report(pages.drop("k"), rows, BATCHES, UNIQUE, SIZE)
     return told.withColumn("issues", F.array_join("issues", ","))

@@ -58,6 +58,16 @@ def test_walks_along_chains_send_no_step_to_the_driver(spark, monkeypatch):
     assert len(plans) > 8 and not any("Broadcast" in p for p in plans)
 
 
+def test_a_bounded_walk_takes_rounds_by_its_bound_and_not_by_the_longest_chain(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(graph, "stored", lambda df: tables.append(df) or stored(df))
+    links = spark.range(3000).selectExpr("id AS node", "id + 1 AS next").where("node <> 1004")
+    seeds = spark.createDataFrame([(0,), (1000,)], "node long")
+    at = {r.node: r.position for r in graph.positions(links, seeds, 10).collect()}
+    assert at == {**{k: k for k in range(10)}, **{1000 + k: k for k in range(5)}}
+    assert len(tables) <= 2 + 3 * 4
+
+
 def test_pages_of_labelled_items_are_dealt_by_their_text(spark, monkeypatch):
     pages = spark.range(50).selectExpr("id AS page", "'PARTIDA 3: Entregar planos' AS text")
     assert labelled.structured_blocks(pages, ["page"], "text").rdd.getNumPartitions() <= 4
