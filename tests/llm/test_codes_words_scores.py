@@ -246,3 +246,18 @@ def test_scores_without_texts_that_teach(spark):
 def test_held_out_texts_score_above_the_base(spark):
     got = Q.op13_lm_scores(spark, "/root/testdata/sf0.01").where("held_out").selectExpr("sum(score) AS s", "sum(base_score) AS b").first()
     assert got.s > got.b
+
+
+def test_products_told_ahead_give_the_same_states():
+    rng = np.random.default_rng(5)
+    for shape in (attention.Shape(), attention.Shape(heads=2), attention.Shape(layers=2)):
+        model = attention.fresh(shape, np.full(shape.slots, 1 / shape.slots), 3)
+        model.weights["upb0"] = model.weights["upb0"] + np.float32(0.1)
+        at = rng.integers(0, shape.slots, (5, shape.window))
+        ahead = attention.told_ahead(model)
+        assert (ahead is None) == (shape != attention.Shape())
+        states = attention.states_of(model, ahead, at, attention._masked(shape))
+        assert np.allclose(states, attention.trunk(model, at)[0], atol=1e-4)
+        rows, targets = rng.permutation(at.size)[:3000], rng.integers(0, shape.slots, 3000)
+        some = attention.log_chances(model, states.reshape(-1, shape.width), targets[:200], rows[:200])
+        assert np.allclose(some, attention.log_chances(model, states.reshape(-1, shape.width)[rows[:200]], targets[:200]), atol=1e-5)
