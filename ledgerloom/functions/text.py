@@ -24,7 +24,34 @@ def matching(text: Column) -> Column:
 
 
 def without_accents(text: Column) -> Column:
-    return F.translate(text, ACCENTED, PLAIN)
+    """Letters of ACCENTED as those of PLAIN; translating takes each letter on its own, so only texts that hold one are translated."""
+    return F.when(text.rlike(f"[{ACCENTED}]"), F.translate(text, ACCENTED, PLAIN)).otherwise(text)
+
+
+def count_of(text: Column, others: str) -> Column:
+    """How many characters a text has but for those that the class `others` (with its repetition, as `\\s+`) matches: runs are dropped, which takes fewer matches than counting."""
+    return F.length(F.regexp_replace(text, others, ""))
+
+
+def any_pattern(patterns: tuple[str, ...]) -> str:
+    """One pattern that is found where any of them is; what begins at a word's edge is looked for only there."""
+    edge = [p[2:] for p in patterns if p.startswith(r"\b")]
+    rest = [p for p in patterns if not p.startswith(r"\b")]
+    return "|".join(([r"\b(?:" + "|".join(f"(?:{p})" for p in edge) + ")"] if edge else []) + [f"(?:{p})" for p in rest])
+
+
+def any_literal(terms: tuple[str, ...]) -> str:
+    """One pattern that is found in just the texts that hold one of the terms: a tree by letters, without terms that hold another."""
+    least = sorted(t for t in set(terms) if not any(u != t and u in t for u in terms))
+
+    def tree(tails: list[str]) -> str:
+        if "" in tails:
+            return ""
+        heads = sorted({t[0] for t in tails})
+        parts = [re.escape(h) + tree([t[1:] for t in tails if t[0] == h]) for h in heads]
+        return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+
+    return tree(least)
 
 
 def nfc(text: Column) -> Column:
@@ -122,13 +149,18 @@ def item_depth(number: Column) -> Column:
     return F.size(F.split(number, r"\."))
 
 
+#: Characters in which words are looked for first.
+BEGINNING = 400
+
+
 def readable(text: Column) -> Column:
     """At least four distinct alphabetic words, letters 45 % of visible characters, no U+FFFD, no odd control characters."""
-    tokens = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), F.lit(1)))
-    visible = F.regexp_count(text, F.lit(r"\S"))
-    letters = F.regexp_count(text, F.lit(r"\p{L}"))
+    tokens = lambda x: F.size(F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit(r"(\p{L}+)"), F.lit(1))))
+    # most texts show their words in the beginning, of which the last may be cut
+    many = (tokens(F.substring(text, 1, BEGINNING)) > 4) | (tokens(text) >= 4)
+    visible, letters = count_of(text, r"\s+"), count_of(text, r"\P{L}+")
     clean = ~text.rlike("[�\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]")
-    return (F.size(tokens) >= 4) & (letters >= visible * 0.45) & clean
+    return many & (letters >= visible * 0.45) & clean
 
 
 def html_text(html: Column) -> Column:

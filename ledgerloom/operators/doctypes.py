@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import matching, without_accents
+from ledgerloom.functions.text import any_literal, matching, without_accents
 
 #: Signals of each type, in order; the first that a line holds counts for the type.
 SIGNALS = {
@@ -71,7 +70,7 @@ def occurrences(pages: DataFrame, doc: str, page: str, text: str) -> DataFrame:
     trimmed = F.filter(F.transform(F.split(text, r"\r\n|[\r\n]"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
     lines = F.transform(trimmed, lambda x, i: F.struct(i.alias("at"), x.alias("line"), matching(x).alias("norm")))
     listing = lambda x: x["norm"].rlike(LISTING) | holds_any(x["line"], LISTED)
-    signal = "|".join(sorted({re.escape(t) for _, t in every}))
+    signal = any_literal(tuple(t for _, t in every))
     rows = pages.select(doc, page, lines.alias("__lines"), holds_any(matching(F.col(text)), CONTENTS_CUES).alias("__cued"))
     rows = rows.select(doc, page, F.filter("__lines", lambda x: x["norm"].rlike(signal)).alias("__some"), (F.col("__cued") & (F.size(F.filter("__lines", listing)) >= 3)).alias("__contents"))
     some = rows.select(doc, page, "__contents", F.explode("__some").alias("l")).select(doc, page, "__contents", "l.at", "l.line", "l.norm")

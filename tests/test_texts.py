@@ -142,3 +142,46 @@ def test_candidates_stand_where_they_say_and_choices_are_checked(spark):
 def test_grounding(spark, value, excerpt, source, want):
     df = spark.createDataFrame([(value, excerpt, source)], "v string, e string, s string")
     assert df.select(D.grounded(F.col("v"), F.col("e"), F.col("s"))).first()[0] == want
+
+
+def test_one_pattern_of_terms_finds_what_each_would(spark):
+    from ledgerloom.functions import text as X
+    from ledgerloom.operators import doctypes
+
+    rng, every = random.Random(3), [t for terms in doctypes.SIGNALS.values() for t in terms]
+    one = X.any_literal(tuple(every))
+    assert len(one) < len("|".join(sorted({re.escape(t) for t in every}))) * 0.75
+    cut = [t[: rng.randint(1, len(t))] + rng.choice(["", " x", "z"]) for t in every for _ in range(5)] + every
+    for said in [*cut, *(a + b for a, b in zip(cut, cut[7:], strict=False))]:
+        assert bool(re.search(one, said)) == any(t in said for t in every)
+    assert re.fullmatch(X.any_literal(("a.b", "a.c", "b")), "a.c") and not re.search(X.any_literal(("a.b", "a.c")), "axb")
+
+
+def test_one_pattern_of_wordings_finds_what_each_would(spark):
+    from ledgerloom.functions import text as X
+
+    one, words = X.any_pattern((*R.OBLIGING, R.IMPERATIVE_LATER)), "no se aceptara deberan el licitante presentara . ; : firmar xdebera sera requisito causa de desechamiento tendra que propuesta".split()
+    rng = random.Random(4)
+    for _ in range(3000):
+        said = " ".join(rng.choices(words, k=rng.randint(1, 6)))
+        assert bool(re.search(one, said)) == any(re.search(p, said) for p in (*R.OBLIGING, R.IMPERATIVE_LATER))
+
+
+def test_readable_and_quality_tell_what_counting_each_character_tells(spark):
+    from ledgerloom.functions import text as X
+
+    rng = random.Random(5)
+    texts = [None, "", "  \n ", "uno dos tres cuatro", "uno dos tres", "a a a a b", "ñ é \U0001d49c " * 60 + "fin", "x" * 399 + "yz b c", "1 2 3 uno dos tres cuatro" + " 9" * 40]
+    texts += ["".join(rng.choices("ab c\té1|¢Ñ\n. [", k=rng.randint(0, 300))) for _ in range(300)] + [" ".join(rng.choices(["uno", "dos", "tres", "y"], k=200)) for _ in range(5)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    t = F.col("t")
+    old = (F.size(F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit(r"(\p{L}+)"), F.lit(1)))) >= 4) & (F.regexp_count(t, F.lit(r"\p{L}")) >= F.regexp_count(t, F.lit(r"\S")) * 0.45) & ~t.rlike("[�\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]")
+    compact = F.trim(F.regexp_replace(t, r"\s+", " "))
+    lone = F.size(F.filter(F.split(F.substring(compact, 1, R.LOOKED_AT), r"[^\p{L}\p{N}_]+"), lambda x: x.rlike(R.LONE)))
+    counted = F.struct(F.regexp_count(compact, F.lit(R.BAD_SIGNS)), lone, -F.regexp_count(compact, F.lit(R.LETTERS)))
+    lines = F.regexp_replace(t, "\n", "")
+    junk = (F.length(lines) <= S.TINY) | ((F.size(F.filter(F.split(lines, r"[^\p{L}\p{N}_]+"), lambda x: x.rlike(S.LONE))) >= S.MANY_LONE) & (F.regexp_count(lines, F.lit(S.LETTERS)) <= S.FEW_LETTERS)) | ((F.regexp_count(lines, F.lit(S.LETTERS)) == 0) & (F.length(lines) < S.SHORT_SIGNS))
+    q = R.text_quality(t, t)
+    out = df.select("i", X.readable(t).alias("a"), old.alias("b"), F.struct(q["signs"], q["lone"], q["letters"]).alias("c"), counted.alias("d"), S.garbled(lines).alias("e"), junk.alias("f"), X.without_accents(t).alias("g"), F.translate(t, X.ACCENTED, X.PLAIN).alias("h"))
+    for r in out.collect():
+        assert r.a == r.b and tuple(r.c) == tuple(r.d) and r.e == r.f and r.g == r.h, texts[r.i]
