@@ -9,14 +9,12 @@ and of obligations before a line.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import requirements as R
 from ledgerloom.functions import tender as T
+from ledgerloom.functions.text import any_pattern
 
 #: Bullets, letters that stand alone, letters; how many make a garbled line; the shortest block or sentence.
 BULLET = r"^(?:[-•*✓]|\d+[.)]|[A-Za-z][.)]|[IVXLCDM]+\.)\s*"
@@ -33,8 +31,8 @@ def clean(text: Column) -> Column:
 def garbled(line: Column) -> Column:
     """Whether a cleaned line holds next to nothing: up to three characters, many letters that stand alone, or few signs and no letter."""
     lone = F.size(F.filter(F.split(line, r"[^\p{L}\p{N}_]+"), lambda x: x.rlike(LONE)))
-    letters = F.regexp_count(line, F.lit(LETTERS))
-    return (F.length(line) <= TINY) | ((lone >= MANY_LONE) & (letters <= FEW_LETTERS)) | ((letters == 0) & (F.length(line) < SHORT_SIGNS))
+    more = line.rlike(f"(?:{LETTERS}[^{LETTERS[1:]}*+){{{FEW_LETTERS + 1}}}")
+    return (F.length(line) <= TINY) | (~more & (lone >= MANY_LONE)) | ((F.length(line) < SHORT_SIGNS) & ~line.rlike(LETTERS))
 
 
 def page_lines(pages: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -56,7 +54,7 @@ def block_lines(pages: DataFrame, keys: list[str], text: str) -> DataFrame:
     c, t = clean(F.col("__raw")), T.plain(F.col("__raw"))
     rows = page_lines(pages, keys, text).withColumns({"__blank": c == "", "__gap": F.sum((c == "").cast("int")).over(here)})
     rows = rows.where(~F.col("__blank") & ~garbled(c))
-    anchor = reduce(or_, [t.rlike(p) for p in (*R.OBLIGING, R.IMPERATIVE_LATER)])
+    anchor = t.rlike(any_pattern((*R.OBLIGING, R.IMPERATIVE_LATER)))
     rows = rows.withColumns({"__head": t.rlike(R.CHECKLIST) & c.endswith(":"), "__bullet": c.rlike(BULLET), "__anchor": anchor})
     joined = ~F.col("__head") & F.coalesce(F.lag("__head").over(here) & (F.lag("__gap").over(here) == F.col("__gap")), F.lit(False))
     rows = rows.withColumn("__joined", joined)
