@@ -99,16 +99,18 @@ def items(pages: DataFrame, keys: list[str], text: str, penalised: Column) -> Da
     keys must tell pages apart.
     """
     page = Window.partitionBy(*keys).orderBy("__n")
-    whole = key(F.col(text))
-    catalogue = reduce(add, [F.contains(whole, F.lit(w)).cast("int") for w in HEADS]) >= ENOUGH
+    # the words of HEADS are found in a text as it is cleaned or not
+    held = lambda x: F.transform(F.array(without_accents(F.lower(x))), lambda y: F.transform(F.lit(list(HEADS)), lambda w: F.contains(y, w)))[0]
+    catalogue = F.size(F.filter(held(F.col(text)), lambda there: there)) >= ENOUGH
     lines = F.transform(F.split(text, r"[\r\n]"), clean)
     rows = pages.where(F.col(text).isNotNull()).select(*keys, catalogue.alias("__catalogue"), penalised.alias("__penalised"), F.posexplode(lines).alias("__n", "__x")).withColumn("__n", F.col("__n") + 1)
+    rows = rows.withColumn("__held", held(F.col("__x")))
     x = F.col("__x")
     number = lambda p: clean(F.regexp_replace(part(x, p, 1), ANY_CASE + rf"^{LABEL}\s*:?\s*", ""))
     row = is_(x, ROW) & ~is_(part(x, ROW, 1), HEADER_ONLY) & ~is_(part(x, ROW, 2), HEADER_ONLY) & ~is_(part(x, ROW, 2), ASKING)
     bare = F.col("__catalogue") & x.rlike(BARE) & F.contains(x, F.lit("."))
     sort = F.when(row, "ROW").when(is_(x, INLINE), "INLINE").when(bare, "BARE").when(is_(x, HEADING), "HEADING")
-    seen = reduce(add, [F.coalesce(F.max(F.contains(key(x), F.lit(w)).cast("int")).over(page.rowsBetween(-CONTEXT, -1)), F.lit(0)) for w in HEADS])
+    seen = reduce(add, [F.coalesce(F.max(F.col("__held")[k].cast("int")).over(page.rowsBetween(-CONTEXT, -1)), F.lit(0)) for k in range(len(HEADS))])
     rows = rows.withColumns({"__sort": sort, "__context": seen})
     open_ = F.last(F.when(F.col("__sort") != "BARE", F.col("__sort")), ignorenulls=True).over(page.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("__sort", F.when(~((F.col("__sort") == "BARE") & F.coalesce(open_ == "HEADING", F.lit(False))), F.col("__sort")))
