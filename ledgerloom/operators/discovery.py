@@ -83,7 +83,8 @@ def effects_in_texts(pages: DataFrame, page: str, text: str, documents: DataFram
     """
     rows = pages.select("group", "document", page, F.posexplode(sentences(F.col(text))).alias("at", "said"))
     kind = F.coalesce(*[F.when(F.col("said").rlike(ANY_CASE + p), F.lit(k)) for k, p in ANCHORS])
-    rows = rows.withColumn("kind", kind).where("kind IS NOT NULL").withColumns({"reference": first_of(F.col("said"), REFERENCES), "locator": first_of(F.col("said"), LOCATORS)})
+    # one look for any wording; which it is, is asked of the few sentences that hold one
+    rows = rows.where(F.col("said").rlike(ANY_CASE + "|".join(f"(?:{p})" for _, p in ANCHORS))).withColumn("kind", kind).withColumns({"reference": first_of(F.col("said"), REFERENCES), "locator": first_of(F.col("said"), LOCATORS)})
     cut = F.locate(" por ", F.lower("said"))
     third = F.when(cut > 0, first_of(F.substring(F.col("said"), cut + 5, F.length("said")), REFERENCES))
     named = F.col("reference").isNotNull() | F.col("locator").isNotNull()
