@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import requirements as R
 from ledgerloom.functions import tender as T
 from ledgerloom.operators import spans, versions
+from ledgerloom.operators.durable import roomy
 from ledgerloom.plans.base import query, table
 
+#: Parts of one task, where each is asked much.
+PARTS = 20_000
+
 SPANS = (
     "El licitante deberá presentar carta de respaldo del fabricante.", "La convocante deberá publicar el fallo en la fecha indicada.", "Documentos que deberá presentar el licitante:", "Presentar copia de la constancia fiscal vigente.",
     "presentar copia de la constancia fiscal vigente.", "El participante que resulte adjudicado deberá entregar la fianza.", "El proveedor entregará reportes mensuales de avance.", "Se requiere que la propuesta incluya el catálogo firmado.",
@@ -51,7 +55,9 @@ def requirement_spans(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("p_partkey")
     raw = F.element_at(F.lit(list(SPANS)), (k % len(SPANS) + 1).cast("int"))
     page = F.element_at(F.lit(list(PAGES)), (F.floor(k / 22) % 4 + 1).cast("int"))
-    rows = table(spark, sf, "part").select("p_partkey", T.plain(raw).alias("t"), T.plain(page).alias("p"), raw.rlike("^[a-z]").alias("small"), F.when(k % 5 == 0, "CONTRACT_DRAFT").otherwise("BIDDING_RULES").alias("kind"))
+    # a short row becomes some 70 looks for patterns, so a file that is one task as it is read is dealt to many
+    parts = roomy(table(spark, sf, "part").select("p_partkey"), ["p_partkey"], F.lit(1), PARTS)
+    rows = parts.select("p_partkey", T.plain(raw).alias("t"), T.plain(page).alias("p"), raw.rlike("^[a-z]").alias("small"), F.when(k % 5 == 0, "CONTRACT_DRAFT").otherwise("BIDDING_RULES").alias("kind"))
     return rows.select("p_partkey", R.verdict(F.col("t"), F.col("p"), F.col("kind"), F.col("small")).alias("verdict"), R.modality(R.obligation(F.col("t"))["words"]).alias("modality"), R.actor(F.col("t")).alias("actor"))
 
 
