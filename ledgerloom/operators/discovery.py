@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.durable import roomy
+
 #: Wording of each effect, in order; the first that a sentence holds tells its kind.
 ANCHORS = (
     ("SUPERSEDES", r"\bse\s+(?:sustituye|reemplaza)\b"), ("AMENDS", r"\bse\s+modific(?:a|an)\b"), ("CORRECTS", r"\bse\s+corrig(?:e|en)\b"), ("CLARIFIES", r"\bse\s+aclar(?:a|an)\b"),
@@ -31,6 +33,8 @@ TARGETS = (
 )
 DATES = (r"\b\d{1,2}/\d{1,2}/\d{2,4}\b", r"\b\d{4}-\d{2}-\d{2}\b")
 MOST_SPANS = 5
+#: Characters of the texts of one task; each of their sentences is sorted as a row of its own, some times over.
+CHARS = 4_000_000
 
 ANY_CASE = "(?iu)"
 LINE_ENDS = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
@@ -113,7 +117,8 @@ LITERAL = r"(?s)(?:[^.!?]|(?<=\d)[.!?](?=\d))*+[.!?]|(?s)(?:[^.!?]|(?<=\d)[.!?](
 
 def offered_spans(pages: DataFrame, keys: list[str], text: str, most: int = MOST_SPANS) -> DataFrame:
     """(keys, rank, span, start, end): sentences of a text as written, those that speak of a change first, `most` of them a text; text[start:end] is the span."""
-    rows = pages.where(F.col(text).isNotNull()).select(*keys, F.posexplode(F.regexp_extract_all(text, F.lit(LITERAL), 0)).alias("__k", "span"))
+    pages = roomy(pages.where(F.col(text).isNotNull()).select(*keys, text), keys, F.length(text), CHARS)
+    rows = pages.select(*keys, F.posexplode(F.regexp_extract_all(text, F.lit(LITERAL), 0)).alias("__k", "span"))
     before = Window.partitionBy(*keys).orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("start", F.coalesce(F.sum(F.length("span")).over(before), F.lit(0))).where(F.trim(F.regexp_replace("span", r"\s+", " ")) != "")
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy((~F.col("span").rlike(ANY_CASE + DRAWING)).cast("int"), "__k"))

@@ -6,9 +6,9 @@ import random
 import duckdb
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import equivalence, graph, labelled, match
+from ledgerloom.operators import discovery, equivalence, graph, labelled, match
 from ledgerloom.operators.durable import stored
-from ledgerloom.plans import registry
+from ledgerloom.plans import registry, requirements
 from test_queries import rows
 
 
@@ -132,3 +132,16 @@ def test_readings_are_compared_in_one_aggregation_without_distinct_rows(spark):
     found = registry.QUERIES["identifier_comparison"](spark, "/root/testdata/sf0.001")
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Expand" not in plan
+
+
+def test_texts_of_offered_spans_are_dealt_by_their_size(spark, monkeypatch):
+    monkeypatch.setattr(discovery, "CHARS", 100)
+    pages = spark.range(50).selectExpr("id", "'Se modifica el Anexo 3. Otra cosa sin nada.' AS text").coalesce(1)
+    found = discovery.offered_spans(pages, ["id"], "text")
+    assert found.count() == 100 and "hashpartitioning(id" in found._jdf.queryExecution().toString() and found.rdd.getNumPartitions() > 8
+
+
+def test_parts_of_requirement_spans_are_dealt_to_tasks(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(requirements, "PARTS", 10)
+    spark.range(200).selectExpr("id AS p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert registry.QUERIES["requirement_spans"](spark, str(tmp_path)).rdd.getNumPartitions() == 20
