@@ -82,6 +82,11 @@ def test_tables_of_pages_are_dealt_by_page_but_once(spark):
         assert 1 <= plan.count("Exchange") <= most, name
 
 
+def test_words_of_tables_are_sorted_once_and_never_grouped_by_rows(spark):
+    plan = registry.QUERIES["standing_table_rows"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Sort [") <= 2
+
+
 def test_similar_sets_meet_in_parts_and_never_travel_with_a_pair(spark, monkeypatch):
     r = random.Random(3)
     monkeypatch.setattr(match, "PART", 300)

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from ledgerloom.operators import items as I
 from ledgerloom.operators import labelled
@@ -121,6 +123,36 @@ def test_bands_of_ties_and_chains(spark):
     assert sorted(r.band for r in L.bands(df, ["p"], "a", "b", "band").where("p = 1").collect()) == [0, 0, 1, 1, 2]
 
 
+def test_bands_of_a_batch_equal_those_of_windows(spark):
+    rng = np.random.default_rng(3)
+    table = np.sort(rng.integers(0, 20, 300))
+    table = np.unique(table, return_inverse=True)[1]
+    low = rng.integers(0, 60, 300).astype(float)
+    high = low + rng.integers(0, 4, 300)
+    df = spark.createDataFrame([(int(t), n, float(a), float(b)) for n, (t, a, b) in enumerate(zip(table, low, high, strict=True))], "t int, n int, a double, b double")
+    assert [r.band for r in L.bands(df, ["t"], "a", "b", "band").orderBy("n").collect()] == L.sweep(table, low, high).tolist()
+
+
+def test_batches_never_part_tables(monkeypatch):
+    monkeypatch.setattr(L, "ROWS", 10)
+    keys = [k for k, n in enumerate([3, 9, 1, 1, 40, 2, 2, 11, 1]) for _ in range(n)]
+    for size in (1, 4, 7, 100):
+        batches = [pa.RecordBatch.from_pydict({"page": keys[k : k + size], "n": list(range(k, min(k + size, len(keys))))}) for k in range(0, len(keys), size)]
+        got = list(L.whole_tables(iter(batches), ["page"]))
+        assert [n for t, _ in got for n in t["n"].to_pylist()] == list(range(len(keys)))
+        for t, number in got:
+            assert number.tolist() == (np.unique(t["page"].to_numpy(), return_inverse=True)[1]).tolist()
+        ends = [(t["page"][0].as_py(), t["page"][-1].as_py()) for t, _ in got]
+        assert all(a[1] < b[0] for a, b in zip(ends, ends[1:], strict=False)) and (size == 100 or len(got) > 2)
+
+
+def test_rows_may_lack_columns_and_have_others(spark):
+    words, _ = table_words([[*HEAD, "Marca"], ["1", "bomba azul marino", "2", "kg", "ACME"], ["2", "tubo", "3", "kg", ""], ["3", "tubo", "4", "kg", "ACME", "de más"], ["4", "¿tubo?", "4", "kg", "ACME"]])
+    other = [(2, *w[1:]) for w in words if w[6] != 30.0 * 0 + 2 or w[5] < 300]
+    found = L.standing_tables(spark.createDataFrame([*words, *other, (None, *words[0][1:])], WORDS)).orderBy("row").collect()
+    assert [(r.page, r.row, r.fields) for r in found] == [(1, 1, {"item": "1", "description": "bomba azul marino", "quantity": "2", "unit": "kg", "brand": "ACME"}), (1, 3, {"item": "3", "description": "tubo", "quantity": "4", "unit": "kg", "brand": "ACME"})]
+
+
 def loop(edges):
     """edges (weight, left, right): the loop that takes whatever is free."""
     lefts, rights, out = set(), set(), set()
