@@ -261,3 +261,23 @@ def test_products_told_ahead_give_the_same_states():
         rows, targets = rng.permutation(at.size)[:3000], rng.integers(0, shape.slots, 3000)
         some = attention.log_chances(model, states.reshape(-1, shape.width), targets[:200], rows[:200])
         assert np.allclose(some, attention.log_chances(model, states.reshape(-1, shape.width)[rows[:200]], targets[:200]), atol=1e-5)
+
+
+def test_lines_tell_frequent_words_from_others_and_shares_come_with_their_sums():
+    import public_tokenizers
+
+    pattern = public_tokenizers.PATTERN
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as file:
+        ranks = file.read()
+    size = max(int(x.split()[1]) for x in ranks.splitlines() if x) + 1
+    slots = attention.slots_of(np.random.default_rng(1).integers(0, 50, size).astype(float), 3, attention.Shape())
+    lines = lm.Lines(slots, ranks, pattern, {b"red": -1.0, b"fox": -2.0})
+    for words in ([b"red", b"rarest", b"fox", b"rarest", b"red"], [b"rarest", b"unseen"], [], [b"fox"]):
+        line, within, own, known, other = lines.of(words)
+        plain, chance = lm.line_of(words, slots, ranks, pattern)
+        assert line.tolist() == plain.tolist() and within == pytest.approx(chance)
+        assert (own, known) == (sum({b"red": -1.0, b"fox": -2.0}.get(w, 0) for w in words), sum(w in (b"red", b"fox") for w in words))
+        assert other == Counter(w for w in words if w not in (b"red", b"fox"))
+    assert lines.add([b"new", b"newer"])[1] == [b"new", b"newer"] and set(lines.place) == {b"red", b"fox"}
+    ahead = attention.told_ahead(attention.fresh(attention.Shape(), slots.prior, 3))
+    assert (ahead[0][:, -1] == 1).all() and (ahead[1][:, -1] == 0).all()
