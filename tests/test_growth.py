@@ -150,3 +150,27 @@ def test_parts_of_requirement_spans_are_dealt_to_tasks(spark, monkeypatch, tmp_p
     monkeypatch.setattr(requirements, "PARTS", 10)
     spark.range(200).selectExpr("id AS p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     assert registry.QUERIES["requirement_spans"](spark, str(tmp_path)).rdd.getNumPartitions() == 20
+
+
+def test_equivalent_pairs_travel_with_texts_and_guards_but_without_their_words(spark, monkeypatch):
+    """Pairs that merely share words are no candidates, and word sets of candidates stay behind."""
+    beside, seen = equivalence.beside_each_other, []
+    monkeypatch.setattr(equivalence, "beside_each_other", lambda *given: seen.append(beside(*given)) or seen[-1])
+    texts = [(k, f"bomba valvula {k} brida tubo{'x' * k} codo{'y' * (k % 3)}") for k in range(12)] + [(20, "bomba valvula brida tubo nuevo"), (21, "bomba valvula brida tubo nuevos")]
+    pairs, _ = equivalence.same_pairs(spark.createDataFrame(texts, "i long, t string"), "i", F.col("t"))
+    assert [(p.a, p.b, p.verdict) for p in pairs.collect()] == [(20, 21, "near_exact_lexical_match")]
+    assert not {"tokens", "content"} & set(seen[0].schema["x"].dataType.names) and seen[0].count() < 20
+
+
+def test_sets_that_share_most_tokens_are_compared_by_products_and_none_is_lost(spark, monkeypatch):
+    """Few tokens that all sets share: all signatures of allowed sizes are compared, with the pairs that brute force finds."""
+    r = random.Random(8)
+    monkeypatch.setattr(match, "STEP", 900)
+    sets = sorted({frozenset(r.sample(range(30), r.randint(8, 25))) for _ in range(150)}, key=sorted)
+    df = spark.createDataFrame([(k, [f"t{n}" for n in sorted(s)]) for k, s in enumerate(sets)], "id long, w array<string>")
+    for meeting in (0, 10**9):
+        monkeypatch.setattr(match, "MEETING", meeting)
+        for least in (0.5, 0.8):
+            want = {(a, b) for a, x in enumerate(sets) for b, y in enumerate(sets) if a < b and len(x & y) >= least * len(x | y)}
+            found = [(x.a, x.b) for x in match.jaccard_pairs(match.token_classes(df, "id", "w"), least).collect()]
+            assert len(found) == len(want) and set(found) == want
