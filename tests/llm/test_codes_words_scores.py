@@ -281,3 +281,28 @@ def test_lines_tell_frequent_words_from_others_and_shares_come_with_their_sums()
     assert lines.add([b"new", b"newer"])[1] == [b"new", b"newer"] and set(lines.place) == {b"red", b"fox"}
     ahead = attention.told_ahead(attention.fresh(attention.Shape(), slots.prior, 3))
     assert (ahead[0][:, -1] == 1).all() and (ahead[1][:, -1] == 0).all()
+
+
+def test_every_window_of_all_texts_is_learned_from(spark):
+    """However few windows the beginning draws, the pass over all of them meets each once, and the model is better for it."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as file:
+        ranks = file.read()
+    rng, pattern = random.Random(4), public_tokenizers.PATTERN
+    docs = [(i, " ".join(["the red fox", "a blue whale", "one green frog"][rng.randrange(3)] for _ in range(rng.randrange(400)))) for i in range(60)]
+    learn = spark.createDataFrame(docs, "key long, text string").selectExpr("key", "CAST(text AS BINARY) AS text").repartition(3)
+    counts = lm.word_counts(learn.select("text"))
+    size = max(int(x.split()[1]) for x in ranks.splitlines() if x) + 1
+    per_id = lm.id_counts(counts, ranks, pattern, size)
+    slots = attention.slots_of(per_id, len(docs), SHAPE)
+    s = lm.Settings(shape=SHAPE, sample=1, steps=1, whole_batch=8, whole_rate=0.01)
+    lines = [np.concatenate(([SHAPE.slots - 1], lm.line_of(t.encode().split(), slots, ranks, pattern)[0], [SHAPE.slots - 1])) for _, t in docs]
+    begun = attention.fresh(SHAPE, slots.prior, s.seed)
+    model, n = lm.learn_whole(learn, begun, slots, ranks, pattern, {b"red": 3}, s)
+    assert n == sum(-(-(len(line) - 1) // SHAPE.window) for line in lines)
+    for line in lines[:5]:
+        rows = attention.cut(line, SHAPE)
+        assert np.concatenate([r[1:][r[1:] >= 0] for r in rows]).tolist() == line[1:].tolist()
+    total = lambda m: sum(attention.score(m, iter([(line[1:-1], 0.0) for line in lines])))
+    assert total(model) > total(begun) + 100
